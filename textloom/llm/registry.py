@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["near_dup"]
+MODULES = ["near_dup", "decontaminate"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
