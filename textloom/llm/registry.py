@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["near_dup", "decontaminate"]
+MODULES = ["near_dup", "decontaminate", "quality_rules"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
