@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["near_dup", "decontaminate", "quality_rules"]
+MODULES = ["near_dup", "decontaminate", "quality_rules", "quality_model"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
