@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["license_scan", "near_dup", "decontaminate", "quality_rules", "quality_model", "language_id", "pieces", "suffix_dedup", "line_dedup"]
+MODULES = ["license_scan", "near_dup", "decontaminate", "quality_rules", "sharding", "quality_model", "language_id", "pieces", "suffix_dedup", "line_dedup"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
