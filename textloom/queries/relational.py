@@ -108,10 +108,10 @@ def mode_std(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("a2_grouptransform", """SELECT o_custkey, o_orderkey, o_totalprice, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS cumsum,
-    round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 1) AS centred FROM orders""")
+    round(o_totalprice - max(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS below_most FROM orders""")
 def grouptransform(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return tb.group_transform(o, ["o_custkey"], ["o_orderkey"], {"cumsum": lambda _, run: F.round(F.sum("o_totalprice").over(run), 2), "centred": lambda whole, _: F.round(F.col("o_totalprice") - F.avg("o_totalprice").over(whole), 1)})
+    return tb.group_transform(o, ["o_custkey"], ["o_orderkey"], {"cumsum": lambda _, run: F.round(F.sum("o_totalprice").over(run), 2), "below_most": lambda whole, _: F.round(F.col("o_totalprice") - F.max("o_totalprice").over(whole), 2)})
 
 
 @register("a3_pivot", """SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'O') AS "O", count(*) FILTER (WHERE l_linestatus = 'F') AS "F" FROM lineitem GROUP BY l_returnflag""")
