@@ -1,3 +1,3 @@
 """Registered queries, one module for each theme."""
 
-from textloom.queries import corpus, graphs, relational, sequences  # noqa: F401
+from textloom.queries import corpus, graphs, relational, sequences, stores  # noqa: F401
