@@ -41,11 +41,11 @@ def linear_model(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
     gram = np.array([[g[f"{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
     xy, yy = np.array([g[f"{i}_{k}"] for i in range(k)], float), float(g[f"{k}_{k}"])
     beta = np.linalg.solve(gram, xy)
-    rss = yy - beta @ xy
+    rss = max(0.0, float(yy - beta @ xy))
     cov = np.linalg.inv(gram) * rss / (n - k - 1)
     m = np.array([means[c] for c in xs])
     rows_out = [("intercept", float(means[y] - beta @ m), float(np.sqrt(rss / (n - k - 1) / n + m @ cov @ m)))] + [(c, float(b), float(np.sqrt(cov[i, i]))) for i, (c, b) in enumerate(zip(xs, beta, strict=True))]
-    out = [(t, e, s, e / s, float(1 - rss / yy), n) for t, e, s in rows_out]
+    out = [(t, e, s, e / s if s else float("inf"), float(1 - rss / yy), n) for t, e, s in rows_out]
     return df.sparkSession.createDataFrame(out, "term string, estimate double, error double, t double, r2 double, n long")
 
 

@@ -30,9 +30,9 @@ def case_state_stream(events: DataFrame) -> DataFrame:
         for e in pd.concat(list(batches)).sort_values("seq").itertuples():
             if e.event == "found":
                 found += 1
-                views[e.parser] = "open"
+                views[str(e.parser)] = "open"
             elif found:
-                views[e.parser] = "learned" if e.event == "learned" else "open"
+                views[str(e.parser)] = "learned" if e.event == "learned" else "open"
         text = ";".join(f"{k}={v}" for k, v in sorted(views.items()))
         state.update((found, text))
         yield pd.DataFrame({"key": [key[0]], "found": [found], "views": [text]})
