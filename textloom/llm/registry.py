@@ -12,7 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {}
+    import corpus_pipeline
+
+    out: dict[str, Query] = {"pipeline": corpus_pipeline.run}
     for name in MODULES:
         out |= import_module(f"textloom.llm.{name}").QUERIES
     return out
