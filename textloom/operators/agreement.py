@@ -94,3 +94,46 @@ def tally(rows: DataFrame, group: str, right: Column, known: Column) -> DataFram
     """Right, unknown and wrong for each group and in all."""
     state = F.when(~known, "unknown").when(right, "correct").otherwise("wrong")
     return rows.withColumn("__s", state).rollup(group).agg(*(F.count_if(F.col("__s") == s).alias(s) for s in ("correct", "unknown", "wrong")))
+
+
+def agree_trees(base: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    """Edits that two witnesses agree on against a base tree, the first rule that holds for each token.
+
+    Rules in order: both say the root is here, the same other head, the same other relation under the same head, the
+    same other tag.
+    """
+    said = lambda df, n: df.select("sid", "i", *(F.col(c).alias(f"{c}{n}") for c in ("head", "rel", "tag")))
+    all_three = base.join(said(one, 1), ["sid", "i"]).join(said(two, 2), ["sid", "i"])
+    both = lambda c: (F.col(f"{c}1") == F.col(f"{c}2")) & (F.col(f"{c}1") != F.col(c))
+    rule = F.when(both("head") & (F.col("head1") == 0), "root").when(both("head"), "head").when(both("rel") & (F.col("head1") == F.col("head2")), "relation").when(both("tag"), "tag")
+    return all_three.select("sid", "i", rule.alias("rule"), F.when(rule.isin("root", "head"), F.col("head1").cast("string")).when(rule == "relation", F.col("rel1")).otherwise(F.col("tag1")).alias("value")).where("rule is not null")
+
+
+def coref_scores(mentions: DataFrame) -> DataFrame:
+    """MUC and B-cubed recall and precision over ``mentions(doc, mention, gold, system)``, from overlap counts."""
+    cells = mentions.groupBy("doc", "gold", "system").agg(F.count("*").alias("n"))
+    side = lambda c: cells.groupBy("doc", c).agg(F.sum("n").alias("size"), F.count("*").alias("parts"))
+    gold, system = side("gold"), side("system")
+    muc = lambda df: F.sum(F.col("size") - F.col("parts")) / F.nullif(F.sum(F.col("size") - 1), F.lit(0))
+    b3 = lambda df, c: cells.join(df, ["doc", c]).agg((F.sum(F.col("n") ** 2 / F.col("size")) / F.sum("n")).alias("v"))
+    parts = [gold.agg(muc(gold).alias("muc_recall")), system.agg(muc(system).alias("muc_precision")), b3(gold, "gold").withColumnRenamed("v", "b3_recall"), b3(system, "system").withColumnRenamed("v", "b3_precision")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))  # single rows
+    return out
+
+
+def select_candidate(gains: DataFrame, replicates: int = 200) -> DataFrame:
+    """Candidates ``(candidate, item, held, gain)`` with mean gains on both parts and a bootstrap share at or below 0;
+    ``chosen`` marks the best on the open part of those with a held-out gain of 0 or more and a share under 0.05."""
+    u = F.pmod(F.xxhash64("item", "rep"), F.lit(1 << 40)) / float(1 << 40)
+    weight = (u >= 0.36787944).cast("int") + (u >= 0.73575888).cast("int") + (u >= 0.91969860).cast("int") + (u >= 0.98101184).cast("int")
+    open_part = gains.where("not held")
+    means = gains.groupBy("candidate").agg(F.avg(F.when(~F.col("held"), F.col("gain"))).alias("dev"), F.avg(F.when(F.col("held"), F.col("gain"))).alias("held_gain"))
+    per = open_part.groupBy("candidate", "item").agg(F.sum("gain").alias("gain"))
+    sums = per.select("candidate", "gain", "item", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).groupBy("candidate", "rep").agg(F.sum(weight * F.col("gain")).alias("s"))
+    p = sums.groupBy("candidate").agg(F.avg((F.col("s") <= 0).cast("int")).alias("p"))
+    scored = means.join(p, "candidate")
+    fits = (F.col("dev") > 0) & (F.col("held_gain") >= 0) & (F.col("p") < 0.05)
+    best = scored.agg(F.min_by("candidate", F.when(fits, F.struct(-F.col("dev"), F.col("candidate")))).alias("best"))
+    return scored.join(F.broadcast(best)).select("candidate", "dev", "held_gain", "p", F.coalesce(F.col("candidate") == F.col("best"), F.lit(False)).alias("chosen"))

@@ -143,3 +143,27 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, radius: int, most: int) -
         seen = seen.unionByName(frontier)
     w = Window.partitionBy("start").orderBy("distance", F.desc("strength"), "node")
     return seen.where("distance > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("start", "node", "distance", "strength")
+
+
+def align_concepts(candidates: DataFrame, above_a: DataFrame, above_b: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The best partner of each ``a`` among ``candidates(a, b)``: the one with most pairs of ancestors that are already
+    aligned in ``anchors(x, y)``; the smallest of equals. ``above_a(a, x)`` and ``above_b(b, y)`` are closures."""
+    support = candidates.join(above_a, "a").join(anchors, "x").join(above_b, ["b", "y"]).groupBy("a", "b").agg(F.count("*").alias("support"))
+    w = Window.partitionBy("a").orderBy(F.desc("support"), "b")
+    return support.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+ENTITY = "id string, labels map<string, string>, claims map<string, array<struct<v: long, rank: string>>>"
+
+
+def entity_claims(lines: DataFrame) -> DataFrame:
+    """Entity JSON lines ``(value)`` to ``(q, p, o, rank)``, one row for each claim."""
+    e = lines.select(F.from_json("value", ENTITY).alias("e")).select("e.*")
+    per = e.select(F.substring("id", 2, 20).cast("long").alias("q"), F.explode("claims").alias("p", "claims"))
+    return per.select("q", F.substring("p", 2, 20).cast("int").alias("p"), F.explode("claims").alias("c")).select("q", "p", F.col("c.v").alias("o"), F.col("c.rank").alias("rank"))
+
+
+def entity_labels(lines: DataFrame) -> DataFrame:
+    """Entity JSON lines to ``(q, lang, label)``."""
+    e = lines.select(F.from_json("value", ENTITY).alias("e")).select("e.*")
+    return e.select(F.substring("id", 2, 20).cast("long").alias("q"), F.explode("labels").alias("lang", "label"))

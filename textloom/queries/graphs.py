@@ -285,3 +285,50 @@ def heavy(spark: SparkSession, d: str) -> DataFrame:
     from textloom.operators import statistics as st
 
     return st.heavy_hitters(table(spark, d, "lineitem"), "l_partkey", 0.002)
+
+
+@register("e6_agree_trees", f"""WITH a AS ({_annotated(False)}), b AS ({_annotated(True)}), j AS (SELECT a.sid, a.i, a.head, a.rel, a.tag, b.head AS h1, b.rel AS r1, b.tag AS t1, CASE WHEN a.i % 4 = 0 THEN a.head ELSE b.head END AS h2, CASE WHEN a.i % 3 = 0 THEN a.rel ELSE b.rel END AS r2, b.tag AS t2 FROM a JOIN b ON a.sid = b.sid AND a.i = b.i),
+    r AS (SELECT *, CASE WHEN h1 = h2 AND h1 <> head AND h1 = 0 THEN 'root' WHEN h1 = h2 AND h1 <> head THEN 'head' WHEN r1 = r2 AND r1 <> rel AND h1 = h2 THEN 'relation' WHEN t1 = t2 AND t1 <> tag THEN 'tag' END AS rule FROM j) SELECT rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY rule""")
+def agree_trees(spark: SparkSession, d: str) -> DataFrame:
+    a, b = annotated(spark, d, False), annotated(spark, d, True)
+    other = a.select("sid", "i", F.col("head").alias("ha"), F.col("rel").alias("ra"))
+    c = b.join(other, ["sid", "i"]).withColumns({"head": F.when(F.col("i") % 4 == 0, F.col("ha")).otherwise(F.col("head")), "rel": F.when(F.col("i") % 3 == 0, F.col("ra")).otherwise(F.col("rel"))}).drop("ha", "ra")
+    return ag.agree_trees(a, b, c).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@register("e10_coref_scores", """WITH c AS (SELECT l_suppkey AS doc, l_returnflag AS g, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY ALL), g AS (SELECT doc, g, sum(n) AS size, count(*) AS parts FROM c GROUP BY doc, g), s AS (SELECT doc, s, sum(n) AS size, count(*) AS parts FROM c GROUP BY doc, s)
+    SELECT (SELECT round(sum(size - parts) / sum(size - 1), 6) FROM g) AS muc_recall, (SELECT round(sum(size - parts) / sum(size - 1), 6) FROM s) AS muc_precision, (SELECT round(sum(n * n / size) / sum(n), 6) FROM c JOIN g USING (doc, g)) AS b3_recall, (SELECT round(sum(n * n / size) / sum(n), 6) FROM c JOIN s USING (doc, s)) AS b3_precision""")
+def coref_scores(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_returnflag").alias("gold"), F.col("l_linestatus").alias("system"))
+    out = ag.coref_scores(m)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@register("e20_select_candidate")
+def select_candidate(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").select((F.col("l_suppkey") % 6).alias("candidate"), F.col("l_orderkey").alias("item"), (F.col("l_orderkey") % 2 == 0).alias("held"), (F.col("l_discount") - 0.0495).alias("gain"))
+    out = ag.select_candidate(l)
+    return out.select("candidate", F.round("dev", 8).alias("dev"), F.round("held_gain", 8).alias("held_gain"), "p", "chosen")
+
+
+@register("g13_align_concepts", """WITH p AS (SELECT p_partkey, p_name, p_brand, p_type FROM part), c AS (SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(a.p_brand = b.p_brand AS INT) + CAST(a.p_type = b.p_type AS INT) AS support FROM p a JOIN p b ON a.p_name = b.p_name AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1)
+    SELECT a, b, support::BIGINT AS support FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY support DESC, b) AS r FROM c WHERE support > 0) WHERE r = 1""")
+def align(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    a, b = p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1")
+    candidates = a.select(F.col("p_partkey").alias("a"), "p_name").join(b.select(F.col("p_partkey").alias("b"), "p_name"), "p_name").select("a", "b")
+    above = lambda df, key, anc: df.select(F.col("p_partkey").alias(key), F.explode(F.array("p_brand", "p_type")).alias(anc))
+    names = p.select(F.explode(F.array("p_brand", "p_type")).alias("x")).distinct()
+    return gr.align_concepts(candidates, above(a, "a", "x"), above(b, "b", "y"), names.select("x", F.col("x").alias("y")))
+
+
+@register("g15_entity_claims", "SELECT c_custkey AS q, 31 AS p, CAST(c_nationkey AS BIGINT) AS o, 'normal' AS rank FROM customer UNION ALL SELECT c_custkey, 279, c_custkey // 2, 'preferred' FROM customer WHERE c_custkey > 0")
+def entity_claims(spark: SparkSession, d: str) -> DataFrame:
+    from textloom.plans.materialize import new_path
+
+    claim = lambda v, rank: F.array(F.struct(v.cast("long").alias("v"), F.lit(rank).alias("rank")))
+    half = F.floor(F.col("c_custkey") / 2)
+    claims = F.when(F.col("c_custkey") > 0, F.create_map(F.lit("P31"), claim(F.col("c_nationkey"), "normal"), F.lit("P279"), claim(half, "preferred"))).otherwise(F.create_map(F.lit("P31"), claim(F.col("c_nationkey"), "normal")))
+    path = new_path(spark, "entities")
+    table(spark, d, "customer").select(F.to_json(F.struct(F.concat(F.lit("Q"), F.col("c_custkey")).alias("id"), F.create_map(F.lit("en"), "c_name").alias("labels"), claims.alias("claims"))).alias("value")).write.text(path)
+    return gr.entity_claims(spark.read.text(path))
