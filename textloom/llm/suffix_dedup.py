@@ -19,17 +19,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
+from textloom.plans.materialize import materialize
 
 LENGTH = 400
-SLACK = 96
+SLACK = 128
 CORE = LENGTH - SLACK
 #: An anchor with more different runs than this has its windows compared by their hashes, wherever they are.
 MANY_RUNS = 2_000
@@ -41,7 +42,7 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
     """First phase: for each suffix the start of its group in suffix order, and its previous smaller suffix (or -1)."""
     n = len(text)
     order = sorted(range(n), key=text.__getitem__)
-    place, start, end = [0] * n, [0] * n, {}
+    place, start, end = [0] * n, [0] * n, [0] * (n + 1)
     low = 0
     for k, s in enumerate(order):
         place[s] = k
@@ -54,10 +55,21 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
     prev = [-1] * n
     high = n
     while high:
-        low = start[order[high - 1]]
-        members = order[low:high] if high - low == 1 else sorted(order[low:high])
+        s = order[high - 1]
+        low = start[s]
+        if high - low == 1:  # one member: the suffix that it points to leaves its group alone
+            j = s - 1
+            while j >= 0 and start[j] >= low:
+                j = prev[j]
+            prev[s] = j
+            high = low
+            if j >= 0 and (last := end[g := start[j]] - 1) > g:
+                k, other = place[j], order[last]
+                order[k], order[last], place[other], place[j] = other, j, k, last
+                end[last], end[g], start[j] = last + 1, last, last
+            continue
         times: dict[int, int] = {}
-        for s in members:
+        for s in sorted(order[low:high]):
             j = s - 1
             while j >= 0 and start[j] >= low:
                 j = prev[j]
@@ -106,14 +118,14 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def repeated(strings: list[tuple[int, bytes, bytes]]) -> list[list[int]]:
+def repeated(strings: list[tuple[bytes, bytes, bytes]]) -> list[list[int]]:
     """For strings ``(core, left, right)`` the offsets in ``left`` + core + ``right`` at which repeated windows start.
 
     A window is SLACK + 1 symbols with the core among them.
     """
     text: list[int] = []
     begin, owner = [], []
-    names: dict[int, int] = {}
+    names: dict[bytes, int] = {}
     ends = len(strings)
     first_byte, first_core = ends + 1, ends + 1 + 256
     for k, (core, left, right) in enumerate(strings):
@@ -131,7 +143,7 @@ def repeated(strings: list[tuple[int, bytes, bytes]]) -> list[list[int]]:
     size = 4 * (SLACK + 1)
     found: list[list[int]] = [[] for _ in strings]
     hit = set()
-    for a, b in zip(order, order[1:]):
+    for a, b in pairwise(order):
         if raw[4 * a : 4 * a + size] == raw[4 * b : 4 * b + size]:
             hit.add(a)
             hit.add(b)
@@ -144,30 +156,36 @@ def repeated(strings: list[tuple[int, bytes, bytes]]) -> list[list[int]]:
     return found
 
 
+_HIGH = np.uint64(0xFFFFFFFF00000000)
+_STIR = np.uint64(0xC4CEB9FE1A85EC53)
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one text: anchor places, their hashes, and the first and last window that each is the anchor of."""
-    windows = len(data) - LENGTH + 1
+    windows, n = len(data) - LENGTH + 1, len(data) - CORE + 1
     prefix = tb.prefix_hash(data)
-    cores = np.arange(len(data) - CORE + 1)
-    h = tb.span_hash(prefix, cores, cores + CORE)
-    # Least value of each SLACK + 1 consecutive cores, by doubling; the place breaks ties, leftmost first.
-    low, at, width = h.copy(), cores.copy(), 1
+    low = prefix[CORE:] - prefix[:-CORE]
+    low *= tb.powers(len(data))[1][:n]
+    low ^= low >> np.uint64(32)
+    low *= _STIR
+    # Half of the hash above the place: the least of SLACK + 1 consecutive cores, the leftmost of equals.
+    low &= _HIGH
+    low |= np.arange(n, dtype=np.uint64)
+    width = 1
     while width < SLACK + 1:
         step = min(width, SLACK + 1 - width)
-        better = low[step:] < low[:-step]
-        at = np.where(better, at[step:], at[:-step])
-        low = np.where(better, low[step:], low[:-step])
+        low = np.minimum(low[:-step], low[step:])
         width += step
-    at = at[:windows]
-    change = np.flatnonzero(np.diff(at)) + 1
+    at = low[:windows].astype(np.uint32)
+    change = np.flatnonzero(at[1:] != at[:-1]) + 1
     first = np.concatenate([[0], change])
     last = np.concatenate([change - 1, [windows - 1]])
-    place = at[first]
-    return place, h[place].astype(np.int64), first, last
+    place = at[first].astype(np.int64)
+    return place, tb.span_hash(prefix, place, place + CORE).astype(np.int64), first, last
 
 
-def _digest(x: bytes) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(x), "little", signed=True)
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,52 +211,89 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OCCURRENCE = "doc_id long, anchor long, run long, place int, first int, last int"
 
 
-def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their open runs to one row each: a digest of the core and the bytes on its sides."""
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their open runs to one row each: digests of the run and of its core, and the bytes beside it."""
     for batch in batches:
-        texts, runs = batch.column("text"), batch.column("runs")
-        out: list[list] = [[] for _ in range(6)]
-        for doc, text, of in zip(batch.column("doc_id").to_pylist(), texts, runs.to_pylist(), strict=True):
-            raw = text.as_py().encode() if isinstance(text.as_py(), str) else text.as_py()
+        out: list[list] = [[] for _ in range(7)]
+        for doc, text, of in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("runs").to_pylist(), strict=True):
+            raw = text.as_py()
             for run in of:
-                p, a, b = run["place"], run["first"], run["last"]
-                for c, v in zip(out, (doc, run["anchor"], a, hashlib.blake2b(raw[p : p + CORE], digest_size=16).digest(), raw[a:p], raw[p + CORE : b + LENGTH]), strict=True):
+                p, a, b = run["place"], run["first"], run["last"] + LENGTH
+                row = (doc, a, b, _digest((p - a).to_bytes(4, "little") + raw[a:b]), _digest(raw[p : p + CORE]), raw[a:p], raw[p + CORE : b])
+                for c, v in zip(out, row, strict=True):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), *(pa.array(c, pa.binary()) for c in out[3:])], ["doc_id", "anchor", "first", "core", "left", "right"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), *(pa.array(c, pa.binary()) for c in out[3:])], ["doc_id", "from", "to", "run", "core", "left", "right"])
+
+
+#: Sides of runs are compared at multiples of this many bytes before they are sorted.
+STEP = 16
+
+
+def candidates(strings: list[tuple[bytes, bytes, bytes]]) -> list[tuple[int, bytes, bytes, int]]:
+    """Of the runs of one core those that can hold a repeated window: (place, left, right, bytes cut from the left).
+
+    A repeated window has between k * STEP and (k + 1) * STEP bytes on the left for some k, so it shares the last
+    k * STEP bytes there and the first SLACK - (k + 1) * STEP on the right with another run. What lies a whole step
+    beyond the longest shared part of a side is in no repeated window and is cut off.
+    """
+    shared: dict[tuple, int] = {}
+    mine = []
+    for _, left, right in strings:
+        m, n = len(left), len(right)
+        own = [(left[m - k :], right[: SLACK - STEP - k]) for k in range(0, SLACK, STEP) if m >= k and n >= SLACK - STEP - k]
+        sides = [(0, left[m - k :]) for k in range(STEP, m + 1, STEP)], [(1, right[:k]) for k in range(STEP, n + 1, STEP)]
+        for key in (*own, *sides[0], *sides[1]):
+            shared[key] = shared.get(key, 0) + 1
+        mine.append((own, sides))
+    out = []
+    for i, (own, sides) in enumerate(mine):
+        if any(shared[key] > 1 for key in own):
+            _, left, right = strings[i]
+            near, far = (STEP + max((len(x[1]) for x in side if shared[x] > 1), default=0) for side in sides)
+            out.append((i, left[max(0, len(left) - near) :], right[:far], max(0, len(left) - near)))
+    return out
 
 
 def _suffix_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings ordered by anchor to the windows that are repeated among those of their anchor; one array per block."""
-    strings: list[tuple[int, bytes, bytes]] = []
-    keys: list[tuple] = []
-    symbols, last = 0, None
+    """Runs in order of their cores to the windows that are repeated among those of a core; one array per block."""
+    strings: list[tuple[bytes, bytes, bytes]] = []
+    runs: list[tuple[bytes, int]] = []
+    group: list[tuple[bytes, tuple[bytes, bytes, bytes]]] = []
+    symbols = 0
 
     def done() -> pa.RecordBatch:
-        rows = [(*key, int(at)) for key, found in zip(keys, repeated(strings), strict=True) for at in found]
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns[:3]), pa.array(columns[3], pa.int32())], ["core", "left", "right", "at"])
-
-    for batch in batches:
-        for core, left, right in zip(*(batch.column(c).to_pylist() for c in ("core", "left", "right")), strict=True):
-            if symbols >= BLOCK and core != last:
-                yield done()
-                strings, keys, symbols = [], [], 0
-            last = core
+        found = repeated(strings)
+        return pa.RecordBatch.from_arrays([pa.array([r for (r, _), f in zip(runs, found, strict=True) for _ in f], pa.binary()), pa.array([at + cut for (_, cut), f in zip(runs, found, strict=True) for at in f], pa.int32())], ["run", "at"])
+
+    def close() -> None:
+        nonlocal symbols
+        for i, left, right, cut in candidates([x for _, x in group]):
+            run, (core, _, _) = group[i]
+            runs.append((run, cut))
             strings.append((core, left, right))
-            keys.append((core, left, right))
             symbols += len(left) + len(right) + 2
+        group.clear()
+
+    for batch in batches:
+        for run, core, left, right in zip(*(batch.column(c).to_pylist() for c in ("run", "core", "left", "right")), strict=True):
+            if group and group[0][1][0] != core:
+                close()
+                if symbols >= BLOCK:
+                    yield done()
+                    strings, runs, symbols = [], [], 0
+            group.append((run, (core, left, right)))
+    close()
     if strings:
         yield done()
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of crowded anchors to one row for each window: a digest of it, and where it is."""
+    """Runs of crowded cores to one row for each window: a digest of it, and where it is."""
     for batch in batches:
-        for core, left, right in zip(*(batch.column(c).to_pylist() for c in ("core", "left", "right")), strict=True):
+        for run, core, left, right in zip(*(batch.column(c).to_pylist() for c in ("run", "core", "left", "right")), strict=True):
             ats = [a for a in range(len(left) + 1) if a + SLACK <= len(left) + len(right)]
-            digests = [hashlib.blake2b(left[a:] + b"|" + core + right[: SLACK - (len(left) - a)], digest_size=16).digest() for a in ats]
-            n = len(ats)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([core] * n, pa.binary()), pa.array([left] * n, pa.binary()), pa.array([right] * n, pa.binary()), pa.array(ats, pa.int32())], ["window", "core", "left", "right", "at"])
+            windows = [_digest((len(left) - a).to_bytes(4, "little") + core + left[a:] + right[: SLACK - (len(left) - a)]) for a in ats]
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array([run] * len(ats), pa.binary()), pa.array(ats, pa.int32())], ["window", "run", "at"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,42 +315,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, spans)``: for documents that have any, the byte ranges to remove.
-
-    Ranges ``{from, to}`` may overlap; their union is what the docstring of the module says.
-    """
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, spans, runs)`` of documents with repeated anchors: byte ranges that are
+    repeated for certain, and the runs of anchors whose runs differ."""
     found = docs.mapInArrow(_occurrences, _OCCURRENCE)
     counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("least"), F.max("run").alias("most")).where("n > 1")
     twice = found.join(counts.select("anchor", (F.col("least") == F.col("most")).alias("same")), "anchor")
-    per_doc = twice.groupBy("doc_id").agg(
+    return twice.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("same"), F.struct(F.col("first").alias("from"), (F.col("last") + LENGTH).alias("to")))).alias("spans"),
-        F.collect_list(F.when(~F.col("same"), F.struct("anchor", "place", "first", "last"))).alias("runs"),
+        F.collect_list(F.when(~F.col("same"), F.struct("place", "first", "last"))).alias("runs"),
     )
-    whole = per_doc.where("size(spans) > 0").select("doc_id", F.explode("spans").alias("span"))
 
-    unsure = per_doc.where("size(runs) > 0").select("doc_id", "runs").join(docs, "doc_id").select("doc_id", "text", "runs")
-    strings = unsure.mapInArrow(_sides, "doc_id long, anchor long, first int, core binary, left binary, right binary")
-    strings = strings.select("doc_id", "first", "core", "left", "right")
-    kinds = strings.groupBy("core", "left", "right").agg(F.count("*").alias("n"))
-    crowd = kinds.groupBy("core").agg(F.count("*").alias("runs"))
-    crowded = kinds.join(crowd.where(F.col("runs") > MANY_RUNS).select("core"), "core", "left_semi").where("n = 1")
-    sorted_ = kinds.join(crowd.where((F.col("runs") > 1) & (F.col("runs") <= MANY_RUNS)).select("core"), "core", "left_semi").select("core", "left", "right")
-    by_array = sorted_.repartition("core").sortWithinPartitions("core").mapInArrow(_suffix_sorted, "core binary, left binary, right binary, at int")
 
-    every = kinds.join(crowd.where(F.col("runs") > MANY_RUNS).select("core"), "core", "left_semi").select("core", "left", "right").mapInArrow(_single_windows, "window binary, core binary, left binary, right binary, at int")
+def repeated_spans(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """The ranges to remove by document, from what ``repeated_runs`` found: ``(doc_id, spans)``; ranges may overlap."""
+    whole = per_doc.where("size(spans) > 0").select("doc_id", F.explode("spans").alias("span"))
+    open_runs = per_doc.where("size(runs) > 0").select("doc_id", "runs").join(docs, "doc_id").select("doc_id", "text", "runs")
+    strings = open_runs.mapInArrow(_strings, "doc_id long, from int, to int, run binary, core binary, left binary, right binary")
+    kinds = strings.groupBy("run").agg(F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("core", "left", "right")))
+    kinds = materialize(kinds, "suffix-runs")
+    crowd = kinds.groupBy("core").agg(F.count("*").alias("runs"))
+    few, many = ((crowd.where(c).select("core")) for c in ((F.col("runs") > 1) & (F.col("runs") <= MANY_RUNS), F.col("runs") > MANY_RUNS))
+    sides = kinds.select("run", "core", "left", "right")
+    by_array = sides.join(few, "core", "left_semi").repartition("core").sortWithinPartitions("core").select("run", "core", "left", "right").mapInArrow(_suffix_sorted, "run binary, at int")
+    every = sides.join(many, "core", "left_semi").select("run", "core", "left", "right").mapInArrow(_single_windows, "window binary, run binary, at int")
     again = every.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    by_window = every.join(again, "window", "left_semi").select("core", "left", "right", "at")
-    ats = by_array.union(by_window).groupBy("core", "left", "right").agg(F.collect_set("at").alias("ats"))
-    judged = strings.join(kinds, ["core", "left", "right"]).join(ats, ["core", "left", "right"], "left")
-    parts = judged.select(
-        "doc_id",
-        F.explode(
-            F.when(F.col("n") > 1, F.array(F.struct(F.col("first").alias("from"), (F.col("first") + F.length("left") + CORE + F.length("right")).alias("to")))).otherwise(
-                F.transform(F.coalesce("ats", F.array().cast("array<int>")), lambda a: F.struct((F.col("first") + a).alias("from"), (F.col("first") + a + LENGTH).alias("to")))
-            )
-        ).alias("span"),
-    )
+    ats = by_array.union(every.join(again, "window", "left_semi").select("run", "at")).groupBy("run").agg(F.collect_set("at").alias("ats"))
+    # A run found twice is repeated as a whole; of others, the windows that the arrays found.
+    judged = kinds.select("run", "n").join(ats, "run", "left").where("n > 1 or ats is not null")
+    judged = materialize(judged, "suffix-judged")
+    windows = F.transform("ats", lambda a: F.struct((F.col("from") + a).alias("from"), (F.col("from") + a + LENGTH).alias("to")))
+    placed = strings.select("doc_id", "from", "to", "run").join(judged, "run")
+    parts = placed.select("doc_id", F.explode(F.when(F.col("n") > 1, F.array(F.struct("from", "to"))).otherwise(windows)).alias("span"))
     return whole.union(parts).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
@@ -304,10 +355,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     ``kept`` is what is left, as bytes (a cut may fall inside a character). A null text counts as an empty one; texts
     under 400 bytes are never cut. doc_ids are unique; other columns are ignored; an empty table gives none.
-    The texts are dealt out by doc_id once, and each later step reads that exchange again.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("doc_id")
-    joined = docs.join(repeated_spans(docs), "doc_id", "left").select("doc_id", "text", "spans")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    per_doc = materialize(repeated_runs(docs), "suffix-anchors")
+    joined = docs.join(repeated_spans(docs, per_doc), "doc_id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
