@@ -7,7 +7,8 @@ Scale: documents with equal sets are one class from the start, so groups of copi
 members are first compared with one pivot, which the bucket's key picks among its members, so that a large group of
 near copies meets many pivots over its bands. Only members that are still in different components are then compared
 with each other, so connected groups are never expanded into pairs. A pair at the limit of similarity shares no band
-with a probability of (1 - 0.75**4)**48, about 1e-8.
+with a probability of (1 - 0.75**6)**80, about 2e-7. Six rows a band keep documents that merely share a passage out of
+each other's buckets, and a sketch inside the join's condition keeps their pairs from becoming rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
@@ -24,14 +25,17 @@ from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
 
 WORDS = 5
-BANDS, ROWS = 48, 4
-#: Signatures that agree less than this can't belong to a pair of 0.75 (over six standard deviations below).
-LEAST_AGREEMENT = 0.55
+BANDS, ROWS = 80, 6
+#: Signatures that agree less than this can't belong to a pair of 0.75 (six standard deviations below).
+LEAST_AGREEMENT = 0.63
+#: Of the SKETCH * 16 half-bytes of a sketch, a pair of 0.75 shares about 367; fewer than this is four deviations below.
+SKETCH, LEAST_SKETCH = 30, 330
 
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)[:, None]
 _BAND_SEED = tb.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+_PLACES = np.uint64(1) << (8 * np.arange(ROWS, dtype=np.uint64))
 
 
 def shingle_sets(texts: pa.Array, n_words: int = WORDS) -> Iterator[np.ndarray]:
@@ -51,7 +55,7 @@ def shingle_sets(texts: pa.Array, n_words: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """16 bits of each minimum of the universal hashes over the set."""
+    """8 bits of each minimum of the universal hashes over the set."""
     x = shingles.astype(np.uint32)[None, :]
     low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
     for k in range(0, x.shape[1], 256):
@@ -61,7 +65,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     low ^= low >> np.uint32(16)
     low *= np.uint32(0x85EBCA6B)
     low ^= low >> np.uint32(13)
-    return low.astype(np.uint16)
+    return low.astype(np.uint8)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,15 +83,15 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in range(0, batch.num_rows, 1024):
             some = batch.slice(part, 1024)
-            rows = np.frombuffer(b"".join(some.column("signature").to_pylist()), np.uint64).reshape(-1, BANDS)
-            keys = tb.mix(rows ^ _BAND_SEED[None, :]).astype(np.int64)
+            rows = np.frombuffer(b"".join(some.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
+            keys = tb.mix((rows * _PLACES).sum(axis=2, dtype=np.uint64) ^ _BAND_SEED[None, :]).astype(np.int64)
             node = np.repeat(some.column("node").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["key", "node"])
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for c in ("sig_a", "sig_b"))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sig_a", "sig_b"))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).mean(axis=1))], ["a", "b", "agreement"])
 
 
@@ -107,6 +111,42 @@ def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement, "a long, b long, agreement double").where(F.col("agreement") >= LEAST_AGREEMENT)
 
 
+def halves(minima: np.ndarray) -> pa.Array:
+    """Sketches from SKETCH * 16 minima a row: the low half-byte of each, in 64-bit numbers."""
+    low = minima.astype(np.uint8)
+    packed = np.ascontiguousarray((low[:, 0::2] & 15) | (low[:, 1::2] << 4)).view(np.int64)
+    return pa.array(list(packed), pa.list_(pa.int64()))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        low = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), halves(low[:, : SKETCH * 16])], ["node", "sketch"])
+
+
+def sketches_agree() -> Column:
+    """Whether the sketches of ``x`` and ``y`` share enough half-bytes."""
+    total = F.lit(0)
+    for k in range(SKETCH):
+        z = F.get("x.sketch", F.lit(k)).bitwiseXOR(F.get("y.sketch", F.lit(k)))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(z)
+    return total <= 16 * SKETCH - LEAST_SKETCH
+
+
+def pairs_apart(still: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``still(node, key, keys, part, main, sketch)`` in one bucket, of different parts, that look alike.
+
+    ``keys`` are all buckets of the node; a pair that shares several is made in the least of them. One of the two is
+    outside the largest part of the bucket.
+    """
+    least = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part"))
+    pairs = still.where("part <> main").alias("x").join(still.alias("y"), met & sketches_agree() & least)
+    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity."""
     one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -140,27 +180,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("agreement", "b")).alias("b"))
     best = best.union(stars.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a")).select("a", "b")).distinct()
     best = materialize(best, "near-best")
-    links = materialize(_confirm(best, docs), "near-links")
-    parts = connected_components(links)
+    parts = materialize(connected_components(_confirm(best, docs)), "near-parts")
+
+    # The other pivots of members that the best one left in different components.
+    one, two = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
+    rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    rest = materialize(rest.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b"), "near-rest")
+    if not rest.isEmpty():
+        parts = joined_parts(parts, _confirm(rest, docs))
 
-    # Buckets whose members are still apart: each member outside the largest part meets all that aren't in its part.
+    # Buckets of three or more whose members are still apart: each member outside the largest part meets all that aren't in its part.
     placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     counted = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    split = counted.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_members = materialize(placed.join(split.select("key", "main"), "key"), "near-open")
-    outer = open_members.where("part <> main").select("key", F.col("node").alias("x"), F.col("part").alias("px"))
-    across = outer.join(open_members.select("key", F.col("node").alias("y"), F.col("part").alias("py")), "key").where("px <> py")
-    across = across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    across = across.join(best, ["a", "b"], "left_anti")
-    more = materialize(_similar(across, classes).select("a", "b"), "near-across")
-    links = materialize(links.union(_confirm(more, docs)), "near-all-links") if not more.isEmpty() else links
-    parts = connected_components(links) if not more.isEmpty() else parts
+    split = counted.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1 and size > 2")
+    still = placed.join(split.select("key", "main"), "key")
+    keys = still.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    sketches = classes.select("node", "signature").mapInArrow(_sketch, "node long, sketch array<long>")
+    still = materialize(still.join(keys, "node").join(sketches, "node"), "near-open")
+    across = pairs_apart(still)
+    across = materialize(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"), "near-across")
+    if not across.isEmpty():
+        parts = joined_parts(parts, _confirm(across, docs))
 
     placed = features.join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"))
     found = placed.join(parts, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def joined_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; those found before stand in for the links that they came from."""
+    links = materialize(links, "more-links")
+    if links.isEmpty():
+        return parts
+    edges = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)
+    return materialize(connected_components(edges), "parts")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their group; rows without a doc_id stay."""
+    gone = near_duplicates(docs.where("doc_id is not null")).where("not kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
