@@ -4,8 +4,9 @@ Of all lines of the corpus that are alike, directly or over others, the first by
 
 Scale: a line is known by a 64-bit hash, so equal lines are one node, and each task sends a repeated line once per
 batch. Buckets are streamed in order of their keys with constant memory. In a bucket all members are compared with one
-pivot, which differs from band to band; only members still apart after that are compared with each other. With bands
-of 4 minima and 12 bands, lines of similarity 0.8 are missed with a probability of 0.002, of 0.9 with 3e-6.
+pivot, which differs from band to band; only members still apart after that are compared with each other, if sketches
+of them agree. With 10 bands of 4 minima a line of similarity 0.8 shares no band with a probability of 0.005, of 0.85
+with 6e-4 and of 0.9 with 3e-5.
 """
 
 from __future__ import annotations
@@ -18,94 +19,96 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
+from textloom.llm.near_dup import SKETCH, halves, joined_parts, pairs_apart
 from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
 
 CHARS = 8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 10, 4
 #: Lines are alike at this Jaccard similarity of their character shingles, in hundredths.
 SIMILAR = 75
 
 _RNG = np.random.default_rng(20240911)
 _A = _RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
+_SKETCH_A = _RNG.integers(1, 1 << 32, SKETCH * 16, np.uint64).astype(np.uint32) | np.uint32(1)
+_SKETCH_B = _RNG.integers(0, 1 << 32, SKETCH * 16, np.uint64).astype(np.uint32)
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _BAND_SEED = tb.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 _MARK = "__lines_to_drop"
 
 
-class Lines:
-    """The lines with a word of one chunk: rows, numbers within the row, places in its code points, hashes."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        raw = data.tobytes()
-        cuts = offsets.tolist()
-        text = "\n".join(raw[a:b].decode(errors="replace") for a, b in zip(cuts, cuts[1:]))
-        self.code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        breaks = np.flatnonzero(self.code == 10)
-        starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(self.code)]])
-        of_row = [raw.count(b"\n", a, b) + 1 for a, b in zip(cuts, cuts[1:])]
-        rows = np.repeat(np.arange(len(of_row)), of_row)
-        number = np.arange(len(rows)) - np.repeat(np.cumsum(of_row) - of_row, of_row)
-        lowered = np.where((self.code >= 65) & (self.code <= 90), self.code + np.uint32(32), self.code)
-        blank = np.concatenate([[0], np.cumsum((lowered == 32) | ((lowered >= 9) & (lowered <= 13)))])
-        full = (blank[ends] - blank[starts]) < ends - starts
-        self.row, self.number, self.start, self.end = rows[full], number[full], starts[full], ends[full]
-        self.lowered = lowered
-        self.prefix = np.zeros(len(lowered) + 1, np.uint64)
-        values = tb.mix(lowered.astype(np.uint64) + np.uint64(1)) * tb.powers(len(lowered) + 1)[0][: len(lowered)]
-        np.cumsum(values, dtype=np.uint64, out=self.prefix[1:])
-        self.id = tb.span_hash(self.prefix, self.start, self.end).astype(np.int64)
-
-    def signatures(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Minima (lines, BANDS * ROWS) of the chosen lines, and how many shingles each has (with repeats)."""
-        start, end = self.start[which], self.end[which]
-        n = np.maximum(end - start - CHARS + 1, 1)
-        out = np.empty((len(which), BANDS * ROWS), np.uint32)
-        short = end - start < CHARS
-        if short.any():
-            x = tb.span_hash(self.prefix, start[short], end[short]).astype(np.uint32)
-            out[short] = x[:, None] * _A + _B
-        long = ~short
-        if long.any():
-            first = np.arange(len(self.code) - CHARS + 1)
-            x = np.append(tb.span_hash(self.prefix, first, first + CHARS).astype(np.uint32), np.uint32(0))
-            bounds = np.stack([start[long], end[long] - CHARS + 1], axis=1).ravel()
-            low = np.empty((BANDS * ROWS, long.sum()), np.uint32)
-            for k in range(BANDS * ROWS):
-                y = x * _A[k]
-                y += _B[k]
-                low[k] = np.minimum.reduceat(y, bounds)[::2]
-            out[long] = low.T
-        return out, n
-
-    def text(self, k: int) -> str:
-        return self.lowered[self.start[k] : self.end[k]].tobytes().decode("utf-32-le", "surrogatepass")
-
-
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, Lines]]:
+def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lines with a word of a chunk: row, number within the row, start and end in the bytes, and hash (A-Z lowered)."""
+    breaks = data == 10
+    cuts = np.unique(np.concatenate([offsets, np.flatnonzero(breaks) + 1]))
+    starts, ends = cuts[:-1], cuts[1:].copy()
+    ends[breaks[ends - 1]] -= 1
+    row = np.searchsorted(offsets, starts, "right") - 1
+    opened = np.concatenate([[0], np.cumsum(breaks)])
+    number = opened[starts] - opened[offsets[row]]
+    lowered = tb.LOWER[data]
+    blank = np.concatenate([[0], np.cumsum(tb.SPACES[data])])
+    full = (blank[ends] - blank[starts]) < ends - starts
+    row, number, starts, ends = row[full], number[full], starts[full], ends[full]
+    return row, number, starts, ends, tb.span_hash(tb.prefix_hash(lowered), starts, ends).astype(np.int64)
+
+
+def minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minima of the universal hashes (a, b) over the shingles of lines without case, (lines, hashes); and shingles."""
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where((code >= 65) & (code <= 90), code + np.uint32(32), code)
+    end = np.cumsum([len(x) for x in lines])
+    start = np.concatenate([[0], end[:-1]])
+    prefix = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(tb.mix(code.astype(np.uint64) + np.uint64(1)) * tb.powers(len(code) + 1)[0][: len(code)], dtype=np.uint64, out=prefix[1:])
+    out = np.empty((len(lines), len(a)), np.uint32)
+    short = end - start < CHARS
+    if short.any():
+        out[short] = tb.span_hash(prefix, start[short], end[short]).astype(np.uint32)[:, None] * a + b
+    if not short.all():
+        low = prefix[CHARS:] - prefix[:-CHARS]
+        low *= tb.powers(len(code) + 1)[1][: len(low)]
+        x = np.append(tb.mix(low).astype(np.uint32), np.uint32(0))
+        bounds = np.stack([start[~short], end[~short] - CHARS + 1], axis=1).ravel()
+        best = np.empty((len(a), int((~short).sum())), np.uint32)
+        for k in range(len(a)):
+            y = x * a[k]
+            y += b[k]
+            best[k] = np.minimum.reduceat(y, bounds)[::2]
+        out[~short] = best.T
+    return out, np.maximum(end - start - CHARS + 1, 1)
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(first row, bytes, parts of ``split``) of runs of rows."""
     for row, data, offsets in tb.chunks(batch.column("text"), 1 << 18):
-        yield row, Lines(data, offsets)
+        if len(data):
+            yield row, data.tobytes(), split(data, offsets)
+
+
+def _new(ids: np.ndarray, sent: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that weren't sent before, and where each stands first; they count as sent from now on."""
+    ids, which = np.unique(ids, return_index=True)
+    fresh = np.array([i not in sent for i in ids.tolist()], bool)
+    sent.update(ids[fresh].tolist())
+    order = np.argsort(which[fresh])
+    return ids[fresh][order], which[fresh][order]
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sent = np.zeros(0, np.int64)
-        for _, lines in _chunks(batch):
-            ids, which = np.unique(lines.id, return_index=True)
-            new = ~np.isin(ids, sent)
-            ids, which = ids[new], which[new]
-            sent = np.concatenate([sent, ids])
+        sent: set[int] = set()
+        for _, raw, (_, _, starts, ends, all_ids) in _chunks(batch):
+            ids, which = _new(all_ids, sent)
             if not len(ids):
                 continue
-            order = np.argsort(which)
-            ids, which = ids[order], which[order]
-            low, n = lines.signatures(which)
+            low, n = minima([raw[a:b].decode(errors="replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], _A, _B)
             key = np.zeros((len(ids), BANDS), np.uint64) + _BAND_SEED[None, :]
             for k in range(ROWS):
                 key = tb.mix(key ^ low[:, k::ROWS].astype(np.uint64))
             key = key.astype(np.int64)
-            flipped = ids[:, None] ^ key
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(flipped.ravel()), pa.array(np.repeat(n, BANDS).astype(np.int32))], ["key", "flipped", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array((ids[:, None] ^ key).ravel()), pa.array(np.repeat(n, BANDS).astype(np.int32))], ["key", "flipped", "n"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +146,18 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sent: set[int] = set()
-        for _, lines in _chunks(batch):
-            ids, which = np.unique(lines.id, return_index=True)
-            ids = ids.tolist()
-            fresh = [(i, lines.text(k)) for i, k in zip(ids, which.tolist(), strict=True) if i not in sent]
-            sent.update(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in fresh], pa.int64()), pa.array([t for _, t in fresh], pa.string())], ["node", "line"])
+        for _, raw, (_, _, starts, ends, all_ids) in _chunks(batch):
+            ids, which = _new(all_ids, sent)
+            lines = [raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.binary())], ["node", "line"])
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            low, _ = minima([x.decode(errors="replace") for x in part.column("line").to_pylist()], _SKETCH_A, _SKETCH_B)
+            yield pa.RecordBatch.from_arrays([part.column("node"), halves(low >> np.uint32(3))], ["node", "sketch"])
 
 
 def shingles(line: str) -> set[str]:
@@ -156,15 +165,29 @@ def shingles(line: str) -> set[str]:
     return {line[k : k + CHARS] for k in range(max(1, len(line) - CHARS + 1))}
 
 
-def alike(a: str, b: str) -> bool:
-    x, y = shingles(a), shingles(b)
+def lower(line: str) -> str:
+    return line.translate(_LOWER)
+
+
+def alike(a: str, b: str, x: set[str] | None = None, y: set[str] | None = None) -> bool:
+    """Whether two lowered lines reach the similarity; their shingles may be given."""
+    x, y = x or shingles(a), y or shingles(b)
+    if 100 * min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+        return False
     both = len(x & y)
     return 100 * both >= SIMILAR * (len(x) + len(y) - both)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: list[tuple[bytes, str, set[str]]] = [(b"", "", set()), (b"", "", set())]
     for batch in batches:
-        ok = [alike(a, b) for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True)]
+        ok = []
+        for pair in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True):
+            for k, line in enumerate(pair):  # rows come in order of one side, so one of the two is often the last one
+                if last[k][0] != line or not last[k][2]:
+                    text = lower(line.decode(errors="replace"))
+                    last[k] = (line, text, shingles(text))
+            ok.append(alike(last[0][1], last[1][1], last[0][2], last[1][2]))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -175,8 +198,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, lines in _chunks(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(lines.id), batch.column("doc_id").take(pa.array(row + lines.row)), pa.array(lines.number.astype(np.int32))], ["node", "doc_id", "line_no"])
+        for first, _, (row, number, _, _, ids) in _chunks(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id").take(pa.array(first + row)), pa.array(number.astype(np.int32))], ["node", "doc_id", "line_no"])
 
 
 def line_components(docs: DataFrame) -> DataFrame:
@@ -185,24 +208,32 @@ def line_components(docs: DataFrame) -> DataFrame:
     members = banded.repartition("key").sortWithinPartitions("key", "flipped").mapInArrow(_buckets, "key long, node long, pivot long, n int")
     members = materialize(members, "line-buckets")
     stars = members.where("node <> pivot").groupBy(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).agg(F.count("*").alias("bands"))
+    stars = materialize(stars, "line-stars")
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
     best = materialize(best.union(stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b")).distinct(), "line-best")
     wanted = members.select("node").distinct()
-    texts = docs.select("text").mapInArrow(_texts, "node long, line string").join(wanted, "node", "left_semi")
+    texts = docs.select("text").mapInArrow(_texts, "node long, line binary").join(wanted, "node", "left_semi")
     texts = materialize(texts.dropDuplicates(["node"]), "line-texts")
-    links = materialize(_confirm(best, texts), "line-links")
-    parts = connected_components(links)
-
-    placed = members.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    split = placed.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    still = materialize(placed.join(split.select("key", "main"), "key"), "line-open")
-    x, y = still.where("part <> main").alias("x"), still.alias("y")
-    # Repeats within a line make n larger than the set by a little; a half more than the similarity allows is left in.
-    near = 100 * F.least("x.n", "y.n") >= (SIMILAR // 2) * F.greatest("x.n", "y.n")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & near)
-    across = across.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    more = materialize(_confirm(across, texts), "line-across")
-    return parts if more.isEmpty() else connected_components(links.union(more))
+    parts = materialize(connected_components(_confirm(best, texts)), "line-parts")
+
+    # The other pivots of members that the first one left in different components.
+    one, two = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
+    rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    rest = materialize(rest.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b"), "line-rest")
+    if not rest.isEmpty():
+        parts = joined_parts(parts, _confirm(rest, texts))
+
+    # Buckets of three or more whose members are still apart.
+    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    counted = placed.groupBy("key", "part").agg(F.count("*").alias("m"))
+    split_ = counted.groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("size")).where("parts > 1 and size > 2")
+    still = placed.join(split_.select("key", "main"), "key")
+    keys = materialize(still.groupBy("node").agg(F.collect_list("key").alias("keys")), "line-keys")
+    sketches = texts.join(keys.select("node"), "node", "left_semi").select("node", "line").mapInArrow(_sketches, "node long, sketch array<long>")
+    still = materialize(still.join(keys, "node").join(sketches, "node"), "line-open")
+    across = pairs_apart(still).join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
+    across = materialize(across, "line-across")
+    return parts if across.isEmpty() else joined_parts(parts, _confirm(across, texts))
 
 
 def lines_to_drop(docs: DataFrame) -> DataFrame:
