@@ -228,6 +228,18 @@ def test_line_dedup(spark):
     assert ld.drop_repeated_lines(frame(spark, [(None, "x y\nx y", None, None, None)])).first()["text"] == "x y\nx y"
 
 
+def test_isolated_pairs_of_lines_at_the_limit(spark):
+    rng = random.Random(75)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(600):  # 60 shingles, all of them among the 80 of the other line
+        line = letters(67)
+        assert ld.alike(line, line + "0" + (tail := letters(19))) and not ld.alike(line, line + "0" + tail + "1")
+        rows += [(2 * i, line, "en", "s", 0), (2 * i + 1, line + "0" + tail, "en", "s", 0)]
+    left = ld.drop_repeated_lines(frame(spark, rows)).where("text <> ''")
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 1200, 2))
+
+
 # --- rules ----------------------------------------------------------------------------------------------------------
 
 

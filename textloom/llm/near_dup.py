@@ -8,7 +8,8 @@ members are first compared with one pivot, which the bucket's key picks among it
 near copies meets many pivots over its bands. Only members that are still in different components are then compared
 with each other, so connected groups are never expanded into pairs. A pair at the limit of similarity shares no band
 with a probability of (1 - 0.75**6)**80, about 2e-7. Six rows a band keep documents that merely share a passage out of
-each other's buckets, and a sketch inside the join's condition keeps their pairs from becoming rows.
+each other's buckets, and a sketch inside the join's condition keeps their pairs from becoming rows; a pair at the limit
+that only this join meets is lost to the sketch with 3.3e-7.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ WORDS = 5
 BANDS, ROWS = 80, 6
 #: Signatures that agree less than this can't belong to a pair of 0.75 (six standard deviations below).
 LEAST_AGREEMENT = 0.63
-#: Of the SKETCH * 16 half-bytes of a sketch, a pair of 0.75 shares about 367; fewer than this is four deviations below.
-SKETCH, LEAST_SKETCH = 30, 330
+#: Of the SKETCH * 16 half-bytes of a sketch, a pair of 0.75 shares about 367; fewer than this is five deviations below.
+SKETCH, LEAST_SKETCH = 30, 320
 
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
