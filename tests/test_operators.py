@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import pytest
@@ -198,3 +199,30 @@ def test_harvest_stream(spark, tmp_path):
     query.awaitTermination()
     got = cs.latest_records(spark.read.parquet(str(tmp_path / "out")), "id", ["stamp"], "body", "tag")
     assert {(r["id"], r["body"], r["tags"]) for r in got.collect()} == {(1, "b", "x,y"), (2, "c", "x")}
+
+
+def test_similar_documents_count_every_shared_key(spark):
+    keys = {(d, f"own{d}") for d in range(2400)} | {(d, "hot") for d in range(1100)} | {(d, f"few{d // 3}") for d in range(0, 2400, 2)}
+    df = {}
+    for _, k in keys:
+        df[k] = df.get(k, 0) + 1
+    idf = {k: max(0.0, math.log(2400 / (1 + n))) for k, n in df.items()}
+    mine = {d: {f"own{d}", *(["hot"] if d < 1100 else []), *([f"few{d // 3}"] if d % 2 == 0 else [])} for d in range(2400)}
+    length = {d: math.sqrt(sum(idf[k] ** 2 for k in ks)) for d, ks in mine.items()}
+    got = {}
+    for r in gr.similar_documents(spark.createDataFrame(sorted(keys), "doc_id long, key string"), top=2).collect():
+        got.setdefault(r["doc_id"], []).append((r["r"], r["other"], r["score"]))
+    for d in (0, 1, 2, 501, 1099, 1100, 1101, 1200):
+        scores = [(-round(sum(idf[k] ** 2 for k in mine[d] & mine[o]) / (length[d] * length[o]), 4), o) for o in mine if o != d]
+        want = [(k, o, -s) for k, (s, o) in enumerate([x for x in sorted(scores) if x[0] <= -0.005][:2], 1) if -s >= 0.05]
+        assert sorted(got.get(d, [])) == want
+    alike = spark.createDataFrame([(d, k) for d in range(201) for k in ("all", f"own{d}")] + [(d, "else") for d in range(201, 100_000)], "doc_id long, key string")
+    assert gr.similar_documents(alike.where("key <> 'else' or doc_id % 50 = 0")).where("doc_id = 7").count() == 5
+
+
+def test_diverse_examples_go_past_copies(spark):
+    near = [(0, i, " ".join(["sun", *"a b c d e f g h i j k l m n o p q r s t".split(), f"x{i}"])) for i in range(300)]
+    rows = near + [(0, 300, "sun short"), (0, 301, "sun over the quiet hills today again"), (0, 302, "no more sun for all of us now")]
+    df = spark.createDataFrame([("sun", *r) for r in rows] + [("sun", 1, i, "sun short one") for i in range(200)], "word string, doc long, at long, text string")
+    got = sm.diverse_examples(df, "word", "doc", "at", "text", 4).collect()
+    assert {(r["doc"], r["at"]) for r in got} == {(0, 0), (0, 301), (0, 302), (0, 300)}

@@ -116,16 +116,20 @@ def power_iteration(entries: DataFrame, rounds: int = 20) -> DataFrame:
     return v
 
 
-def similar_documents(keys: DataFrame, top: int = 5, most_df: int = 200) -> DataFrame:
-    """``(doc_id, key)`` to the ``top`` documents nearest to each by cosine over idf; keys in more than ``most_df``
-    documents carry next to no weight and are left out of the join (they still count in the lengths)."""
+def similar_documents(keys: DataFrame, top: int = 5) -> DataFrame:
+    """``(doc_id, key)`` to the ``top`` documents nearest to each by cosine over idf, exactly: every shared key counts.
+
+    The work grows with the pairs that share a key. A key of many documents is dealt over several tasks."""
     k = keys.distinct()
     n = F.broadcast(k.agg(F.count_distinct("doc_id").alias("n")))
     df = k.groupBy("key").agg(F.count("*").alias("df")).join(n).select("key", "df", F.greatest(F.lit(0.0), F.ln(F.col("n") / (1 + F.col("df")))).alias("idf"))
     weighted = k.join(df, "key")
     length = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("length"))
-    rare = weighted.where(F.col("df").between(2, most_df) & (F.col("idf") > 0)).select("doc_id", "key", "idf")
-    pairs = rare.alias("x").join(rare.alias("y"), "key").where("x.doc_id <> y.doc_id").groupBy(F.col("x.doc_id").alias("doc_id"), F.col("y.doc_id").alias("other")).agg(F.sum(F.col("x.idf") * F.col("y.idf")).alias("dot"))
+    shared = weighted.where("df >= 2 and idf > 0").select("doc_id", "key", "idf", F.ceil(F.col("df") / 1000).alias("salts"))
+    one = shared.select("doc_id", "key", "idf", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"))
+    two = shared.select(F.col("doc_id").alias("other"), "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    half = one.join(two, ["key", "salt"]).where("doc_id < other").groupBy("doc_id", "other").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"))
+    pairs = half.select("doc_id", "other", F.explode(F.array(F.struct("doc_id", "other"), F.struct(F.col("other").alias("doc_id"), F.col("doc_id").alias("other")))).alias("p"), "dot").select("p.doc_id", "p.other", "dot")
     score = pairs.join(length, "doc_id").join(length.select(F.col("doc_id").alias("other"), F.col("length").alias("length_b")), "other").select("doc_id", "other", F.round(F.col("dot") / (F.col("length") * F.col("length_b")), 4).alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "other")
     return score.where("score >= 0.05").withColumn("r", F.row_number().over(w).cast("long")).where(F.col("r") <= top)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.plans.materialize import row_count_within
+from textloom.plans.materialize import materialize, row_count_within
 
 
 def hash_order(key: Column, salt: str) -> Column:
@@ -71,20 +71,34 @@ def pick_examples(df: DataFrame, word: str, doc: str, order: str, n: int) -> Dat
 def diverse_examples(df: DataFrame, word: str, doc: str, order: str, text: str, n: int, candidates: int = 50, alike: float = 0.8) -> DataFrame:
     """Examples as ``pick_examples`` gives them, but without one whose words are mostly those of an earlier one.
 
-    Sentences of 6 to 40 words come first; at most ``candidates`` of a word are looked at.
+    Sentences of 6 to 40 words come first. Words that lack examples go on to further rounds until nothing is left; a
+    round looks at ``candidates`` of each word, then at twice as many, up to 10,000. Equal texts count once.
     """
     fits = F.size(F.split(text, " ")).between(6, 40)
-    inside = df.withColumn("in_doc", F.row_number().over(Window.partitionBy(word, doc).orderBy(F.desc(fits), order)))
-    few = inside.withColumn("r", F.row_number().over(Window.partitionBy(word).orderBy("in_doc", doc, order))).where(F.col("r") <= candidates)
+    inside = df.withColumn("fits", fits).withColumn("in_doc", F.row_number().over(Window.partitionBy(word, doc, "fits").orderBy(order)))
+    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy(word).orderBy(F.desc("fits"), "in_doc", doc, order)))
+    firsts = ranked.withColumn("copy", F.row_number().over(Window.partitionBy(word, text).orderBy("r"))).where("copy = 1")
+    left = firsts.select(word, doc, order, text, F.row_number().over(Window.partitionBy(word).orderBy("r")).alias("r"))
+    left = materialize(left, "examples")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         kept, sets = [], []
         for r in rows.sort_values("r").itertuples():
+            if len(kept) == n:
+                break
             words = set(getattr(r, text).lower().split())
-            if len(kept) < n and not any(len(words & s) >= alike * len(words | s) for s in sets):
+            if not any(len(words & s) >= alike * len(words | s) for s in sets):
                 kept.append(r.Index)
                 sets.append(words)
-        return rows.loc[kept, [word, doc, order]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (few.schema[c] for c in (word, doc, order)))
-    return few.select(word, doc, order, text, "r").groupBy(word).applyInPandas(choose, schema)
+        return rows.loc[kept]
+
+    # Those kept so far have the lowest ranks, so that they are chosen again before any new one.
+    kept, past = left.limit(0), 0
+    while not left.isEmpty():
+        past += candidates
+        now = kept.unionByName(left.where(F.col("r") <= past))
+        kept = materialize(now.groupBy(word).applyInPandas(choose, left.schema), "examples-kept")
+        full = kept.groupBy(word).agg(F.count("*").alias("n")).where(F.col("n") >= n).select(word)
+        left = materialize(left.where(F.col("r") > past).join(full, word, "left_anti").select(left.columns), "examples")
+        candidates = min(2 * candidates, 10_000)
+    return kept.select(word, doc, order)
