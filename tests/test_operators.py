@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import registry
 from textloom.functions import pages as pg
 from textloom.operators import components as cm
 from textloom.operators import corpus as cp
@@ -226,3 +227,36 @@ def test_diverse_examples_go_past_copies(spark):
     df = spark.createDataFrame([("sun", *r) for r in rows] + [("sun", 1, i, "sun short one") for i in range(200)], "word string, doc long, at long, text string")
     got = sm.diverse_examples(df, "word", "doc", "at", "text", 4).collect()
     assert {(r["doc"], r["at"]) for r in got} == {(0, 0), (0, 301), (0, 302), (0, 300)}
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_whole_texts_are_scored_and_aligned(spark, tmp_path):
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randint(0, 90))) for _ in "ab")
+        assert pg.lcs_length(a, b) == plain_lcs(a, b)
+    q, a = ("".join(rng.choice("abcd ") for _ in range(n)) for n in (700, 500))
+    long = " ".join(f"w{chr(97 + k)}" for k in range(20))
+    rows = [(1, 0, "user", q), (1, 1, "assistant", a), (2, 0, "user", long), (2, 1, "assistant", "yes")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in registry.queries()["f10_chrf_lcs"](spark, str(tmp_path)).collect()}
+    assert got[1]["lcs"] == plain_lcs(a, q) and abs(got[1]["chrf"] - pg.chrf(a, q)) < 1e-6
+    aligned = {r["f"] for r in registry.queries()["c19_word_align"](spark, str(tmp_path)).where("e = 'yes'").collect()}
+    assert aligned == {"<null>", *long.split()}
+
+
+def test_edit_join_takes_whole_words(spark, tmp_path):
+    for name, text in (("benchmark", "cat extraordinary a internationalize"), ("documents", "cats cut extraordinarx internationalise no extra")):
+        spark.createDataFrame([(text,), (None,)], "text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    words = "cat extraordinary a internationalize cats cut extraordinarx internationalise no extra".split()
+    edit = lambda x, y: len(x) + len(y) - 2 * plain_lcs(x, y) <= 1 or (len(x) == len(y) and sum(p != q for p, q in zip(x, y)) == 1)
+    got = {(r["a"], r["b"]) for r in registry.queries()["j14_edit_distance_join_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(x, y) for x in words for y in words if x < y and edit(x, y)} and ("cat", "cut") in got

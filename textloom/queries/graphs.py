@@ -255,6 +255,13 @@ def edit_join(spark: SparkSession, d: str) -> DataFrame:
     return lk.within_one_edit(w, "w")
 
 
+@register("j14_edit_distance_join_whole")
+def edit_join_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole words of any length, of documents and benchmark; ``j14_edit_distance_join`` is held to its SQL's pieces."""
+    texts = table(spark, d, "benchmark").select("text").union(table(spark, d, "documents").select("text"))
+    return lk.within_one_edit(texts.select(F.explode(tx.words(F.col("text"))).alias("w")).distinct(), "w")
+
+
 @register("a19_tests", """WITH g AS (SELECT l_returnflag AS g, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1), x AS (SELECT * FROM g WHERE g = 'A'), y AS (SELECT * FROM g WHERE g = 'R')
     SELECT round((x.m - y.m) / sqrt(x.v / x.n + y.v / y.n), 5) AS t, round((x.v / x.n + y.v / y.n) ** 2 / ((x.v / x.n) ** 2 / (x.n - 1) + (y.v / y.n) ** 2 / (y.n - 1)), 3) AS df FROM x, y""")
 def welch(spark: SparkSession, d: str) -> DataFrame:

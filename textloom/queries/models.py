@@ -29,7 +29,7 @@ def url_host(spark: SparkSession, d: str) -> DataFrame:
 
 @register("f10_chrf_lcs")
 def chrf_lcs(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("t"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     both = c.withColumn("u", F.lag("t").over(w)).where("u is not null")
     return both.select("conv_id", "turn", F.round(pg.chrf_score("t", "u"), 6).alias("chrf"), pg.lcs("t", "u").alias("lcs"))
@@ -69,7 +69,7 @@ def formulas(spark: SparkSession, d: str) -> DataFrame:
 @register("c19_word_align")
 def word_align(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    w = F.slice(tx.words(F.col("text")), 1, 12)
+    w = tx.words(F.col("text"))
     q, a = c.where("role = 'user'").select("conv_id", "turn", w.alias("src")), c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), w.alias("dst"))
     pairs = q.join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "src", "dst")
     return md.word_align(pairs, 3).withColumn("t", F.round("t", 6))
