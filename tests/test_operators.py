@@ -260,3 +260,17 @@ def test_edit_join_takes_whole_words(spark, tmp_path):
     edit = lambda x, y: len(x) + len(y) - 2 * plain_lcs(x, y) <= 1 or (len(x) == len(y) and sum(p != q for p, q in zip(x, y)) == 1)
     got = {(r["a"], r["b"]) for r in registry.queries()["j14_edit_distance_join_whole"](spark, str(tmp_path)).collect()}
     assert got == {(x, y) for x in words for y in words if x < y and edit(x, y)} and ("cat", "cut") in got
+
+
+def test_queries_answer_for_all_ids(spark, tmp_path):
+    # Part k leads to part k + 1 in order k, with small quantities; the last leads back to the first.
+    lines = [(1000 + k, n, (k + n) % 6, 1.0) for k in range(6) for n in (0, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, f"s{k}") for k in range(1, 201)], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r["node"], r["component"]) for r in run("g3_strong_components")} == {(k, 0) for k in range(6)}
+    assert {(r["node"], r["degree"]) for r in run("g6_k_core")} == {(k, 2) for k in range(6)}
+    assert {(r["node"], r["value"]) for r in run("g7_power_iteration")} == {(k, round(6**-0.5, 6)) for k in range(6)}
+    assert {(r["doc"], r["other"], r["strength"]) for r in run("g9_related_documents_whole")} == {(1000 + k, 1000 + (k + s) % 6, 2.5) for k in range(6) for s in (1, 5)}
+    want = {(n, f"s{n >> k}", k) for n in range(1, 201) for k in range(8) if n >> k}
+    assert {(r["node"], r["category"], r["depth"]) for r in run("j10_closure_categories_whole")} == want

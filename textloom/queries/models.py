@@ -164,12 +164,23 @@ def answer_cover(spark: SparkSession, d: str) -> DataFrame:
 @register("g9_related_documents", """WITH k AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS e FROM lineitem), n AS (SELECT count(DISTINCT doc) AS n FROM k), i AS (SELECT e, ln(n / count(*)) AS idf FROM k, n GROUP BY e, n), w AS (SELECT doc, e, idf FROM k JOIN i USING (e)), m AS (SELECT doc, sum(idf) AS mine FROM w GROUP BY doc)
     SELECT a.doc, b.doc AS other, round(5 * sum(a.idf) / any_value(mine), 6) AS strength FROM w a JOIN w b ON a.e = b.e AND a.doc <> b.doc JOIN m ON m.doc = a.doc WHERE a.doc < 300 GROUP BY a.doc, b.doc""")
 def related(spark: SparkSession, d: str) -> DataFrame:
+    return shared_entities(spark, d, "doc < 300")
+
+
+@register("g9_related_documents_whole")
+def related_whole(spark: SparkSession, d: str) -> DataFrame:
+    """For all documents; ``g9_related_documents`` is held to the first by its SQL."""
+    return shared_entities(spark, d, "true")
+
+
+def shared_entities(spark: SparkSession, d: str, asked: str) -> DataFrame:
+    """Documents that share entities with those ``asked`` for, by the share of the idf of their own."""
     k = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("e")).distinct()
     n = F.broadcast(k.agg(F.count_distinct("doc").alias("docs")))
     idf = k.groupBy("e").agg(F.count("*").alias("df")).join(n).select("e", F.ln(F.col("docs") / F.col("df")).alias("idf"))
     w = k.join(idf, "e")
     mine = w.groupBy("doc").agg(F.sum("idf").alias("mine"))
-    wanted = w.where("doc < 300").select("doc", "e", "idf")
+    wanted = w.where(asked).select("doc", "e", "idf")
     pairs = wanted.join(w.select(F.col("doc").alias("other"), "e"), "e").where("doc <> other").groupBy("doc", "other").agg(F.sum("idf").alias("s"))
     return pairs.join(mine, "doc").select("doc", "other", F.round(5 * F.col("s") / F.col("mine"), 6).alias("strength"))
 
