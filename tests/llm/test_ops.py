@@ -139,6 +139,26 @@ def test_decontamination(spark, bound):
     assert dc.contamination(frame(spark, []), bench, max_windows=bound).count() == 0
 
 
+@pytest.mark.parametrize("bound", [10_000, 1])
+def test_null_and_repeated_ids_are_decontaminated(spark, bound):
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five")], "item_id long, text string")
+    rows = [(None, "Zero ONE, two three! four é"), (None, "clean"), (7, "Four five one two three"), (7, "clean too"), (8, None)]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    got = dc.contamination(docs, bench, max_windows=bound).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"]) for r in got) == [(0, 1, 0, 0), (0, 6, 3, 1), (7, 2, 0, 0), (7, 5, 5, 2), (8, 0, 0, 0)]
+    kept = dc.decontaminate(docs, bench, max_windows=bound).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, "clean"), (7, "clean too"), (8, "")]
+    cut = dc.decontaminate(docs, bench, remove="spans", max_windows=bound).collect()
+    assert {(r["doc_id"], r["text"]) for r in cut} == {(None, "Zero ,  ! four é"), (None, "clean"), (7, "    "), (7, "clean too"), (8, None)}
+
+
+def test_equal_keys_of_other_words_are_no_hit(spark):
+    windows = dc.item_windows(spark.createDataFrame([(1, "one two three")], "item_id long, text string"))
+    docs = frame(spark, [(1, "one two three", "en", "s", 0)])
+    other = windows.withColumn("words", F.encode(F.lit("six seven eight"), "utf-8"))
+    assert [r["n_hit"] for w in (windows, other) for r in dc._by_shuffle(docs.select("doc_id", "text"), w).collect()] == [3, 0]
+
+
 def test_spans_are_cut(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     docs = frame(spark, [(1, "Zero ONE, two three! four é", "en", "s", 0), (2, None, "en", "s", 0)])

@@ -2,7 +2,8 @@
 window, hits are verified word for word, and hit spans or whole documents are removed.
 
 The set is broadcast only after its size is checked (``max_windows``, ``max_bytes``). A larger benchmark is joined by
-shuffle instead, on 128 bits of each window; both ways give the same rows.
+shuffle instead, on 64 bits of each window, and hits are verified by their words too; both ways give the same rows. There
+rows are known by a key of their own, written once, so that null and repeated doc_ids don't matter.
 """
 
 from __future__ import annotations
@@ -146,17 +147,50 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n) if n else [], pa.int64())], ["doc_id", "n_words"])
 
 
-def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same rows for a benchmark of any size; the key of a window is its 64-bit hash and its length in words."""
+def _hit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, places, out = batch.column("row").to_pylist(), batch.column("places").to_pylist(), defaultdict(list)
+        for row, data, offsets in tb.chunks(batch.column("text")):
+            data = tb.LOWER[data]
+            starts, ends, first = tb.words(data, offsets, tb.ALNUM)
+            raw = data.tobytes()
+            for r in range(len(offsets) - 1):
+                for p in places[row + r]:
+                    k = int(first[r]) + p["at"]
+                    out["row"].append(ids[row + r])
+                    out["at"].append(p["at"])
+                    out["size"].append(p["size"])
+                    out["words"].append(b" ".join(raw[s:e] for s, e in zip(starts[k : k + p["size"]].tolist(), ends[k : k + p["size"]].tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["size"], pa.int32()), pa.array(out["words"], pa.binary())], ["row", "at", "size", "words"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, written once so that it stays the same."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "bench-docs")
+
+
+def _shuffled_hits(keyed: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(__row, at, size, item_id)`` of the windows of ``keyed(__row, text, ...)`` whose words are those of an item."""
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]
-    found = docs.mapInArrow(_doc_windows(sizes), "doc_id long, key long, size int, at long")
-    keys = windows.select("key", "size").distinct()
-    hits = materialize(found.join(keys, ["key", "size"], "left_semi"), "bench-hits")
-    words = hits.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("w")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    items = hits.select("doc_id", "key", "size").distinct().join(windows.select("item_id", "key", "size").distinct(), ["key", "size"]).select("doc_id", "item_id").distinct()
-    items = items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
-    counts = docs.mapInArrow(_word_counts, "doc_id long, n_words long")
-    return counts.join(words, "doc_id", "left").join(items, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+    found = keyed.select(F.col("__row").alias("doc_id"), "text").mapInArrow(_doc_windows(sizes), "doc_id long, key long, size int, at long")
+    maybe = found.join(windows.select("key", "size").distinct(), ["key", "size"], "left_semi")
+    places = maybe.groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("at", "size")).alias("places"))
+    texts = places.join(keyed.select(F.col("__row").alias("row"), "text"), "row").select("row", "text", "places")
+    said = texts.mapInArrow(_hit_words, "row long, at long, size int, words binary")
+    hits = said.join(windows.select("item_id", "size", "words"), ["size", "words"])
+    return materialize(hits.select(F.col("row").alias("__row"), "at", "size", "item_id"), "bench-hits")
+
+
+def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """The same rows for a benchmark of any size."""
+    keyed = _keyed(docs)
+    hits = _shuffled_hits(keyed, windows)
+    words = hits.select("__row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("w")).distinct().groupBy("__row").agg(F.count("*").alias("n_hit"))
+    items = hits.select("__row", "item_id").distinct()
+    items = items.groupBy("__row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
+    counts = keyed.select(F.col("__row").alias("doc_id"), "text").mapInArrow(_word_counts, "doc_id long, n_words long").withColumnRenamed("doc_id", "__row")
+    joined = keyed.select("__row", "doc_id").join(counts, "__row").join(words, "__row", "left").join(items, "__row", "left")
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n_words: int = WORDS, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -197,20 +231,41 @@ def _cleaned(index, remove: str, columns: list[str]) -> Callable:
     return run
 
 
+def _cut(columns: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = columns.index("text")
+            places, nulls, texts = batch.column(len(columns)).to_pylist(), batch.column(at).is_null().to_pylist(), []
+            for row, original, offsets in tb.chunks(batch.column(at)):
+                starts, ends, first = tb.words(tb.LOWER[original], offsets, tb.ALNUM)
+                for r in range(len(offsets) - 1):
+                    a, b, here = int(first[r]), int(first[r + 1]), int(offsets[r])
+                    hit = np.zeros(b - a, bool)
+                    for p in places[row + r] or ():
+                        hit[p["at"] : p["at"] + p["size"]] = True
+                    text = _without(original[here : offsets[r + 1]], starts[a:b][hit] - here, ends[a:b][hit] - here)
+                    texts.append(None if nulls[row + r] else text.decode())
+            columns_out = list(batch.columns[: len(columns)])
+            columns_out[at] = pa.array(texts, batch.schema.types[at])
+            yield pa.RecordBatch.from_arrays(columns_out, batch.schema.names[: len(columns)])
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n_words: int = WORDS, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``docs`` with its own columns, without contaminated documents or (``remove='spans'``) without their hit words.
-
-    Needs unique doc_ids only where the benchmark is too large to broadcast; there spans aren't cut but documents are.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     windows = item_windows(benchmark, n_words)
     index = _bounded_index(windows, max_windows, max_bytes)
     if index is None:
-        if remove == "spans":
-            raise ValueError("spans can be cut only with a benchmark within max_windows and max_bytes")
-        bad = _by_shuffle(docs.select("doc_id", "text"), materialize(windows, "bench-windows")).where("n_hit > 0")
-        return docs.join(bad.select("doc_id"), "doc_id", "left_anti")
+        keyed = _keyed(docs)
+        hits = _shuffled_hits(keyed, materialize(windows, "bench-windows"))
+        if remove == "documents":
+            return keyed.join(hits.select("__row").distinct(), "__row", "left_anti").select(docs.columns)
+        places = hits.groupBy("__row").agg(F.collect_set(F.struct("at", "size")).alias("__places"))
+        return keyed.join(places, "__row", "left").select(*docs.columns, "__places").mapInArrow(_cut(docs.columns), docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     return docs.mapInArrow(_cleaned(shared, remove, docs.columns), docs.schema)
 
