@@ -274,3 +274,15 @@ def test_queries_answer_for_all_ids(spark, tmp_path):
     assert {(r["doc"], r["other"], r["strength"]) for r in run("g9_related_documents_whole")} == {(1000 + k, 1000 + (k + s) % 6, 2.5) for k in range(6) for s in (1, 5)}
     want = {(n, f"s{n >> k}", k) for n in range(1, 201) for k in range(8) if n >> k}
     assert {(r["node"], r["category"], r["depth"]) for r in run("j10_closure_categories_whole")} == want
+
+
+def test_loops_raise_before_the_fixed_point(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(8)], "src long, dst long")
+    up = chain.toDF("child", "parent")
+    assert gr.closure(up, most=8).count() == 36 and gr.topological_levels(chain, 9)[0].count() == 9
+    assert gr.k_core(chain, 2, 8).count() == 0
+    loops = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 3), (3, 2)], "src long, dst long")
+    assert gr.strongly_connected(loops).count() == 4
+    for unfinished in (lambda: gr.closure(up, most=7), lambda: gr.topological_levels(chain, 8), lambda: gr.k_core(chain, 2, 2), lambda: gr.strongly_connected(loops, 1)):
+        with pytest.raises(RuntimeError):
+            unfinished()

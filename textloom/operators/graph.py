@@ -1,6 +1,7 @@
 """Graph jobs over edge tables: closure, levels, cores, components, eigenvectors, neighbourhoods, similarity.
 
-Every loop keeps a frontier or a vector as a written table, and the driver reads one count a round.
+Every loop keeps a frontier or a vector as a written table, and the driver reads one count a round. Loops to a fixed
+point raise if their bound (``most``) is hit before it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from textloom.plans.materialize import materialize
 
 
-def closure(edges: DataFrame, starts: DataFrame | None = None, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame | None = None, most: int = 10_000) -> DataFrame:
     """``(node, ancestor, depth)`` over ``edges(child, parent)``, shortest depth first seen; from all nodes or ``starts(node)``."""
     step = edges.select("child", "parent").distinct()
     now = step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
@@ -23,12 +24,16 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, most: int = 64) -
         ahead = frontier.join(step, frontier["ancestor"] == step["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
         frontier = materialize(ahead.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.union(frontier)
-    return seen
+        if depth % 20 == 0:
+            seen = materialize(seen, "closure")
+    if frontier.join(step, frontier["ancestor"] == step["child"]).select("node", F.col("parent").alias("ancestor")).join(seen, ["node", "ancestor"], "left_anti").isEmpty():
+        return seen
+    raise RuntimeError(f"closure is deeper than {most} levels")
 
 
-def topological_levels(edges: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
+def topological_levels(edges: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Nodes by the round in which they have no edge coming in, and the edges left over (those behind a cycle)."""
     left = materialize(edges.select("src", "dst").distinct(), "left")
     nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
@@ -42,12 +47,17 @@ def topological_levels(edges: DataFrame, most: int = 200) -> tuple[DataFrame, Da
         levels = found if levels is None else levels.union(found)
         open_nodes = materialize(open_nodes.join(free, "node", "left_anti"), "open")
         left = materialize(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "left")
+        if level % 20 == 19:
+            levels = materialize(levels, "levels")
+    else:
+        if not open_nodes.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").isEmpty():
+            raise RuntimeError(f"more than {most} levels")
     if levels is None:
         levels = open_nodes.select("node", F.lit(0).alias("level")).limit(0)
     return levels, left
 
 
-def k_core(edges: DataFrame, k: int, most: int = 200) -> DataFrame:
+def k_core(edges: DataFrame, k: int, most: int = 10_000) -> DataFrame:
     """Nodes (with their degree) left after peeling all of degree under ``k`` from an undirected graph."""
     both = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     now, before = materialize(both, "core"), -1
@@ -58,10 +68,13 @@ def k_core(edges: DataFrame, k: int, most: int = 200) -> DataFrame:
         before = n
         kept = now.select(F.col("a").alias("node")).union(now.select("b")).groupBy("node").agg(F.count("*").alias("d")).where(F.col("d") >= k).select("node")
         now = materialize(now.join(kept.withColumnRenamed("node", "a"), "a", "left_semi").join(kept.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), "core")
+    else:
+        if now.count() != before:
+            raise RuntimeError(f"the core did not settle in {most} rounds")
     return now.select(F.col("a").alias("node")).union(now.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def strongly_connected(edges: DataFrame, most: int = 100) -> DataFrame:
+def strongly_connected(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """``(node, component)`` of strongly connected components of two or more nodes, by the smallest id in each.
 
     Nodes without an edge in or out are peeled off; then the least id that reaches each node colours it, and walking
@@ -69,13 +82,15 @@ def strongly_connected(edges: DataFrame, most: int = 100) -> DataFrame:
     """
     left = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc")
     found = None
-    for _ in range(most):
+    for done in range(most + 1):
         before = -1
         while (n := left.count()) != before:
             before = n
             left = materialize(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc")
         if not n:
             break
+        if done == most:
+            raise RuntimeError(f"strong components are not all found in {most} rounds")
         colour = materialize(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("c", F.col("node")), "colour")
         while True:
             pushed = left.join(colour, left["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("p"))
@@ -94,7 +109,7 @@ def strongly_connected(edges: DataFrame, most: int = 100) -> DataFrame:
             if ahead.isEmpty():
                 break
             reach = materialize(reach.union(ahead), "reach")
-        found = reach if found is None else found.union(reach)
+        found = reach if found is None else materialize(found.union(reach), "found")
         gone = reach.select(F.col("node"))
         left = materialize(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
     if found is None:
