@@ -2,12 +2,12 @@
 
 Of all lines of the corpus that are alike, directly or over others, the first by (doc_id, line number) stays.
 
-Scale: a line is known by a 64-bit hash, so equal lines are one node, and each task sends a repeated line once per
-batch. Buckets are streamed in order of their keys with constant memory. In a bucket all members are compared with one
-pivot, which differs from band to band; only members still apart after that are compared with each other, if sketches
-of them agree. With 24 bands of 3 minima a pair at the limit of similarity, 0.75, shares no band with a probability of
-(1 - 0.75**3)**24, about 1.9e-6, and one of 0.8 with 3e-8. A pair at 0.75 that only the last join meets is lost to the
-sketch with a further 3.3e-7.
+Scale: a line is known by 64 bits, so equal lines are one node, and each task sends a repeated line once per batch.
+Buckets are streamed in order of their keys with constant memory. In a bucket all members are compared with one pivot,
+which differs from band to band: one row a member. Members still apart after that meet inside their bucket, and a pair
+becomes a row only if its sets of shingles reach the limit. With 24 bands of 3 minima a pair at the limit of
+similarity, 0.75, shares no band with a probability of (1 - 0.75**3)**24, about 1.9e-6, and one of 0.8 with 3e-8. A
+pair at 0.75 that only the last join meets is lost to its sketch with a further 3.3e-7.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
-from textloom.llm.near_dup import SKETCH, halves, joined_parts, pairs_apart
+from textloom.llm.near_dup import SKETCH, halves, joined_parts, links_apart, open_members
 from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
 
@@ -52,21 +52,21 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     blank = np.concatenate([[0], np.cumsum(tb.SPACES[data])])
     full = (blank[ends] - blank[starts]) < ends - starts
     row, number, starts, ends = row[full], number[full], starts[full], ends[full]
-    return row, number, starts, ends, tb.span_hash(tb.prefix_hash(lowered), starts, ends).astype(np.int64)
+    return row, number, starts, ends, tb.identity(lowered, starts, ends).astype(np.int64)
 
 
-def minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minima of the universal hashes (a, b) over the shingles of lines without case, (lines, hashes); and shingles."""
+def minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Minima of the universal hashes (a, b) over the shingles of lines without case, (lines, hashes); and 32 bits of the shingles."""
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where((code >= 65) & (code <= 90), code + np.uint32(32), code)
     end = np.cumsum([len(x) for x in lines])
     start = np.concatenate([[0], end[:-1]])
     prefix = np.zeros(len(code) + 1, np.uint64)
     np.cumsum(tb.mix(code.astype(np.uint64) + np.uint64(1)) * tb.powers(len(code) + 1)[0][: len(code)], dtype=np.uint64, out=prefix[1:])
-    out = np.empty((len(lines), len(a)), np.uint32)
+    out, x = np.empty((len(lines), len(a)), np.uint32), np.zeros(1, np.uint32)
     short = end - start < CHARS
-    if short.any():
-        out[short] = tb.span_hash(prefix, start[short], end[short]).astype(np.uint32)[:, None] * a + b
+    whole = tb.span_hash(prefix, start[short], end[short]).astype(np.uint32)
+    out[short] = whole[:, None] * a + b
     if not short.all():
         low = prefix[CHARS:] - prefix[:-CHARS]
         low *= tb.powers(len(code) + 1)[1][: len(low)]
@@ -78,7 +78,8 @@ def minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
             y += b[k]
             best[k] = np.minimum.reduceat(y, bounds)[::2]
         out[~short] = best.T
-    return out, np.maximum(end - start - CHARS + 1, 1)
+    own = iter(whole)
+    return out, [np.array([next(own)], np.uint32) if s else x[i : j - CHARS + 1] for i, j, s in zip(start.tolist(), end.tolist(), short.tolist(), strict=True)]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -104,26 +105,26 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, which = _new(all_ids, sent)
             if not len(ids):
                 continue
-            low, n = minima([raw[a:b].decode(errors="replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], _A, _B)
+            low, _ = minima([raw[a:b].decode(errors="replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], _A, _B)
             key = np.zeros((len(ids), BANDS), np.uint64) + _BAND_SEED[None, :]
             for k in range(ROWS):
                 key = tb.mix(key ^ low[:, k::ROWS].astype(np.uint64))
             key = key.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array((ids[:, None] ^ key).ravel()), pa.array(np.repeat(n, BANDS).astype(np.int32))], ["key", "flipped", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array((ids[:, None] ^ key).ravel())], ["key", "flipped"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (key, flipped) to the members and pivots of buckets of two or more different lines."""
-    key, pivot, pivot_n, told, last = None, 0, 0, False, None
+    key, pivot, told, last = None, 0, False, None
     for batch in batches:
-        k, v, n = (batch.column(c).to_numpy() for c in ("key", "flipped", "n"))
+        k, v = (batch.column(c).to_numpy() for c in ("key", "flipped"))
         if not len(k):
             continue
         same = np.zeros(len(k), bool)
         same[1:] = (k[1:] == k[:-1]) & (v[1:] == v[:-1])
         same[0] = last == (k[0], v[0])
         last = (k[-1], v[-1])
-        k, v, n = k[~same], v[~same], n[~same]
+        k, v = k[~same], v[~same]
         if not len(k):
             continue
         new = np.ones(len(k), bool)
@@ -134,13 +135,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = ~new
         starts = np.flatnonzero(member & np.concatenate([[True], new[:-1]]))  # each first member tells its pivot too
         starts = starts[(first[starts] >= 0) | (not told)]
-        out_k, out_v, out_n = k[member], v[member], n[member]
-        lead_n = np.where(first[starts] >= 0, n[np.maximum(first[starts], 0)], pivot_n)
-        keys = np.concatenate([out_k, k[starts]])
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([out_v, lead[starts]]) ^ keys), pa.array(np.concatenate([lead[member], lead[starts]]) ^ keys), pa.array(np.concatenate([out_n, lead_n]).astype(np.int32))], ["key", "node", "pivot", "n"])
+        keys = np.concatenate([k[member], k[starts]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([v[member], lead[starts]]) ^ keys), pa.array(np.concatenate([lead[member], lead[starts]]) ^ keys)], ["key", "node", "pivot"])
         told = (bool(member[first == first[-1]].any()) or told) if first[-1] < 0 else bool((member & (first == first[-1])).any())
         if first[-1] >= 0:
-            pivot, pivot_n = v[first[-1]], n[first[-1]]
+            pivot = v[first[-1]]
         key = k[-1]
 
 
@@ -161,6 +160,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node"), halves(low >> np.uint32(3))], ["node", "sketch"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            _, runs = minima([x.decode(errors="replace") for x in part.column("line").to_pylist()], _A[:0], _B[:0])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([np.unique(r).view(np.int32) for r in runs], pa.list_(pa.int32()))], ["node", "shingles"])
+
+
 def shingles(line: str) -> set[str]:
     """The distinct runs of CHARS characters of a line; a shorter line is one."""
     return {line[k : k + CHARS] for k in range(max(1, len(line) - CHARS + 1))}
@@ -205,8 +212,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_components(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` to ``(node, component)`` of line hashes, for lines that are like another one."""
-    banded = docs.select("text").mapInArrow(_bands, "key long, flipped long, n int")
-    members = banded.repartition("key").sortWithinPartitions("key", "flipped").mapInArrow(_buckets, "key long, node long, pivot long, n int")
+    banded = docs.select("text").mapInArrow(_bands, "key long, flipped long")
+    members = banded.repartition("key").sortWithinPartitions("key", "flipped").mapInArrow(_buckets, "key long, node long, pivot long")
     members = materialize(members, "line-buckets")
     stars = members.where("node <> pivot").groupBy(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).agg(F.count("*").alias("bands"))
     stars = materialize(stars, "line-stars")
@@ -224,17 +231,13 @@ def line_components(docs: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         parts = joined_parts(parts, _confirm(rest, texts))
 
-    # Buckets of three or more whose members are still apart.
-    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    counted = placed.groupBy("key", "part").agg(F.count("*").alias("m"))
-    split_ = counted.groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("size")).where("parts > 1 and size > 2")
-    still = placed.join(split_.select("key", "main"), "key")
-    keys = materialize(still.groupBy("node").agg(F.collect_list("key").alias("keys")), "line-keys")
-    sketches = texts.join(keys.select("node"), "node", "left_semi").select("node", "line").mapInArrow(_sketches, "node long, sketch array<long>")
-    still = materialize(still.join(keys, "node").join(sketches, "node"), "line-open")
-    across = pairs_apart(still).join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
-    across = materialize(across, "line-across")
-    return parts if across.isEmpty() else joined_parts(parts, _confirm(across, texts))
+    still = materialize(open_members(members, parts), "line-still")
+    if still.isEmpty():
+        return parts
+    lines = materialize(texts.join(still.select("node").distinct(), "node", "left_semi"), "line-open-texts")
+    still = materialize(still.join(lines.select("node", "line").mapInArrow(_sketches, "node long, sketch array<long>"), "node"), "line-open")
+    found = links_apart(still, lines.select("node", "line").mapInArrow(_sets, "node long, shingles array<int>"), 32)
+    return joined_parts(parts, _confirm(materialize(found, "line-across"), texts))
 
 
 def lines_to_drop(docs: DataFrame) -> DataFrame:

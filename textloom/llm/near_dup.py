@@ -5,11 +5,13 @@ candidates; signatures and then the full shingle sets confirm them; connected co
 
 Scale: documents with equal sets are one class from the start, so groups of copies cost one row each. In a bucket,
 members are first compared with one pivot, which the bucket's key picks among its members, so that a large group of
-near copies meets many pivots over its bands. Only members that are still in different components are then compared
-with each other, so connected groups are never expanded into pairs. A pair at the limit of similarity shares no band
-with a probability of (1 - 0.75**6)**80, about 2e-7. Six rows a band keep documents that merely share a passage out of
-each other's buckets, and a sketch inside the join's condition keeps their pairs from becoming rows; a pair at the limit
-that only this join meets is lost to the sketch with 3.3e-7.
+near copies meets many pivots over its bands: one row a member. What these links leave in different components meets
+inside its bucket (``links_apart``), where a pair becomes a row only if its full sets are a link; rows stay linear in
+the members even where a group's documents lie around the limit and aren't linked.
+
+A pair at the limit of similarity shares no band with a probability of (1 - 0.75**6)**80, about 2e-7. Six rows a band
+keep documents that merely share a passage out of each other's buckets. Signatures are asked before full sets are: a
+pair at the limit that only one bucket's pivot or only the last join meets is lost to them with 3.3e-7.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def shingle_sets(texts: pa.Array, n_words: int = WORDS) -> Iterator[np.ndarray]:
     for _, data, offsets in tb.chunks(texts):
         data = tb.LOWER[data]
         starts, ends, first = tb.words(data, offsets, tb.NOT_SPACE)
-        hashes = tb.span_hash(tb.prefix_hash(data), starts, ends)
+        hashes = tb.identity(data, starts, ends)
         runs = tb.windows(hashes, n_words)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= n_words:
@@ -96,13 +98,11 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).mean(axis=1))], ["a", "b", "agreement"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for x, y in zip(shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b")), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            found.append(100 * both >= 75 * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.bool_())], ["u", "v", "linked"])
+        sets = list(shingle_sets(batch.column("text")))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["node", "shingles"])
 
 
 def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -136,36 +136,63 @@ def sketches_agree() -> Column:
     return total <= 16 * SKETCH - LEAST_SKETCH
 
 
-def pairs_apart(still: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``still(node, key, keys, part, main, sketch)`` in one bucket, of different parts, that look alike.
+def linked(x: str, y: str, bits: int = 64) -> Column:
+    """Whether the arrays ``x`` and ``y`` of distinct shingles reach the similarity.
+
+    For shingles of ``bits`` = 32 a few more count as common than two arrays lose by equal bits; texts decide then.
+    """
+    n = F.size(x) + F.size(y)
+    slack = F.lit(0) if bits == 64 else F.floor(2 + n.cast("double") * n / 2**bits)
+    both = F.size(F.array_intersect(x, y)) + slack
+    near = 100 * F.least(F.size(x), F.size(y)) >= 75 * (F.greatest(F.size(x), F.size(y)) - slack)
+    return near & (100 * both >= 75 * (n - both))
+
+
+def open_members(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(key, node, part, keys)`` of buckets of three or more whose members are in different components.
 
-    ``keys`` are all buckets of the node; a pair that shares several is made in the least of them. One of the two is
-    outside the largest part of the bucket.
+    ``keys`` are the open buckets of a node, those of the most members first.
     """
-    least = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part"))
-    pairs = still.where("part <> main").alias("x").join(still.alias("y"), met & sketches_agree() & least)
-    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
+    still = materialize(placed.join(split.select("key", "size"), "key"), "open")
+    keys = still.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("size"), "key"))), lambda x: x["key"]).alias("keys"))
+    return still.select("key", "node", "part").join(keys, "node")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def links_apart(still: DataFrame, sets: DataFrame, bits: int = 64) -> DataFrame:
+    """Links (a, b) between the different parts of buckets: ``still(key, node, part, keys, sketch)``, ``sets(node, shingles)``.
+
+    A pair that shares several buckets belongs to the largest. First each member finds whether it has a partner at all
+    whose sketch is like its own (one row a member); the sets of those members then go into the join's condition, so
+    that only links come out of it.
+    """
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part"))
+    like = sketches_agree() & (F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == F.col("x.key"))
+    alive = still.alias("x").join(still.alias("y"), apart & like, "left_semi")
+    alive = materialize(alive.join(sets, "node"), "alive")
+    met = alive.alias("x").join(alive.alias("y"), apart & (F.col("x.node") > F.col("y.node")) & like & linked("x.shingles", "y.shingles", bits))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity."""
-    one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return joined.mapInArrow(_confirmed, "u long, v long, linked boolean").where("linked").select("u", "v")
+    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").where(linked("set_a", "set_b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``(doc_id, n_shingles, component_id, kept)``, one row per document.
 
     ``component_id`` is the smallest doc_id reachable over links of similarity 0.75 or more. A null or empty text, or
-    one of white space only, has no shingles and is linked with nothing. Repeated texts share a component. Ids are
-    taken to be unique; other columns are ignored, and an empty table gives an empty result.
+    one of white space only, has no shingles and is linked with nothing. Repeated texts share a component. A row without
+    a doc_id is linked with nothing: its component is null and it is kept. Ids are taken to be unique; other columns
+    are ignored, and an empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = docs.mapInArrow(_features, "doc_id long, n_shingles long, set_key binary, signature binary")
     features = materialize(features, "near-features")
-    full = features.where("n_shingles > 0")
+    full = features.where("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     classes = full.join(reps.select("node"), full.doc_id == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "signature")
 
@@ -181,31 +208,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("agreement", "b")).alias("b"))
     best = best.union(stars.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a")).select("a", "b")).distinct()
     best = materialize(best, "near-best")
-    parts = materialize(connected_components(_confirm(best, docs)), "near-parts")
+    wanted = members.select("node").distinct()
+    sets = materialize(docs.join(wanted, docs.doc_id == wanted.node, "left_semi").mapInArrow(_full_sets, "node long, shingles array<long>"), "near-sets")
+    parts = materialize(connected_components(_confirm(best, sets)), "near-parts")
 
     # The other pivots of members that the best one left in different components.
     one, two = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
     rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
     rest = materialize(rest.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b"), "near-rest")
     if not rest.isEmpty():
-        parts = joined_parts(parts, _confirm(rest, docs))
+        parts = joined_parts(parts, _confirm(rest, sets))
 
-    # Buckets of three or more whose members are still apart: each member outside the largest part meets all that aren't in its part.
-    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    counted = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    split = counted.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1 and size > 2")
-    still = placed.join(split.select("key", "main"), "key")
-    keys = still.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    still = open_members(members, parts)
     sketches = classes.select("node", "signature").mapInArrow(_sketch, "node long, sketch array<long>")
-    still = materialize(still.join(keys, "node").join(sketches, "node"), "near-open")
-    across = pairs_apart(still)
-    across = materialize(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"), "near-across")
-    if not across.isEmpty():
-        parts = joined_parts(parts, _confirm(across, docs))
+    still = materialize(still.join(sketches, "node"), "near-open")
+    if not still.isEmpty():
+        parts = joined_parts(parts, links_apart(still, sets).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    placed = features.join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"))
+    placed = features.join(reps, "set_key", "left").select("doc_id", F.col("n_shingles"), F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
     found = placed.join(parts, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def joined_parts(parts: DataFrame, links: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ UTF-8 bytes gives the same words as splitting code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: Spans from this many bytes on are known by a digest (see ``identity``).
+LONG_SPAN = 256
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U33, _C1, _C2 = np.uint64(33), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -72,6 +75,18 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def identity(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits by which each data[start:end] is known, the same wherever the bytes stand.
+
+    A polynomial modulo 2**64 has strings that collide by their form whatever its multiplier (Thue-Morse words, from
+    512 bytes on), so long spans are digested instead.
+    """
+    out = span_hash(prefix_hash(data), starts, ends)
+    for k in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
 def chunks(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of each row and the end) of runs of rows of about ``most`` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
