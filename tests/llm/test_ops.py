@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.llm import apart as ap
 from textloom.llm import decontaminate as dc
 from textloom.llm import language_id as li
 from textloom.llm import license_scan as ls
@@ -100,6 +101,56 @@ def test_large_group_of_near_copies(spark):
     assert {r["component_id"] for r in nd.near_duplicates(frame(spark, rows)).collect()} == {0}
 
 
+def test_near_copies_around_the_limit(spark, monkeypatch):
+    """A group in which half the pairs aren't links: equal to brute force, in small units, and no row is made for a pair."""
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(150):
+        w = list(base)
+        for k in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(60)] = f"x{i}y{k}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    sets = {i: {tuple(t.split(" ")[k : k + 5]) for k in range(56)} for i, t, *_ in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = components(list(sets), links)
+    made = {}
+
+    def counted(df, name, write=ap.materialize):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    for unit in (1024, 8):
+        made.clear()
+        monkeypatch.setattr(ap, "UNIT", unit)
+        monkeypatch.setattr(ap, "materialize", counted)
+        got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(frame(spark, rows)).collect()}
+        assert got == want and len(set(want.values())) > 20 and len(links) < 150 * 149 / 4
+        assert 0 < made["partners"] <= made["open"] * (1 if unit == 1024 else 150 / 8 + 2) and made.get("more-links", 0) < 150
+
+
+def test_words_that_collide_by_their_form_are_different(spark):
+    """Thue-Morse words have equal polynomials modulo 2**64; their texts share no shingle and their lines aren't equal."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    words = [f"q{i}" for i in range(4)]
+    rows = [(1, " ".join([*words[:3], a, words[3]]), "en", "s", 0), (2, " ".join([*words[:3], b, words[3]]), "en", "s", 0)]
+    assert [r["component_id"] for r in nd.near_duplicates(frame(spark, rows)).orderBy("doc_id").collect()] == [1, 2]
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    lines = ld.split(np.concatenate([raw[:1024], np.frombuffer(b"\n", np.uint8), raw[1024:]]), np.array([0, 2049]))
+    assert len(set(lines[4].tolist())) == 2
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    for bound in (10, 0):
+        assert [r["n_hit"] for r in dc.contamination(frame(spark, [(1, a, "", "", 0), (2, b, "", "", 0)]), bench, max_windows=bound).orderBy("doc_id").collect()] == [1, 0]
+    assert len(np.unique(ls.word_pairs(*_bytes(f"{a} z {b} z"))[0])) == 3
+
+
+def _bytes(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return raw, np.array([0, len(raw)])
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------
 
 
@@ -371,18 +422,58 @@ def test_language_id(spark):
 # --- pieces ---------------------------------------------------------------------------------------------------------
 
 
-def test_pieces_equal_the_library():
+def test_pieces_equal_the_library(monkeypatch):
     import sentencepiece
 
-    model, library = pc.Model(open(pc.DEFAULT_MODEL, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=pc.DEFAULT_MODEL)
+    arcs, library = pc.compile_model(open(pc.DEFAULT_MODEL, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=pc.DEFAULT_MODEL)
     rng = random.Random(1)
     some = [t or "" for t in texts()] + ["".join(rng.choice("aaabbee theiong ▁ \n\t01.,éß漢字🙂\u0000") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
-    for t in some:
-        ids = np.frombuffer(model.encode(t), np.int32)
-        assert ids.tolist() == library.encode(t)
-        assert model.decode(ids).decode() == t.replace("▁", " ")
-    for run in list(model.known)[:500]:
-        assert model.path(run) == model.shortest_path(run)
+    for most, slice_chars in ((pc.BLOCK_CHARS, pc.SLICE_CHARS), (3, 200)):  # runs in arrays; runs one by one, and texts in parts
+        monkeypatch.setattr(pc, "BLOCK_CHARS", most)
+        monkeypatch.setattr(pc, "SLICE_CHARS", slice_chars)
+        model = pc.Transducer(arcs)
+        ids = [np.frombuffer(i, np.int32) for i in model.encode(some)]
+        assert [i.tolist() for i in ids] == library.encode(some)
+        assert [b.decode() for b in model.decode(ids)] == [t.replace("▁", " ") for t in some]
+
+
+def test_pieces_stay_apart_as_merging_says():
+    arcs = pc.compile_model(open(pc.DEFAULT_MODEL, "rb").read())
+    model = pc.Transducer(arcs)
+    assert arcs.plain.mean() > 0.99
+    rng = np.random.default_rng(0)
+    named = np.array([bool(n) for n in arcs.names])
+    good = np.flatnonzero(arcs.stable & named)
+    a, b = rng.choice(good, 4000), rng.choice(good, 4000)
+    joined = arcs.pair_keys[rng.integers(0, len(arcs.pair_keys), 2000)]
+    a, b = np.concatenate([a, joined // len(arcs.names)]), np.concatenate([b, joined % len(arcs.names)])
+    want = [pc.merged(model.score, arcs.names[i] + arcs.names[j])[0] == [arcs.names[i], arcs.names[j]] for i, j in zip(a, b, strict=True)]
+    assert model.stay_apart(a, b).tolist() == want and 0.5 < sum(want) / 6000 < 0.7
+
+
+def test_unigram_path_is_the_best_of_all():
+    """A made vocabulary: every segmentation is enumerated."""
+    score = {"▁": -2.0, "a": -1.5, "b": -2.5, "ab": -2.0, "▁a": -2.2, "ba": -3.1, "aba": -5.5, "bb": -4.0}
+    text = lambda number, raw: bytes([number << 3 | 2, len(raw)]) + raw
+    piece = lambda p, s, kind: text(1, text(1, p.encode()) + b"\x15" + np.float32(s).tobytes() + b"\x18" + bytes([kind]))
+    proto = b"".join(piece(p, s, pc.NORMAL) for p, s in score.items()) + b"".join(piece(f"<0x{b:02X}>", 0, pc.BYTE) for b in range(256)) + text(3, b"\x20\x00")
+    arcs = pc.compile_model(proto)
+    assert not arcs.bpe
+    model = pc.Transducer(arcs)
+
+    def best(t: str) -> float:
+        cost = [0.0] + [1e18] * len(t)
+        for j in range(1, len(t) + 1):
+            cost[j] = min([cost[i] - float(np.float32(score[t[i:j]])) for i in range(j) if t[i:j] in score] + ([cost[j - 1] + 1e6] if t[j - 1] not in score else []) + [1e18])
+        return cost[-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        t = "".join(rng.choice("ab c") for _ in range(rng.randint(1, 12)))
+        ids = np.frombuffer(model.encode([t])[0], np.int32)
+        assert model.decode([ids])[0].decode() == t
+        spelled = sum(1e6 for i in ids if i >= len(score))
+        assert abs(sum(arcs.cost[i] for i in ids if i < len(score)) + spelled - best("▁" + t.replace(" ", "▁"))) < 1e-4
 
 
 def test_pieces_frame(spark):

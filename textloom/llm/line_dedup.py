@@ -4,10 +4,10 @@ Of all lines of the corpus that are alike, directly or over others, the first by
 
 Scale: a line is known by 64 bits, so equal lines are one node, and each task sends a repeated line once per batch.
 Buckets are streamed in order of their keys with constant memory. In a bucket all members are compared with one pivot,
-which differs from band to band: one row a member. Members still apart after that meet inside their bucket, and a pair
-becomes a row only if its sets of shingles reach the limit. With 24 bands of 3 minima a pair at the limit of
+which differs from band to band: one row a member. Members still apart after that meet inside their bucket, where no row
+is made for a pair (see ``apart``). With 24 bands of 3 minima a pair at the limit of
 similarity, 0.75, shares no band with a probability of (1 - 0.75**3)**24, about 1.9e-6, and one of 0.8 with 3e-8. A
-pair at 0.75 that only the last join meets is lost to its sketch with a further 3.3e-7.
+pair at 0.75 that only the last meeting compares is lost to its signature with a further 4e-9.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
-from textloom.llm.near_dup import SKETCH, halves, joined_parts, links_apart, open_members
+from textloom.llm.apart import SIGNS, joined_parts, keyed, links_apart, open_members
 from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
 
@@ -32,8 +32,8 @@ SIMILAR = 75
 _RNG = np.random.default_rng(20240911)
 _A = _RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
-_SKETCH_A = _RNG.integers(1, 1 << 32, SKETCH * 16, np.uint64).astype(np.uint32) | np.uint32(1)
-_SKETCH_B = _RNG.integers(0, 1 << 32, SKETCH * 16, np.uint64).astype(np.uint32)
+_SIGN_A = _RNG.integers(1, 1 << 32, SIGNS, np.uint64).astype(np.uint32) | np.uint32(1)
+_SIGN_B = _RNG.integers(0, 1 << 32, SIGNS, np.uint64).astype(np.uint32)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BAND_SEED = tb.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 _MARK = "__lines_to_drop"
@@ -98,6 +98,14 @@ def _new(ids: np.ndarray, sent: set[int]) -> tuple[np.ndarray, np.ndarray]:
     return ids[fresh][order], which[fresh][order]
 
 
+def _keys(low: np.ndarray) -> np.ndarray:
+    """Bucket keys (lines, bands) of minima."""
+    key = np.zeros((len(low), BANDS), np.uint64) + _BAND_SEED[None, :]
+    for k in range(ROWS):
+        key = tb.mix(key ^ low[:, k::ROWS].astype(np.uint64))
+    return keyed(key)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sent: set[int] = set()
@@ -106,10 +114,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(ids):
                 continue
             low, _ = minima([raw[a:b].decode(errors="replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], _A, _B)
-            key = np.zeros((len(ids), BANDS), np.uint64) + _BAND_SEED[None, :]
-            for k in range(ROWS):
-                key = tb.mix(key ^ low[:, k::ROWS].astype(np.uint64))
-            key = key.astype(np.int64)
+            key = _keys(low)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array((ids[:, None] ^ key).ravel())], ["key", "flipped"])
 
 
@@ -152,20 +157,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.binary())], ["node", "line"])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open lines to their numbers of shingles and signatures: 8 bits of each of SIGNS minima, and all bucket keys."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            low, _ = minima([x.decode(errors="replace") for x in part.column("line").to_pylist()], _SKETCH_A, _SKETCH_B)
-            yield pa.RecordBatch.from_arrays([part.column("node"), halves(low >> np.uint32(3))], ["node", "sketch"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            _, runs = minima([x.decode(errors="replace") for x in part.column("line").to_pylist()], _A[:0], _B[:0])
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([np.unique(r).view(np.int32) for r in runs], pa.list_(pa.int32()))], ["node", "shingles"])
+            lines = [x.decode(errors="replace") for x in part.column("line").to_pylist()]
+            low, runs = minima(lines, _SIGN_A, _SIGN_B)
+            keys = _keys(minima(lines, _A, _B)[0])
+            signs = [s.tobytes() + k.tobytes() for s, k in zip((low >> np.uint32(3)).astype(np.uint8), keys, strict=True)]
+            n = [len(np.unique(r)) for r in runs]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n, pa.int32()), pa.array(signs, pa.binary())], ["node", "n", "sign"])
 
 
 def shingles(line: str) -> set[str]:
@@ -177,6 +179,10 @@ def lower(line: str) -> str:
     return line.translate(_LOWER)
 
 
+def line_set(line: bytes) -> set[str]:
+    return shingles(lower(line.decode(errors="replace")))
+
+
 def alike(a: str, b: str, x: set[str] | None = None, y: set[str] | None = None) -> bool:
     """Whether two lowered lines reach the similarity; their shingles may be given."""
     x, y = x or shingles(a), y or shingles(b)
@@ -231,13 +237,12 @@ def line_components(docs: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         parts = joined_parts(parts, _confirm(rest, texts))
 
-    still = materialize(open_members(members, parts), "line-still")
+    still = open_members(members, parts)
     if still.isEmpty():
         return parts
     lines = materialize(texts.join(still.select("node").distinct(), "node", "left_semi"), "line-open-texts")
-    still = materialize(still.join(lines.select("node", "line").mapInArrow(_sketches, "node long, sketch array<long>"), "node"), "line-open")
-    found = links_apart(still, lines.select("node", "line").mapInArrow(_sets, "node long, shingles array<int>"), 32)
-    return joined_parts(parts, _confirm(materialize(found, "line-across"), texts))
+    signs = materialize(lines.select("node", "line").mapInArrow(_signs, "node long, n int, sign binary"), "line-signs")
+    return joined_parts(parts, links_apart(still, signs, lines.select("node", F.col("line").alias("full")), line_set, SIGNS, BANDS))
 
 
 def lines_to_drop(docs: DataFrame) -> DataFrame:

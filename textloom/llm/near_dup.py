@@ -6,12 +6,13 @@ candidates; signatures and then the full shingle sets confirm them; connected co
 Scale: documents with equal sets are one class from the start, so groups of copies cost one row each. In a bucket,
 members are first compared with one pivot, which the bucket's key picks among its members, so that a large group of
 near copies meets many pivots over its bands: one row a member. What these links leave in different components meets
-inside its bucket (``links_apart``), where a pair becomes a row only if its full sets are a link; rows stay linear in
-the members even where a group's documents lie around the limit and aren't linked.
+inside its bucket (see ``apart``), where no row is made for a pair: rows stay linear in the members even where a
+group's documents lie around the limit and aren't linked. Such a bucket of m members that no link joins takes m * m / 2
+comparisons of signatures, in units of bounded size.
 
 A pair at the limit of similarity shares no band with a probability of (1 - 0.75**6)**80, about 2e-7. Six rows a band
-keep documents that merely share a passage out of each other's buckets. Signatures are asked before full sets are: a
-pair at the limit that only one bucket's pivot or only the last join meets is lost to them with 3.3e-7.
+keep documents that merely share a passage out of each other's buckets. Signatures are asked before full sets are: they
+lose a pair at the limit with 4e-9 (six deviations).
 """
 
 from __future__ import annotations
@@ -20,20 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
+from textloom.llm.apart import LEAST_AGREEMENT, joined_parts, keyed, links_apart, open_members
 from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
 
 WORDS = 5
 BANDS, ROWS = 80, 6
-#: Signatures that agree less than this can't belong to a pair of 0.75 (six standard deviations below).
-LEAST_AGREEMENT = 0.63
-#: Of the SKETCH * 16 half-bytes of a sketch, a pair of 0.75 shares about 367; fewer than this is five deviations below.
-SKETCH, LEAST_SKETCH = 30, 320
-
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)[:, None]
@@ -87,7 +84,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in range(0, batch.num_rows, 1024):
             some = batch.slice(part, 1024)
             rows = np.frombuffer(b"".join(some.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
-            keys = tb.mix((rows * _PLACES).sum(axis=2, dtype=np.uint64) ^ _BAND_SEED[None, :]).astype(np.int64)
+            keys = keyed(tb.mix((rows * _PLACES).sum(axis=2, dtype=np.uint64) ^ _BAND_SEED[None, :]))
             node = np.repeat(some.column("node").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["key", "node"])
 
@@ -102,7 +99,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(shingle_sets(batch.column("text")))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["node", "full"])
 
 
 def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -112,73 +109,12 @@ def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement, "a long, b long, agreement double").where(F.col("agreement") >= LEAST_AGREEMENT)
 
 
-def halves(minima: np.ndarray) -> pa.Array:
-    """Sketches from SKETCH * 16 minima a row: the low half-byte of each, in 64-bit numbers."""
-    low = minima.astype(np.uint8)
-    packed = np.ascontiguousarray((low[:, 0::2] & 15) | (low[:, 1::2] << 4)).view(np.int64)
-    return pa.array(list(packed), pa.list_(pa.int64()))
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        low = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), halves(low[:, : SKETCH * 16])], ["node", "sketch"])
-
-
-def sketches_agree() -> Column:
-    """Whether the sketches of ``x`` and ``y`` share enough half-bytes."""
-    total = F.lit(0)
-    for k in range(SKETCH):
-        z = F.get("x.sketch", F.lit(k)).bitwiseXOR(F.get("y.sketch", F.lit(k)))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(z)
-    return total <= 16 * SKETCH - LEAST_SKETCH
-
-
-def linked(x: str, y: str, bits: int = 64) -> Column:
-    """Whether the arrays ``x`` and ``y`` of distinct shingles reach the similarity.
-
-    For shingles of ``bits`` = 32 a few more count as common than two arrays lose by equal bits; texts decide then.
-    """
-    n = F.size(x) + F.size(y)
-    slack = F.lit(0) if bits == 64 else F.floor(2 + n.cast("double") * n / 2**bits)
-    both = F.size(F.array_intersect(x, y)) + slack
-    near = 100 * F.least(F.size(x), F.size(y)) >= 75 * (F.greatest(F.size(x), F.size(y)) - slack)
-    return near & (100 * both >= 75 * (n - both))
-
-
-def open_members(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """``(key, node, part, keys)`` of buckets of three or more whose members are in different components.
-
-    ``keys`` are the open buckets of a node, those of the most members first.
-    """
-    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
-    still = materialize(placed.join(split.select("key", "size"), "key"), "open")
-    keys = still.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("size"), "key"))), lambda x: x["key"]).alias("keys"))
-    return still.select("key", "node", "part").join(keys, "node")
-
-
-def links_apart(still: DataFrame, sets: DataFrame, bits: int = 64) -> DataFrame:
-    """Links (a, b) between the different parts of buckets: ``still(key, node, part, keys, sketch)``, ``sets(node, shingles)``.
-
-    A pair that shares several buckets belongs to the largest. First each member finds whether it has a partner at all
-    whose sketch is like its own (one row a member); the sets of those members then go into the join's condition, so
-    that only links come out of it.
-    """
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part"))
-    like = sketches_agree() & (F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == F.col("x.key"))
-    alive = still.alias("x").join(still.alias("y"), apart & like, "left_semi")
-    alive = materialize(alive.join(sets, "node"), "alive")
-    met = alive.alias("x").join(alive.alias("y"), apart & (F.col("x.node") > F.col("y.node")) & like & linked("x.shingles", "y.shingles", bits))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity."""
-    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(linked("set_a", "set_b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    one, two = (sets.select(F.col("node").alias(x), F.col("full").alias(f"set_{x}")) for x in "ab")
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b")
+    both = joined.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    return both.where("100 * both >= 75 * (n - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,7 +145,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = best.union(stars.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a")).select("a", "b")).distinct()
     best = materialize(best, "near-best")
     wanted = members.select("node").distinct()
-    sets = materialize(docs.join(wanted, docs.doc_id == wanted.node, "left_semi").mapInArrow(_full_sets, "node long, shingles array<long>"), "near-sets")
+    sets = materialize(docs.join(wanted, docs.doc_id == wanted.node, "left_semi").mapInArrow(_full_sets, "node long, full array<long>"), "near-sets")
     parts = materialize(connected_components(_confirm(best, sets)), "near-parts")
 
     # The other pivots of members that the best one left in different components.
@@ -220,25 +156,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         parts = joined_parts(parts, _confirm(rest, sets))
 
     still = open_members(members, parts)
-    sketches = classes.select("node", "signature").mapInArrow(_sketch, "node long, sketch array<long>")
-    still = materialize(still.join(sketches, "node"), "near-open")
     if not still.isEmpty():
-        parts = joined_parts(parts, links_apart(still, sets).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        signs = classes.select("node", F.col("n_shingles").alias("n"), F.col("signature").alias("sign"))
+        parts = joined_parts(parts, links_apart(still, signs, sets, set, 0, BANDS))
 
-    placed = features.join(reps, "set_key", "left").select("doc_id", F.col("n_shingles"), F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
+    placed = features.join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
     found = placed.join(parts, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def joined_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links; those found before stand in for the links that they came from."""
-    links = materialize(links, "more-links")
-    if links.isEmpty():
-        return parts
-    edges = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)
-    return materialize(connected_components(edges), "parts")
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their group; rows without a doc_id stay."""
     gone = near_duplicates(docs.where("doc_id is not null")).where("not kept").select(F.col("doc_id").alias("__gone"))
