@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import registry
+from textloom.functions import distributions as di
 from textloom.functions import pages as pg
+from textloom.operators import agreement as ag
 from textloom.operators import components as cm
 from textloom.operators import corpus as cp
 from textloom.operators import graph as gr
@@ -286,3 +288,90 @@ def test_loops_raise_before_the_fixed_point(spark):
     for unfinished in (lambda: gr.closure(up, most=7), lambda: gr.topological_levels(chain, 8), lambda: gr.k_core(chain, 2, 2), lambda: gr.strongly_connected(loops, 1)):
         with pytest.raises(RuntimeError):
             unfinished()
+
+
+def test_ranks_and_totals_over_many_rows(spark, tmp_path):
+    """Three million rows in their own order of files: ranges are dealt once, so no rank is missing or twice there."""
+    n = 3_000_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), (F.col("id") % 10).alias("v"))
+    rows.repartition(12).write.parquet(str(tmp_path / "in"))
+    read = spark.read.parquet(str(tmp_path / "in"))
+    tb.global_rank(read, [F.col("k")], "rank").write.parquet(str(tmp_path / "ranks"))
+    got = spark.read.parquet(str(tmp_path / "ranks"))
+    assert got.agg(F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.count_if(F.col("rank") != F.col("k") + 1)).first() == (n, n, 1, n, 0)
+    sq.running_total(read, "k", "v", "upto").write.parquet(str(tmp_path / "totals"))
+    upto = spark.read.parquet(str(tmp_path / "totals"))
+    assert upto.agg(F.max("upto"), F.count_if(F.col("upto") < 0)).first() == (n // 10 * 45, 0)
+    want = rows.where("k < 1000").toPandas().sort_values("k")["v"].cumsum().tolist()
+    assert [r["upto"] for r in upto.where("k < 1000").orderBy("k").collect()] == want
+
+
+def test_quantiles_of_groups_and_medians(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([1.0, 2.0, 5.5, rng.random(), None, math.nan])) for g in [1] * 400 + [2] * 3 + [None] * 6 for _ in range(1)] + [(3, None)]
+    got = {r["g"]: (r["q25"], r["q50"]) for r in tb.hazen_quantiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", [0.25, 0.5]).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        x = sorted(v for h, v in rows if h == g and v is not None and not math.isnan(v))
+        at = lambda p: min(max(len(x) * p + 0.5, 1), len(x))  # noqa: E731, B023
+        if x:
+            want[g] = tuple(x[int(at(p)) - 1] * (1 - at(p) % 1) + (x[int(at(p))] * (at(p) % 1) if at(p) % 1 else 0) for p in (0.25, 0.5))
+    assert set(got) == set(want) and all(abs(a - b) < 1e-12 for g in got for a, b in zip(got[g], want[g], strict=True))
+    one = tb.describe(spark.createDataFrame([(3.0,), (1.0,), (None,), (2.5,), (8.0,)], "v double"), "v").first()
+    assert one["median"] == 2.75 and one["nnz"] == 4
+    assert tb.describe(spark.createDataFrame([], "v double"), "v").first()["median"] is None
+
+
+def test_tail_probabilities():
+    """Against integrals of the densities by Simpson's rule."""
+
+    def area(f, a, b, n=4000):
+        h = (b - a) / n
+        return h / 3 * sum((1 if k in (0, n) else 4 if k % 2 else 2) * f(a + k * h) for k in range(n + 1))
+
+    for df in (1.5, 4, 30, 400):
+        c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        for t in (0.2, 1.7, 3.1):
+            inside = 2 * area(lambda x: c * (1 + x * x / df) ** (-(df + 1) / 2), 0, t)  # noqa: B023
+            assert abs(di.beta_share(df / (df + t * t), df / 2, 0.5) - (1 - inside)) < 1e-9
+    for df in (2, 5, 60):
+        c = 1 / (2 ** (df / 2) * math.gamma(df / 2))
+        for x in (0.7, 4.0, 70.0):
+            below = area(lambda y: c * y ** (df / 2 - 1) * math.exp(-y / 2), 0, x)  # noqa: B023
+            assert abs(di.gamma_tail(df / 2, x / 2) - (1 - below)) < 1e-5
+
+
+def test_p_values_of_small_tables(spark):
+    rows = spark.createDataFrame([("a", 5.1), ("a", 4.9), ("a", 6.2), ("a", 5.8), ("b", 6.5), ("b", 7.1), ("b", 6.9), ("b", 8.0), (None, None)], "g string, v double")
+    got = {r["test"]: r for r in st.t_tests(rows, "g", "a", "b", "v", 6.0).collect()}
+    f = st.anova1(rows, "g", "v").first()
+    assert abs(got["pooled"]["t"] ** 2 - f["f"]) < 1e-9 and abs(got["pooled"]["p"] - f["p"]) < 1e-9  # two groups: F is t squared
+    assert got["one sample"]["df"] == 7 and 0 < got["one sample"]["p"] < 1 and abs(got["welch"]["t"] - got["pooled"]["t"]) < 1e-9
+    pairs = spark.createDataFrame([(float(i), 2.0 * i + (i % 3)) for i in range(12)] + [(None, 1.0)], "x double, y double")
+    r = st.correlation_test(pairs, "x", "y").first()
+    assert r["n"] == 12 and r["r"] > 0.99 and r["p"] < 1e-9
+    cells = spark.createDataFrame([("x", "1")] * 8 + [("x", "2")] * 2 + [("y", "2")] * 9 + [("z", "1")] * 3 + [(None, "1")], "a string, b string")
+    want, n = 0.0, 22
+    for a, na in (("x", 10), ("y", 9), ("z", 3)):
+        for b, nb in (("1", 11), ("2", 11)):
+            e = na * nb / n
+            want += ({("x", "1"): 8, ("x", "2"): 2, ("y", "2"): 9, ("z", "1"): 3}.get((a, b), 0) - e) ** 2 / e
+    c = st.chi2(cells, "a", "b").first()
+    assert abs(c["chi2"] - want) < 1e-9 and c["df"] == 2 and abs(c["p"] - math.exp(-want / 2)) < 1e-9
+
+
+def test_spans_are_matched_in_order(spark):
+    rng = random.Random(6)
+    data = {s: ([sorted(rng.sample(range(8), 3)) for _ in range(rng.randint(0, 4))], [sorted(rng.sample(range(8), 2)) for _ in range(rng.randint(0, 4))], set(rng.sample(range(8), 3))) for s in range(60)}
+    right = wrong = 0
+    for system, gold, verbs in data.values():
+        used = set()
+        for p in system:
+            hit = next((k for k, g in enumerate(gold) if k not in used and len({*p} & {*g}) >= 2 and {*p} & {*g} & verbs), None)
+            right, wrong = right + (hit is not None), wrong + (hit is None)
+            used.add(hit)
+    frame = lambda k: spark.createDataFrame([(s, o, m) for s, x in data.items() for o, m in enumerate(x[k])], "sid long, ord int, members array<int>")
+    verbs = spark.createDataFrame([(s, i) for s, x in data.items() for i in x[2]], "sid long, i int")
+    got = ag.match_spans(frame(0), frame(1), verbs).first()
+    assert tuple(got) == (right, wrong, sum(len(x[1]) for x in data.values())) and right > 10
+    assert tuple(ag.match_spans(frame(0).limit(0), frame(1).limit(0), verbs).first()) == (0, 0, 0)

@@ -23,10 +23,10 @@ def sql():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 3) + 0.0
+        return None if math.isnan(v) else float(f"{v:.9g}") + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
-    return round(float(v), 3) if hasattr(v, "as_tuple") else v
+    return float(f"{float(v):.9g}") if hasattr(v, "as_tuple") else v
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracles()))

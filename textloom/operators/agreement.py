@@ -35,6 +35,52 @@ def scores(a: DataFrame, b: DataFrame, content: Sequence[str]) -> DataFrame:
     )
 
 
+def full_scores(a: DataFrame, b: DataFrame, content: Sequence[str], functional: Sequence[str]) -> DataFrame:
+    """All scores of ``b`` against ``a`` in percent: tags, features, lemmas, UAS, LAS, and over content words CLAS, MLAS and BLEX.
+
+    Both have ``(sid, i, head, rel, tag, xpos, feats, lemma)``. MLAS also wants the functional words below a word to agree.
+    """
+    base = lambda df: df.withColumn("rel", F.substring_index("rel", ":", 1))
+    a, b = base(a), base(b)
+    fields = ["head", "rel", "tag", "xpos", "feats", "lemma"]
+    below = lambda df, name: df.where(F.col("rel").isin(*functional)).groupBy("sid", F.col("head").alias("i")).agg(F.array_sort(F.collect_list(F.struct("rel", "tag", "feats"))).alias(name))
+    both = a.select("sid", "i", *fields).join(b.select("sid", "i", *(F.col(c).alias(f"{c}_b") for c in fields)), ["sid", "i"])
+    both = both.join(below(a, "kids"), ["sid", "i"], "left").join(below(b, "kids_b"), ["sid", "i"], "left")
+    same = {c: F.col(c) == F.col(f"{c}_b") for c in fields}
+    las, gold, system = same["head"] & same["rel"], F.col("rel").isin(*content), F.col("rel_b").isin(*content)
+    pct = lambda hit: F.round(100.0 * F.count_if(hit) / F.count("*"), 4)
+    f1 = lambda hit: F.round(200.0 * F.count_if(las & gold & hit) / (F.count_if(gold) + F.count_if(system)), 4)
+    return both.agg(
+        F.count("*").alias("words"), pct(same["tag"]).alias("upos"), pct(same["xpos"]).alias("xpos"), pct(same["feats"]).alias("ufeats"), pct(same["tag"] & same["xpos"] & same["feats"]).alias("alltags"), pct(same["lemma"]).alias("lemmas"),
+        pct(same["head"]).alias("uas"), pct(las).alias("las"), f1(F.lit(True)).alias("clas"), f1(same["tag"] & same["feats"] & F.col("kids").eqNullSafe(F.col("kids_b"))).alias("mlas"), f1(same["lemma"]).alias("blex"),
+    )
+
+
+def match_spans(system: DataFrame, gold: DataFrame, verbs: DataFrame) -> DataFrame:
+    """``(right, wrong, gold)`` of groups of words ``(sid, ord, members)``: a group is right if it shares two words, a verb
+    ``(sid, i)`` among them, with a gold group that no earlier one took. Groups go in order; a sentence is one step."""
+    parts = lambda df, name: df.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "members"))), lambda x: x["members"]).alias(name))
+    sentences = parts(system, "s").join(parts(gold, "g"), "sid", "full_outer").join(verbs.groupBy("sid").agg(F.collect_set("i").alias("v")), "sid", "left")
+
+    def judge(batches):
+        import pandas as pd
+
+        for rows in batches:
+            right = wrong = held = 0
+            for s, g, v in zip(rows["s"], rows["g"], rows["v"], strict=True):
+                verbs_, left = set(v) if v is not None else set(), [set(x) for x in g] if g is not None else []
+                held += len(left)
+                for own in s if s is not None else ():
+                    hit = next((k for k, x in enumerate(left) if len(x & {*own}) >= 2 and x & {*own} & verbs_), None)
+                    right, wrong = right + (hit is not None), wrong + (hit is None)
+                    if hit is not None:
+                        left[hit] = set()
+            yield pd.DataFrame({"right": [right], "wrong": [wrong], "gold": [held]})
+
+    found = sentences.select("s", "g", "v").mapInPandas(judge, "right long, wrong long, gold long")
+    return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("right", "wrong", "gold")))
+
+
 def tree_judge(tokens: DataFrame) -> DataFrame:
     """Sentences with something wrong: not one root, or a head outside."""
     per = tokens.groupBy("sid").agg(F.count("*").alias("n"), F.count_if(F.col("head") == 0).alias("roots"), F.max("head").alias("most"), F.min("head").alias("least"))
@@ -71,19 +117,29 @@ def precision_recall(gold: DataFrame, system: DataFrame, key: str) -> DataFrame:
     return both.agg(F.coalesce(hit, F.lit(0)).alias("hit"), F.sum("g").alias("gold"), F.sum("s").alias("system")).select("hit", F.round(F.col("hit") / F.col("system"), 6).alias("precision"), F.round(F.col("hit") / F.col("gold"), 6).alias("recall"))
 
 
+def poisson_weight(*of: str | Column) -> Column:
+    """A Poisson number of mean 1, drawn from a hash (the chance of more than 8 is 1e-6)."""
+    u = F.pmod(F.xxhash64(*of), F.lit(1 << 40)) / float(1 << 40)
+    weight, total, p = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 9):
+        total += p
+        weight = weight + (u >= total).cast("int")
+        p /= k
+    return weight
+
+
+def shifted(gold: DataFrame, key: str, places: int, size: int) -> DataFrame:
+    """Control for rules: the gold of the item ``places`` later (items are 0 to ``size`` - 1, in a ring)."""
+    return gold.withColumn(key, F.pmod(F.col(key) - places, F.lit(size)))
+
+
 def paired_bootstrap(differences: DataFrame, item: str, value: str, replicates: int, salt: int = 1) -> DataFrame:
     """Mean and 95 per cent interval of a mean difference over resampled items.
 
     Every item has a Poisson weight in each replicate, drawn from a hash of both, so a replicate is one sum.
     """
     each = differences.select(item, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    u = F.pmod(F.xxhash64(item, "rep", F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
-    weight, total = F.lit(0), 0.0
-    p = 0.36787944117144233
-    for k in range(1, 9):
-        total += p
-        weight = weight + (u >= total).cast("int")
-        p /= k
+    weight = poisson_weight(item, "rep", F.lit(salt))
     per = each.select("rep", value, weight.alias("w")).groupBy("rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
     ranked = per.withColumn("r", F.row_number().over(Window.orderBy("mean")) - 1)  # one row a replicate
     low, high = int(0.025 * replicates), -(-975 * replicates // 1000) - 1
@@ -126,8 +182,7 @@ def coref_scores(mentions: DataFrame) -> DataFrame:
 def select_candidate(gains: DataFrame, replicates: int = 200) -> DataFrame:
     """Candidates ``(candidate, item, held, gain)`` with mean gains on both parts and a bootstrap share at or below 0;
     ``chosen`` marks the best on the open part of those with a held-out gain of 0 or more and a share under 0.05."""
-    u = F.pmod(F.xxhash64("item", "rep"), F.lit(1 << 40)) / float(1 << 40)
-    weight = (u >= 0.36787944).cast("int") + (u >= 0.73575888).cast("int") + (u >= 0.91969860).cast("int") + (u >= 0.98101184).cast("int")
+    weight = poisson_weight("item", "rep")
     open_part = gains.where("not held")
     means = gains.groupBy("candidate").agg(F.avg(F.when(~F.col("held"), F.col("gain"))).alias("dev"), F.avg(F.when(F.col("held"), F.col("gain"))).alias("held_gain"))
     per = open_part.groupBy("candidate", "item").agg(F.sum("gain").alias("gain"))

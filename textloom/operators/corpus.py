@@ -108,6 +108,19 @@ def near_duplicate_words(docs: DataFrame, share: float = 0.8) -> DataFrame:
     return judged.where((F.col("both") == F.col("union")) | ((F.col("least") >= 4) & (F.col("both") >= share * F.col("union")))).select("a", "b", F.col("both").cast("long").alias("both"), F.col("union").cast("long").alias("union"))
 
 
+def ability_table(uses: DataFrame, least: int = 2, top: int = 6) -> DataFrame:
+    """``uses(relation, head, action)`` to ``(name, n, words)``: an action with the heads that it is a top action of.
+
+    A (relation, action, head) counts from ``least`` times on; a head keeps its ``top`` most frequent actions (the least
+    of equals), and an action stays with ``least`` heads. ``words`` are the heads in order.
+    """
+    counted = uses.dropna().groupBy("relation", "action", "head").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    w = Window.partitionBy("relation", "head").orderBy(F.desc("n"), "action")
+    best = counted.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top)
+    per = best.groupBy("relation", "action").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("head")), " ").alias("words"))
+    return per.where(F.col("n") >= least).select(F.concat_ws("_", "relation", "action").alias("name"), "n", "words")
+
+
 def companions(units: DataFrame, top: int = 5) -> DataFrame:
     """``(doc_id, word)`` to the words that share most units with each word, ``top`` of them."""
     u = units.distinct()

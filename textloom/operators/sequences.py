@@ -9,27 +9,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.tables import ranged
 
-def running_total(df: DataFrame, order: str, value: str, name: str, partitions: int = 32) -> DataFrame:
+
+def running_total(df: DataFrame, order: str, value: str, name: str, partitions: int | None = None) -> DataFrame:
     """Running sum over everything in two passes: within ranges of the order, then the totals of the ranges before."""
-    ranged = df.repartitionByRange(partitions, order).withColumn("__part", F.spark_partition_id())
+    rows = ranged(df, [F.col(order)], partitions)
     local = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    sizes = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    before = sizes.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__before"))
-    out = ranged.withColumn("__local", F.sum(value).over(local)).join(F.broadcast(before), "__part")
-    return out.withColumn(name, F.col("__local") + F.col("__before")).drop("__part", "__local", "__before")
+    sizes = rows.groupBy("__part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__sum"))
+    before = sizes.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__before"))  # one row a range
+    out = rows.withColumn("__local", F.sum(value).over(local)).join(F.broadcast(before), "__part")
+    return out.withColumn(name, F.coalesce("__local", F.lit(0)) + F.col("__before")).drop("__part", "__local", "__before")
 
 
 def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Running sum and product and the first two differences. The product keeps its sign and its zeros."""
+    """Running sum and product and the first two differences. Missing values are passed over."""
     w = Window.partitionBy(*keys).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value)
-    size = F.exp(F.sum(F.when(v != 0, F.ln(F.abs(v)))).over(run))
-    sign = F.when(F.sum((v < 0).cast("int")).over(run) % 2 == 1, -1.0).otherwise(1.0)
-    product = F.when(F.max((v == 0).cast("int")).over(run) == 1, 0.0).otherwise(sign * size)
     diff = v - F.lag(value).over(w)
-    return df.withColumns({"cumsum": F.sum(value).over(run), "cumprod": product, "diff1": diff, "diff2": v - 2 * F.lag(value, 1).over(w) + F.lag(value, 2).over(w)})
+    return df.withColumns({"cumsum": F.sum(value).over(run), "cumprod": F.product(v).over(run), "diff1": diff, "diff2": v - 2 * F.lag(value, 1).over(w) + F.lag(value, 2).over(w)})
 
 
 def moving(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int) -> DataFrame:

@@ -8,23 +8,66 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import distributions as ds
+from textloom.operators.tables import same_keys
+
+
+def t_tests(df: DataFrame, group: str, a: str, b: str, value: str, mean: float = 0.0) -> DataFrame:
+    """``(test, t, df, p)``: one sample against ``mean`` (all rows), two groups with a pooled variance, and Welch's."""
+    of = lambda f, g: f(F.when(F.col(group) == g, F.col(value)))
+    pairs = [(n, f) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
+    m = df.agg(*(of(f, g).alias(f"{n}{k}") for k, g in (("a", a), ("b", b)) for n, f in pairs), *(f(F.col(value)).alias(f"{n}o") for n, f in pairs))
+    gap, va, vb = F.col("ma") - F.col("mb"), F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
+    freedom = F.col("na") + F.col("nb") - 2
+    shared = ((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / freedom
+    rows = [
+        ("one sample", (F.col("mo") - mean) / F.sqrt(F.col("vo") / F.col("no")), F.col("no") - 1),
+        ("pooled", gap / F.sqrt(shared * (1 / F.col("na") + 1 / F.col("nb"))), freedom),
+        ("welch", gap / F.sqrt(va + vb), (va + vb) ** 2 / (va**2 / (F.col("na") - 1) + vb**2 / (F.col("nb") - 1))),
+    ]
+    out = m.select(F.explode(F.array(*(F.struct(F.lit(n).alias("test"), t.alias("t"), d.cast("double").alias("df")) for n, t, d in rows))).alias("r")).select("r.*")
+    return out.withColumn("p", ds.t_p(F.col("t"), F.col("df")))
+
 
 def welch(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
     """Welch's t and degrees of freedom between two groups."""
-    of = lambda f, g: f(F.when(F.col(group) == g, F.col(value)))
-    m = df.where(F.col(group).isin(a, b)).agg(*(of(f, g).alias(f"{n}{g}") for g in (a, b) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
-    va, vb = F.col(f"v{a}") / F.col(f"n{a}"), F.col(f"v{b}") / F.col(f"n{b}")
-    return m.select(((F.col(f"m{a}") - F.col(f"m{b}")) / F.sqrt(va + vb)).alias("t"), ((va + vb) ** 2 / (va**2 / (F.col(f"n{a}") - 1) + vb**2 / (F.col(f"n{b}") - 1))).alias("df"))
+    return t_tests(df, group, a, b, value).where("test = 'welch'").select("t", "df")
 
 
-def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-squared of independence from the cross table."""
+def anova1(df: DataFrame, group: str, value: str) -> DataFrame:
+    """One-way analysis of variance: one row ``(f, df_between, df_within, p)``."""
+    per = df.dropna(subset=[group, value]).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value) * (F.count("*") - 1), F.lit(0.0)).alias("ss"))
+    whole = per.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))  # one row
+    sums = per.join(F.broadcast(whole)).agg(F.sum(F.col("n") * (F.col("m") - F.col("grand")) ** 2).alias("between"), F.sum("ss").alias("within"), (F.count("*") - 1).alias("d1"), (F.sum("n") - F.count("*")).alias("d2"))
+    f = (F.col("between") / F.col("d1")) / (F.col("within") / F.col("d2"))
+    return sums.select(f.alias("f"), F.col("d1").alias("df_between"), F.col("d2").alias("df_within"), ds.f_p(f, F.col("d1"), F.col("d2")).alias("p"))
+
+
+def correlation_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson's r with its t test: one row ``(r, n, t, df, p)``."""
+    one = df.dropna(subset=[x, y]).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    freedom = (F.col("n") - 2).cast("double")
+    t = F.col("r") * F.sqrt(freedom / (1 - F.col("r") ** 2))
+    return one.select("r", "n", t.alias("t"), freedom.alias("df"), ds.t_p(t, freedom).alias("p"))
+
+
+def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Cells that have rows: ``(a, b, n, expected)``."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
     rows, columns, total = cells.groupBy(a).agg(F.sum("n").alias("na")), cells.groupBy(b).agg(F.sum("n").alias("nb")), cells.agg(F.sum("n").alias("total"))
-    grid = rows.crossJoin(columns).join(cells, [a, b], "left").join(F.broadcast(total))  # the cells of the cross table
-    expected = F.col("na") * F.col("nb") / F.col("total")
-    gone = F.coalesce("n", F.lit(0)) - expected
-    return grid.agg(F.sum(gone**2 / expected).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+    joined = same_keys(same_keys(cells, rows, [a]), columns, [b]).join(F.broadcast(total))  # one row
+    return joined.select(a, b, "n", (F.col("na") * F.col("nb") / F.col("total")).alias("expected"))
+
+
+def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Chi-squared of independence, one row ``(chi2, df, p)``; rows with a missing value don't count.
+
+    Empty cells add their expected counts, and all expected counts add up to n: only cells with rows are met.
+    """
+    cells = crosstab(df.dropna(subset=[a, b]), a, b)
+    x = F.sum(F.col("n") ** 2 / F.col("expected")) - F.sum("n")
+    out = cells.agg(x.alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+    return out.withColumn("p", ds.chi2_p(F.col("chi2"), F.col("df")))
 
 
 def linear_model(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:

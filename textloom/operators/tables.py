@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.plans.materialize import materialize
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN means missing: it never matches in a join and no aggregate counts it."""
@@ -86,14 +88,42 @@ def sort_rows(df: DataFrame, keys: Sequence[tuple[str, bool]], position: str) ->
     return df.orderBy(*order, F.col(position))
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str, partitions: int = 32) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """The rows dealt into ranges of ``order``, with the number of their range in ``__part``.
+
+    The rows are written once: the bounds of ranges are sampled, so a second reading could deal them otherwise.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], name: str, partitions: int | None = None) -> DataFrame:
     """``row_number`` over everything without a single task: rows are ranged, ranked within a range, and offset."""
-    ranged = df.repartitionByRange(partitions, *order).withColumn("__part", F.spark_partition_id())
+    rows = ranged(df, order, partitions)
     local = Window.partitionBy("__part").orderBy(*order)
-    ranked = ranged.withColumn("__rank", F.row_number().over(local))
-    sizes = ranked.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return ranked.join(F.broadcast(before), "__part").withColumn(name, F.col("__rank") + F.col("__before")).drop("__part", "__rank", "__before")
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a range
+    ranked = rows.withColumn("__rank", F.row_number().over(local)).join(F.broadcast(before), "__part")
+    return ranked.withColumn(name, F.col("__rank") + F.col("__before")).drop("__part", "__rank", "__before")
+
+
+def ranked_in_groups(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``df`` with the rank ``__r`` of each row by ``value`` within its keys and the size ``__n`` of the group.
+
+    A group may be most of the rows: it is ranked over ranges, not in one task.
+    """
+    ranked = global_rank(df, [*(F.col(k) for k in keys), F.col(value)], "__global")
+    ranked = materialize(ranked, "ranked")
+    sizes = ranked.groupBy(*keys).agg(F.min("__global").alias("__first"), F.count("*").alias("__n"))
+    joined = same_keys(ranked, sizes, keys) if keys else ranked.join(F.broadcast(sizes))  # one row
+    return joined.withColumn("__r", F.col("__global") - F.col("__first") + 1).drop("__global", "__first")
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join in which missing keys are equal; the keys of ``right`` go."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(other, met).drop(*(f"__right_{k}" for k in keys))
 
 
 def unique_values(df: DataFrame, value: str, position: str) -> DataFrame:
@@ -103,11 +133,19 @@ def unique_values(df: DataFrame, value: str, position: str) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """Median, deviation and variance (sample and population), any, all and how many are not zero."""
-    c = F.col(column)
-    return nan_to_null(df).agg(
-        F.median(c).alias("median"), F.stddev_samp(c).alias("std"), F.var_samp(c).alias("var"), F.var_pop(c).alias("var_pop"), F.bool_or(c != 0).alias("any"), F.bool_and(c != 0).alias("all"), F.count_if(c != 0).alias("nnz")
-    )
+    """Median, deviation and variance (sample and population), any, all and how many are not zero; one row."""
+    c, df = F.col(column), nan_to_null(df)
+    moments = df.agg(F.stddev_samp(c).alias("std"), F.var_samp(c).alias("var"), F.var_pop(c).alias("var_pop"), F.bool_or(c != 0).alias("any"), F.bool_and(c != 0).alias("all"), F.count_if(c != 0).alias("nnz"))
+    return medians(df, [column]).select(F.col(column).alias("median")).crossJoin(moments)
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: the median of each column by rank over ranges, so that no task holds a column."""
+    out = df.limit(0).agg(F.lit(1).alias("__one"))
+    for c in columns:
+        found = hazen_quantiles(df, [], c, [0.5]).agg(F.max("q50").alias(c))  # a row even of nothing
+        out = out.crossJoin(found)
+    return out.drop("__one")
 
 
 def summarize(df: DataFrame) -> DataFrame:
@@ -124,19 +162,22 @@ def summarize(df: DataFrame) -> DataFrame:
                 F.lit("number" if number else "text" if text else f.dataType.simpleString()).alias("kind"),
                 F.count_if(c.isNull()).alias("missing"),
                 (F.min(c).cast("double") if number else F.lit(None).cast("double")).alias("least"),
-                (F.median(c).cast("double") if number else F.lit(None).cast("double")).alias("median"),
                 (F.max(c).cast("double") if number else F.lit(None).cast("double")).alias("most"),
                 (F.count_distinct(c) if text else F.lit(None).cast("long")).alias("distinct_values"),
             ).alias(f"__{f.name}")
         )
     wide = df.agg(*parts)
-    return wide.select(F.explode(F.array(*(F.col(c) for c in wide.columns))).alias("s")).select("s.*")
+    rows = wide.select(F.explode(F.array(*(F.col(c) for c in wide.columns))).alias("s")).select("s.*")
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    middle = medians(df, numbers)
+    named = F.create_map(*(x for c in numbers for x in (F.lit(c), F.col(c)))) if numbers else F.create_map(F.lit(""), F.lit(None).cast("double"))
+    return rows.crossJoin(F.broadcast(middle.select(named.alias("__m")))).select("column", "kind", "missing", "least", F.try_element_at("__m", F.col("column")).alias("median"), "most", "distinct_values")
 
 
 def hazen_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """Quantiles at position n * p + 0.5, linear between neighbours, clamped to the ends."""
-    w = Window.partitionBy(*keys)
-    ranked = nan_to_null(df).where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), F.row_number().over(w.orderBy(value)).alias("__r"), F.count("*").over(w).alias("__n"))
+    """Quantiles at position n * p + 0.5, linear between neighbours, clamped to the ends; values are doubles."""
+    known = nan_to_null(df).where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    ranked = ranked_in_groups(known, keys, "__v")
     out = []
     for p in shares:
         at = F.greatest(F.lit(1.0), F.least(F.col("__n").cast("double"), F.col("__n") * F.lit(p) + F.lit(0.5)))
@@ -166,9 +207,9 @@ def covariances(df: DataFrame, columns: Sequence[str], population: bool = False)
 
 def weighted_covariance(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str) -> DataFrame:
     """Population covariance with weights, in two passes: weighted means first, then centred products."""
-    w = Window.partitionBy(*keys)
-    mean = lambda c: F.sum(F.col(c) * F.col(weight)).over(w) / F.sum(weight).over(w)
-    centred = df.select(*keys, F.col(weight).alias("__w"), ((F.col(x) - mean(x)) * (F.col(y) - mean(y)) * F.col(weight)).alias("__p"))
+    mean = lambda c: (F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(f"__mean_{c}")
+    means = df.groupBy(*keys).agg(mean(x), mean(y))
+    centred = df.join(means, list(keys)).select(*keys, F.col(weight).alias("__w"), ((F.col(x) - F.col(f"__mean_{x}")) * (F.col(y) - F.col(f"__mean_{y}")) * F.col(weight)).alias("__p"))
     return centred.groupBy(*keys).agg(F.sum("__w").alias("weight"), (F.sum("__p") / F.sum("__w")).alias("cov"))
 
 

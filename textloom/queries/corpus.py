@@ -149,6 +149,14 @@ def collocations(spark: SparkSession, d: str) -> DataFrame:
     return cp.collocations(neighbours(spark, d)).withColumn("pmi", F.round("pmi", 4))
 
 
+@register("c12_ability_table", f"""WITH g AS (SELECT p.a AS head, p.b AS action, lang AS relation, count(*) AS n FROM ({_PAIRS}) p JOIN documents USING (doc_id) WHERE length(p.b) >= 3 GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY relation, head ORDER BY n DESC, action) AS k FROM g) WHERE k <= 6)
+    SELECT relation || '_' || action AS name, count(*) AS n, string_agg(head, ' ' ORDER BY head) AS words FROM t GROUP BY relation, action HAVING count(*) >= 2""")
+def ability_table(spark: SparkSession, d: str) -> DataFrame:
+    lang = table(spark, d, "documents").select("doc_id", F.col("lang").alias("relation"))
+    uses = neighbours(spark, d).where(F.length("b") >= 3).join(lang, "doc_id").select("relation", F.col("a").alias("head"), F.col("b").alias("action"))
+    return cp.ability_table(uses)
+
+
 @register("a23_cells", f"SELECT a, b, sum(n)::BIGINT AS n, count(*) AS books FROM (SELECT a, b, doc_id, count(*) AS n FROM ({_PAIRS}) GROUP BY ALL) GROUP BY a, b HAVING sum(n) >= 2")
 def cells(spark: SparkSession, d: str) -> DataFrame:
     per = neighbours(spark, d).groupBy("a", "b", "doc_id").agg(F.count("*").alias("n"))

@@ -147,6 +147,33 @@ def ud_scores(spark: SparkSession, d: str) -> DataFrame:
     return ag.scores(annotated(spark, d, False), annotated(spark, d, True), ["nsubj", "obj", "root"])
 
 
+_MORPH = """SELECT *, tag || (length(form) % 2) AS xpos, CASE WHEN length(form) % 11 = 0 THEN '_' ELSE 'Number=' || CASE WHEN ends_with(form, 's') THEN 'Plur' ELSE 'Sing' END END AS feats, CASE WHEN i % 9 = 0 AND rel = 'nsubj' THEN form ELSE lower(form) END AS lemma"""
+_FUNCTION = """SELECT sid, head, list_sort(list(rel || '|' || tag || '|' || feats)) AS kids FROM {} WHERE rel = 'det' GROUP BY sid, head"""
+
+
+@register("e3_ud_scores_full", f"""WITH a AS ({_MORPH} FROM ({_annotated(False)})), b AS (SELECT * REPLACE (CASE WHEN length(form) % 7 = 0 THEN upper(lemma) ELSE lemma END AS lemma) FROM ({_MORPH} FROM ({_annotated(True)}))), ka AS ({_FUNCTION.format('a')}), kb AS ({_FUNCTION.format('b')}),
+    j AS (SELECT a.*, b.head AS hb, b.rel AS rb, b.tag AS tb, b.xpos AS xb, b.feats AS fb, b.lemma AS lb, ka.kids AS k, kb.kids AS kb, a.rel IN ('nsubj', 'obj', 'root') AS c, b.rel IN ('nsubj', 'obj', 'root') AS cb FROM a JOIN b ON a.sid = b.sid AND a.i = b.i LEFT JOIN ka ON ka.sid = a.sid AND ka.head = a.i LEFT JOIN kb ON kb.sid = a.sid AND kb.head = a.i),
+    m AS (SELECT *, head = hb AND rel = rb AS las FROM j) SELECT count(*) AS words, round(100.0 * count(*) FILTER (WHERE tag = tb) / count(*), 4) AS upos, round(100.0 * count(*) FILTER (WHERE xpos = xb) / count(*), 4) AS xpos, round(100.0 * count(*) FILTER (WHERE feats = fb) / count(*), 4) AS ufeats,
+    round(100.0 * count(*) FILTER (WHERE tag = tb AND xpos = xb AND feats = fb) / count(*), 4) AS alltags, round(100.0 * count(*) FILTER (WHERE lemma = lb) / count(*), 4) AS lemmas, round(100.0 * count(*) FILTER (WHERE head = hb) / count(*), 4) AS uas, round(100.0 * count(*) FILTER (WHERE las) / count(*), 4) AS las,
+    round(200.0 * count(*) FILTER (WHERE las AND c) / (count(*) FILTER (WHERE c) + count(*) FILTER (WHERE cb)), 4) AS clas, round(200.0 * count(*) FILTER (WHERE las AND c AND tag = tb AND feats = fb AND k IS NOT DISTINCT FROM kb) / (count(*) FILTER (WHERE c) + count(*) FILTER (WHERE cb)), 4) AS mlas,
+    round(200.0 * count(*) FILTER (WHERE las AND c AND lemma = lb) / (count(*) FILTER (WHERE c) + count(*) FILTER (WHERE cb)), 4) AS blex FROM m""")
+def ud_scores_full(spark: SparkSession, d: str) -> DataFrame:
+    n, form = F.length("form"), F.col("form")
+    feats = F.when(n % 11 == 0, "_").otherwise(F.concat(F.lit("Number="), F.when(form.endswith("s"), "Plur").otherwise("Sing")))
+    lemma = F.when((F.col("i") % 9 == 0) & (F.col("rel") == "nsubj"), form).otherwise(F.lower(form))
+    a, b = (annotated(spark, d, x).withColumns({"xpos": F.concat("tag", (n % 2).cast("string")), "feats": feats, "lemma": lemma}) for x in (False, True))
+    b = b.withColumn("lemma", F.when(n % 7 == 0, F.upper("lemma")).otherwise(F.col("lemma")))
+    return ag.full_scores(a, b, ["nsubj", "obj", "root"], ["det"])
+
+
+@register("e15_mwe_match")
+def mwe_match(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy matching isn't SQL; a test holds it to plain Python."""
+    t = annotated(spark, d, True).select("sid", "i", F.length("form").alias("n"))
+    spans = lambda k, *to: t.where(F.col("n") % 5 == k).select("sid", F.col("i").alias("ord"), F.array(F.col("i"), *(F.col("i") + x for x in to)).alias("members"))
+    return ag.match_spans(spans(0, 1, 2), spans(1, 1).unionByName(spans(0, 2)), t.where("n % 4 = 0").select("sid", "i"))
+
+
 @register("p13_tree_judge", f"""WITH b AS (SELECT sid, i, CASE WHEN i % 11 = 0 THEN 0 WHEN i % 13 = 0 THEN 99 ELSE head END AS head FROM ({_annotated(True)})), p AS (SELECT sid, count(*) AS n, count(*) FILTER (WHERE head = 0) AS roots, max(head) AS most FROM b GROUP BY sid)
     SELECT sid, n, roots, CASE WHEN roots <> 1 THEN 'roots' ELSE 'outside' END AS why FROM p WHERE roots <> 1 OR most > n""")
 def tree_judge(spark: SparkSession, d: str) -> DataFrame:
@@ -203,6 +230,15 @@ def rules_against_gold(spark: SparkSession, d: str) -> DataFrame:
     return ag.precision_recall(labels.where("toxic = 1"), found, "doc_id")
 
 
+@register("e14_shifted_control", """WITH n AS (SELECT count(*) AS n FROM documents), g AS (SELECT (doc_id - 3 + n) % n AS doc_id FROM labels, n WHERE toxic = 1), s AS (SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'idiot|moron|worthless|stupid|pathetic|loser|clown')), h AS (SELECT count(*) AS hit FROM g JOIN s USING (doc_id))
+    SELECT hit, round(hit / (SELECT count(*) FROM s), 6) AS precision, round(hit / (SELECT count(*) FROM g), 6) AS recall FROM h""")
+def shifted_control(spark: SparkSession, d: str) -> DataFrame:
+    """The rules against the labels of the document three places later: what chance alone gives."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    found = docs.where(F.lower("text").rlike("idiot|moron|worthless|stupid|pathetic|loser|clown")).select("doc_id")
+    return ag.precision_recall(ag.shifted(labels.where("toxic = 1"), "doc_id", 3, docs.count()), found, "doc_id")
+
+
 @register("e19_class_report", """WITH p AS (SELECT lang AS gold, CASE WHEN regexp_matches(text, '[äöüß]') THEN 'de' WHEN regexp_matches(text, '[ñóí]') THEN 'es' WHEN regexp_matches(text, '[éèêç]') THEN 'fr' ELSE 'en' END AS s FROM documents)
     SELECT gold, count(*) FILTER (WHERE s = 'de') AS de, count(*) FILTER (WHERE s = 'en') AS en, count(*) FILTER (WHERE s = 'es') AS es, count(*) FILTER (WHERE s = 'fr') AS fr, round(count(*) FILTER (WHERE s = gold) / count(*), 4) AS accuracy FROM p GROUP BY gold""")
 def class_report(spark: SparkSession, d: str) -> DataFrame:
@@ -287,6 +323,50 @@ def chi2(spark: SparkSession, d: str) -> DataFrame:
     return st.chi2(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus").select(F.round("chi2", 5).alias("chi2"), "df")
 
 
+@register("a19_crosstab", """WITH c AS (SELECT l_shipmode AS a, l_linestatus AS b, count(*) AS n FROM (SELECT *, CAST(l_suppkey % 5 AS VARCHAR) AS l_shipmode FROM lineitem) GROUP BY ALL) SELECT a, b, n, round(sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / sum(n) OVER (), 5) AS expected FROM c""")
+def crosstab(spark: SparkSession, d: str) -> DataFrame:
+    from textloom.operators import statistics as st
+
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).cast("string").alias("a"), F.col("l_linestatus").alias("b"))
+    return st.crosstab(rows, "a", "b").withColumn("expected", F.round("expected", 5))
+
+
+@register("a19_t_tests", """WITH g AS (SELECT l_returnflag AS g, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1), x AS (SELECT * FROM g WHERE g = 'A'), y AS (SELECT * FROM g WHERE g = 'R'), o AS (SELECT count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem)
+    SELECT 'one sample' AS test, round((m - 25) / sqrt(v / n), 5) AS t, round(n - 1, 3)::DOUBLE AS df FROM o UNION ALL SELECT 'pooled', round((x.m - y.m) / sqrt(((x.n - 1) * x.v + (y.n - 1) * y.v) / (x.n + y.n - 2) * (1 / x.n + 1 / y.n)), 5), round(x.n + y.n - 2, 3) FROM x, y
+    UNION ALL SELECT 'welch', round((x.m - y.m) / sqrt(x.v / x.n + y.v / y.n), 5), round((x.v / x.n + y.v / y.n) ** 2 / ((x.v / x.n) ** 2 / (x.n - 1) + (y.v / y.n) ** 2 / (y.n - 1)), 3) FROM x, y""")
+def t_tests(spark: SparkSession, d: str) -> DataFrame:
+    from textloom.operators import statistics as st
+
+    return st.t_tests(table(spark, d, "lineitem"), "l_returnflag", "A", "R", "l_quantity", 25.0).select("test", F.round("t", 5).alias("t"), F.round("df", 3).alias("df"))
+
+
+@register("a19_anova1", """WITH g AS (SELECT l_returnflag AS g, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) * (count(*) - 1) AS ss FROM lineitem GROUP BY 1), t AS (SELECT sum(n * m) / sum(n) AS grand FROM g)
+    SELECT round((sum(n * (m - grand) ** 2) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))), 5) AS f, count(*) - 1 AS df_between, (sum(n) - count(*))::BIGINT AS df_within FROM g, t""")
+def anova1(spark: SparkSession, d: str) -> DataFrame:
+    from textloom.operators import statistics as st
+
+    return st.anova1(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice").select(F.round("f", 5).alias("f"), "df_between", "df_within")
+
+
+@register("a19_correlation_test", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, count(*) AS n, round(corr(l_quantity, l_extendedprice) * sqrt((count(*) - 2) / (1 - corr(l_quantity, l_extendedprice) ** 2)), 3) AS t FROM lineitem")
+def correlation_test(spark: SparkSession, d: str) -> DataFrame:
+    from textloom.operators import statistics as st
+
+    return st.correlation_test(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("r", 6).alias("r"), "n", F.round("t", 3).alias("t"))
+
+
+@register("a19_p_values")
+def p_values(spark: SparkSession, d: str) -> DataFrame:
+    """The probabilities of all tests; the distributions aren't in SQL, tests hold them to integrals."""
+    from textloom.operators import statistics as st
+
+    t = table(spark, d, "lineitem")
+    out = st.t_tests(t, "l_returnflag", "A", "R", "l_quantity", 25.0).select("test", "p")
+    for name, one in (("anova1", st.anova1(t, "l_returnflag", "l_extendedprice")), ("correlation", st.correlation_test(t, "l_discount", "l_quantity")), ("chi2", st.chi2(t, "l_returnflag", "l_linestatus"))):
+        out = out.unionByName(one.select(F.lit(name).alias("test"), "p"))
+    return out
+
+
 @register("a20_fitlm", """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem""")
 def fitlm(spark: SparkSession, d: str) -> DataFrame:
     from textloom.operators import statistics as st

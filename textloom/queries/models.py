@@ -143,8 +143,16 @@ def agree_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @register("e16_residual_tally", """SELECT source AS layer, lang AS class, count(*) AS items, sum(n_chars)::BIGINT AS bits, list_slice(list_sort(list(doc_id)), 1, 4)::VARCHAR AS examples FROM documents GROUP BY ALL""")
 def residual_tally(spark: SparkSession, d: str) -> DataFrame:
-    least = F.slice(F.array_sort(F.collect_list("doc_id")), 1, 4)
-    return table(spark, d, "documents").groupBy(F.col("source").alias("layer"), F.col("lang").alias("class")).agg(F.count("*").alias("items"), F.sum("n_chars").alias("bits"), F.concat(F.lit("["), F.array_join(least, ", "), F.lit("]")).alias("examples"))
+    from pyspark.sql import Window
+
+    from textloom.operators.tables import same_keys
+
+    docs = table(spark, d, "documents").select(F.col("source").alias("layer"), F.col("lang").alias("class"), "doc_id", "n_chars")
+    counts = docs.groupBy("layer", "class").agg(F.count("*").alias("items"), F.sum("n_chars").alias("bits"))
+    # Spark keeps four rows a group before it shuffles.
+    first = docs.select("layer", "class", "doc_id", F.row_number().over(Window.partitionBy("layer", "class").orderBy("doc_id")).alias("r")).where("r <= 4")
+    some = first.groupBy("layer", "class").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("doc_id")), ", "), F.lit("]")).alias("examples"))
+    return same_keys(counts, some, ["layer", "class"]).select("layer", "class", "items", "bits", "examples")
 
 
 @register("e17_claims_support")

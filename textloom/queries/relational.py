@@ -157,7 +157,10 @@ def arg_max(spark: SparkSession, d: str) -> DataFrame:
 @register("a12_descriptive", "SELECT l_suppkey % 7 AS g, round(stddev_samp(l_quantity), 6) AS std, round(var_pop(l_quantity), 6) AS var_pop, median(l_quantity) AS median, bool_or(l_discount <> 0) AS any, bool_and(l_discount <> 0) AS all, count(*) FILTER (WHERE l_discount <> 0) AS nnz FROM lineitem GROUP BY g".replace("AS all", 'AS "all"').replace("AS any", 'AS "any"'))
 def descriptive(spark: SparkSession, d: str) -> DataFrame:
     c, q = F.col("l_discount"), "l_quantity"
-    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("g")).agg(F.round(F.stddev_samp(q), 6).alias("std"), F.round(F.var_pop(q), 6).alias("var_pop"), F.median(q).alias("median"), F.bool_or(c != 0).alias("any"), F.bool_and(c != 0).alias("all"), F.count_if(c != 0).alias("nnz"))
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("g"), "l_quantity", "l_discount")
+    middle = tb.hazen_quantiles(rows, ["g"], q, [0.5]).withColumnRenamed("q50", "median")
+    per = rows.groupBy("g").agg(F.round(F.stddev_samp(q), 6).alias("std"), F.round(F.var_pop(q), 6).alias("var_pop"), F.bool_or(c != 0).alias("any"), F.bool_and(c != 0).alias("all"), F.count_if(c != 0).alias("nnz"))
+    return per.join(middle, "g").select("g", "std", "var_pop", "median", "any", "all", "nnz")
 
 
 @register("a13_summary", """SELECT 'c_custkey' AS "column", 'number' AS kind, count(*) - count(c_custkey) AS missing, min(c_custkey)::DOUBLE AS least, median(c_custkey)::DOUBLE AS median, max(c_custkey)::DOUBLE AS most, NULL::BIGINT AS distinct_values FROM customer

@@ -26,11 +26,12 @@ def cumulative(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "event_id", F.round("cumsum", 3).alias("cumsum"), F.round("diff1", 4).alias("diff1"), F.round("diff2", 4).alias("diff2"))
 
 
-@register("w7_cumprod", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(exp(sum(ln(1 - l_discount)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)), 6) AS cumprod FROM lineitem""")
+@register("w7_cumprod", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(ln(product(round(100 - 100 * l_discount)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)), 9) AS log_cumprod FROM lineitem""")
 def cumprod(spark: SparkSession, d: str) -> DataFrame:
-    kept = table(spark, d, "lineitem").withColumn("kept", 1 - F.col("l_discount"))
+    """Of what is left in percent; its logarithm, as products of decimals often end in the digit that rounding turns on."""
+    kept = table(spark, d, "lineitem").withColumn("kept", F.round(100 - 100 * F.col("l_discount")))
     out = sq.cumulative(kept, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "kept")
-    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("cumprod", 6).alias("cumprod"))
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.ln("cumprod"), 9).alias("log_cumprod"))
 
 
 @register("w8_moving", """SELECT user_id, event_id, round(avg(value) OVER w, 4) AS movmean, round(sum(value) OVER w, 3) AS movsum, min(value) OVER w AS movmin, max(value) OVER w AS movmax, round(median(value) OVER w, 4) AS movmedian
