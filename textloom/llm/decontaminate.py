@@ -61,19 +61,30 @@ def item_windows(benchmark: DataFrame, n_words: int = WORDS) -> DataFrame:
 
 
 class _Index:
-    """The broadcast set: sorted keys by window size, a bit sieve before them, and the words behind each key."""
+    """The broadcast set as flat arrays: rows in order of window size and key, all words in one byte string.
+
+    A window takes its words (some 60 bytes) and 20 bytes more, so the bounds keep it under 200 MB in a worker.
+    """
 
     def __init__(self, rows: list) -> None:
-        self.known: dict[tuple[int, int], dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
-        for r in rows:
-            self.known[r["size"], r["key"]][bytes(r["words"])].append(r["item_id"])
-        self.known = {k: dict(v) for k, v in self.known.items()}
+        rows = sorted((r["size"], r["key"] % (1 << 64), bytes(r["words"]), r["item_id"]) for r in rows)
+        names = sorted({r[3] for r in rows})
+        code = {n: k for k, n in enumerate(names)}
+        self.names, self.item = names, np.array([code[r[3]] for r in rows], np.int32)
+        self.words, self.at = b"".join(r[2] for r in rows), np.cumsum([0, *(len(r[2]) for r in rows)])
+        size_of, keys = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.uint64)
         self.sizes = {}
-        for size in {s for s, _ in self.known}:
-            keys = np.sort(np.array([k for s, k in self.known if s == size], np.int64).astype(np.uint64))
+        for size in np.unique(size_of).tolist():
+            mine = np.flatnonzero(size_of == size)
             sieve = np.zeros(_SIEVE, bool)
-            sieve[keys & np.uint64(_SIEVE - 1)] = True
-            self.sizes[size] = (keys, sieve)
+            sieve[keys[mine] & np.uint64(_SIEVE - 1)] = True
+            self.sizes[size] = (keys[mine], sieve, int(mine[0]))
+
+    def items(self, size: int, key: np.uint64, text: bytes) -> list[str]:
+        """The items that have a window of these words."""
+        keys, _, base = self.sizes[size]
+        low, high = base + np.searchsorted(keys, key, "left"), base + np.searchsorted(keys, key, "right")
+        return [self.names[self.item[k]] for k in range(low, high) if self.words[self.at[k] : self.at[k + 1]] == text]
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, int, set[str], bytes, np.ndarray, np.ndarray]]:
         """For each text: words, hit words, item ids, its bytes, and the byte starts and ends of its hit words."""
@@ -81,7 +92,7 @@ class _Index:
             data = tb.LOWER[original]
             starts, ends, first, hashes = _spans(data, offsets)
             marks, found, raw = np.zeros(len(starts) + 1, np.int64), defaultdict(set), None
-            for size, (keys, sieve) in self.sizes.items():
+            for size, (keys, sieve, _) in self.sizes.items():
                 runs = tb.windows(hashes, size)
                 maybe = np.flatnonzero(sieve[runs & np.uint64(_SIEVE - 1)])
                 place = np.minimum(np.searchsorted(keys, runs[maybe]), len(keys) - 1)
@@ -91,7 +102,7 @@ class _Index:
                 for k, row in zip(maybe[inside].tolist(), rows[inside].tolist(), strict=True):
                     raw = data.tobytes() if raw is None else raw
                     text = b" ".join(raw[s:e] for s, e in zip(starts[k : k + size].tolist(), ends[k : k + size].tolist(), strict=True))
-                    items = self.known[size, int(runs[k].astype(np.int64))].get(text)
+                    items = self.items(size, runs[k], text)
                     if items:
                         marks[k] += 1
                         marks[k + size] -= 1
@@ -254,6 +265,8 @@ def _cut(columns: list[str]) -> Callable:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n_words: int = WORDS, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``docs`` with its own columns, without contaminated documents or (``remove='spans'``) without their hit words.
+
+    A null text stays as it is; rows with a null or repeated doc_id are judged by their own text.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
