@@ -4,11 +4,13 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere els
 
 Distribution. In each window of ``LENGTH`` bytes the least hash among its ``CORE``-byte substrings marks an anchor.
 Equal windows have equal anchors, so a repeated window is found among the occurrences of one anchor. Anchors that occur
-once are dropped. An occurrence stands for a run of windows, those whose anchor it is. Where all runs of an anchor are
-the same string, all of it is repeated. The other runs differ somewhere around an equal core, which becomes a single
+once are dropped. An occurrence stands for a run of windows, those whose anchor it is. Where all runs of an anchor have
+one digest they are the same string, and all of it is repeated (two different strings pass for one only if they share
+the anchor's 64 bits and 64 bits of a cryptographic digest). The other runs differ somewhere around an equal core, which becomes a single
 symbol: what is left of a run is at most SLACK bytes on either side of that symbol. Suffix arrays are built over blocks
 of such short strings, all runs of an anchor in one block; two neighbours that agree on SLACK + 1 symbols are equal
-windows. Anchors with very many different runs are split by what stands next to the core, down to single windows.
+windows. The runs of an anchor with more than ``MANY_RUNS`` different ones don't go into one task: each of their windows
+is known by a 128-bit digest and counted wherever it is. Both ways give the same rows.
 
 The suffix array is built by linear grouping: suffixes are grouped by their Lyndon prefixes in descending order with
 pointers to the previous smaller suffix, and the order of the groups then gives the order of the suffixes, without
@@ -194,12 +196,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], [], []]
         rows: list[int] = []
         for row, data, offsets in tb.chunks(batch.column("text")):
-            prefix = tb.prefix_hash(data)
             for r in range(len(offsets) - 1):
                 if offsets[r + 1] - offsets[r] < LENGTH:
                     continue
                 place, h, first, last = anchors(data[offsets[r] : offsets[r + 1]])
-                run = tb.span_hash(prefix, offsets[r] + first, offsets[r] + last + LENGTH)
+                run = tb.identity(data, offsets[r] + first, offsets[r] + last + LENGTH)  # long spans: digests
                 for k, v in enumerate((h, run.astype(np.int64), place, first, last)):
                     out[k].append(v)
                 rows.append(np.full(len(h), row + r))

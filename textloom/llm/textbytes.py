@@ -81,9 +81,12 @@ def identity(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     A polynomial modulo 2**64 has strings that collide by their form whatever its multiplier (Thue-Morse words, from
     512 bytes on), so long spans are digested instead.
     """
-    out = span_hash(prefix_hash(data), starts, ends)
-    for k in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
-        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    out, raw = np.zeros(len(starts), np.uint64), memoryview(data)
+    long = ends - starts >= LONG_SPAN
+    if not long.all():
+        out[~long] = span_hash(prefix_hash(data), starts[~long], ends[~long])
+    digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+    out[long] = np.frombuffer(digests, np.uint64)
     return out
 
 
