@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that are like an earlier line of the corpus; documents stay, with what is left of their text."""
-    return line_dedup.drop_repeated_lines(docs)
+    """Drops lines that are like an earlier line of the corpus, and documents that lose all their lines."""
+    return line_dedup.drop_repeated_lines(docs, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

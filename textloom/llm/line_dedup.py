@@ -37,6 +37,7 @@ _SIGN_B = _RNG.integers(0, 1 << 32, SIGNS, np.uint64).astype(np.uint32)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BAND_SEED = tb.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 _MARK = "__lines_to_drop"
+_BLANK = " \t\n\r\x0b\f"
 
 
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -256,33 +257,35 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("lines"))
 
 
-def _without(columns: list[str], schema: pa.Schema | None = None):
+def _without(columns: list[str], drop_emptied: bool = False):
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, keep = [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 if gone and text is not None:
                     drop = set(gone)
                     text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
                 texts.append(text)
+                keep.append(not (drop_emptied and gone and text is not None and not text.strip(_BLANK)))
             out = list(batch.columns[: len(columns)])
             out[at] = pa.array(texts, batch.schema.types[at])
-            yield pa.RecordBatch.from_arrays(out, batch.schema.names[: len(columns)])
+            yield pa.RecordBatch.from_arrays(out, batch.schema.names[: len(columns)]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with the same rows and columns, and without lines that are like an earlier one.
+def drop_repeated_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with the same columns, and without lines that are like an earlier one.
 
-    Lines without a word stay, as do rows with a null text or doc_id, and rows that lose all lines (their text is then
-    empty). Case of A-Z doesn't count; lines shorter than 8 characters are alike only if equal. doc_ids are unique.
+    Lines without a word stay, as do rows with a null text or doc_id. Rows that lose all lines stay with an empty text,
+    or go (``drop_emptied``). Case of A-Z doesn't count; lines shorter than 8 characters are alike only if equal.
+    doc_ids are unique. An empty table gives an empty one.
     """
     gone = lines_to_drop(docs).select(F.col("doc_id").alias("__doc"), F.col("lines").alias(_MARK))
     joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").select(*(docs[c] for c in docs.columns), _MARK)
-    return joined.mapInArrow(_without(docs.columns), docs.schema)
+    return joined.mapInArrow(_without(docs.columns, drop_emptied), docs.schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
