@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import content_key, normal_text, words
+from textloom.plans.materialize import materialize
 
 
 def sentences(docs: DataFrame, least: int = 3, most: int = 60) -> DataFrame:
@@ -89,23 +90,31 @@ def shared_runs(docs: DataFrame, sources: DataFrame, n: int = 6) -> DataFrame:
 
 
 def near_duplicate_words(docs: DataFrame, share: float = 0.8) -> DataFrame:
-    """Pairs of short texts with equal word sets, or of four words or more with a Jaccard of ``share``.
+    """``(doc_id, class_id, links)``: texts of equal word sets are one class, known by its smallest doc_id; ``links`` is how
+    many other classes, of four words or more each, reach a Jaccard of ``share`` with it. Texts without a word are left out.
 
     Prefix filter: words are ordered from rare to frequent, and a pair that reaches the share has one of the first
-    n - ceil(share * n) + 1 words of each side in common, so only those are joined; the whole sets then decide.
+    n - ceil(share * n) + 1 words of each side in common, so only those are joined, with ids and sizes alone; the whole
+    sets of the pairs found then decide.
     """
-    sets = docs.select("doc_id", F.array_distinct(words(F.col("text"), "[a-z]{3,}")).alias("w")).where("size(w) > 0")
-    one = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ordered = sets.select("doc_id", F.explode("w").alias("word")).join(one, "word").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("w"))
-    n = F.size("w")
-    first = ordered.select("doc_id", "w", F.explode(F.slice("w", F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))).alias("word"))
-    a, b = (first.select(F.col("doc_id").alias(x), F.col("w").alias(f"w{x}"), "word") for x in "ab")
-    near = (F.size("wa") >= F.size("wb") * share) & (F.size("wb") >= F.size("wa") * share)
-    pairs = a.join(b, "word").where((F.col("a") < F.col("b")) & near).dropDuplicates(["a", "b"])
+    sets = docs.select("doc_id", F.array_sort(F.array_distinct(words(F.col("text"), "[a-z]{3,}"))).alias("w")).where("size(w) > 0")
+    keyed = materialize(sets.select("doc_id", F.md5(F.array_join("w", " ")).alias("key"), "w"), "word-sets")
+    classes = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    reps = keyed.join(classes, keyed.doc_id == classes.class_id, "left_semi").where("size(w) >= 4").select("doc_id", "w")
+    each = reps.select("doc_id", F.explode("w").alias("word"), F.size("w").alias("n"))
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "word"))
+    first = each.join(df, "word").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
+    first = materialize(first.select("doc_id", "word", "n"), "word-prefixes")
+    a, b = (first.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), "word") for x in "ab")
+    near = (F.col("na") >= F.col("nb") * share) & (F.col("nb") >= F.col("na") * share)
+    pairs = a.join(b, "word").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    one, two = (reps.select(F.col("doc_id").alias(x), F.col("w").alias(f"w{x}")) for x in "ab")
     both = F.size(F.array_intersect("wa", "wb"))
-    union = F.size("wa") + F.size("wb") - both
-    judged = pairs.select("a", "b", both.alias("both"), union.alias("union"), F.least(F.size("wa"), F.size("wb")).alias("least"))
-    return judged.where((F.col("both") == F.col("union")) | ((F.col("least") >= 4) & (F.col("both") >= share * F.col("union")))).select("a", "b", F.col("both").cast("long").alias("both"), F.col("union").cast("long").alias("union"))
+    linked = pairs.join(one, "a").join(two, "b").where(both >= share * (F.size("wa") + F.size("wb") - both)).select("a", "b")
+    links = linked.union(linked.select("b", "a")).groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("links"))
+    placed = keyed.select("doc_id", "key").join(classes, "key")
+    return placed.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def ability_table(uses: DataFrame, least: int = 2, top: int = 6) -> DataFrame:

@@ -206,8 +206,9 @@ def heldout(spark: SparkSession, d: str) -> DataFrame:
     return cp.without_held_out(cut("documents"), cut("benchmark")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@register("d4_near_duplicate", """WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.doc_id < b.doc_id AND len(a.w) > 0 AND len(b.w) > 0
-    AND len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w)) SELECT a, b, n AS both, na + nb - n AS "union" FROM p WHERE n = na + nb - n OR (least(na, nb) >= 4 AND n >= 0.8 * (na + nb - n))""")
+@register("d4_near_duplicate", """WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS w FROM documents), c AS (SELECT w, min(doc_id) AS class_id FROM s WHERE len(w) > 0 GROUP BY w),
+    p AS (SELECT a.class_id AS a, b.class_id AS b FROM c a JOIN c b ON a.class_id <> b.class_id AND len(a.w) >= 4 AND len(b.w) >= 4 AND len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w) WHERE len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+    n AS (SELECT a, count(*) AS links FROM p GROUP BY a) SELECT doc_id, class_id, coalesce(links, 0) AS links FROM s JOIN c USING (w) LEFT JOIN n ON n.a = class_id""")
 def near_duplicate(spark: SparkSession, d: str) -> DataFrame:
     return cp.near_duplicate_words(table(spark, d, "documents"))
 
