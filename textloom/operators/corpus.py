@@ -30,7 +30,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame, most: int = 25, least: int = 3) -> DataFrame:
     """Sentences cut at ``most`` words; pieces under ``least`` words go."""
-    cut = sentences(docs, 1, 1_000_000).select("doc_id", "n", F.split("sentence", " +").alias("w"))
+    cut = sentences(docs, 1, (1 << 31) - 1).select("doc_id", "n", F.split("sentence", " +").alias("w"))
     pieces = cut.select("doc_id", "n", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / most).cast("int"))).alias("k"))
     part = F.slice("w", F.col("k") * most + 1, F.lit(most))
     return pieces.select("doc_id", "n", F.col("k").cast("long").alias("k"), F.array_join(part, " ").alias("chunk"), F.size(part).cast("long").alias("words")).where(F.col("words") >= least)

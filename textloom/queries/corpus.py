@@ -99,7 +99,10 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return cp.tokens(table(spark, d, "documents")).groupBy("kind", "token").agg(F.count("*").alias("n"))
 
 
-@register("c3_chunks")
+@register("c3_chunks", r"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS para, unnest(string_split(text, chr(10))) AS line FROM documents),
+    s AS (SELECT doc_id, para, CAST(generate_subscripts(regexp_extract_all(line, '[^.!?]+[.!?]*'), 1) AS BIGINT) AS k, trim(unnest(regexp_extract_all(line, '[^.!?]+[.!?]*'))) AS sentence FROM l),
+    n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para, k) AS n, regexp_split_to_array(sentence, ' +') AS w FROM s), p AS (SELECT doc_id, n, w, unnest(generate_series(0, (len(w) - 1) // 25)) AS k FROM n)
+    SELECT doc_id, n, k, array_to_string(w[k * 25 + 1 : k * 25 + 25], ' ') AS chunk, len(w[k * 25 + 1 : k * 25 + 25]) AS words FROM p WHERE len(w[k * 25 + 1 : k * 25 + 25]) >= 3""")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return cp.chunks(table(spark, d, "documents"))
 
@@ -213,12 +216,19 @@ def near_duplicate(spark: SparkSession, d: str) -> DataFrame:
     return cp.near_duplicate_words(table(spark, d, "documents"))
 
 
-@register("d5_verbatim_run")
+_RUNS = """WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+    dg AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 6], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 6)) AS p FROM dw WHERE len(w) >= 6)),
+    bg AS (SELECT item_id, q, array_to_string(w[q + 1 : q + 6], ' ') AS gram FROM (SELECT item_id, w, unnest(generate_series(0, len(w) - 6)) AS q FROM bw WHERE len(w) >= 6)),
+    m AS (SELECT doc_id, item_id, p, p - q AS d, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM dg JOIN bg USING (gram)),
+    r AS (SELECT doc_id, item_id, max(length) AS longest FROM (SELECT doc_id, item_id, count(*) + 5 AS length FROM m GROUP BY doc_id, item_id, d, island) GROUP BY doc_id, item_id)"""
+
+
+@register("d5_verbatim_run", f"{_RUNS} SELECT doc_id, item_id, longest FROM r")
 def verbatim_run(spark: SparkSession, d: str) -> DataFrame:
     return cp.shared_runs(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-@register("d7_originality_gate")
+@register("d7_originality_gate", f"{_RUNS}, o AS (SELECT doc_id, max(longest) AS longest FROM r GROUP BY doc_id) SELECT doc_id, coalesce(longest, 0) AS longest, CASE WHEN longest > 12 THEN 'blocked' WHEN longest IS NOT NULL THEN 'pending' ELSE 'clear' END AS state FROM documents LEFT JOIN o USING (doc_id)")
 def originality(spark: SparkSession, d: str) -> DataFrame:
     runs = cp.shared_runs(table(spark, d, "documents"), table(spark, d, "benchmark")).groupBy("doc_id").agg(F.max("longest").alias("longest"))
     state = F.when(F.col("longest") > 12, "blocked").when(F.col("longest").isNotNull(), "pending").otherwise("clear")

@@ -33,21 +33,18 @@ def closure(spark: SparkSession, d: str) -> DataFrame:
     return gr.closure(parents(spark, d))
 
 
-@register("j10_closure_categories", f"{_TREE}, u AS (SELECT node, ancestor, depth FROM t UNION ALL SELECT c_custkey, c_custkey, 0 FROM customer) SELECT node, c_mktsegment AS category, min(depth) AS depth FROM u JOIN customer ON c_custkey = ancestor WHERE ancestor < 64 GROUP BY ALL")
+@register("j10_closure_categories", f"{_TREE}, u AS (SELECT node, ancestor, depth FROM t UNION ALL SELECT c_custkey, c_custkey, 0 FROM customer) SELECT node, c_mktsegment AS category, min(depth) AS depth FROM u JOIN customer ON c_custkey = ancestor GROUP BY ALL")
 def closure_categories(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     own = c.select(F.col("c_custkey").alias("node"), F.col("c_custkey").alias("ancestor"), F.lit(0).alias("depth"))
-    named = c.where("c_custkey < 64").select(F.col("c_custkey").alias("ancestor"), F.col("c_mktsegment").alias("category"))
-    return gr.closure(parents(spark, d)).unionByName(own).join(F.broadcast(named), "ancestor").groupBy("node", "category").agg(F.min("depth").alias("depth"))
+    named = c.select(F.col("c_custkey").alias("ancestor"), F.col("c_mktsegment").alias("category"))
+    return gr.closure(parents(spark, d)).unionByName(own).join(named, "ancestor").groupBy("node", "category").agg(F.min("depth").alias("depth"))
 
 
-@register("j10_closure_categories_whole", f"{_TREE}, u AS (SELECT node, ancestor, depth FROM t UNION ALL SELECT c_custkey, c_custkey, 0 FROM customer) SELECT node, c_mktsegment AS category, min(depth) AS depth FROM u JOIN customer ON c_custkey = ancestor GROUP BY ALL")
+@register("j10_closure_categories_whole", f"{_TREE}, u AS (SELECT node, ancestor FROM t UNION ALL SELECT c_custkey, c_custkey FROM customer), k AS (SELECT DISTINCT node, c_mktsegment AS category FROM u JOIN customer ON c_custkey = ancestor) SELECT node, count(*) AS categories, string_agg(category, ',' ORDER BY category) AS names FROM k GROUP BY node")
 def closure_categories_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Over all ancestors; ``j10_closure_categories`` is held to those below 64 by its SQL."""
-    c = table(spark, d, "customer")
-    own = c.select(F.col("c_custkey").alias("node"), F.col("c_custkey").alias("ancestor"), F.lit(0).alias("depth"))
-    named = c.select(F.col("c_custkey").alias("ancestor"), F.col("c_mktsegment").alias("category"))
-    return gr.closure(parents(spark, d)).unionByName(own).join(named, "ancestor").groupBy("node", "category").agg(F.min("depth").alias("depth"))
+    """All categories of each node in one row."""
+    return closure_categories(spark, d).groupBy("node").agg(F.count("*").alias("categories"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("names"))
 
 
 @register("g3_strong_components")
@@ -78,7 +75,10 @@ def k_core(spark: SparkSession, d: str) -> DataFrame:
     return gr.k_core(order_edges(spark, d), 2)
 
 
-@register("g7_power_iteration")
+_POWER = "WITH e AS (SELECT DISTINCT x.l_partkey AS i, y.l_partkey AS j FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber), b AS (SELECT i, j FROM e UNION SELECT j, i FROM e), v0 AS (SELECT DISTINCT i AS node, 1.0::DOUBLE AS value FROM b)" + "".join(f", p{k} AS MATERIALIZED (SELECT i AS node, sum(value) AS value FROM b JOIN v{k} ON j = node GROUP BY i), v{k + 1} AS MATERIALIZED (SELECT node, value / (SELECT sqrt(sum(value * value)) FROM p{k}) AS value FROM p{k})" for k in range(10))
+
+
+@register("g7_power_iteration", f"{_POWER} SELECT node, round(value, 6) AS value FROM v10")
 def power(spark: SparkSession, d: str) -> DataFrame:
     e = order_edges(spark, d)
     both = e.union(e.select("dst", "src")).distinct().select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("w"))
@@ -91,7 +91,9 @@ def similar(spark: SparkSession, d: str) -> DataFrame:
     return gr.similar_documents(keys)
 
 
-@register("g10_neighbourhood")
+@register("g10_neighbourhood", """WITH e AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, sum(l_quantity) AS strength FROM lineitem GROUP BY 1, 2), ways AS (SELECT * FROM e UNION ALL SELECT dst, src, strength FROM e), one AS (SELECT s_suppkey AS start, dst AS node, strength FROM supplier JOIN ways ON src = s_suppkey),
+    two AS (SELECT start, b.dst AS node, max(least(o.strength, b.strength)) AS strength FROM one o JOIN ways b ON b.src = o.node WHERE b.dst <> start AND NOT EXISTS (SELECT 1 FROM one x WHERE x.start = o.start AND x.node = b.dst) GROUP BY start, b.dst),
+    r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY distance, strength DESC, node) AS r FROM (SELECT start, node, 1 AS distance, strength FROM one UNION ALL SELECT start, node, 2, strength FROM two)) SELECT start, node, distance, strength FROM r WHERE r <= 25""")
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).agg(F.sum("l_quantity").alias("strength"))
     starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
@@ -294,15 +296,15 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
     return lk.version_chain(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey")
 
 
-@register("j14_edit_distance_join", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,9}')) AS w FROM benchmark) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS distance FROM w a JOIN w b ON a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 WHERE levenshtein(a.w, b.w) <= 1""")
+@register("j14_edit_distance_join", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS distance FROM w a JOIN w b ON a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 WHERE levenshtein(a.w, b.w) <= 1""")
 def edit_join(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"), "[a-z]{5,9}")).alias("w")).distinct()
+    w = table(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"), "[a-z]+")).alias("w")).distinct()
     return lk.within_one_edit(w, "w")
 
 
 @register("j14_edit_distance_join_whole")
 def edit_join_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Whole words of any length, of documents and benchmark; ``j14_edit_distance_join`` is held to its SQL's pieces."""
+    """The words of documents and benchmark; all pairs of them are too many for SQL."""
     texts = table(spark, d, "benchmark").select("text").union(table(spark, d, "documents").select("text"))
     return lk.within_one_edit(texts.select(F.explode(tx.words(F.col("text"))).alias("w")).distinct(), "w")
 

@@ -170,14 +170,15 @@ def answer_cover(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("g9_related_documents", """WITH k AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS e FROM lineitem), n AS (SELECT count(DISTINCT doc) AS n FROM k), i AS (SELECT e, ln(n / count(*)) AS idf FROM k, n GROUP BY e, n), w AS (SELECT doc, e, idf FROM k JOIN i USING (e)), m AS (SELECT doc, sum(idf) AS mine FROM w GROUP BY doc)
-    SELECT a.doc, b.doc AS other, round(5 * sum(a.idf) / any_value(mine), 6) AS strength FROM w a JOIN w b ON a.e = b.e AND a.doc <> b.doc JOIN m ON m.doc = a.doc WHERE a.doc < 300 GROUP BY a.doc, b.doc""")
+    SELECT a.doc, b.doc AS other, round(5 * sum(a.idf) / any_value(mine), 6) AS strength FROM w a JOIN w b ON a.e = b.e AND a.doc <> b.doc JOIN m ON m.doc = a.doc WHERE a.doc % 20 = 0 GROUP BY a.doc, b.doc""")
 def related(spark: SparkSession, d: str) -> DataFrame:
-    return shared_entities(spark, d, "doc < 300")
+    """A search: the documents whose id is divisible by 20 against all."""
+    return shared_entities(spark, d, "doc % 20 = 0")
 
 
 @register("g9_related_documents_whole")
 def related_whole(spark: SparkSession, d: str) -> DataFrame:
-    """For all documents; ``g9_related_documents`` is held to the first by its SQL."""
+    """For all documents."""
     return shared_entities(spark, d, "true")
 
 

@@ -68,27 +68,31 @@ def run_lengths(spark: SparkSession, d: str) -> DataFrame:
     return sq.run_lengths(table(spark, d, "events"), ["user_id"], "event_id", "event_type")
 
 
-@register("w13_isotonic")
+_U = "CAST(('0x' || substr(sha256({}), 1, 8)) AS BIGINT)"
+
+
+@register("w13_isotonic", """WITH g AS (SELECT l_quantity AS x, avg(l_extendedprice) AS y, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT a.x AS a, b.x AS b, sum(g.y * g.n) / sum(g.n) AS m FROM g a JOIN g b ON a.x <= b.x JOIN g ON g.x BETWEEN a.x AND b.x GROUP BY 1, 2)
+    SELECT g.x AS l_quantity, round(any_value(g.y), 4) AS price, round(max(low), 4) AS fitted FROM g JOIN (SELECT g.x, s.a, min(s.m) AS low FROM g JOIN s ON s.a <= g.x AND s.b >= g.x GROUP BY g.x, s.a) t ON t.x = g.x GROUP BY g.x""")
 def isotonic(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("price"), F.count("*").alias("n"))
-    return sq.isotonic(x, "l_quantity", "price", "n")
+    return sq.isotonic(x, "l_quantity", "price", "n").select("l_quantity", F.round("price", 4).alias("price"), F.round("fitted", 4).alias("fitted"))
 
 
-@register("w14_context_batches")
+@register("w14_context_batches", """WITH RECURSIVE c AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), t AS (SELECT conv_id, turn, words, k, 0::BIGINT AS batch, words AS used FROM c WHERE k = 1
+    UNION ALL SELECT c.conv_id, c.turn, c.words, c.k, CASE WHEN t.used > 0 AND t.used + c.words > 120 THEN t.batch + 1 ELSE t.batch END, CASE WHEN t.used > 0 AND t.used + c.words > 120 THEN c.words ELSE t.used + c.words END FROM t JOIN c ON c.conv_id = t.conv_id AND c.k = t.k + 1)
+    SELECT conv_id, turn, words::INTEGER AS words, batch, lag(turn, 1) OVER w AS before1, lag(turn, 2) OVER w AS before2 FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def context_batches(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select("conv_id", "turn", F.size(F.split("text", " ")).alias("words"))
     return sq.greedy_batches(c, "conv_id", "turn", "words", 120)
 
 
-@register("w15_paragraph_windows")
+@register("w15_paragraph_windows", f"""WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) > 0) AS p FROM documents), a AS (SELECT doc_id, {_U.format("'seed' || doc_id")} % len(p) AS start, unnest(generate_series(0, len(p) - 1)) AS k, p FROM p WHERE len(p) > 0),
+    n AS (SELECT doc_id, k, len(regexp_extract_all(p[k + 1], '[.!?]+')) AS n FROM a WHERE k >= start), u AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM n) SELECT doc_id, min(k)::INTEGER AS first, max(k)::INTEGER AS last, sum(n)::BIGINT AS sentences FROM u WHERE upto < 6 GROUP BY doc_id""")
 def paragraph_windows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return sq.paragraph_windows(docs, "doc_id", "text", 6, "seed")
 
 
-_U = "CAST(('0x' || substr(sha256({}), 1, 8)) AS BIGINT)"
-
-
 @register("t4_quotas")
 def quotas(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("size"))
