@@ -34,7 +34,6 @@ _A = _RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.u
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
 _SIGN_A = _RNG.integers(1, 1 << 32, SIGNS, np.uint64).astype(np.uint32) | np.uint32(1)
 _SIGN_B = _RNG.integers(0, 1 << 32, SIGNS, np.uint64).astype(np.uint32)
-_LOWER = {c: c + 32 for c in range(65, 91)}
 _BAND_SEED = tb.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 _MARK = "__lines_to_drop"
 _BLANK = " \t\n\r\x0b\f"
@@ -56,22 +55,28 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, number, starts, ends, tb.identity(lowered, starts, ends).astype(np.int64)
 
 
-def minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Minima of the universal hashes (a, b) over the shingles of lines without case, (lines, hashes); and 32 bits of the shingles."""
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of lines in their characters put together (A-Z lowered), the hash of the shingle that starts at
+    each, and of each line of fewer than CHARS characters, which is one shingle (other entries mean nothing)."""
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where((code >= 65) & (code <= 90), code + np.uint32(32), code)
     end = np.cumsum([len(x) for x in lines])
     start = np.concatenate([[0], end[:-1]])
     prefix = np.zeros(len(code) + 1, np.uint64)
     np.cumsum(tb.mix(code.astype(np.uint64) + np.uint64(1)) * tb.powers(len(code) + 1)[0][: len(code)], dtype=np.uint64, out=prefix[1:])
-    out, x = np.empty((len(lines), len(a)), np.uint32), np.zeros(1, np.uint32)
+    low = prefix[CHARS:] - prefix[:-CHARS]
+    low *= tb.powers(len(code) + 1)[1][: len(low)]
+    return start, end, tb.mix(low), tb.span_hash(prefix, start, end)
+
+
+def minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minima of the universal hashes (a, b) over the shingles of lines, (lines, hashes)."""
+    start, end, low, whole = _hashed(lines)
+    out = np.empty((len(lines), len(a)), np.uint32)
     short = end - start < CHARS
-    whole = tb.span_hash(prefix, start[short], end[short]).astype(np.uint32)
-    out[short] = whole[:, None] * a + b
+    out[short] = whole[short].astype(np.uint32)[:, None] * a + b
     if not short.all():
-        low = prefix[CHARS:] - prefix[:-CHARS]
-        low *= tb.powers(len(code) + 1)[1][: len(low)]
-        x = np.append(tb.mix(low).astype(np.uint32), np.uint32(0))
+        x = np.append(low.astype(np.uint32), np.uint32(0))
         bounds = np.stack([start[~short], end[~short] - CHARS + 1], axis=1).ravel()
         best = np.empty((len(a), int((~short).sum())), np.uint32)
         for k in range(len(a)):
@@ -79,8 +84,13 @@ def minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
             y += b[k]
             best[k] = np.minimum.reduceat(y, bounds)[::2]
         out[~short] = best.T
-    own = iter(whole)
-    return out, [np.array([next(own)], np.uint32) if s else x[i : j - CHARS + 1] for i, j, s in zip(start.tolist(), end.tolist(), short.tolist(), strict=True)]
+    return out
+
+
+def shingles(lines: list[str]) -> list[np.ndarray]:
+    """For each line the sorted distinct 64-bit hashes of its shingles."""
+    start, end, low, whole = _hashed(lines)
+    return [np.unique(low[i : j - CHARS + 1]) if j - i >= CHARS else w[None] for i, j, w in zip(start.tolist(), end.tolist(), whole, strict=True)]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -114,7 +124,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, which = _new(all_ids, sent)
             if not len(ids):
                 continue
-            low, _ = minima([raw[a:b].decode(errors="replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], _A, _B)
+            low = minima([raw[a:b].decode(errors="replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], _A, _B)
             key = _keys(low)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array((ids[:, None] ^ key).ravel())], ["key", "flipped"])
 
@@ -164,46 +174,33 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             lines = [x.decode(errors="replace") for x in part.column("line").to_pylist()]
-            low, runs = minima(lines, _SIGN_A, _SIGN_B)
-            keys = _keys(minima(lines, _A, _B)[0])
+            low, keys = minima(lines, _SIGN_A, _SIGN_B), _keys(minima(lines, _A, _B))
             signs = [s.tobytes() + k.tobytes() for s, k in zip((low >> np.uint32(3)).astype(np.uint8), keys, strict=True)]
-            n = [len(np.unique(r)) for r in runs]
+            n = [len(x) for x in shingles(lines)]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n, pa.int32()), pa.array(signs, pa.binary())], ["node", "n", "sign"])
 
 
-def shingles(line: str) -> set[str]:
-    """The distinct runs of CHARS characters of a line; a shorter line is one."""
-    return {line[k : k + CHARS] for k in range(max(1, len(line) - CHARS + 1))}
-
+def line_set(line: bytes) -> set[int]:
+    return set(shingles([line.decode(errors="replace")])[0].tolist())
 
-def lower(line: str) -> str:
-    return line.translate(_LOWER)
 
-
-def line_set(line: bytes) -> set[str]:
-    return shingles(lower(line.decode(errors="replace")))
-
-
-def alike(a: str, b: str, x: set[str] | None = None, y: set[str] | None = None) -> bool:
-    """Whether two lowered lines reach the similarity; their shingles may be given."""
-    x, y = x or shingles(a), y or shingles(b)
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two lines reach the similarity, by their distinct shingles."""
     if 100 * min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
         return False
-    both = len(x & y)
+    both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= SIMILAR * (len(x) + len(y) - both)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: list[tuple[bytes, str, set[str]]] = [(b"", "", set()), (b"", "", set())]
     for batch in batches:
-        ok = []
-        for pair in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True):
-            for k, line in enumerate(pair):  # rows come in order of one side, so one of the two is often the last one
-                if last[k][0] != line or not last[k][2]:
-                    text = lower(line.decode(errors="replace"))
-                    last[k] = (line, text, shingles(text))
-            ok.append(alike(last[0][1], last[1][1], last[0][2], last[1][2]))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            one, two = (part.column(c).to_pylist() for c in ("line_a", "line_b"))
+            kinds = list(dict.fromkeys(one + two))  # a pivot stands in many pairs
+            sets = dict(zip(kinds, shingles([x.decode(errors="replace") for x in kinds]), strict=True))
+            ok = [alike(sets[x], sets[y]) for x, y in zip(one, two, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
