@@ -50,7 +50,7 @@ def register_lexicon(left: DataFrame, right: DataFrame, prior: float = 1000.0, l
 def collocations(pairs: DataFrame, least: int = 3, least_docs: int = 2) -> DataFrame:
     """``(doc_id, a, b)`` pairs to pointwise mutual information with counts and documents, from the marginals."""
     per_doc = pairs.groupBy("a", "b", "doc_id").agg(F.count("*").alias("n"))
-    cells = per_doc.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    cells = materialize(per_doc.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "pairs")  # read four times
     one, two = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
     total = F.broadcast(cells.agg(F.sum("n").alias("total")))
     kept = cells.where((F.col("n") >= least) & (F.col("docs") >= least_docs)).join(one, "a").join(two, "b").join(total)

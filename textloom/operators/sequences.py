@@ -72,7 +72,10 @@ def run_lengths(df: DataFrame, keys: Sequence[str], order: str, value: str) -> D
 
 
 def weighted_schedule(df: DataFrame, key: str, item: str, start: str, end: str, weight: str) -> DataFrame:
-    """For each key the intervals of the compatible subset of greatest total weight; touching ones are compatible."""
+    """For each key the intervals of the compatible subset of greatest total weight; touching ones are compatible.
+
+    The best subset is sought within each island of overlapping intervals, so that a task holds an island, not a key.
+    """
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([end, start, item]).reset_index(drop=True)
@@ -91,7 +94,10 @@ def weighted_schedule(df: DataFrame, key: str, item: str, start: str, end: str,
         return rows.loc[sorted(taken), [key, item, start, end, weight]]
 
     picked = df.select(key, item, start, end, weight)
-    return picked.groupBy(key).applyInPandas(best, picked.schema)
+    before = Window.partitionBy(key).orderBy(start, end, item).rowsBetween(Window.unboundedPreceding, -1)
+    marked = picked.withColumn("__reach", F.max(end).over(before))
+    placed = islands(marked, [key], [start, end, item], F.col(start) >= F.col("__reach"), "__island").drop("__reach")
+    return placed.groupBy(key, "__island").applyInPandas(best, picked.schema)
 
 
 def isotonic(df: DataFrame, x: str, y: str, weight: str) -> DataFrame:

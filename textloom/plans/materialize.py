@@ -1,7 +1,8 @@
 """Cutting lineage through the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset (tests, a laptop) a temporary folder
-stands in for it. Steps are written as Parquet, so that later reads prune columns and survive lost executors.
+``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset and the master is local (tests, a laptop) a
+temporary folder stands in for it. Steps are written as Parquet, so that later reads prune columns and survive lost
+executors; they stay there until whoever owns the folder clears it, since a result may still read them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-textloom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()

@@ -283,8 +283,9 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", tx.kilobytes(said).alias("kb"))
 
 
-@register("f10_levenshtein", "SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON left(a.p_name, 1) = left(b.p_name, 1) AND a.p_name < b.p_name")
+@register("f10_levenshtein", "SELECT a.p_partkey, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def levenshtein(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").select("p_name").distinct().withColumn("k", F.left("p_name", F.lit(1)))
-    pairs = names.alias("x").join(names.alias("y"), "k").where("x.p_name < y.p_name")
-    return pairs.select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b"), F.levenshtein("x.p_name", "y.p_name").cast("long").alias("distance"))
+    """Each name against that of the next part."""
+    names = table(spark, d, "part").select("p_partkey", "p_name")
+    after = names.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return names.join(after, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").cast("long").alias("distance"))

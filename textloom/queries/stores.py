@@ -113,10 +113,14 @@ def split_cards(spark: SparkSession, d: str) -> DataFrame:
     return wide.withColumn("total", F.col("train") + F.col("dev") + F.col("test"))
 
 
-def case_events(spark: SparkSession, d: str) -> DataFrame:
+def as_case_events(events: DataFrame) -> DataFrame:
     """The event table as a log of cases: users are keys, tens of the value are parsers."""
     kind = F.when(F.col("event_type") == "error", "found").when(F.col("event_type") == "click", "learned").otherwise("open")
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.floor(F.col("value") / 10).alias("parser"), kind.alias("event"))
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.floor(F.col("value") / 10).alias("parser"), kind.alias("event"))
+
+
+def case_events(spark: SparkSession, d: str) -> DataFrame:
+    return as_case_events(table(spark, d, "events"))
 
 
 _LOG = "SELECT event_id AS seq, user_id AS key, CAST(floor(value / 10) AS BIGINT) AS parser, CASE event_type WHEN 'error' THEN 'found' WHEN 'click' THEN 'learned' ELSE 'open' END AS event FROM events"
@@ -128,6 +132,21 @@ def case_state(spark: SparkSession, d: str) -> DataFrame:
     return cs.case_state(case_events(spark, d))
 
 
+@register("r1_case_state_stream", f"WITH {_STATE} SELECT * FROM s")
+def case_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same fold with state kept by a stream over the event log; the last row of each key is its state.
+
+    The path is a pattern, since a stream refuses the plain path of a table that is one file.
+    """
+    log = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    out = new_path(spark, "cases")
+    cs.append_batches(cs.case_state_stream(as_case_events(log)), out, new_path(spark, "cases-log")).awaitTermination()
+    rows = spark.read.schema("key long, found long, views string, batch long").parquet(out)
+    last = rows.groupBy("key").agg(F.max_by(F.struct("found", "views"), "batch").alias("s")).where("s.found > 0")
+    views = last.select("key", F.col("s.found").alias("found"), F.explode(F.split("s.views", ";")).alias("view"))
+    return views.withColumn("v", F.split("view", "=")).select("key", F.col("v")[0].cast("long").alias("parser"), "found", F.col("v")[1].alias("state"))
+
+
 @register("r2_record", f"WITH {_STATE}, n AS (SELECT DISTINCT key, parser FROM l WHERE event = 'found') SELECT n.key, n.parser FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.key = n.key AND s.parser = n.parser AND state = 'open')")
 def record(spark: SparkSession, d: str) -> DataFrame:
     events = case_events(spark, d)
@@ -152,6 +171,15 @@ def harvest(spark: SparkSession, d: str) -> DataFrame:
     return cs.latest_records(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_id", "event_type")
 
 
+@register("r5_harvest_stream", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tags FROM events GROUP BY user_id")
+def harvest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The table that a stream over the events appends to, and the latest record of each key in it."""
+    rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    out = new_path(spark, "harvest")
+    cs.harvest_stream(rows, out, new_path(spark, "harvest-log")).awaitTermination()
+    return cs.latest_records(spark.read.schema(rows.schema).parquet(out), "user_id", ["ts", "event_id"], "event_id", "event_type")
+
+
 @register("r6_first_valid_reply", """WITH v AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' AND length(text) > 100 GROUP BY conv_id) SELECT conv_id, turn, length(text) AS size FROM v JOIN conversations USING (conv_id, turn) WHERE conv_id NOT IN (SELECT item_id FROM benchmark)""")
 def first_reply(spark: SparkSession, d: str) -> DataFrame:
     valid = table(spark, d, "conversations").where("role = 'assistant' and length(text) > 100")

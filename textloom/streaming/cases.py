@@ -68,6 +68,15 @@ def harvest_stream(rows: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_batches(rows: DataFrame, path: str, checkpoint: str):
+    """Writes the updates of a stream with state to ``path``, a folder for each batch; ends when all input is read."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def online_regression(rows: DataFrame, key: str, order: str, y: str, xs: list[str], ridge: float = 1.0) -> DataFrame:
     """Recursive least squares for each key in order: forecast before the update, leverage and summed squared error."""
     import numpy as np
