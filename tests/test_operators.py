@@ -375,3 +375,21 @@ def test_spans_are_matched_in_order(spark):
     got = ag.match_spans(frame(0), frame(1), verbs).first()
     assert tuple(got) == (right, wrong, sum(len(x[1]) for x in data.values())) and right > 10
     assert tuple(ag.match_spans(frame(0).limit(0), frame(1).limit(0), verbs).first()) == (0, 0, 0)
+
+
+def test_online_regression_equals_the_recursion(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = [(k, i, rng.random(), rng.choice([0.0, 1.0, 3.5]), rng.random() * 9) for k in (1, 2) for i in range(40)] + [(3, 0, 1.0, 2.0, 3.0)]
+    got = {(r["k"], r["i"]): (r["forecast"], r["leverage"], r["squared_error"]) for r in cs.online_regression(spark.createDataFrame(rows, "k long, i long, a double, b double, y double"), "k", "i", "y", ["a", "b"], 0.5).collect()}
+    for key in (1, 2, 3):
+        p, theta, total = np.eye(3) / 0.5, np.zeros(3), 0.0
+        for k, i, a, b, y in rows:
+            if k == key:
+                x = np.array([1, a, b])
+                px, forecast = p @ x, float(x @ theta)
+                h, e = float(x @ px), y - forecast
+                theta, p, total = theta + px * e / (1 + h), p - np.outer(px, px) / (1 + h), total + e * e
+                assert np.allclose(got[k, i], (forecast, h, total), atol=1e-8)
+    assert len(got) == 81

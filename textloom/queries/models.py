@@ -155,7 +155,9 @@ def residual_tally(spark: SparkSession, d: str) -> DataFrame:
     return same_keys(counts, some, ["layer", "class"]).select("layer", "class", "items", "bits", "examples")
 
 
-@register("e17_claims_support")
+@register("e17_claims_support", """WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id AS source, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS wc FROM conversations WHERE role = 'assistant'), s AS (SELECT conv_id AS source, list_distinct(regexp_extract_all(lower(x), '[a-z]{3,}')) AS ws FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[^.!?]+')) AS x FROM conversations WHERE role = 'user')),
+    j AS (SELECT id, ws, round(coalesce(len(list_intersect(wc, ws)) / nullif(len(wc) + len(ws) - len(list_intersect(wc, ws)), 0), 0), 3) AS overlap FROM c LEFT JOIN s USING (source)), b AS (SELECT id, max(overlap) AS overlap, bool_or(ws IS NOT NULL) AS cited FROM j GROUP BY id)
+    SELECT id, overlap, CASE WHEN NOT cited THEN 'uncited' WHEN overlap >= 0.2 THEN 'sourced' ELSE 'weak' END AS verdict FROM b""")
 def claims_support(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     claims = c.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("source"), "text")

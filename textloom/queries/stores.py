@@ -159,11 +159,13 @@ def recheck(spark: SparkSession, d: str) -> DataFrame:
     return cs.recheck(state, state.select("key", "parser", ((F.col("key") + F.col("parser")) % 2 == 0).alias("right")))
 
 
-@register("r4_online_regression")
+@register("r4_online_regression", """WITH e AS (SELECT user_id, event_id, value AS y, hour(ts)::DOUBLE AS x FROM events), s AS (SELECT *, 1 + count(*) OVER w AS a, coalesce(sum(x) OVER w, 0) AS b, 1 + coalesce(sum(x * x) OVER w, 0) AS c, coalesce(sum(y) OVER w, 0) AS p, coalesce(sum(x * y) OVER w, 0) AS q FROM e
+    WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), f AS (SELECT user_id, event_id, y, ((c * p - b * q) + (a * q - b * p) * x) / (a * c - b * b) AS forecast, ((c - b * x) + (a * x - b) * x) / (a * c - b * b) AS leverage FROM s)
+    SELECT user_id, event_id, round(forecast, 6) AS forecast, round(leverage, 9) AS leverage, round(sum((y - forecast) ** 2) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS squared_error FROM f""")
 def online(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", "value", F.hour("ts").cast("double").alias("hour"))
     out = cs.online_regression(e, "user_id", "event_id", "value", ["hour"])
-    return out.select("user_id", "event_id", F.round("forecast", 6).alias("forecast"), F.round("leverage", 6).alias("leverage"), F.round("squared_error", 4).alias("squared_error"))
+    return out.select("user_id", "event_id", F.round("forecast", 6).alias("forecast"), F.round("leverage", 9).alias("leverage"), F.round("squared_error", 4).alias("squared_error"))
 
 
 @register("r5_incremental_harvest", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tags FROM events GROUP BY user_id")

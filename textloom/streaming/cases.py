@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,23 +78,32 @@ def append_batches(rows: DataFrame, path: str, checkpoint: str):
 
 
 def online_regression(rows: DataFrame, key: str, order: str, y: str, xs: list[str], ridge: float = 1.0) -> DataFrame:
-    """Recursive least squares for each key in order: forecast before the update, leverage and summed squared error."""
+    """Recursive least squares for each key in order: forecast before the update, leverage and summed squared error.
+
+    What the recursion knows at a row are sums over the rows before it: they are running sums, and each row then solves
+    its own small system, so no task gathers the rows of a key.
+    """
     import numpy as np
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        k = len(xs) + 1
-        p, theta, total, out = np.eye(k) / ridge, np.zeros(k), 0.0, []
-        for row in pdf[[*xs, y]].to_numpy(float):
-            x = np.append(1.0, row[:-1])
-            px = p @ x
-            h, forecast = x @ px, x @ theta
-            e = row[-1] - forecast
-            theta = theta + px * e / (1 + h)
-            p = p - np.outer(px, px) / (1 + h)
-            total += e * e
-            out.append((forecast, h, total))
-        f, h, t = zip(*out, strict=True)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "forecast": f, "leverage": h, "squared_error": t})
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} long, {order} long, forecast double, leverage double, squared_error double")
+    terms = [F.lit(1.0), *(F.col(c).cast("double") for c in xs)]
+    k = len(terms)
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    known = rows.select(key, order, F.array(*terms).alias("x"), F.col(y).cast("double").alias("y"), F.array(*(total(terms[i] * terms[j]) for i, j in upper)).alias("gram"), F.array(*(total(t * F.col(y)) for t in terms)).alias("xy"))
+
+    def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for b in batches:
+            x, g = np.stack(b["x"].to_numpy()), np.stack(b["gram"].to_numpy())
+            gram = np.zeros((len(b), k, k)) + ridge * np.eye(k)
+            for at, (i, j) in enumerate(upper):
+                gram[:, i, j] += g[:, at]
+                if i != j:
+                    gram[:, j, i] += g[:, at]
+            both = np.linalg.solve(gram, np.stack([x, np.stack(b["xy"].to_numpy())], axis=2))
+            forecast = (x * both[:, :, 1]).sum(axis=1)
+            yield pd.DataFrame({key: b[key], order: b[order], "forecast": forecast, "leverage": (x * both[:, :, 0]).sum(axis=1), "error": (b["y"].to_numpy() - forecast) ** 2})
+
+    found = known.mapInPandas(solve, f"{key} long, {order} long, forecast double, leverage double, error double")
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("squared_error", F.sum("error").over(upto)).drop("error")
