@@ -139,3 +139,18 @@ def paragraph_windows(df: DataFrame, key: str, text: str, sentences: int, salt:
     before = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     grown = counted.withColumn("upto", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("upto") < sentences)
     return grown.groupBy(key).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum("n").alias("sentences"))
+
+
+def within_quotas(windows: DataFrame, books: DataFrame, key: str, book: str, order: str, size: str, total: int) -> DataFrame:
+    """Windows in ``order`` (then ``key``) within each book as long as their sizes stay within the book's quota.
+
+    ``books(book, weight)``: a quota is ``total`` by the book's share of all weights, rounded. The running sums are taken
+    over ranges of all windows, so that a book may hold most of them.
+    """
+    rows = windows.withColumn("__at", F.struct(book, order, key))
+    summed = running_total(rows, "__at", size, "__upto")
+    base = summed.groupBy(book).agg(F.min(F.col("__upto") - F.col(size)).alias("__base"))
+    whole = F.broadcast(books.agg(F.sum("weight").alias("__whole")))  # one row
+    quota = books.join(whole).select(book, F.round(total * F.col("weight") / F.col("__whole")).cast("long").alias("__quota"))
+    kept = summed.join(base, book).join(quota, book).where(F.col("__upto") - F.col("__base") <= F.col("__quota"))
+    return kept.drop("__at", "__upto", "__base", "__quota")

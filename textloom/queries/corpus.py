@@ -289,3 +289,18 @@ def levenshtein(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").select("p_partkey", "p_name")
     after = names.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
     return names.join(after, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").cast("long").alias("distance"))
+
+
+@register("f1_string", "SELECT p_partkey, lower(p_name) AS low, substr(p_name, 2, 3) AS middle, length(p_name) AS size, split_part(p_brand, '#', 2) AS brand, replace(p_type, 'S', 's') AS kind, trim('  ' || p_name || ' ') AS trimmed, left(p_name, 4) AS start, p_type LIKE '%STEEL%' AS steel, contains(p_name, 'a') AS has_a FROM part")
+def strings(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_name")
+    return table(spark, d, "part").select(
+        "p_partkey", F.lower(n).alias("low"), F.substring(n, 2, 3).alias("middle"), F.length(n).cast("long").alias("size"), F.split_part("p_brand", F.lit("#"), F.lit(2)).alias("brand"), F.replace("p_type", F.lit("S"), F.lit("s")).alias("kind"), F.trim(F.concat(F.lit("  "), n, F.lit(" "))).alias("trimmed"),
+        F.left(n, F.lit(4)).alias("start"), F.col("p_type").like("%STEEL%").alias("steel"), F.contains(n, F.lit("a")).alias("has_a"),
+    )
+
+
+@register("f2_regex", r"SELECT doc_id, regexp_extract(text, '([A-Z][a-z]+)', 1) AS first_name, md5(regexp_replace(text, '[0-9]+', '#', 'g')) AS masked, regexp_matches(text, '[0-9]{3}') AS has_number, len(regexp_split_to_array(text, '[ \n]+')) AS parts FROM documents")
+def regexes(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.regexp_extract(t, "([A-Z][a-z]+)", 1).alias("first_name"), F.md5(F.regexp_replace(t, "[0-9]+", "#")).alias("masked"), t.rlike("[0-9]{3}").alias("has_number"), F.size(F.split(t, r"[ \n]+")).cast("long").alias("parts"))

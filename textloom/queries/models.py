@@ -184,6 +184,24 @@ def related_whole(spark: SparkSession, d: str) -> DataFrame:
     return shared_entities(spark, d, "true")
 
 
+@register("g9_related_by_all_edges", """WITH o AS (SELECT o_orderkey AS doc, o_custkey AS author, o_orderdate AS placed FROM orders), k AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS e FROM lineitem), n AS (SELECT count(DISTINCT doc) AS n FROM k), w AS (SELECT doc, e, ln(n / count(*) OVER (PARTITION BY e)) AS idf FROM k, n),
+    m AS (SELECT doc, sum(idf) AS mine FROM w GROUP BY doc), c AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS other FROM lineitem), s AS (SELECT doc, lead(doc) OVER (PARTITION BY author ORDER BY placed, doc) AS other, 1.0 / (1 + date_diff('day', placed, lead(placed) OVER (PARTITION BY author ORDER BY placed, doc))) AS weight FROM o),
+    e AS (SELECT a.doc, b.doc AS other, 5 * round(sum(a.idf) / any_value(mine), 6) AS w FROM w a JOIN k b ON a.e = b.e JOIN m ON m.doc = a.doc WHERE a.doc % 20 = 0 GROUP BY a.doc, b.doc HAVING sum(a.idf) > 0 UNION ALL SELECT doc, other, 3.0 FROM c UNION ALL SELECT other, doc, 3.0 FROM c UNION ALL SELECT a.doc, b.doc, 2.0 FROM o a JOIN o b USING (author)
+      UNION ALL SELECT doc, other, 4.0 * greatest(weight, 0.1) FROM s WHERE other IS NOT NULL UNION ALL SELECT other, doc, 4.0 * greatest(weight, 0.1) FROM s WHERE other IS NOT NULL) SELECT doc, other, round(sum(w), 6) AS strength FROM e WHERE doc % 20 = 0 AND doc <> other GROUP BY doc, other""")
+def related_by_all_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents: parts are entities, suppliers' numbers citations, the customer the author, and the next order
+    of a customer is similar by its distance in days. The documents whose id is divisible by 20 against all."""
+    from textloom.operators import graph as gr
+
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("at"))
+    l = table(spark, d, "lineitem")
+    w = Window.partitionBy("author").orderBy("at", "doc")
+    after = o.select("doc", F.lead("doc").over(w).alias("other"), (1.0 / (1 + F.datediff(F.lead("at").over(w), "at"))).alias("weight")).where("other is not null")
+    cites = l.select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("other")).distinct()
+    asked = o.select("doc").union(l.select("l_orderkey")).union(l.select("l_suppkey")).where("doc % 20 = 0").distinct()
+    return gr.related_documents(asked, l.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("e")).distinct(), cites, o.select("doc", "author"), after)
+
+
 def shared_entities(spark: SparkSession, d: str, asked: str) -> DataFrame:
     """Documents that share entities with those ``asked`` for, by the share of the idf of their own."""
     k = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("e")).distinct()

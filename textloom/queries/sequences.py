@@ -92,6 +92,19 @@ def paragraph_windows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return sq.paragraph_windows(docs, "doc_id", "text", 6, "seed")
 
+_WINDOWS = f"""p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) > 0) AS p FROM documents), a AS (SELECT doc_id, {_U.format("'seed' || doc_id")} % len(p) AS start, unnest(generate_series(0, len(p) - 1)) AS k, p FROM p WHERE len(p) > 0),
+    n AS (SELECT doc_id, k, len(regexp_extract_all(p[k + 1], '[.!?]+')) AS n FROM a WHERE k >= start), u AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM n), win AS (SELECT doc_id, min(k)::INTEGER AS first, max(k)::INTEGER AS last, sum(n)::BIGINT AS sentences FROM u WHERE upto < 6 GROUP BY doc_id)"""
+
+
+@register("w15_windows_within_quotas", f"""WITH {_WINDOWS}, s AS (SELECT source, sum(len(regexp_extract_all(text, '[.!?]+'))) AS weight FROM documents GROUP BY source), q AS (SELECT source, CAST(round(600 * weight / sum(weight) OVER ()) AS BIGINT) AS quota FROM s),
+    r AS (SELECT doc_id, source, first, last, sentences, sum(sentences) OVER (PARTITION BY source ORDER BY {_U.format("'order' || doc_id")}, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM win JOIN documents USING (doc_id)) SELECT doc_id, source, first, last, sentences FROM r JOIN q USING (source) WHERE upto <= quota""")
+def windows_within_quotas(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    books = docs.groupBy("source").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[.!?]+"), 0))).alias("weight"))
+    windows = paragraph_windows(spark, d).join(docs.select("doc_id", "source"), "doc_id").withColumn("h", sm.hash_order(F.col("doc_id"), "order"))
+    return sq.within_quotas(windows, books, "doc_id", "source", "h", "sentences", 600).select("doc_id", "source", "first", "last", "sentences")
+
+
 
 @register("t4_quotas")
 def quotas(spark: SparkSession, d: str) -> DataFrame:
