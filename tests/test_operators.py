@@ -393,3 +393,40 @@ def test_online_regression_equals_the_recursion(spark):
                 theta, p, total = theta + px * e / (1 + h), p - np.outer(px, px) / (1 + h), total + e * e
                 assert np.allclose(got[k, i], (forecast, h, total), atol=1e-8)
     assert len(got) == 81
+
+
+def test_best_assignment_of_all():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        gain = np.round(rng.random((rng.integers(1, 5), rng.integers(1, 5))) * (rng.random() < 0.9), 1)
+        small = gain if gain.shape[0] <= gain.shape[1] else gain.T
+        want = max(sum(small[i, p[i]] for i in range(len(small))) for p in itertools.permutations(range(small.shape[1]), len(small)))
+        assert abs(ag.best_assignment(gain) - want) < 1e-9
+
+
+def test_entities_matched_one_to_one(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "a", "y"), (1, "b", "y"), (1, None, "y"), (1, "c", None), (2, "a", "z")]
+    got = ag.ceaf_e(spark.createDataFrame(rows, "doc long, gold string, system string")).first()
+    phi = 2 * 2 / (3 + 2) + 2 * 1 / (1 + 3) + 1
+    assert abs(got["recall"] - phi / 4) < 1e-9 and abs(got["precision"] - phi / 3) < 1e-9
+    assert ag.ceaf_e(spark.createDataFrame([], "doc long, gold string, system string")).first()["recall"] is None
+
+
+def test_gaps_between_common_words(spark):
+    rng = random.Random(5)
+    for _ in range(200):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 7))] for _ in "xy")
+        got = md._anchors(x, y)
+        longest = max(k for k in range(8) for c in itertools.combinations(range(len(x)), k) if k == 0 or _within([x[i] for i in c], y))
+        assert len(got) == longest and all(x[i] == y[j] for i, j in got) and all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(got))
+    pairs = [(["a", "old", "b", "c"], ["a", "new", "b", "so", "very", "c"])] * 6 + [(["a", "um", "b", "x"], ["a", "b", "x"])] * 5 + [(["q", "r"], ["q", "s"])] * 2
+    got = {tuple(r) for r in md.gap_tables(spark.createDataFrame(pairs, "x array<string>, y array<string>")).collect()}
+    assert got == {("swap", "old", "new", 6), ("insert", "c", "so very", 6), ("drop", "um", "", 5)}
+    assert md.gap_tables(spark.createDataFrame([(None, ["a"]), ([], [])], "x array<string>, y array<string>")).count() == 0
+
+
+def _within(part, whole) -> bool:
+    at = iter(whole)
+    return all(w in at for w in part)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,3 +193,54 @@ def select_candidate(gains: DataFrame, replicates: int = 200) -> DataFrame:
     fits = (F.col("dev") > 0) & (F.col("held_gain") >= 0) & (F.col("p") < 0.05)
     best = scored.agg(F.min_by("candidate", F.when(fits, F.struct(-F.col("dev"), F.col("candidate")))).alias("best"))
     return scored.join(F.broadcast(best)).select("candidate", "dev", "held_gain", "p", F.coalesce(F.col("candidate") == F.col("best"), F.lit(False)).alias("chosen"))
+
+
+def best_assignment(gain: np.ndarray) -> float:
+    """The greatest sum of entries of which no two share a row or column (shortest augmenting paths over potentials)."""
+    cost = -(gain if gain.shape[0] <= gain.shape[1] else gain.T)
+    rows, columns = cost.shape
+    u, v, row_of = np.zeros(rows + 1), np.zeros(columns + 1), np.zeros(columns + 1, int)
+    for r in range(1, rows + 1):
+        row_of[0], j = r, 0
+        least, seen, back = np.full(columns + 1, np.inf), np.zeros(columns + 1, bool), np.zeros(columns + 1, int)
+        while row_of[j]:
+            seen[j] = True
+            i = row_of[j]
+            slack = cost[i - 1] - u[i] - v[1:]
+            better = ~seen[1:] & (slack < least[1:])
+            least[1:][better], back[1:][better] = slack[better], j
+            free = np.flatnonzero(~seen[1:]) + 1
+            to = free[np.argmin(least[free])]
+            step = least[to]
+            u[row_of[seen]] += step
+            v[seen] -= step
+            least[~seen] -= step
+            j = to
+        while j:
+            row_of[j] = row_of[back[j]]
+            j = back[j]
+    return float(sum(-cost[row_of[j] - 1, j - 1] for j in range(1, columns + 1) if row_of[j]))
+
+
+def ceaf_e(mentions: DataFrame) -> DataFrame:
+    """CEAF-e of ``mentions(doc, gold, system)``: ``(recall, precision)``, entities of a document matched one to one for the
+    greatest sum of 2 * common / (size + size). A mention without an entity on one side counts for the other alone."""
+    sizes = lambda c: mentions.where(F.col(c).isNotNull()).groupBy("doc", c).agg(F.count("*").alias(f"n_{c}"))
+    gold, system = sizes("gold"), sizes("system")
+    cells = mentions.dropna().groupBy("doc", "gold", "system").agg(F.count("*").alias("both")).join(gold, ["doc", "gold"]).join(system, ["doc", "system"])
+    per = cells.groupBy("doc").agg(F.collect_list(F.struct(F.col("gold").cast("string").alias("g"), F.col("system").cast("string").alias("s"), (2 * F.col("both") / (F.col("n_gold") + F.col("n_system"))).alias("phi"))).alias("cells"))
+
+    def match(batches):
+        for b in batches:
+            out = []
+            for row in b["cells"]:
+                g, s = (sorted({c[k] for c in row}) for k in "gs")
+                gain = np.zeros((len(g), len(s)))
+                for c in row:
+                    gain[g.index(c["g"]), s.index(c["s"])] = c["phi"]
+                out.append(best_assignment(gain))
+            yield b[["doc"]].assign(phi=out)
+
+    total = per.select("doc", "cells").mapInPandas(match, f"doc {dict(mentions.dtypes)['doc']}, phi double").agg(F.coalesce(F.sum("phi"), F.lit(0.0)).alias("phi"))
+    counts = gold.agg(F.count("*").alias("g")).join(system.agg(F.count("*").alias("s")))  # one row each
+    return total.join(counts).select((F.col("phi") / F.nullif(F.col("g"), F.lit(0))).alias("recall"), (F.col("phi") / F.nullif(F.col("s"), F.lit(0))).alias("precision"))

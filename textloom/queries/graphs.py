@@ -402,6 +402,14 @@ def coref_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
+@register("e10_ceaf_e", """WITH c AS (SELECT l_suppkey AS doc, l_returnflag AS g, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT doc, g, s, 2 * n / (sum(n) OVER (PARTITION BY doc, g) + sum(n) OVER (PARTITION BY doc, s)) AS v FROM c),
+    b AS (SELECT doc, v FROM p UNION ALL SELECT f.doc, f.v + o.v FROM p f JOIN p o ON f.doc = o.doc AND f.s = 'F' AND o.s = 'O' AND f.g <> o.g), m AS (SELECT doc, max(v) AS v FROM b GROUP BY doc)
+    SELECT round((SELECT sum(v) FROM m) / (SELECT count(*) FROM (SELECT DISTINCT doc, g FROM c)), 6) AS recall, round((SELECT sum(v) FROM m) / (SELECT count(*) FROM (SELECT DISTINCT doc, s FROM c)), 6) AS precision""")
+def ceaf_e(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_returnflag").alias("gold"), F.col("l_linestatus").alias("system"))
+    return ag.ceaf_e(m).select(F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
 @register("e20_select_candidate")
 def select_candidate(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").select((F.col("l_suppkey") % 6).alias("candidate"), F.col("l_orderkey").alias("item"), (F.col("l_orderkey") % 2 == 0).alias("held"), (F.col("l_discount") - 0.0495).alias("gain"))

@@ -101,6 +101,14 @@ def gap_questions(spark: SparkSession, d: str) -> DataFrame:
     return md.gap_questions(w, lexicon)
 
 
+@register("c20_gap_tables")
+def gap_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn against the next; common subsequences aren't SQL, a test holds them to plain Python."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", tx.words(F.col("text")).alias("x"))
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
+    return md.gap_tables(c.join(after, ["conv_id", "turn"]))
+
+
 @register("c20_substitutions", """WITH p AS (SELECT string_split(a.text, ' ') AS x, string_split(b.text, ' ') AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), w AS (SELECT x[i] AS a, y[i] AS b FROM (SELECT x, y, unnest(generate_series(1, least(len(x), len(y)))) AS i FROM p)) SELECT a, b, count(*) AS n FROM w WHERE a <> b GROUP BY a, b HAVING count(*) >= 2""")
 def substitutions(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
