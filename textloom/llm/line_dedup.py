@@ -224,7 +224,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
     best = materialize(best.union(stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b")).distinct(), "line-best")
     wanted = members.select("node").distinct()
-    texts = docs.select("text").mapInArrow(_texts, "node long, line binary").join(wanted, "node", "left_semi")
+    texts = docs.select("text").mapInArrow(_texts, "node long, line binary").join(wanted.hint("shuffle_hash"), "node", "left_semi")
     texts = materialize(texts.dropDuplicates(["node"]), "line-texts")
     parts = materialize(connected_components(_confirm(best, texts)), "line-parts")
 
@@ -246,11 +246,12 @@ def line_components(docs: DataFrame) -> DataFrame:
 def lines_to_drop(docs: DataFrame) -> DataFrame:
     """``(doc_id, lines)``: for documents that lose any, the numbers (from 0) of the lines that aren't the first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    # Hints: the side with texts or all lines needn't be sorted; the other has a key once, and a partition of it is small.
     parts = line_components(docs)
     places = docs.mapInArrow(_places, "node long, doc_id long, line_no int")
-    placed = places.join(parts, "node", "left").select(F.coalesce("component", "node").alias("part"), "doc_id", "line_no")
+    placed = places.join(parts.hint("shuffle_hash"), "node", "left").select(F.coalesce("component", "node").alias("part"), "doc_id", "line_no")
     firsts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first")).where("n > 1")
-    gone = placed.join(firsts, "part").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no")))
+    gone = placed.join(firsts.hint("shuffle_hash"), "part").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no")))
     return gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("lines"))
 
 
@@ -281,7 +282,7 @@ def drop_repeated_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFram
     doc_ids are unique. An empty table gives an empty one.
     """
     gone = lines_to_drop(docs).select(F.col("doc_id").alias("__doc"), F.col("lines").alias(_MARK))
-    joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").select(*(docs[c] for c in docs.columns), _MARK)
+    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__doc"], "left").select(*(docs[c] for c in docs.columns), _MARK)
     return joined.mapInArrow(_without(docs.columns, drop_emptied), docs.schema)
 
 
@@ -289,7 +290,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines with a word, lines dropped, and a digest of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = lines_to_drop(docs).select("doc_id", F.col("lines").alias(_MARK))
-    joined = docs.join(gone, "doc_id", "left").select("doc_id", "text", _MARK)
+    joined = docs.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", _MARK)
     full = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0))
     counted = joined.select("doc_id", "text", full.cast("long").alias("n_lines"), F.coalesce(F.size(_MARK), F.lit(0)).cast("long").alias("n_dropped"), _MARK)
     columns = ["doc_id", "text", "n_lines", "n_dropped"]
