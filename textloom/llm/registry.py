@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["license_scan", "near_dup", "decontaminate", "quality_rules", "sharding", "quality_model", "language_id", "pieces", "suffix_dedup", "line_dedup", "filter_audit", "language_model"]
+MODULES = ["license_scan", "near_dup", "decontaminate", "quality_rules", "sharding", "quality_model", "language_id", "pieces", "suffix_dedup", "line_dedup", "filter_audit", "merkle", "language_model"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
