@@ -168,18 +168,23 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer()
 
 
-def arcs(counts: list[np.ndarray], n: int, kinds: int, prior: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Weights at each place, by order: of the arc for the token there out of a state of k tokens, and of the failure
-    arc of that state. ``counts[k]`` has the count of the n-gram of k + 1 tokens that ends at a place."""
-    before = lambda x: np.concatenate([[0], x[:-1]])  # noqa: E731  the state ends a place earlier
-    p = (counts[0] + 1) / (n + kinds + 1)
-    found, failed = [np.log10(p)], [np.zeros(len(p))]
-    for k in range(1, len(counts)):
-        context = before(counts[k - 1])
-        p = (counts[k] + prior * p) / (context + prior)
-        found.append(np.log10(p))
-        failed.append(np.log10(prior / (context + prior)))
-    return found, failed
+class Arcs:
+    """Weights of arcs, worked out where they are asked for. ``counts[k]`` has the count of the n-gram of k + 1 tokens
+    that ends at a place."""
+
+    def __init__(self, counts: list[np.ndarray], n: int, kinds: int, prior: float) -> None:
+        self.counts, self.all, self.prior = counts, n + kinds + 1, prior
+
+    def found(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Of the arcs for the tokens at these places out of states of k tokens."""
+        p = (self.counts[0][at] + 1) / self.all
+        for j in range(1, k + 1):
+            p = (self.counts[j][at] + self.prior * p) / (self.counts[j - 1][at - 1] + self.prior)
+        return np.log10(p)
+
+    def failed(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Of the failure arcs of the states of k tokens before these places."""
+        return np.log10(self.prior / (self.counts[k - 1][at - 1] + self.prior))
 
 
 def traverse(counts: list[np.ndarray], lengths: np.ndarray, n: int, kinds: int, prior: float, lane: int = LANE) -> np.ndarray:
@@ -189,7 +194,7 @@ def traverse(counts: list[np.ndarray], lengths: np.ndarray, n: int, kinds: int,
     state is that of a traversal from the beginning. ``counts`` are those of the n-grams that end at each place, 0 where
     a document has no such n-gram.
     """
-    found, failed = arcs(counts, n, kinds, prior)
+    arcs = Arcs(counts, n, kinds, prior)
     most = len(counts) - 1
     ends = np.cumsum(lengths)
     parts = -(-lengths // lane)
@@ -213,12 +218,12 @@ def traverse(counts: list[np.ndarray], lengths: np.ndarray, n: int, kinds: int,
             here = np.flatnonzero(todo & (s >= k))
             there = counts[k][at[here]] > 0
             hit, miss = here[there], here[~there]
-            gone[hit] += found[k][at[hit]]
+            gone[hit] += arcs.found(k, at[hit])
             to[hit] = min(k + 1, most)
             todo[hit] = False
-            gone[miss] += failed[k][at[miss]]
+            gone[miss] += arcs.failed(k, at[miss])
         rest = np.flatnonzero(todo)
-        gone[rest] += found[0][at[rest]]
+        gone[rest] += arcs.found(0, at[rest])
         to[rest] = np.minimum(counts[0][at[rest]] > 0, most)
         total[:live] += np.where(counted, gone, 0.0)
         state[:live] = to
@@ -237,11 +242,13 @@ def _walked(order: int, n: int, kinds: int, prior: float) -> Callable:
         counts = []
         for size in range(1, order + 1):
             at, keys = grams(hashes, lengths, size)
-            _, which = np.unique(keys, return_inverse=True)
+            which = np.unique(keys, return_inverse=True)[1]
+            del keys
             totals = np.concatenate([np.zeros(0, np.uint64), *(unpack(t) for s, _, t in rows if s == size)])
             count = np.zeros(len(hashes))
             count[at] = totals[which]
             counts.append(count)
+        del hashes, which, at
         doc = np.repeat(np.arange(len(lengths)), lengths)
         base = np.bincount(doc, np.log10((counts[0] + 1) / (n + kinds + 1)), len(lengths))
         known = np.bincount(doc, counts[0] > 0, len(lengths)).astype(np.int64)
