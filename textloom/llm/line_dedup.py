@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
 from textloom.llm.apart import SIGNS, joined_parts, keyed, links_apart, open_members
+from textloom.llm.rowkeys import row_keyed, unused
 from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
 
@@ -211,7 +212,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, _, (row, number, _, _, ids) in _chunks(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id").take(pa.array(first + row)), pa.array(number.astype(np.int32))], ["node", "doc_id", "line_no"])
+            of = pa.array(first + row)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("row").take(of), batch.column("doc_id").take(of), pa.array(number.astype(np.int32))], ["node", "row", "doc_id", "line_no"])
 
 
 def line_components(docs: DataFrame) -> DataFrame:
@@ -243,16 +245,26 @@ def line_components(docs: DataFrame) -> DataFrame:
     return joined_parts(parts, links_apart(still, signs, lines.select("node", F.col("line").alias("full")), line_set, SIGNS, BANDS))
 
 
-def lines_to_drop(docs: DataFrame) -> DataFrame:
-    """``(doc_id, lines)``: for documents that lose any, the numbers (from 0) of the lines that aren't the first."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+def lines_to_drop(rows: DataFrame) -> DataFrame:
+    """``rows(row, doc_id, text)`` to ``(row, lines)``: for rows that lose any, the numbers (from 0) of the lines that
+    aren't the first by doc_id, line number and row."""
+    rows = rows.where("doc_id is not null")
     # Hints: the side with texts or all lines needn't be sorted; the other has a key once, and a partition of it is small.
-    parts = line_components(docs)
-    places = docs.mapInArrow(_places, "node long, doc_id long, line_no int")
-    placed = places.join(parts.hint("shuffle_hash"), "node", "left").select(F.coalesce("component", "node").alias("part"), "doc_id", "line_no")
-    firsts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first")).where("n > 1")
-    gone = placed.join(firsts.hint("shuffle_hash"), "part").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no")))
-    return gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("lines"))
+    parts = line_components(rows)
+    places = rows.mapInArrow(_places, "node long, row long, doc_id long, line_no int")
+    placed = places.join(parts.hint("shuffle_hash"), "node", "left").select(F.coalesce("component", "node").alias("part"), "row", "doc_id", "line_no")
+    firsts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no", "row")).alias("first")).where("n > 1")
+    gone = placed.join(firsts.hint("shuffle_hash"), "part").where((F.col("row") != F.col("first.row")) | (F.col("line_no") != F.col("first.line_no")))
+    return gone.groupBy("row").agg(F.collect_list("line_no").alias("lines"))
+
+
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the lines that each row loses, in the column of that name."""
+    keyed, key, _ = row_keyed(docs, "line-docs")
+    mark = unused(_MARK, keyed.columns)
+    gone = lines_to_drop(keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    gone = gone.select(F.col("row").alias(key), F.col("lines").alias(mark))
+    return keyed.join(gone.hint("shuffle_hash"), key, "left").select(*docs.columns, mark), mark
 
 
 def _without(columns: list[str], drop_emptied: bool = False):
@@ -279,20 +291,19 @@ def drop_repeated_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFram
 
     Lines without a word stay, as do rows with a null text or doc_id. Rows that lose all lines stay with an empty text,
     or go (``drop_emptied``). Case of A-Z doesn't count; lines shorter than 8 characters are alike only if equal.
-    doc_ids are unique. An empty table gives an empty one.
+    Rows that share a doc_id are documents of their own: of their lines that are alike the one with the least number
+    stays, and of equal numbers that of either row. An empty table gives an empty one.
     """
-    gone = lines_to_drop(docs).select(F.col("doc_id").alias("__doc"), F.col("lines").alias(_MARK))
-    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__doc"], "left").select(*(docs[c] for c in docs.columns), _MARK)
+    joined, _ = _marked(docs)
     return joined.mapInArrow(_without(docs.columns, drop_emptied), docs.schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines with a word, lines dropped, and a digest of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = lines_to_drop(docs).select("doc_id", F.col("lines").alias(_MARK))
-    joined = docs.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", _MARK)
+    joined, mark = _marked(docs)
     full = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0))
-    counted = joined.select("doc_id", "text", full.cast("long").alias("n_lines"), F.coalesce(F.size(_MARK), F.lit(0)).cast("long").alias("n_dropped"), _MARK)
+    counted = joined.select("doc_id", "text", full.cast("long").alias("n_lines"), F.coalesce(F.size(mark), F.lit(0)).cast("long").alias("n_dropped"), mark)
     columns = ["doc_id", "text", "n_lines", "n_dropped"]
     left = counted.mapInArrow(_without(columns), "doc_id long, text string, n_lines long, n_dropped long")
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

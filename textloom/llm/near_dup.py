@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
 from textloom.llm.apart import LEAST_AGREEMENT, joined_parts, keyed, links_apart, open_members
+from textloom.llm.rowkeys import row_keyed
 from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
 
@@ -76,7 +77,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.array([tb.mix(s + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2)] + [len(s)], np.uint64)
             keys.append(both.tobytes())
             signs.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["row", "doc_id", "n_shingles", "set_key", "signature"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(shingle_sets(batch.column("text")))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["node", "full"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["node", "full"])
 
 
 def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -117,20 +118,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("100 * both >= 75 * (n - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to ``(doc_id, n_shingles, component_id, kept)``, one row per document.
-
-    ``component_id`` is the smallest doc_id reachable over links of similarity 0.75 or more. A null or empty text, or
-    one of white space only, has no shingles and is linked with nothing. Repeated texts share a component. A row without
-    a doc_id is linked with nothing: its component is null and it is kept. Ids are taken to be unique; other columns
-    are ignored, and an empty table gives an empty result.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = docs.mapInArrow(_features, "doc_id long, n_shingles long, set_key binary, signature binary")
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows(row, doc_id, text)`` to ``(row, doc_id, n_shingles, part)``: the least row reachable over links."""
+    features = rows.mapInArrow(_features, "row long, doc_id long, n_shingles long, set_key binary, signature binary")
     features = materialize(features, "near-features")
     full = features.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    classes = full.join(reps.select("node"), full.doc_id == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "signature")
+    reps = full.groupBy("set_key").agg(F.min("row").alias("node"))
+    classes = full.join(reps.select("node"), full.row == F.col("node"), "left_semi").select(F.col("row").alias("node"), "n_shingles", "signature")
 
     banded = classes.select("node", "signature").mapInArrow(_bands, "key long, node long")
     # Which member is the pivot depends on the key: the least after its bits are flipped by those of the key.
@@ -145,7 +139,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = best.union(stars.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a")).select("a", "b")).distinct()
     best = materialize(best, "near-best")
     wanted = members.select("node").distinct()
-    sets = materialize(docs.join(wanted, docs.doc_id == wanted.node, "left_semi").mapInArrow(_full_sets, "node long, full array<long>"), "near-sets")
+    sets = materialize(rows.join(wanted, rows.row == wanted.node, "left_semi").select("row", "text").mapInArrow(_full_sets, "node long, full array<long>"), "near-sets")
     parts = materialize(connected_components(_confirm(best, sets)), "near-parts")
 
     # The other pivots of members that the best one left in different components.
@@ -160,15 +154,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signs = classes.select("node", F.col("n_shingles").alias("n"), F.col("signature").alias("sign"))
         parts = joined_parts(parts, links_apart(still, signs, sets, set, 0, BANDS))
 
-    placed = features.join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
-    found = placed.join(parts, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    placed = features.join(reps, "set_key", "left").select("row", "doc_id", "n_shingles", F.when(linked, F.col("node")).otherwise(F.col("row")).alias("node"))
+    return placed.join(parts, "node", "left").select("row", "doc_id", "n_shingles", F.coalesce("component", "node").alias("part"))
+
+
+def _found(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+    """``docs`` with row keys, the key's name, and ``(row, doc_id, n_shingles, part, first_id, first_row)`` of the part's
+    first row by doc_id, and of repeated ids by key."""
+    keyed, key, by_id = row_keyed(docs, "near-docs")
+    found = _placed(keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    if by_id:
+        return keyed, key, found.withColumns({"first_id": F.col("part"), "first_row": F.col("part")})
+    found = materialize(found, "near-found")
+    firsts = found.groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    return keyed, key, found.join(firsts, "part").select("row", "doc_id", "n_shingles", "part", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, ...)`` to ``(doc_id, n_shingles, component_id, kept)``, one row per document.
+
+    ``component_id`` is the smallest doc_id reachable over links of similarity 0.75 or more. A null or empty text, or
+    one of white space only, has no shingles and is linked with nothing. Repeated texts share a component. A row without
+    a doc_id is linked with nothing: its component is null and it is kept. Rows that share a doc_id are documents of
+    their own, each placed by its own text; all rows whose id is that of their component are kept. Other columns are
+    ignored, and an empty table gives an empty result.
+    """
+    _, _, found = _found(docs.select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", F.col("first_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("first_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the first of their group; rows without a doc_id stay."""
-    gone = near_duplicates(docs.where("doc_id is not null")).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs``, with all their columns, that are the first of their group by doc_id: one row a group, also
+    where ids repeat. Rows without a doc_id are linked with nothing and stay."""
+    keyed, key, found = _found(docs)
+    gone = found.where("row <> first_row").select(F.col("row").alias(key))
+    return keyed.join(gone, key, "left_anti").select(docs.columns)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

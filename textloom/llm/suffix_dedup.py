@@ -9,7 +9,9 @@ one digest they are the same string, and all of it is repeated (two different st
 the anchor's 64 bits and 64 bits of a cryptographic digest). The other runs differ somewhere around an equal core, which becomes a single
 symbol: what is left of a run is at most SLACK bytes on either side of that symbol. Suffix arrays are built over blocks
 of such short strings, all runs of an anchor in one block; two neighbours that agree on SLACK + 1 symbols are equal
-windows. The runs of an anchor with more than ``MANY_RUNS`` different ones don't go into one task: each of their windows
+windows. A run that occurs more than once in one document is repeated for certain: it is sent once, with the ranges that
+its occurrences cover, so that a long text of one letter, or of a short phrase over and over, is a few rows. The runs of
+an anchor with more than ``MANY_RUNS`` different ones don't go into one task: each of their windows
 is known by a 128-bit digest and counted wherever it is. Both ways give the same rows.
 
 The suffix array is built by linear grouping: suffixes are grouped by their Lyndon prefixes in descending order with
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
+from textloom.llm.rowkeys import row_keyed
 from textloom.plans.materialize import materialize
 
 LENGTH = 400
@@ -190,23 +193,48 @@ def _digest(x: bytes) -> bytes:
     return hashlib.blake2b(x, digest_size=16).digest()
 
 
+def _runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of one text (anchor, digest of the run, place, first, last), a run that is there more than once as one of them and
+    the ranges that all of them cover (place -1, the first and last window of a range)."""
+    place, h, first, last = anchors(data)
+    step = 1 << 16  # spans are long, so a slice costs no more than its digests
+    run = np.concatenate([tb.identity(data, first[k : k + step], last[k : k + step] + LENGTH) for k in range(0, len(first), step)])
+    key = tb.mix(run ^ tb.mix(h.astype(np.uint64)))
+    _, of, times = np.unique(key, return_inverse=True, return_counts=True)
+    again = times[of] > 1
+    if again.any():
+        at = np.flatnonzero(again)
+        at = at[np.argsort(of[at], kind="stable")]
+        new = np.ones(len(at), bool)
+        new[1:] = of[at][1:] != of[at][:-1]
+        opens = new.copy()
+        opens[1:] |= first[at][1:] > last[at][:-1] + LENGTH
+        begin = np.flatnonzero(opens)
+        end = np.append(begin[1:], len(at)) - 1
+        keep = np.concatenate([np.flatnonzero(~again), at[new]])
+        spans = at[begin]
+        place = np.concatenate([place[keep], np.full(len(spans), -1)])
+        h, run = (np.concatenate([x[keep], x[spans]]) for x in (h, run))
+        first, last = np.concatenate([first[keep], first[spans]]), np.concatenate([last[keep], last[at[end]]])
+    return h, run.astype(np.int64), place, first, last
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         rows: list[int] = []
         for row, data, offsets in tb.chunks(batch.column("text")):
             for r in range(len(offsets) - 1):
                 if offsets[r + 1] - offsets[r] < LENGTH:
                     continue
-                place, h, first, last = anchors(data[offsets[r] : offsets[r + 1]])
-                run = tb.identity(data, offsets[r] + first, offsets[r] + last + LENGTH)  # long spans: digests
-                for k, v in enumerate((h, run.astype(np.int64), place, first, last)):
+                found = _runs(data[offsets[r] : offsets[r + 1]])
+                for k, v in enumerate(found):
                     out[k].append(v)
-                rows.append(np.full(len(h), row + r))
+                rows.append(np.full(len(found[0]), row + r))
         if rows:
             taken = ids.take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([taken, *(pa.array(np.concatenate(c).astype(t)) for c, t in zip(out[:5], (np.int64, np.int64, np.int32, np.int32, np.int32), strict=True))], ["doc_id", "anchor", "run", "place", "first", "last"])
+            yield pa.RecordBatch.from_arrays([taken, *(pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, (np.int64, np.int64, np.int32, np.int32, np.int32), strict=True))], ["doc_id", "anchor", "run", "place", "first", "last"])
 
 
 _OCCURRENCE = "doc_id long, anchor long, run long, place int, first int, last int"
@@ -322,9 +350,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = docs.mapInArrow(_occurrences, _OCCURRENCE)
     counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("least"), F.max("run").alias("most")).where("n > 1")
     twice = found.join(counts.select("anchor", (F.col("least") == F.col("most")).alias("same")), "anchor")
+    sure, open_ = F.col("same") | (F.col("place") < 0), ~F.col("same") & (F.col("place") >= 0)
     return twice.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("same"), F.struct(F.col("first").alias("from"), (F.col("last") + LENGTH).alias("to")))).alias("spans"),
-        F.collect_list(F.when(~F.col("same"), F.struct("place", "first", "last"))).alias("runs"),
+        F.collect_list(F.when(sure, F.struct(F.col("first").alias("from"), (F.col("last") + LENGTH).alias("to")))).alias("spans"),
+        F.collect_list(F.when(open_, F.struct("place", "first", "last"))).alias("runs"),
     )
 
 
@@ -355,11 +384,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``(doc_id, n_bytes, n_removed, n_spans, kept)``, one row per document.
 
     ``kept`` is what is left, as bytes (a cut may fall inside a character). A null text counts as an empty one; texts
-    under 400 bytes are never cut. doc_ids are unique; other columns are ignored; an empty table gives none.
+    under 400 bytes are never cut. Rows with null or repeated doc_ids are documents of their own, cut by their own text;
+    other columns are ignored; an empty table gives none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    per_doc = materialize(repeated_runs(docs), "suffix-anchors")
-    joined = docs.join(repeated_spans(docs, per_doc), "doc_id", "left").select("doc_id", "text", "spans")
+    keyed, key, _ = row_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "suffix-docs")
+    rows = keyed.select(F.col(key).alias("doc_id"), "text")
+    per_doc = materialize(repeated_runs(rows), "suffix-anchors")
+    spans = repeated_spans(rows, per_doc).withColumnRenamed("doc_id", key)
+    joined = keyed.join(spans, key, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
