@@ -49,19 +49,27 @@ _METHODS: dict[str, Callable[[str], Column]] = {
     "mean": F.avg,
     "min": F.min,
     "max": F.max,
-    "median": F.median,
     "numel": F.count,
     "range": lambda c: F.max(c) - F.min(c),
     "var": lambda c: F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.var_samp(c)),
     "std": lambda c: F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(c)),
-    "mode": lambda c: F.mode(c, True),
 }
 
 
 def group_summary(df: DataFrame, keys: Sequence[str], methods: Sequence[str] = (), columns: Sequence[str] = ()) -> DataFrame:
-    """``GroupCount`` and a ``method_column`` for each pair. Missing cells are left out by all methods."""
-    made = [_METHODS[m](c).alias(f"{m}_{c}") for c in columns for m in methods]
-    return nan_to_null(df).groupBy(*keys).agg(F.count("*").alias("GroupCount"), *made)
+    """``GroupCount`` and a ``method_column`` for each pair. Missing cells are left out by all methods.
+
+    Medians and modes come from counted values, so that no group's values meet in one buffer: of equal modes the least.
+    """
+    df = nan_to_null(df)
+    made = [_METHODS[m](c).alias(f"{m}_{c}") for c in columns for m in methods if m not in ("median", "mode")]
+    out = df.groupBy(*keys).agg(F.count("*").alias("GroupCount"), *made)
+    if "median" in methods and columns:
+        out = same_keys(out, group_medians(df, keys, columns), keys, "left")
+    for c in columns if "mode" in methods else ():
+        counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("__n"))
+        out = same_keys(out, counts.groupBy(*keys).agg(F.min_by(c, F.struct(-F.col("__n"), c)).alias(f"mode_{c}")), keys, "left")
+    return out.select(*keys, "GroupCount", *(f"{m}_{c}" for c in columns for m in methods))
 
 
 def group_transform(df: DataFrame, keys: Sequence[str], order: Sequence[str], made: dict[str, Callable]) -> DataFrame:
@@ -78,7 +86,8 @@ def group_apply(df: DataFrame, keys: Sequence[str], f: Callable, schema: str) ->
 
 def pivot_table(df: DataFrame, row: str, column: str, values: Sequence, method: str, of: str) -> DataFrame:
     """A wide table; an empty cell is 0 for counts and missing for others."""
-    wide = df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1)) if method == "count" else _METHODS[method](of))
+    made = {"count": lambda _: F.count(F.lit(1)), "median": F.median, "mode": lambda c: F.mode(c, True)} | _METHODS
+    wide = df.groupBy(row).pivot(column, list(values)).agg(made[method](of))
     return wide.fillna(0, [str(v) for v in values]) if method == "count" else wide
 
 
@@ -107,23 +116,33 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str, partitions: i
     return ranked.withColumn(name, F.col("__rank") + F.col("__before")).drop("__part", "__rank", "__before")
 
 
-def ranked_in_groups(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``df`` with the rank ``__r`` of each row by ``value`` within its keys and the size ``__n`` of the group.
+def counted_ranks(df: DataFrame, keys: Sequence[str], value: str, partitions: int | None = None) -> DataFrame:
+    """Each value of each group once: ``(keys, value, __n, __upto, __total)``, how often it occurs, the rank of its last
+    occurrence in the group and the group's size. Missing values are left out.
 
-    A group may be most of the rows: it is ranked over ranges, not in one task.
+    Equal values are counted before anything is dealt out, so ranges of (keys, value) are even whatever repeats, and
+    neither a large group nor a frequent value is one task. The ranks are running sums within a range, begun with what
+    the group has in the ranges before.
     """
-    ranked = global_rank(df, [*(F.col(k) for k in keys), F.col(value)], "__global")
-    ranked = materialize(ranked, "ranked")
-    sizes = ranked.groupBy(*keys).agg(F.min("__global").alias("__first"), F.count("*").alias("__n"))
-    joined = same_keys(ranked, sizes, keys) if keys else ranked.join(F.broadcast(sizes))  # one row
-    return joined.withColumn("__r", F.col("__global") - F.col("__first") + 1).drop("__global", "__first")
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """An inner join in which missing keys are equal; the keys of ``right`` go."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    rows = ranged(counts, [*(F.col(k) for k in keys), F.col(value)], partitions)
+    sizes = rows.groupBy("__part", *keys).agg(F.sum("__n").alias("__sum"))
+    mine = Window.partitionBy(*keys)  # a row for each range that the group lies in
+    heads = sizes.select("__part", *keys, (F.sum("__sum").over(mine.orderBy("__part")) - F.col("__sum")).alias("__n"), F.sum("__sum").over(mine).alias("__total"))
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    here = Window.partitionBy("__part", *keys)
+    run = here.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = both.select(*keys, value, "__n", F.sum("__n").over(run).alias("__upto"), F.max("__total").over(here).alias("__total"))
+    return ranks.where(F.col(value).isNotNull())
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join in which missing keys are equal; the keys of ``right`` go. Without keys both sides have one row."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
     other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
     met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
-    return left.join(other, met).drop(*(f"__right_{k}" for k in keys))
+    return left.join(other, met, how).drop(*(f"__right_{k}" for k in keys))
 
 
 def unique_values(df: DataFrame, value: str, position: str) -> DataFrame:
@@ -139,13 +158,18 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     return medians(df, [column]).select(F.col(column).alias("median")).crossJoin(moments)
 
 
+def group_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``median_column`` of each column and group, all columns in one pass over counted values."""
+    cells = F.array(*(F.struct(F.lit(c).alias("__column"), F.col(c).cast("double").alias("__cell")) for c in columns))
+    found = hazen_quantiles(df.select(*keys, F.explode(cells).alias("__x")).select(*keys, "__x.*"), [*keys, "__column"], "__cell", [0.5])
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("__column") == c, F.col("q50"))).alias(f"median_{c}") for c in columns))
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: the median of each column by rank over ranges, so that no task holds a column."""
-    out = df.limit(0).agg(F.lit(1).alias("__one"))
-    for c in columns:
-        found = hazen_quantiles(df, [], c, [0.5]).agg(F.max("q50").alias(c))  # a row even of nothing
-        out = out.crossJoin(found)
-    return out.drop("__one")
+    """One row: the median of each column, null where nothing is known."""
+    if not columns:
+        return df.limit(0).agg(F.lit(1).alias("__one")).drop("__one")
+    return group_medians(df, [], columns).withColumnsRenamed({f"median_{c}": c for c in columns})
 
 
 def summarize(df: DataFrame) -> DataFrame:
@@ -176,15 +200,17 @@ def summarize(df: DataFrame) -> DataFrame:
 
 def hazen_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """Quantiles at position n * p + 0.5, linear between neighbours, clamped to the ends; values are doubles."""
-    known = nan_to_null(df).where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    ranked = ranked_in_groups(known, keys, "__v")
-    out = []
+    known = nan_to_null(df).select(*keys, F.col(value).cast("double").alias("__v"))
+    ranks = counted_ranks(known, keys, "__v")
+    holds = lambda r: (F.col("__upto") - F.col("__n") < r) & (F.col("__upto") >= r)
+    parts = {}
     for p in shares:
-        at = F.greatest(F.lit(1.0), F.least(F.col("__n").cast("double"), F.col("__n") * F.lit(p) + F.lit(0.5)))
+        at = F.greatest(F.lit(1.0), F.least(F.col("__total").cast("double"), F.col("__total") * F.lit(p) + F.lit(0.5)))
         low = F.floor(at)
-        weight = F.when(F.col("__r") == low, 1 - (at - low)).when(F.col("__r") == low + 1, at - low)
-        out.append(F.sum(weight * F.col("__v")).alias(f"q{round(p * 100):02d}"))
-    return ranked.groupBy(*keys).agg(*out)
+        weight = F.when(holds(low), 1 - (at - low)).otherwise(0.0) + F.when(holds(low + 1), at - low).otherwise(0.0)
+        parts[f"q{round(p * 100):02d}"] = weight
+    near = ranks.select(*keys, *((w * F.col("__v")).alias(c) for c, w in parts.items()), sum(parts.values(), F.lit(0.0)).alias("__weight")).where("__weight > 0")
+    return near.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in parts))
 
 
 def histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:

@@ -128,9 +128,10 @@ def rollup(spark: SparkSession, d: str) -> DataFrame:
     round(count(*) FILTER (WHERE l_discount > 0.05) / nullif(count(*) FILTER (WHERE l_tax < 0.04), 0), 6) AS ratio FROM lineitem GROUP BY l_shipdate""")
 def filtered(spark: SparkSession, d: str) -> DataFrame:
     n, k = F.count_if(F.col("l_discount") > 0.05), F.count_if(F.col("l_tax") < 0.04)
-    return table(spark, d, "lineitem").groupBy("l_shipdate").agg(
-        n.alias("n"), F.sum(F.when(F.col("l_tax") < 0.04, F.col("l_quantity"))).alias("q"), F.median(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("med"), F.round(n / F.nullif(k, F.lit(0)), 6).alias("ratio")
-    )
+    items = table(spark, d, "lineitem")
+    per = items.groupBy("l_shipdate").agg(n.alias("n"), F.sum(F.when(F.col("l_tax") < 0.04, F.col("l_quantity"))).alias("q"), F.round(n / F.nullif(k, F.lit(0)), 6).alias("ratio"))
+    middle = tb.group_medians(items.where("l_returnflag = 'R'"), ["l_shipdate"], ["l_quantity"]).withColumnRenamed("median_l_quantity", "med")
+    return tb.same_keys(per, middle, ["l_shipdate"], "left")
 
 
 @register("a6_count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderdate) AS days, count(*) AS n FROM orders GROUP BY o_orderstatus")
