@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def words(text: Column, pattern: str = "[a-z]+") -> Column:
+def words(text: Column, pattern: str = "\\p{L}+") -> Column:
     """Lower-cased matches of a word pattern; none for a null text."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), 0)
 

@@ -78,7 +78,7 @@ def shared_runs(docs: DataFrame, sources: DataFrame, n: int = 6) -> DataFrame:
     """
 
     def grams(df: DataFrame, key: str, at: str) -> DataFrame:
-        w = df.select(key, words(F.col("text"), "[a-z0-9]+").alias("w")).where(F.size("w") >= n)
+        w = df.select(key, words(F.col("text"), "[\\p{L}\\p{N}]+").alias("w")).where(F.size("w") >= n)
         each = w.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias(at))
         return each.select(key, at, F.array_join(F.slice("w", F.col(at) + 1, F.lit(n)), " ").alias("gram"))
 
@@ -97,7 +97,7 @@ def near_duplicate_words(docs: DataFrame, share: float = 0.8) -> DataFrame:
     n - ceil(share * n) + 1 words of each side in common, so only those are joined, with ids and sizes alone; the whole
     sets of the pairs found then decide.
     """
-    sets = docs.select("doc_id", F.array_sort(F.array_distinct(words(F.col("text"), "[a-z]{3,}"))).alias("w")).where("size(w) > 0")
+    sets = docs.select("doc_id", F.array_sort(F.array_distinct(words(F.col("text"), "\\p{L}{3,}"))).alias("w")).where("size(w) > 0")
     keyed = materialize(sets.select("doc_id", F.md5(F.array_join("w", " ")).alias("key"), "w"), "word-sets")
     classes = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
     reps = keyed.join(classes, keyed.doc_id == classes.class_id, "left_semi").where("size(w) >= 4").select("doc_id", "w")

@@ -9,7 +9,7 @@ from textloom.functions import text as tx
 from textloom.operators import corpus as cp
 from textloom.registry import register, table
 
-_WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
+_WORDS = "regexp_extract_all(lower(text), '\\p{L}+')"
 
 
 @register("flagship", f"""
@@ -185,10 +185,10 @@ def lift(spark: SparkSession, d: str) -> DataFrame:
     return best.where("b.lift >= 2").select("word", "b.lang", "b.n", F.round("b.lift", 4).alias("lift"))
 
 
-@register("c13_companions", """WITH u AS (SELECT DISTINCT conv_id AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM conversations), p AS (SELECT x.word, y.word AS other, count(*) AS n FROM u x JOIN u y USING (doc_id) WHERE x.word <> y.word GROUP BY ALL)
+@register("c13_companions", """WITH u AS (SELECT DISTINCT conv_id AS doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}{6,}')) AS word FROM conversations), p AS (SELECT x.word, y.word AS other, count(*) AS n FROM u x JOIN u y USING (doc_id) WHERE x.word <> y.word GROUP BY ALL)
     SELECT word, other, n, r FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS r FROM p) WHERE r <= 5""")
 def companions(spark: SparkSession, d: str) -> DataFrame:
-    return cp.companions(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.explode(tx.words(F.col("text"), "[a-z]{6,}")).alias("word")))
+    return cp.companions(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.explode(tx.words(F.col("text"), "\\p{L}{6,}")).alias("word")))
 
 
 @register("d1_union_distinct", f"SELECT DISTINCT unnest({_WORDS}) AS word FROM documents UNION SELECT unnest({_WORDS}) FROM benchmark UNION SELECT unnest({_WORDS}) FROM conversations")
@@ -209,14 +209,14 @@ def heldout(spark: SparkSession, d: str) -> DataFrame:
     return cp.without_held_out(cut("documents"), cut("benchmark")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@register("d4_near_duplicate", """WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS w FROM documents), c AS (SELECT w, min(doc_id) AS class_id FROM s WHERE len(w) > 0 GROUP BY w),
+@register("d4_near_duplicate", """WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '\\p{L}{3,}'))) AS w FROM documents), c AS (SELECT w, min(doc_id) AS class_id FROM s WHERE len(w) > 0 GROUP BY w),
     p AS (SELECT a.class_id AS a, b.class_id AS b FROM c a JOIN c b ON a.class_id <> b.class_id AND len(a.w) >= 4 AND len(b.w) >= 4 AND len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w) WHERE len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
     n AS (SELECT a, count(*) AS links FROM p GROUP BY a) SELECT doc_id, class_id, coalesce(links, 0) AS links FROM s JOIN c USING (w) LEFT JOIN n ON n.a = class_id""")
 def near_duplicate(spark: SparkSession, d: str) -> DataFrame:
     return cp.near_duplicate_words(table(spark, d, "documents"))
 
 
-_RUNS = """WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+_RUNS = """WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
     dg AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 6], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 6)) AS p FROM dw WHERE len(w) >= 6)),
     bg AS (SELECT item_id, q, array_to_string(w[q + 1 : q + 6], ' ') AS gram FROM (SELECT item_id, w, unnest(generate_series(0, len(w) - 6)) AS q FROM bw WHERE len(w) >= 6)),
     m AS (SELECT doc_id, item_id, p, p - q AS d, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM dg JOIN bg USING (gram)),
@@ -260,7 +260,7 @@ def slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.slug(F.col("source"), F.substring("text", 1, 90)).alias("slug"))
 
 
-@register("f5_lists", """SELECT doc_id, list_contains(w, 'the') AS has, list_has_any(w, ['of', 'de']) AS any_of, len(list_filter(w, lambda x: length(x) > 8)) AS long_words FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)""")
+@register("f5_lists", """SELECT doc_id, list_contains(w, 'the') AS has, list_has_any(w, ['of', 'de']) AS any_of, len(list_filter(w, lambda x: length(x) > 8)) AS long_words FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents)""")
 def lists(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
     return w.select("doc_id", F.array_contains("w", "the").alias("has"), F.arrays_overlap("w", F.array(F.lit("of"), F.lit("de"))).alias("any_of"), F.size(F.filter("w", lambda x: F.length(x) > 8)).cast("long").alias("long_words"))

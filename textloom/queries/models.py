@@ -96,7 +96,7 @@ def decision_list(spark: SparkSession, d: str) -> DataFrame:
 @register("c24_gap_questions")
 def gap_questions(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    w = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.explode(F.array_distinct(tx.words(F.col("text"), "[a-z]{8,}"))).alias("word"))
+    w = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.explode(F.array_distinct(tx.words(F.col("text"), "\\p{L}{8,}"))).alias("word"))
     lexicon = w.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").select("word", F.length("word").alias("kind"))
     return md.gap_questions(w, lexicon)
 
@@ -117,12 +117,12 @@ def substitutions(spark: SparkSession, d: str) -> DataFrame:
     return z.where("a is not null and b is not null and a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@register("d6_answer_overlap", r"""WITH g AS (SELECT doc_id, array_to_string(list_slice(w, i, i + 5), ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 5)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)) ),
-    h AS (SELECT item_id, array_to_string(list_slice(w, i, i + 5), ' ') AS gram FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 5)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)))
+@register("d6_answer_overlap", r"""WITH g AS (SELECT doc_id, array_to_string(list_slice(w, i, i + 5), ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 5)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)) ),
+    h AS (SELECT item_id, array_to_string(list_slice(w, i, i + 5), ' ') AS gram FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 5)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)))
     SELECT doc_id, item_id, count(DISTINCT gram) AS n FROM g JOIN h USING (gram) GROUP BY ALL""")
 def answer_overlap(spark: SparkSession, d: str) -> DataFrame:
     def grams(t: str, key: str) -> DataFrame:
-        w = table(spark, d, t).select(key, tx.words(F.col("text"), "[a-z0-9]+").alias("w")).where("size(w) >= 6")
+        w = table(spark, d, t).select(key, tx.words(F.col("text"), "[\\p{L}\\p{N}]+").alias("w")).where("size(w) >= 6")
         return w.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, F.lit(6)), " "))).alias("gram")).distinct()
 
     return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
@@ -163,7 +163,7 @@ def residual_tally(spark: SparkSession, d: str) -> DataFrame:
     return same_keys(counts, some, ["layer", "class"]).select("layer", "class", "items", "bits", "examples")
 
 
-@register("e17_claims_support", """WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id AS source, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS wc FROM conversations WHERE role = 'assistant'), s AS (SELECT conv_id AS source, list_distinct(regexp_extract_all(lower(x), '[a-z]{3,}')) AS ws FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[^.!?]+')) AS x FROM conversations WHERE role = 'user')),
+@register("e17_claims_support", """WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id AS source, list_distinct(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS wc FROM conversations WHERE role = 'assistant'), s AS (SELECT conv_id AS source, list_distinct(regexp_extract_all(lower(x), '\\p{L}{3,}')) AS ws FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[^.!?]+')) AS x FROM conversations WHERE role = 'user')),
     j AS (SELECT id, ws, round(coalesce(len(list_intersect(wc, ws)) / nullif(len(wc) + len(ws) - len(list_intersect(wc, ws)), 0), 0), 3) AS overlap FROM c LEFT JOIN s USING (source)), b AS (SELECT id, max(overlap) AS overlap, bool_or(ws IS NOT NULL) AS cited FROM j GROUP BY id)
     SELECT id, overlap, CASE WHEN NOT cited THEN 'uncited' WHEN overlap >= 0.2 THEN 'sourced' ELSE 'weak' END AS verdict FROM b""")
 def claims_support(spark: SparkSession, d: str) -> DataFrame:
@@ -172,9 +172,9 @@ def claims_support(spark: SparkSession, d: str) -> DataFrame:
     return md.claims_support(claims, c.where("role = 'user'").select(F.col("conv_id").alias("source"), "text"))
 
 
-@register("e18_answer_cover", """WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM conversations) SELECT a.conv_id, a.turn, round(len(list_intersect(a.w, b.w)) / len(a.w), 6) AS cover FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE len(a.w) > 0""")
+@register("e18_answer_cover", """WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '\\p{L}{4,}')) AS w FROM conversations) SELECT a.conv_id, a.turn, round(len(list_intersect(a.w, b.w)) / len(a.w), 6) AS cover FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE len(a.w) > 0""")
 def answer_cover(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(tx.words(F.col("text"), "[a-z]{4,}")).alias("w"))
+    w = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(tx.words(F.col("text"), "\\p{L}{4,}")).alias("w"))
     b = w.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("w").alias("v"))
     return w.join(b, ["conv_id", "turn"]).where("size(w) > 0").select("conv_id", "turn", F.round(F.size(F.array_intersect("w", "v")) / F.size("w"), 6).alias("cover"))
 

@@ -147,11 +147,11 @@ def distinct_short(spark: SparkSession, d: str) -> DataFrame:
     return one.orderBy(sm.hash_order(F.col("doc_id"), "short"), "doc_id").limit(30).select("doc_id", "key")
 
 
-@register("t10_example_picker", """WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word, text FROM conversations WHERE length(text) BETWEEN 20 AND 220),
+@register("t10_example_picker", """WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) AS word, text FROM conversations WHERE length(text) BETWEEN 20 AND 220),
     a AS (SELECT *, row_number() OVER (PARTITION BY word, conv_id ORDER BY turn) AS in_doc FROM w), b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY in_doc, conv_id, turn) AS r FROM a) SELECT word, conv_id, turn, r FROM b WHERE r <= 3""")
 def example_picker(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").where("length(text) between 20 and 220")
-    w = c.select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("word")).distinct()
+    w = c.select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), 0))).alias("word")).distinct()
     return sm.pick_examples(w, "word", "conv_id", "turn", 3)
 
 
@@ -166,7 +166,7 @@ def hard_first(spark: SparkSession, d: str) -> DataFrame:
 @register("t12_diverse_examples")
 def diverse_examples(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    w = c.select("conv_id", "turn", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))).alias("word"))
+    w = c.select("conv_id", "turn", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{5,}"), 0))).alias("word"))
     return sm.diverse_examples(w, "word", "conv_id", "turn", "text", 4)
 
 
