@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import content_key, normal_text, words
+from textloom.operators.sequences import interval_union
 from textloom.plans.materialize import materialize
 
 
@@ -89,6 +90,66 @@ def shared_runs(docs: DataFrame, sources: DataFrame, n: int = 6) -> DataFrame:
     return runs.groupBy("doc_id", "item_id").agg(F.max("length").alias("longest"))
 
 
+def word_grams(w: Column, n: int) -> Column:
+    """The runs of ``n`` words of an array, by their digests; none where there are fewer."""
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.md5(F.array_join(F.slice(w, i, F.lit(n)), " ").cast("binary")))).otherwise(F.array().cast("array<string>"))
+
+
+def winnowed(w: Column, n: int = 3, window: int = 4) -> Column:
+    """Fingerprints of a text of words: of each ``window`` consecutive n-grams the least digest and its place (from 0),
+    the first of equals. Two texts that share ``n + window - 1`` words in a row share a fingerprint."""
+    placed = F.transform(word_grams(w, n), lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("p")))
+    least = F.transform(F.sequence(F.lit(1), F.greatest(F.size(placed) - window + 1, F.lit(1))), lambda s: F.array_min(F.slice(placed, s, F.lit(window))))
+    return F.when(F.size(w) >= n, F.array_distinct(least)).otherwise(F.array().cast("array<struct<h:string,p:long>>"))
+
+
+def originality(docs: DataFrame, sources: DataFrame, run: int = 13, shingle: int = 6, least: int = 24, share: int = 20, span: int = 24, near: int = 60, few: int = 4) -> DataFrame:
+    """``docs(doc_id, text)`` against ``sources(item_id, text)``: ``(doc_id, words, exact, covered, near, state)``.
+
+    ``exact``: places at which ``run`` words stand in a source as they are. ``covered``: words inside the union of all
+    shared runs of ``shingle`` words. ``near``: places from which on, for ``span`` words, ``near`` percent of the text's
+    fingerprints, and ``few`` at least, are those of one source, so that a copy with a word changed now and then is
+    seen. A text is blocked by an exact run, by a near window, or by ``least`` covered words that are ``share`` percent
+    of it; pending if less is covered or if it has no words to check; else clear. doc_ids are unique.
+
+    Texts meet sources on digests that are asked for once each (semi-joins), so that a phrase of many sources makes no
+    pairs; a source is told apart only for fingerprints in windows that all sources together make near.
+    """
+    said = lambda df, key: df.select(key, words(F.col("text"), r"[\p{L}\p{N}]+").alias("w"))
+    texts, known = materialize(said(docs, "doc_id"), "gate-texts"), said(sources, "item_id")
+    each = lambda df, key, n: df.select(key, F.posexplode(word_grams(F.col("w"), n)).alias("p", "h"))
+    kinds = lambda n: each(known, "item_id", n).select("h").distinct()
+
+    hits = materialize(each(texts, "doc_id", shingle).join(kinds(shingle), "h", "left_semi").select("doc_id", "p"), "gate-hits")
+    cover = interval_union(hits.select("doc_id", "p", (F.col("p") + shingle).alias("q")), ["doc_id"], "p", "q").groupBy("doc_id").agg(F.sum("length").alias("covered"))
+    # A run holds run - shingle + 1 shingles one after the other.
+    w = Window.partitionBy("doc_id").orderBy("p")
+    starts = hits.withColumn("to", F.lead("p", run - shingle).over(w)).where(F.col("to") - F.col("p") == run - shingle)
+    long = starts.groupBy("doc_id").agg(F.collect_list("p").alias("ps")).join(texts, "doc_id")
+    long = long.select("doc_id", F.explode("ps").alias("p"), "w").select("doc_id", F.md5(F.array_join(F.slice("w", F.col("p") + 1, F.lit(run)), " ").cast("binary")).alias("h"))
+    exact = long.join(kinds(run), "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("exact"))
+
+    prints = lambda df, key: df.select(key, F.explode(winnowed(F.col("w"))).alias("f")).select(key, "f.h", "f.p")
+    mine, theirs = prints(texts, "doc_id"), materialize(prints(known, "item_id").select("h", "item_id").distinct(), "gate-prints")
+    met = mine.join(theirs.select("h", F.lit(1).alias("known")).distinct(), "h", "left")
+    ahead = Window.partitionBy("doc_id").orderBy("p").rangeBetween(0, span - 1)
+    near_enough = lambda n: (n >= few) & (100 * n >= near * F.col("all"))
+    counted = met.select("doc_id", "h", "p", "known", F.count("*").over(ahead).alias("all"), F.count("known").over(ahead).alias("n"))
+    opens = F.when(F.col("known").isNotNull() & near_enough(F.col("n")), F.col("p"))
+    inside = F.max(opens).over(Window.partitionBy("doc_id").orderBy("p").rangeBetween(-(span - 1), 0))
+    maybe = counted.withColumn("inside", inside).where("known is not null and inside is not null").select("doc_id", "h", "p", "all")
+    by_item = maybe.join(theirs, "h").withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "item_id").orderBy("p").rangeBetween(0, span - 1)))
+    windows = by_item.where(near_enough(F.col("n"))).select("doc_id", "p").distinct().groupBy("doc_id").agg(F.count("*").alias("near"))
+
+    out = texts.select("doc_id", F.size("w").cast("long").alias("words"))
+    for part in (exact, cover, windows):
+        out = out.join(part, "doc_id", "left")
+    out = out.fillna(0, ["exact", "covered", "near"])
+    much = (F.col("covered") >= least) & (100 * F.col("covered") >= share * F.col("words"))
+    state = F.when((F.col("exact") > 0) | (F.col("near") > 0) | much, "blocked").when((F.col("covered") > 0) | (F.col("words") == 0), "pending").otherwise("clear")
+    return out.withColumns({"covered": F.col("covered").cast("long"), "state": state})
+
+
 def near_duplicate_words(docs: DataFrame, share: float = 0.8) -> DataFrame:
     """``(doc_id, class_id, links)``: texts of equal word sets are one class, known by its smallest doc_id; ``links`` is how
     many other classes, of four words or more each, reach a Jaccard of ``share`` with it. Texts without a word are left out.

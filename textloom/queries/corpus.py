@@ -228,11 +228,29 @@ def verbatim_run(spark: SparkSession, d: str) -> DataFrame:
     return cp.shared_runs(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-@register("d7_originality_gate", f"{_RUNS}, o AS (SELECT doc_id, max(longest) AS longest FROM r GROUP BY doc_id) SELECT doc_id, coalesce(longest, 0) AS longest, CASE WHEN longest > 12 THEN 'blocked' WHEN longest IS NOT NULL THEN 'pending' ELSE 'clear' END AS state FROM documents LEFT JOIN o USING (doc_id)")
+def _grams_sql(name: str, of: str, key: str, n: int) -> str:
+    return f"{name} AS (SELECT {key}, i - 1 AS p, md5(array_to_string(list_slice(w, i, i + {n - 1}), ' ')) AS h FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM {of} WHERE len(w) >= {n}))"
+
+
+def _prints_sql(name: str, of: str, key: str) -> str:
+    least = f"min({{'h': h, 'p': p}}) OVER (PARTITION BY {key} ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)"
+    return f"{name} AS (SELECT DISTINCT {key}, f.h AS h, f.p AS p FROM (SELECT {key}, p, {least} AS f, count(*) OVER (PARTITION BY {key}) AS n FROM {of}) WHERE p <= greatest(n - 4, 0))"
+
+
+_SAID = "coalesce(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), [])"
+
+
+@register("d7_originality_gate", f"""WITH dw AS (SELECT doc_id, {_SAID} AS w FROM documents), bw AS (SELECT item_id, {_SAID} AS w FROM benchmark),
+    {_grams_sql("d6", "dw", "doc_id", 6)}, {_grams_sql("b6", "bw", "item_id", 6)}, {_grams_sql("d13", "dw", "doc_id", 13)}, {_grams_sql("b13", "bw", "item_id", 13)}, {_grams_sql("d3", "dw", "doc_id", 3)}, {_grams_sql("b3", "bw", "item_id", 3)},
+    {_prints_sql("df", "d3", "doc_id")}, {_prints_sql("bf", "b3", "item_id")},
+    cover AS (SELECT doc_id, count(DISTINCT k) AS covered FROM (SELECT doc_id, unnest(generate_series(p, p + 5)) AS k FROM d6 WHERE h IN (SELECT h FROM b6)) GROUP BY doc_id),
+    exact AS (SELECT doc_id, count(*) AS exact FROM d13 WHERE h IN (SELECT h FROM b13) GROUP BY doc_id),
+    met AS (SELECT d.doc_id, d.p, d.n AS n_all, b.item_id FROM (SELECT *, count(*) OVER (PARTITION BY doc_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 23 FOLLOWING) AS n FROM df) d JOIN (SELECT DISTINCT h, item_id FROM bf) b ON b.h = d.h),
+    windows AS (SELECT doc_id, count(DISTINCT p) AS near FROM (SELECT doc_id, p, n_all, count(*) OVER (PARTITION BY doc_id, item_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 23 FOLLOWING) AS n FROM met) WHERE n >= 4 AND 100 * n >= 60 * n_all GROUP BY doc_id),
+    r AS (SELECT dw.doc_id, len(w) AS words, coalesce(exact, 0) AS exact, coalesce(covered, 0) AS covered, coalesce(near, 0) AS near FROM dw LEFT JOIN exact USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN windows USING (doc_id))
+    SELECT *, CASE WHEN exact > 0 OR near > 0 OR (covered >= 24 AND 100 * covered >= 20 * words) THEN 'blocked' WHEN covered > 0 OR words = 0 THEN 'pending' ELSE 'clear' END AS state FROM r""")
 def originality(spark: SparkSession, d: str) -> DataFrame:
-    runs = cp.shared_runs(table(spark, d, "documents"), table(spark, d, "benchmark")).groupBy("doc_id").agg(F.max("longest").alias("longest"))
-    state = F.when(F.col("longest") > 12, "blocked").when(F.col("longest").isNotNull(), "pending").otherwise("clear")
-    return table(spark, d, "documents").select("doc_id").join(runs, "doc_id", "left").select("doc_id", F.coalesce("longest", F.lit(0)).alias("longest"), state.alias("state"))
+    return cp.originality(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"))
 
 
 @register("d9_sync_source", """WITH cur AS (SELECT doc_id FROM documents WHERE n_chars > 1000), st AS (SELECT doc_id FROM labels WHERE quality = 1) SELECT 'found' AS event, doc_id FROM cur WHERE doc_id NOT IN (SELECT doc_id FROM st)
