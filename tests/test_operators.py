@@ -100,11 +100,6 @@ def test_weighted_schedule(spark):
         assert r["w"] == best
 
 
-def test_quotas():
-    assert sm.allocate([("a", 10), ("b", 5), ("c", 1)], 6, 10) == {"a": 6, "b": 3, "c": 1}
-    assert sum(sm.allocate([("a", 3), ("b", 3)], 2, 100).values()) == 4
-
-
 def test_lookup_refuses(spark):
     left = spark.createDataFrame([(1, "x"), (2, "y")], "k long, a string")
     fine = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "k long, v long")

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.plans.materialize import materialize, row_count_within
+from textloom.operators.tables import counted_ranks
+from textloom.plans.materialize import materialize
 
 
 def hash_order(key: Column, salt: str) -> Column:
@@ -34,31 +35,71 @@ def nested_tiers(df: DataFrame, stratum: str, key: str, tiers: dict[str, int], s
     return ranked.select(stratum, key, *((F.col("__r") <= F.ceil(F.col("__n") / divisor)).alias(name) for name, divisor in tiers.items()))
 
 
-def allocate(sizes: list[tuple[str, int]], cap: int, wanted: int) -> dict[str, int]:
-    """Seats by largest remainder under a cap; what a capped group can't take is shared among the others."""
-    seats = {name: 0 for name, _ in sizes}
-    left = min(wanted, sum(min(cap, n) for _, n in sizes))
+def _kth_largest(df: DataFrame, value: str, k: int, top: int) -> tuple[int, int]:
+    """The k-th largest of whole numbers from 0 to below ``top``, and how many are larger: the range is narrowed by
+    histograms of at most 256 bins, which are all that the driver sees."""
+    low, high, above = 0, top, 0
+    while True:
+        width = max(1, -(-(high - low) // 256))
+        bins = df.where((F.col(value) >= low) & (F.col(value) < high)).groupBy(F.expr(f"({value} - {low}L) div {width}L").alias("bin")).agg(F.count("*").alias("n")).collect()
+        for r in sorted(bins, key=lambda r: -r["bin"]):
+            if above + r["n"] >= k:
+                low, high = low + r["bin"] * width, min(high, low + (r["bin"] + 1) * width)
+                break
+            above += r["n"]
+        if width == 1:
+            return low, above
+
+
+def quotas(groups: DataFrame, name: str, size: str, room: str, wanted: int) -> DataFrame:
+    """``groups(name, size, room)`` with the ``seats`` of each: ``wanted`` in all by largest remainder of the sizes, the
+    smaller name of equals, and no group more than its room; what full groups can't take is shared among the others.
+
+    Names are different and not null, and a group with room has a size. A round is a few aggregates over the groups: the
+    remainder that still gets a seat is found by histograms, so that no table of groups is read by the driver.
+    """
+    now = materialize(groups.select(name, F.col(size).cast("long").alias("__n"), F.col(room).cast("long").alias("__room"), F.lit(0).cast("long").alias("seats")), "seats")
+    left = min(wanted, now.agg(F.coalesce(F.sum("__room"), F.lit(0))).first()[0])
     while left:
-        room = {name: min(cap, n) - seats[name] for name, n in sizes}
-        active = [(name, n) for name, n in sizes if room[name] > 0]
-        total = sum(n for _, n in active)
-        given = {name: min(left * n // total, room[name]) for name, n in active}
-        spare = left - sum(left * n // total for _, n in active)
-        for name, n in sorted(active, key=lambda x: (-(left * x[1] % total), x[0]))[:spare]:
-            given[name] = min(given[name] + 1, room[name])
-        for name, k in given.items():
-            seats[name] += k
-        left -= sum(given.values())
-    return seats
-
-
-def quotas(sizes: DataFrame, name: str, size: str, cap: int, wanted: int, most_groups: int = 100_000) -> DataFrame:
-    """``sizes`` with the seats of each group. The table of groups is read by the driver, up to ``most_groups``."""
-    if not row_count_within(sizes, most_groups):
-        raise ValueError(f"more than {most_groups} groups")
-    rows = [(r[name], r[size]) for r in sizes.orderBy(name).collect()]
-    seats = allocate(rows, cap, wanted)
-    return sizes.sparkSession.createDataFrame([(n, s, seats[n]) for n, s in rows], f"{name} string, {size} long, seats long")
+        active = now.where("seats < __room")
+        total = active.agg(F.sum("__n")).first()[0]
+        part = f"cast({left} as decimal(19,0)) * cast(__n as decimal(19,0))"
+        dealt = materialize(active.select(name, F.expr(f"cast({part} div {total} as bigint)").alias("__share"), F.expr(f"cast({part} % {total} as bigint)").alias("__rest")), "shares")
+        spare = left - dealt.agg(F.sum("__share")).first()[0]
+        more = F.lit(False)
+        if spare:
+            cut, above = _kth_largest(dealt, "__rest", spare, total)
+            ties = dealt.where(F.col("__rest") == cut)
+            if ties.count() == spare - above:
+                more = F.col("__rest") >= cut
+            else:
+                last = counted_ranks(ties, [], name).where(F.col("__upto") == spare - above).first()[name]
+                more = (F.col("__rest") > cut) | ((F.col("__rest") == cut) & (F.col(name) <= last))
+        given = F.least(F.col("__share") + F.when(more, 1).otherwise(0), F.col("__room") - F.col("seats"))
+        before = now.agg(F.sum("seats")).first()[0]
+        now = materialize(now.join(dealt, name, "left").select(name, "__n", "__room", (F.col("seats") + F.coalesce(given, F.lit(0))).alias("seats")), "seats")
+        left -= now.agg(F.sum("seats")).first()[0] - before
+    return now.select(name, F.col("__n").alias(size), "seats")
+
+
+def stratified_select(books: DataFrame, paragraphs: DataFrame, wanted: int, salt: str) -> DataFrame:
+    """``wanted`` of ``paragraphs(book, doc, key, kind)``, shared among ``books(book, size)`` by their sizes.
+
+    A book gives no more than it has. Half of its seats go to paragraphs with ``kind`` true and half to the others; where
+    one kind is short the other fills up. Within a kind the documents take turns: each gives its first paragraph by
+    hash before any gives its second, documents by hash too. A kind of a book may be most of the rows: turns are ranks
+    over ranges. Keys are different; a null kind counts as false.
+    """
+    rows = paragraphs.select("book", "doc", "key", F.coalesce("kind", F.lit(False)).alias("kind"))
+    have = rows.groupBy("book").agg(F.count("*").alias("room"), F.count_if("kind").alias("n_kind"))
+    seats = quotas(books.join(have, "book"), "book", "size", "room", wanted).join(have, "book")
+    first = F.least(F.floor(F.col("seats") / 2), F.col("n_kind"))
+    other = F.least(F.col("seats") - first, F.col("room") - F.col("n_kind"))
+    seats = seats.select("book", F.least(F.col("seats") - other, F.col("n_kind")).alias("of_kind"), other.alias("of_other"))
+    turn = F.row_number().over(Window.partitionBy("book", "doc", "kind").orderBy(hash_order(F.col("key"), salt), "key"))
+    placed = rows.withColumn("turn", F.struct(turn.alias("turn"), hash_order(F.col("doc"), salt).alias("h"), "doc", "key"))
+    ranks = counted_ranks(placed, ["book", "kind"], "turn").join(seats, "book")
+    return ranks.where(F.col("__upto") <= F.when(F.col("kind"), F.col("of_kind")).otherwise(F.col("of_other"))).select("book", "turn.doc", "turn.key", "kind", F.col("__upto").alias("place"))
 
 
 def pick_examples(df: DataFrame, word: str, doc: str, order: str, n: int) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.tables import ranged
+from textloom.plans.materialize import materialize
+
+#: Pools that go into one range at once.
+FEW_POOLS = 10_000
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, partitions: int | None = None) -> DataFrame:
@@ -100,33 +106,198 @@ def weighted_schedule(df: DataFrame, key: str, item: str, start: str, end: str,
     return placed.groupBy(key, "__island").applyInPandas(best, picked.schema)
 
 
-def isotonic(df: DataFrame, x: str, y: str, weight: str) -> DataFrame:
-    """Non-decreasing least squares of ``y`` over ``x``, by Spark's own regression."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    data = VectorAssembler(inputCols=[x], outputCol="__x").transform(df.withColumn(weight, F.col(weight).cast("double")))
-    model = IsotonicRegression(featuresCol="__x", labelCol=y, weightCol=weight, predictionCol="fitted").fit(data)
-    return model.transform(data).select(x, y, F.col("fitted"))
-
-
-def greedy_batches(df: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:
-    """Consecutive rows of a key in batches of at most ``most``; a row that doesn't fit opens the next batch."""
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        batch, used, out = 0, 0, []
-        for n in rows[size]:
-            if used and used + n > most:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return rows.assign(batch=out)
-
-    picked = df.select(key, order, size)
-    w = Window.partitionBy(key).orderBy(order)
-    with_batch = picked.groupBy(key).applyInPandas(fill, f"{key} long, {order} long, {size} int, batch long")
-    return with_batch.withColumns({"before1": F.lag(order, 1).over(w), "before2": F.lag(order, 2).over(w)})
+def carried_forward(df: DataFrame, order: Sequence[Column], value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """The last known value at or before each row of everything in ``order``, by ranges and what the ranges before end with."""
+    rows = ranged(df, order, partitions)
+    last = lambda c: F.last(c, ignorenulls=True)
+    local = rows.withColumn("__local", last(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy("__part").agg(F.max_by("__local", F.struct(*order)).alias("__end"))
+    before = ends.select("__part", last("__end").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))  # one row a range
+    return local.join(F.broadcast(before), "__part").withColumn(name, F.coalesce("__local", "__before")).drop("__part", "__local", "__before")
+
+
+def _each_part(f: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    """``f`` over the rows of each range, from rows in order of ``__part``; a range fits a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            part = batch.column("__part").to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else []
+            for a, b in pairwise(cuts):
+                if rest and rest[0].column("__part")[0].as_py() != part[a]:
+                    yield f(pa.Table.from_batches(rest))
+                    rest = []
+                rest.append(batch.slice(a, b - a))
+        if rest:
+            yield f(pa.Table.from_batches(rest))
+
+    return run
+
+
+def _pooled(rows: pa.Table) -> pa.RecordBatch:
+    """Neighbours of a range pooled until means don't fall."""
+    low, high, total, weight = [], [], [], []
+    for a, b, s, w in zip(*(rows.column(c).to_pylist() for c in ("low", "high", "s", "w")), strict=True):
+        while low and total[-1] * w >= s * weight[-1]:
+            a, s, w = low.pop(), s + total.pop(), w + weight.pop()
+            high.pop()
+        low.append(a)
+        high.append(b)
+        total.append(s)
+        weight.append(w)
+    part = rows.column("__part")[0].as_py()
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(low), pa.int32()), *(pa.array(c, pa.float64()) for c in (low, high, total, weight))], ["__part", "low", "high", "s", "w"])
+
+
+def isotonic(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
+    """Non-decreasing least squares of ``y`` over ``x``: ``(x, mean, weight, fitted)`` of each value of ``x``.
+
+    Neighbours whose means fall are pooled within ranges of ``x``; pools are dealt into other ranges and pooled on as long
+    as a mean falls from one range to the next. Any order of pooling gives the one best fit, so no task and no driver
+    needs all of it; the driver sees the ends of ranges. Rows without x or y are left out, as are weights of 0 or less;
+    values are doubles.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    known = df.select(F.col(x).cast("double").alias("low"), F.col(y).cast("double").alias("y"), w.alias("w")).where("low is not null and y is not null and w > 0 and not isnan(low) and not isnan(y)")
+    points = materialize(known.groupBy("low").agg(F.sum(F.col("y") * F.col("w")).alias("s"), F.sum("w").alias("w")), "isotonic-points")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, step = points.select("low", F.col("low").alias("high"), "s", "w"), 0
+    while True:
+        # Another number of ranges has other bounds, so that what met at a bound lies within one.
+        rows = ranged(blocks, [F.col("low")], max(1, parts - step % 2 * (parts // 3)))
+        rows = rows.select("__part", "low", "high", "s", "w").repartition("__part").sortWithinPartitions("__part", "low")
+        pooled = materialize(rows.mapInArrow(_each_part(_pooled), "__part int, low double, high double, s double, w double"), "isotonic")
+        ends = pooled.groupBy("__part").agg(F.count("*").alias("n"), F.min_by(F.struct("s", "w"), "low").alias("first"), F.max_by(F.struct("s", "w"), "low").alias("last")).orderBy("__part").collect()
+        blocks = pooled.drop("__part")
+        if not any(a["last"]["s"] * b["first"]["w"] > b["first"]["s"] * a["last"]["w"] for a, b in pairwise(ends)):
+            break
+        step += 1
+        if sum(r["n"] for r in ends) <= FEW_POOLS:
+            parts = 1
+    told = points.select("low", F.lit(1).alias("kind"), "s", "w", F.lit(None).cast("double").alias("fit"))
+    told = told.unionByName(blocks.select("low", F.lit(0).alias("kind"), (F.col("s") / F.col("w")).alias("fit")), allowMissingColumns=True)
+    fitted = carried_forward(told, [F.col("low"), F.col("kind")], "fit", "fitted").where("kind = 1")
+    return fitted.select(F.col("low").alias(x), (F.col("s") / F.col("w")).alias("mean"), F.col("w").alias("weight"), "fitted")
+
+
+def _next_start(upto: np.ndarray, base: np.ndarray, from_: np.ndarray, most: int) -> np.ndarray:
+    """For batches that hold ``upto[k - 1] - base`` before row k: the first row from ``from_`` on that doesn't fit. The
+    first row with a size always fits."""
+    over = np.searchsorted(upto, base + most, "right")
+    filled = np.searchsorted(upto, base, "right") + 1  # the row after the first that has a size
+    return np.maximum(np.maximum(over, filled), from_)
+
+
+def _first_start(upto: np.ndarray, used: int, most: int) -> int:
+    """The first row that doesn't fit a batch that holds ``used`` before all of them."""
+    over = np.searchsorted(upto, most - used, "right")
+    return int(over if used else max(over, np.searchsorted(upto, 0, "right") + 1))
+
+
+def _fragments(key: str, order: str, size: str, most: int) -> Callable[[pa.Table], pa.RecordBatch]:
+    """A range to what its first and its last key tell the ranges after it: the total, the last two places, and for each
+    row that can be the first of a batch how full the last batch is then and how many batches begin."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        k, n, place = (rows.column(c).to_numpy() for c in (key, size, order))
+        out = []
+        bounds = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in dict.fromkeys(((bounds[0], bounds[1]), (bounds[-2], bounds[-1]))):
+            upto = np.cumsum(n[a:b], dtype=np.int64)
+            before = np.concatenate([[0], upto[:-1]])
+            then = np.minimum(_next_start(upto, before, np.arange(1, b - a + 1), most), b - a).tolist()
+            used, begun = (upto[-1] - before).tolist(), [1] * (b - a)
+            for i in range(b - a - 1, -1, -1):
+                if then[i] < b - a:
+                    used[i], begun[i] = used[then[i]], 1 + begun[then[i]]
+            heads = min(int(np.searchsorted(upto, most, "right")) + 2, b - a)
+            out.append((int(k[a]), int(upto[-1]), place[max(a, b - 2) : b].tolist(), upto[:heads].tolist(), used[:heads], begun[:heads]))
+        columns = list(zip(*out, strict=True))
+        part = rows.column("__part")[0].as_py()
+        kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["part", "key", "total", "tail", "upto", "used", "begun"])
+
+    return run
+
+
+def _chained(most: int) -> Callable[[pa.Table], pa.Table]:
+    """The fragments of a key, in order of ranges, to how full the open batch is where each begins, and its number."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out, used, batch, tail = [], 0, 0, []
+        for r in sorted(rows.to_pylist(), key=lambda r: r["part"]):
+            out.append((r["part"], used, batch, tail))
+            upto = np.array(r["upto"])
+            at = _first_start(upto, used, most)
+            if at < len(upto):
+                used, batch = r["used"][at], batch + r["begun"][at]
+            else:
+                used += r["total"]
+            tail = [*tail, *r["tail"]][-2:]
+        columns = list(zip(*out, strict=True))
+        return pa.table({"part": pa.array(columns[0], pa.int32()), "used": pa.array(columns[1], pa.int64()), "batch": pa.array(columns[2], pa.int64()), "tail": pa.array(columns[3], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _numbered(key: str, order: str, size: str, most: int, begins: dict[int, tuple]) -> Callable[[pa.Table], pa.RecordBatch]:
+    """The rows of a range with their batches and the two places before; ``begins`` says how its first key goes on."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        k, n, place = (rows.column(c).to_numpy() for c in (key, size, order))
+        used, batch, tail = begins.get(rows.column("__part")[0].as_py(), (0, 0, []))
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        end = np.repeat(np.append(first[1:], len(k)), np.diff(np.append(first, len(k))))
+        upto = np.cumsum(n, dtype=np.int64)
+        before = np.concatenate([[0], upto[:-1]])
+        then = np.minimum(_next_start(upto, before, np.arange(1, len(k) + 1), most), end).tolist()
+        at = min(_first_start(upto, used, most), int(end[0]))
+        starts = []
+        while at < len(k):  # the end of a key is the first row of the next one, which begins a batch too
+            starts.append(at)
+            at = then[at]
+        begun = np.zeros(len(k), np.int64)
+        begun[starts] = 1
+        opened = np.cumsum(begun)
+        base = np.repeat(opened[first], np.diff(np.append(first, len(k))))
+        number = opened - base
+        if len(first):
+            number[: end[0]] = opened[: end[0]] + batch
+        row = np.arange(len(k))
+        since = row - np.repeat(first, np.diff(np.append(first, len(k))))
+        lags = []
+        for step in (1, 2):
+            lag = np.full(len(k), None, object)
+            inside = since >= step
+            lag[inside] = place[row[inside] - step]
+            for i in range(min(step, int(end[0]))):
+                if step - i <= len(tail):
+                    lag[i] = tail[i - step]
+            lags.append(pa.array(lag, pa.int64()))
+        return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in (key, order, size)), pa.array(number), *lags], [key, order, size, "batch", "before1", "before2"])
+
+    return run
+
+
+def greedy_batches(df: DataFrame, key: str, order: str, size: str, most: int, partitions: int | None = None) -> DataFrame:
+    """Consecutive rows of a key in batches of at most ``most``, numbered from 0, with the two places before each row. A
+    row that doesn't fit opens the next batch; one that is larger than ``most`` is a batch of its own.
+
+    Which row opens the next batch follows from prefix sums, so each row points to the one that would begin after a batch
+    begun there. Rows are dealt into ranges, and a key may lie in many: a range tells for each row near its start how full
+    its last batch is if a batch begins there. These short tables are chained along a key, and then each range follows
+    its own pointers. Keys, places and sizes (0 or more) are whole numbers and not null; a place is in a key once.
+    """
+    picked = df.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), F.col(size).cast("int").alias(size))
+    rows = ranged(picked, [F.col(key), F.col(order)], partitions)
+    dealt = rows.select("__part", key, order, size).repartition("__part").sortWithinPartitions("__part", key, order)
+    told = dealt.mapInArrow(_each_part(_fragments(key, order, size, most)), "part int, key long, total long, tail array<long>, upto array<long>, used array<long>, begun array<long>")
+    several = F.count("*").over(Window.partitionBy("key"))  # two rows a range at most
+    chained = told.withColumn("n", several).where("n > 1").drop("n").groupBy("key").applyInArrow(_chained(most), "part int, used long, batch long, tail array<long>")
+    # A range begins with one key; a row for each range that begins inside one.
+    begins = {r["part"]: (r["used"], r["batch"], r["tail"]) for r in chained.where("size(tail) > 0").collect()}
+    return dealt.mapInArrow(_each_part(_numbered(key, order, size, most, begins)), f"{key} long, {order} long, {size} int, batch long, before1 long, before2 long")
 
 
 def paragraph_windows(df: DataFrame, key: str, text: str, sentences: int, salt: str) -> DataFrame:

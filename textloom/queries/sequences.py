@@ -74,8 +74,8 @@ _U = "CAST(('0x' || substr(sha256({}), 1, 8)) AS BIGINT)"
 @register("w13_isotonic", """WITH g AS (SELECT l_quantity AS x, avg(l_extendedprice) AS y, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT a.x AS a, b.x AS b, sum(g.y * g.n) / sum(g.n) AS m FROM g a JOIN g b ON a.x <= b.x JOIN g ON g.x BETWEEN a.x AND b.x GROUP BY 1, 2)
     SELECT g.x AS l_quantity, round(any_value(g.y), 4) AS price, round(max(low), 4) AS fitted FROM g JOIN (SELECT g.x, s.a, min(s.m) AS low FROM g JOIN s ON s.a <= g.x AND s.b >= g.x GROUP BY g.x, s.a) t ON t.x = g.x GROUP BY g.x""")
 def isotonic(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("price"), F.count("*").alias("n"))
-    return sq.isotonic(x, "l_quantity", "price", "n").select("l_quantity", F.round("price", 4).alias("price"), F.round("fitted", 4).alias("fitted"))
+    out = sq.isotonic(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return out.select("l_quantity", F.round("mean", 4).alias("price"), F.round("fitted", 4).alias("fitted"))
 
 
 @register("w14_context_batches", """WITH RECURSIVE c AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), t AS (SELECT conv_id, turn, words, k, 0::BIGINT AS batch, words AS used FROM c WHERE k = 1
@@ -106,17 +106,36 @@ def windows_within_quotas(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@register("t4_quotas")
+_SEATS = """seats_(name, n, room, seats, left_, round_) AS (SELECT name, n, room, 0::BIGINT, least({wanted}, sum(room) OVER ())::BIGINT, 0 FROM groups_ UNION ALL
+    SELECT name, n, room, (seats + given)::BIGINT, (left_ - sum(given) OVER ())::BIGINT, round_ + 1 FROM (SELECT *, CASE WHEN seats < room THEN least(share + CASE WHEN place <= left_ - sum(CASE WHEN seats < room THEN share ELSE 0 END) OVER () THEN 1 ELSE 0 END, room - seats) ELSE 0 END AS given FROM
+    (SELECT *, left_ * n // total AS share, row_number() OVER (ORDER BY seats >= room, left_ * n % total DESC, name) AS place FROM (SELECT *, (sum(CASE WHEN seats < room THEN n ELSE 0 END) OVER ())::BIGINT AS total FROM seats_ WHERE left_ > 0)))),
+    dealt_ AS (SELECT name, n, seats FROM seats_ QUALIFY round_ = max(round_) OVER ())"""
+
+
+@register("t4_quotas", f"WITH RECURSIVE groups_ AS (SELECT source AS name, count(*) AS n, least(count(*), 40) AS room FROM documents GROUP BY source), {_SEATS.format(wanted=300)} SELECT name AS source, n AS size, seats FROM dealt_")
 def quotas(spark: SparkSession, d: str) -> DataFrame:
-    sizes = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("size"))
-    return sm.quotas(sizes, "source", "size", 40, 300)
+    sizes = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("size"), F.least(F.count("*"), F.lit(40)).alias("room"))
+    return sm.quotas(sizes, "source", "size", "room", 300)
+
+
+@register("t4_quotas_of_users", f"WITH RECURSIVE groups_ AS (SELECT user_id AS name, count(*) AS n, least(count(*), 3) AS room FROM events GROUP BY user_id), {_SEATS.format(wanted=700)} SELECT name AS user_id, n AS size, seats FROM dealt_")
+def quotas_of_users(spark: SparkSession, d: str) -> DataFrame:
+    """Many groups of like sizes: remainders and names decide."""
+    sizes = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("size"), F.least(F.count("*"), F.lit(3)).alias("room"))
+    return sm.quotas(sizes, "user_id", "size", "room", 700)
 
 
-@register("t5_stratified_select", f"""WITH r AS (SELECT source, doc_id, lang = 'en' AS kind, row_number() OVER (PARTITION BY source, lang = 'en' ORDER BY {_U.format("'s' || doc_id")}, doc_id) AS r FROM documents)
-    SELECT source, doc_id, kind FROM r WHERE r <= 5""")
+@register("t5_stratified_select", f"""WITH RECURSIVE lines AS (SELECT source AS book, doc_id AS doc, k, list_extract(l, k::INTEGER) AS line FROM (SELECT source, doc_id, l, unnest(generate_series(1, len(l))) AS k FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+    paras AS (SELECT book, doc, doc || ':' || (k - 1) AS key, contains(line, ',') AS kind FROM lines WHERE length(line) BETWEEN 20 AND 400), have AS (SELECT book, count(*) AS room, count(*) FILTER (kind) AS n_kind FROM paras GROUP BY book),
+    groups_ AS (SELECT book AS name, count(*) AS n, any_value(room) AS room FROM lines JOIN have USING (book) GROUP BY book), {_SEATS.format(wanted=200)},
+    a AS (SELECT name AS book, seats, room, n_kind, least(seats // 2, n_kind) AS first FROM dealt_ JOIN have ON have.book = name), b AS (SELECT *, least(seats - first, room - n_kind) AS of_other FROM a), c AS (SELECT *, least(seats - of_other, n_kind) AS of_kind FROM b),
+    t AS (SELECT *, row_number() OVER (PARTITION BY book, doc, kind ORDER BY {_U.format("'s' || key")}, key) AS turn FROM paras), r AS (SELECT *, row_number() OVER (PARTITION BY book, kind ORDER BY turn, {_U.format("'s' || doc")}, doc, key) AS place FROM t)
+    SELECT r.book, r.doc, r.key, r.kind, r.place FROM r JOIN c USING (book) WHERE place <= CASE WHEN kind THEN of_kind ELSE of_other END""")
 def stratified(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", "doc_id", (F.col("lang") == "en").alias("kind"))
-    return sm.first_by_hash(docs, ["source", "kind"], "doc_id", 5, "s").select("source", "doc_id", "kind")
+    """Lines of documents, half of them with a comma, by source."""
+    lines = table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    paragraphs = lines.where(F.length("line").between(20, 400)).select("book", "doc", F.concat("doc", F.lit(":"), "k").alias("key"), F.contains("line", F.lit(",")).alias("kind"))
+    return sm.stratified_select(lines.groupBy("book").agg(F.count("*").alias("size")), paragraphs, 200, "s")
 
 
 @register("t6_hash_split", f"""SELECT doc_id, CASE WHEN {_U.format("'split' || doc_id")} % 100 < 80 THEN 'train' WHEN {_U.format("'split' || doc_id")} % 100 < 90 THEN 'dev' ELSE 'test' END AS split FROM documents""")
