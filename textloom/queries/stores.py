@@ -153,6 +153,27 @@ def record(spark: SparkSession, d: str) -> DataFrame:
     return cs.new_cases(events.where("event = 'found'").select("key", "parser").distinct(), cs.case_state(events))
 
 
+_HALVES = f"""l AS (SELECT seq, key, parser::VARCHAR AS parser, event, CASE WHEN seq % 3 = 0 THEN 'by' ELSE '' END AS licence, seq > (SELECT max(event_id) // 2 FROM events) AS late FROM ({_LOG})),
+    w0 AS (SELECT min(seq) AS seq, key, parser, arg_min(licence, seq) AS licence FROM l WHERE NOT late AND event = 'found' GROUP BY key, parser), k0 AS (SELECT key, min(seq) AS first, arg_max(licence, seq) AS licence FROM w0 GROUP BY key),
+    t0 AS (SELECT seq, key, parser, 'open' AS view FROM w0 UNION ALL SELECT l.seq, l.key, l.parser, CASE WHEN event = 'learned' THEN 'learned' ELSE 'open' END FROM l JOIN k0 ON k0.key = l.key AND l.seq > first WHERE NOT late AND event <> 'found'),
+    s0 AS (SELECT key, parser, arg_max(view, seq) AS view FROM t0 GROUP BY key, parser),
+    w1 AS (SELECT min(l.seq) AS seq, l.key, l.parser, arg_min(l.licence, l.seq) AS licence FROM l LEFT JOIN s0 ON s0.key = l.key AND s0.parser = l.parser LEFT JOIN k0 ON k0.key = l.key
+           WHERE late AND event = 'found' AND (coalesce(view, '') <> 'open' OR (k0.licence = '' AND l.licence <> '')) GROUP BY l.key, l.parser)"""
+
+
+@register("r2_record_stream", f"WITH {_HALVES} SELECT 0 AS batch, seq, key, parser, licence FROM w0 UNION ALL SELECT 1, seq, key, parser, licence FROM w1")
+def record_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The event log in two halves, the second of which comes when the stream has read the first."""
+    log = case_events(spark, d).select("seq", "key", "parser", "event", F.when(F.col("seq") % 3 == 0, "by").otherwise("").alias("licence"))
+    half = log.agg(F.floor(F.max("seq") / 2)).first()[0]
+    came, out, at = (new_path(spark, name) for name in ("cases-in", "cases-list", "cases-log"))
+    for part in (log.where(F.col("seq") <= half), log.where(F.col("seq") > half)):
+        part.write.mode("append").parquet(came)
+        cs.record_stream(spark.readStream.schema(log.schema).parquet(came), out, at).awaitTermination()
+    rows = spark.read.schema("seq long, key long, parser string, event string, licence string, batch int").parquet(f"{out}/events")
+    return rows.where("event = 'found'").select("batch", "seq", "key", "parser", "licence")
+
+
 @register("r3_recheck", f"WITH {_STATE} SELECT key, parser, CASE WHEN state = 'open' THEN 'learned' ELSE 'open' END AS event FROM s WHERE (state = 'open' AND (key + parser) % 2 = 0) OR (state = 'learned' AND (key + parser) % 2 <> 0)")
 def recheck(spark: SparkSession, d: str) -> DataFrame:
     state = cs.case_state(case_events(spark, d))

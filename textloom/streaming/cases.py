@@ -46,6 +46,54 @@ def new_cases(found: DataFrame, state: DataFrame) -> DataFrame:
     return found.join(open_now, ["key", "parser"], "left_anti")
 
 
+def record_batch(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a batch of ``(seq, key, parser, event, licence)`` adds to a list of cases, and the state after it.
+
+    ``state(key, licence, views)``: the licence of the last found record of a case, and what each parser thinks of it. A
+    found case is written if its parser doesn't have it open, or if it brings a licence that the case lacks; of several
+    of one key and parser the first that may be written. ``learned`` and ``open`` of known keys set the parser's view.
+    A null licence is an empty one; rows without a key are left out.
+    """
+    rows = events.where("key is not null").select("seq", "key", F.col("parser").cast("string").alias("parser"), "event", F.coalesce("licence", F.lit("")).alias("licence"))
+    known = state.select("key", F.col("licence").alias("held"), "views")
+    met = rows.join(known, "key", "left")
+    is_open = F.coalesce(F.try_element_at("views", "parser") == "open", F.lit(False))
+    may = ~is_open | ((F.col("held") == "") & (F.col("licence") != ""))
+    found = met.where((F.col("event") == "found") & may).groupBy("key", "parser").agg(F.min(F.struct("seq", "licence")).alias("f")).select("f.seq", "key", "parser", F.lit("found").alias("event"), "f.licence")
+    first = found.groupBy("key").agg(F.min("seq").alias("first"))
+    told = met.where("event <> 'found'").join(first, "key", "left").where("views is not null or seq > first").select("seq", "key", "parser", "event", "licence")
+    written = found.unionByName(told)
+    view = F.when(F.col("event") == "learned", "learned").otherwise("open")
+    views = written.groupBy("key", "parser").agg(F.max_by(view, "seq").alias("view")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("parser", "view"))).alias("new"))
+    licences = found.groupBy("key").agg(F.max_by("licence", "seq").alias("brought"))
+    both = known.join(views, "key", "full_outer").join(licences, "key", "left")
+    none = F.expr("cast(map() as map<string,string>)")
+    old = F.map_filter(F.coalesce("views", none), lambda k, _: ~F.map_contains_key(F.coalesce("new", none), k))
+    return written, both.select("key", F.coalesce("brought", "held").alias("licence"), F.map_concat(old, F.coalesce("new", none)).alias("views"))
+
+
+_CASE_STATE = "key long, licence string, views map<string,string>"
+
+
+def record_stream(events: DataFrame, path: str, checkpoint: str):
+    """``record_batch`` over a stream: what is written goes to ``path/events``, the state after a batch to ``path/state``.
+
+    A batch reads the state that the batch before it left and replaces its own folders, so a batch that is run again
+    after a failure changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(_CASE_STATE).parquet(f"{path}/state/batch={number - 1}") if number else spark.createDataFrame([], _CASE_STATE)
+        kept = batch.persist()
+        written, after = record_batch(kept, state)
+        written.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        after.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        kept.unpersist()
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def recheck(state: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Events that follow from verdicts ``(key, parser, right)``: open cases now right, learned ones now wrong."""
     joined = state.join(verdicts, ["key", "parser"])
