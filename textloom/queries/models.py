@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from textloom.functions import pages as pg
 from textloom.functions import text as tx
 from textloom.operators import corpus as cp
+from textloom.operators import languages as lg
 from textloom.operators import models as md
+from textloom.operators import sampling as sm
+from textloom.operators import tables as tb
+from textloom.plans.materialize import materialize
 from textloom.registry import register, table
 
 
@@ -49,16 +53,61 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@register("c16_naive_bayes")
+LANGUAGES = ["de", "en", "es", "fr"]
+_FEATURES = """list_concat(list_concat(list_concat(['W:' || w, 'M:' || left(w, 1) || '-', 'M:-' || right(w, 1)], CASE WHEN length(w) >= 2 THEN ['M:' || left(w, 2) || '-', 'M:-' || right(w, 2)] ELSE [] END), CASE WHEN length(w) >= 3 THEN ['M:-' || right(w, 3)] ELSE [] END),
+    list_concat(list_transform(list_distinct(regexp_extract_all(w, '[^a-z]')), lambda c: 'P:' || c), list_concat(CASE WHEN length(w) <= 3 THEN ['C:' || w] ELSE [] END, CASE WHEN length(w) >= 5 THEN ['A:-' || right(w, 4)] ELSE [] END)))"""
+
+
+@register("c16_naive_bayes", f"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')), f AS (SELECT lang, unnest({_FEATURES}) AS feature FROM w),
+    n AS (SELECT feature, {", ".join(f"count(*) FILTER (lang = '{c}') AS {c}" for c in LANGUAGES)}, count(*) AS every FROM f GROUP BY feature), k AS (SELECT *, left(feature, 1) AS g FROM n WHERE left(feature, 1) NOT IN ('W', 'M') OR every >= 3)
+    SELECT feature, {", ".join(f"round(ln(({c} + 0.5) / (sum({c}) OVER (PARTITION BY g) + 0.5 * count(*) OVER (PARTITION BY g))), 6) AS {c}" for c in LANGUAGES)} FROM k""")
 def naive_bayes(spark: SparkSession, d: str) -> DataFrame:
-    return md.naive_bayes(table(spark, d, "documents"), "lang").withColumn("weight", F.round("weight", 6))
+    return lg.naive_bayes(table(spark, d, "documents"), "lang", LANGUAGES).withColumns({c: F.round(c, 6) for c in LANGUAGES})
+
+
+@register("c16_shuffled_control")
+def shuffled_control(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of the documents of one split by models of the others, with their own labels and with drawn ones."""
+    docs = table(spark, d, "documents").where("lang is not null").withColumn("split", sm.split_of(F.col("doc_id"), "lang", 80, 0))
+    train, rest = docs.where("split = 'train'"), docs.where("split = 'test'")
+    out = []
+    for name, learn in (("own", train), ("drawn", lg.shuffled(train, "doc_id", "lang", "control"))):
+        said = lg.classify(rest, "doc_id", lg.naive_bayes(learn, "lang", LANGUAGES), LANGUAGES).join(rest.select("doc_id", "lang"), "doc_id")
+        out.append(said.groupBy("lang").agg(F.lit(name).alias("labels"), F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("said")).alias("right")))
+    return out[0].unionByName(out[1])
 
 
 @register("c17_language_segments")
 def segments(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    model = md.naive_bayes(docs, "lang").where(F.col("feature").startswith("w:"))
-    return md.segment_languages(docs, model, ["de", "en", "es", "fr"])
+    return lg.segments(lg.label_words(docs, "doc_id", lg.naive_bayes(docs, "lang", LANGUAGES), LANGUAGES), "doc_id")
+
+
+@register("e19_mixed_documents")
+def mixed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Words and boundaries of texts that are put together from three documents each, a line or sentence of up to 200
+    characters of any, against their languages; the model is of other documents."""
+    docs = table(spark, d, "documents").where("lang is not null and text is not null").withColumn("split", sm.split_of(F.col("doc_id"), "lang", 80, 0))
+    model = lg.naive_bayes(docs.where("split = 'train'"), "lang", LANGUAGES)
+    pieces = docs.where("split = 'test'").select("lang", F.trim(F.left(F.split("text", "\n")[0], F.lit(200))).alias("piece"), sm.hash_order(F.col("doc_id"), "mix").alias("h"), "doc_id")
+    ranked = tb.global_rank(pieces.where("piece <> ''"), [F.col("h"), F.col("doc_id")], "r").withColumn("id", F.floor((F.col("r") - 1) / 3))
+    parts = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "piece", "lang"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["piece"]), " ")
+    # A piece begins where those before it and a blank each end.
+    begin = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.aggregate(F.slice("p", F.lit(1), i - 1), F.lit(0), lambda n, x: n + F.length(x["piece"]) + 1))
+    mixed = materialize(parts.select("id", text.alias("text"), F.transform("p", lambda x: x["lang"]).alias("langs"), begin.alias("begin")), "mixed")
+    said = lg.label_words(mixed, "id", model, LANGUAGES).join(mixed.select("id", "langs", "begin"), "id")
+    gold = F.element_at("langs", F.size(F.filter("begin", lambda b: b <= F.col("start"))))
+    out = lg.boundary_scores(said.withColumn("gold", gold), "id", "at", "gold", "said")
+    return out.select("words", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")))
+
+
+@register("e19_boundary_scores", """WITH t AS (SELECT user_id, event_id, event_type AS g, CASE WHEN value > 20 THEN event_type ELSE 'click' END AS s FROM events),
+    c AS (SELECT g = s AS ok, lag(g) OVER w <> g AS gb, lag(s) OVER w <> s AS sb FROM t WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), n AS (SELECT count(*) AS words, count(*) FILTER (ok) AS ok, count(*) FILTER (gb) AS gold, count(*) FILTER (sb) AS said, count(*) FILTER (gb AND sb) AS both_ FROM c)
+    SELECT words, round(ok / nullif(words, 0), 9) AS accuracy, round(both_ / nullif(said, 0), 9) AS precision, round(both_ / nullif(gold, 0), 9) AS recall, round(2 * both_ / nullif(said + gold, 0), 9) AS f1 FROM n""")
+def boundary_scores(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("g"), F.when(F.col("value") > 20, F.col("event_type")).otherwise("click").alias("s"))
+    return lg.boundary_scores(e, "user_id", "event_id", "g", "s").withColumns({c: F.round(c, 9) for c in ("accuracy", "precision", "recall", "f1")})
 
 
 @register("c18_formula_stats", r"SELECT doc_id, len(regexp_extract_all(text, '\$([^$\n]+)\$', 1)) AS formulas, len(list_distinct(regexp_extract_all(text, '\$([^$\n]+)\$', 1))) AS different, length(text) - length(replace(text, '$', '')) - 2 * len(regexp_extract_all(text, '\$([^$\n]+)\$', 1)) AS unpaired FROM documents")
