@@ -12,8 +12,10 @@ from textloom.operators import languages as lg
 from textloom.operators import models as md
 from textloom.operators import sampling as sm
 from textloom.operators import tables as tb
-from textloom.plans.materialize import materialize
+from textloom.operators import wiki as wk
+from textloom.plans.materialize import materialize, new_path
 from textloom.registry import register, table
+from textloom.sources import files as fl
 
 
 @register("c5_html_to_text")
@@ -53,6 +55,52 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+_HEADS = {"en": "English", "de": "German", "es": "Spanish", "fr": "French"}
+
+
+def dictionary_dump(spark: SparkSession, d: str) -> DataFrame:
+    """A dump with a page for each document, written and read: the title are its first words, the text an entry with
+    nested templates under the heading of its language."""
+    docs = table(spark, d, "documents").where("text is not null")
+    c, w = F.col, F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
+    first, n = lambda k: F.coalesce(F.get(w, F.lit(k)), F.lit("none")), c("doc_id")
+    pick = lambda by, *of: F.element_at(F.array(*(F.lit(x) for x in of)), (n % by + 1).cast("int"))
+    title = F.when(n % 3 == 0, F.concat_ws(" ", first(0), first(1), n.cast("string"))).otherwise(F.concat(first(0), n.cast("string")))
+    label = F.concat(F.lit("{{lb|en|"), pick(4, "slang", "idiomatic", "dated", "music"), F.when(n % 5 == 0, F.lit("|UK")).otherwise(F.lit("")), F.lit("}}"))
+    sense = F.concat(label, F.lit(" A [[thing|"), first(2), F.lit("]] {{q|as {{m|en|"), first(3), F.lit("}}}}."))
+    head = F.coalesce(*(F.when(c("lang") == k, F.lit(v)) for k, v in _HEADS.items()), F.lit("Other"))
+    text = F.concat(F.lit("{{also|x}}\n=="), head, F.lit("==\n\n==="), pick(5, "Noun", "Verb", "Proverb", "Etymology", "Phrase"), F.lit("===\n{{head|en}}\n\n# "), sense, F.lit("\n## not a sense\n"))
+    day = F.date_add(F.lit("2001-03-05"), (n % 4000).cast("int")).cast("timestamp")
+    pages = docs.select(title.alias("title"), (n % 7 % 2).cast("int").alias("ns"), n.alias("page_id"), (n * 3).alias("revision_id"), text.alias("text"), F.when(n % 11 == 0, "elsewhere").alias("redirect"), day.alias("edited"), F.concat(F.lit("user"), (n % 23).cast("string")).alias("editor"), (n % 23 == 4).alias("anonymous"))
+    path = new_path(spark, "dictionary")
+    fl.write_wiki_dump(pages, path)
+    return materialize(fl.read_wiki_dump(spark, path), "dictionary-pages")
+
+
+_DUMP = r"""w AS (SELECT doc_id AS n, lang, regexp_extract_all(text, '\p{L}+') AS w FROM documents WHERE text IS NOT NULL), f AS (SELECT n, lang, coalesce(w[1], 'none') AS a, coalesce(w[2], 'none') AS b, coalesce(w[3], 'none') AS c, coalesce(w[4], 'none') AS e FROM w),
+    p AS (SELECT *, CASE WHEN n % 3 = 0 THEN a || ' ' || b || ' ' || n ELSE a || n END AS title, n % 7 % 2 AS ns, n % 11 = 0 AS redirect, ['slang', 'idiomatic', 'dated', 'music'][n % 4 + 1] AS label, ['Noun', 'Verb', 'Proverb', 'Etymology', 'Phrase'][n % 5 + 1] AS pos,
+          CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' ELSE 'Other' END AS head, DATE '2001-03-05' + CAST(n % 4000 AS INTEGER) AS day, 'user' || (n % 23) AS editor, n % 23 = 4 AS anonymous FROM f),
+    t AS (SELECT *, '{{also|x}}' || chr(10) || '==' || head || '==' || chr(10) || chr(10) || '===' || pos || '===' || chr(10) || '{{head|en}}' || chr(10) || chr(10) || '# {{lb|en|' || label || CASE WHEN n % 5 = 0 THEN '|UK' ELSE '' END || '}} A [[thing|' || c || ']] {{q|as {{m|en|' || e || '}}}}.' || chr(10) || '## not a sense' || chr(10) AS text FROM p)"""
+
+
+@register("c14_dump_counters", f"""WITH {_DUMP}, k AS (SELECT 'namespace' AS kind, ns::VARCHAR AS key, * FROM t UNION ALL SELECT 'year', year(day)::VARCHAR, * FROM t WHERE ns = 0 AND NOT redirect UNION ALL SELECT 'editor', editor, * FROM t WHERE ns = 0 AND NOT redirect)
+    SELECT kind, key, count(*) AS pages, count(*) FILTER (redirect) AS redirects, count(*) FILTER (contains(text, '[[')) AS linked, count(*) FILTER (anonymous) AS anonymous, sum(octet_length(encode(text)))::BIGINT AS size FROM k GROUP BY kind, key""")
+def dump_counters(spark: SparkSession, d: str) -> DataFrame:
+    return wk.dump_counters(dictionary_dump(spark, d))
+
+
+@register("c14_templates", f"""WITH {_DUMP}, a AS (SELECT head AS lang FROM t WHERE ns = 0 AND NOT redirect) SELECT lang, template, count(*) AS n, count(*) AS pages FROM a, (SELECT unnest(['head', 'lb', 'q', 'm']) AS template) GROUP BY lang, template""")
+def dump_templates(spark: SparkSession, d: str) -> DataFrame:
+    return wk.template_counts(wk.sections(dictionary_dump(spark, d)))
+
+
+@register("c15_wiki_entries", f"""WITH {_DUMP}, s AS (SELECT *, 'A ' || c || ' ' || 'as ' || e || '.' AS gloss, n % 3 = 0 AS multi, CASE WHEN label IN ('slang', 'dated') THEN label END AS reg FROM t WHERE ns = 0 AND NOT redirect AND head = 'English' AND pos <> 'Etymology' AND length(title) <= 60)
+    SELECT title, CASE WHEN NOT multi THEN 'word' WHEN pos = 'Proverb' THEN 'proverb' WHEN label = 'idiomatic' THEN 'idiom' WHEN pos = 'Verb' THEN 'verb-phrase' WHEN pos = 'Phrase' THEN 'phrase' ELSE 'multiword' END AS kind, pos, gloss,
+    CASE WHEN reg IS NULL THEN '' ELSE reg || ': ' || gloss END AS registers, CASE WHEN n % 5 = 0 THEN 'British: ' || gloss ELSE '' END AS regions, n AS page_id, n * 3 AS revision_id FROM s WHERE multi OR reg IS NOT NULL OR n % 5 = 0""")
+def wiki_entries(spark: SparkSession, d: str) -> DataFrame:
+    return wk.entries(dictionary_dump(spark, d))
+
+
 LANGUAGES = ["de", "en", "es", "fr"]
 _FEATURES = """list_concat(list_concat(list_concat(['W:' || w, 'M:' || left(w, 1) || '-', 'M:-' || right(w, 1)], CASE WHEN length(w) >= 2 THEN ['M:' || left(w, 2) || '-', 'M:-' || right(w, 2)] ELSE [] END), CASE WHEN length(w) >= 3 THEN ['M:-' || right(w, 3)] ELSE [] END),
     list_concat(list_transform(list_distinct(regexp_extract_all(w, '[^a-z]')), lambda c: 'P:' || c), list_concat(CASE WHEN length(w) <= 3 THEN ['C:' || w] ELSE [] END, CASE WHEN length(w) >= 5 THEN ['A:-' || right(w, 4)] ELSE [] END)))"""

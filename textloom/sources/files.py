@@ -40,15 +40,31 @@ def read_conllu(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sent_id", "text", (F.col("k") + 1).alias("k"), *(cells[n].alias(c) for n, c in enumerate(CONLLU)))
 
 
+_PAGE = "title string, ns int, id long, redirect struct<_title: string>, revision struct<id: long, timestamp: timestamp, contributor: struct<username: string, ip: string>, text: string>"
+
+
 def read_wiki_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``(title, ns, page_id, revision_id, text)`` of each ``<page>``."""
-    schema = "title string, ns int, id long, revision struct<id: long, text: string>"
-    return spark.read.format("xml").option("rowTag", "page").schema(schema).load(path).select("title", "ns", F.col("id").alias("page_id"), F.col("revision.id").alias("revision_id"), F.col("revision.text").alias("text"))
+    """``(title, ns, page_id, revision_id, text, redirect, edited, editor, anonymous)`` of each ``<page>``.
+
+    ``redirect`` is the page's target; ``editor`` the name or address of whoever made the last edit. What a page doesn't
+    say is null.
+    """
+    pages = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", False).schema(_PAGE).load(path)
+    r = "revision"
+    return pages.select(
+        "title", "ns", F.col("id").alias("page_id"), F.col(f"{r}.id").alias("revision_id"), F.col(f"{r}.text").alias("text"), F.col("redirect._title").alias("redirect"), F.col(f"{r}.timestamp").alias("edited"),
+        F.coalesce(f"{r}.contributor.username", f"{r}.contributor.ip").alias("editor"), F.col(f"{r}.contributor.ip").isNotNull().alias("anonymous"),
+    )
 
 
 def write_wiki_dump(pages: DataFrame, path: str) -> None:
-    """The counterpart of ``read_wiki_dump``."""
-    nested = pages.select("title", "ns", F.col("page_id").alias("id"), F.struct(F.col("revision_id").alias("id"), "text").alias("revision"))
+    """The counterpart of ``read_wiki_dump``; columns after ``text`` may be missing."""
+    missing = {"redirect": "string", "edited": "timestamp", "editor": "string", "anonymous": "boolean"}
+    full = pages.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in pages.columns})
+    known = F.coalesce("anonymous", F.lit(False))
+    who = F.struct(F.when(~known, F.col("editor")).alias("username"), F.when(known, F.col("editor")).alias("ip"))
+    revision = F.struct(F.col("revision_id").alias("id"), F.col("edited").alias("timestamp"), F.when(F.col("editor").isNotNull(), who).alias("contributor"), "text")
+    nested = full.select("title", "ns", F.col("page_id").alias("id"), F.when(F.col("redirect").isNotNull(), F.struct(F.col("redirect").alias("_title"))).alias("redirect"), revision.alias("revision"))
     nested.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
 
 
