@@ -76,3 +76,47 @@ def normal_text(text: Column) -> Column:
 def day_number(ts: Column) -> Column:
     """Days with 719529 for 1970-01-01."""
     return F.datediff(ts, F.lit("1970-01-01")) + 719529
+
+
+def personal_token(token: Column) -> Column:
+    """Whether a whole token is a phone number, an address of a page or of mail, or a handle.
+
+    Of digits and ``-.() +`` alone: three and four digits, or ten or eleven in three groups and more, four at the end.
+    After ``@``: two or more letters, digits, underscores and dots, with a letter. With ``@`` inside: two letters or digits
+    before it or a dot after it, and a part of two and more with a letter in what looks like a domain.
+    """
+    t = F.lower(F.coalesce(token, F.lit("")))
+    groups = F.filter(F.split(t, "[^0-9]+"), lambda x: x != "")
+    n = F.aggregate(groups, F.lit(0), lambda a, x: a + F.length(x))
+    size, last = F.size(groups), F.coalesce(F.length(F.try_element_at(groups, F.lit(-1))), F.lit(0))
+    phone = (last == 4) & (((size == 2) & (F.length(F.get(groups, F.lit(0))) == 3)) | ((size >= 3) & n.between(10, 11)))
+    local, domain = F.regexp_extract(t, "^(.*)@([^@]*)$", 1), F.regexp_extract(t, "^(.*)@([^@]*)$", 2)
+    parts = F.exists(F.split(domain, "[._-]"), lambda x: (F.length(x) >= 2) & x.rlike("[a-z]"))
+    mail = ((F.length(F.regexp_replace(local, "[^a-z0-9]", "")) >= 2) | F.contains(domain, F.lit("."))) & domain.rlike("^[a-z0-9._-]*$") & parts
+    handle = t.rlike("^@[a-z0-9_.]{2,}$") & F.substring(t, 2, 1000).rlike("[a-z]")
+    return F.when(t.rlike("^[0-9().+ -]+$"), phone).when(t.rlike(r"^(https?://|ftp://|mailto:|www\.)"), F.lit(True)).when(t.startswith("@"), handle).when(F.contains(t, F.lit("@")), mail).otherwise(F.lit(False))
+
+
+#: The same rules for the oracle.
+PERSONAL_SQL = r"""CASE WHEN regexp_matches({t}, '^[0-9().+ -]+$') THEN coalesce(length({g}[-1]) = 4 AND ((len({g}) = 2 AND length({g}[1]) = 3) OR (len({g}) >= 3 AND list_sum(list_transform({g}, lambda x: length(x))) BETWEEN 10 AND 11)), false)
+    WHEN regexp_matches({t}, '^(https?://|ftp://|mailto:|www\.)') THEN true WHEN starts_with({t}, '@') THEN regexp_matches({t}, '^@[a-z0-9_.]{{2,}}$') AND regexp_matches({t}, '[a-z]') WHEN contains({t}, '@') THEN
+    (length(regexp_replace(regexp_extract({t}, '^(.*)@([^@]*)$', 1), '[^a-z0-9]', '', 'g')) >= 2 OR contains(regexp_extract({t}, '^(.*)@([^@]*)$', 2), '.')) AND regexp_matches(regexp_extract({t}, '^(.*)@([^@]*)$', 2), '^[a-z0-9._-]*$')
+    AND len(list_filter(regexp_split_to_array(regexp_extract({t}, '^(.*)@([^@]*)$', 2), '[._-]'), lambda x: length(x) >= 2 AND regexp_matches(x, '[a-z]'))) > 0 ELSE false END""".replace("{g}", "list_filter(regexp_split_to_array({t}, '[^0-9]+'), lambda x: x <> '')")
+
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
+def rfc_date(text: Column) -> Column:
+    """The date of ``Wed, 01 Oct 1997 11:48:56 GMT``; null for what isn't of that form."""
+    part = lambda k: F.regexp_extract(text, r"^\s*\S+\s+([0-9]{1,2})\s+([A-Z][a-z]{2})\s+([0-9]{4})\b", k)
+    at = F.instr(F.lit(MONTHS), part(2))
+    month = F.when((part(2) != "") & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+    return F.try_to_date(F.format_string("%s-%02d-%s", part(3), month, F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
+
+
+def death_years(authors: Column) -> Column:
+    """The last year of each author of ``A, 1820-1891; B, 1850-1920``, 0 for one before our era; null if any has none."""
+    each = F.filter(F.transform(F.split(authors, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    year = lambda x: F.when(F.contains(x, F.lit("BCE")), 0).otherwise(F.nullif(F.coalesce(F.nullif(F.regexp_extract(x, r"-[^0-9-]*([0-9]{1,9})[^-]*$", 1), F.lit("")), F.lit("0")).cast("int"), F.lit(0)))
+    years = F.transform(each, year)
+    return F.when((F.size(years) > 0) & F.forall(years, lambda y: y.isNotNull()), years)

@@ -24,6 +24,55 @@ def compare_annotators(a: DataFrame, b: DataFrame) -> DataFrame:
     return per.where("same_forms").drop("same_forms")
 
 
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per sentence and ``origin`` of the second annotation ``(sid, origin, i, form, head, rel, tag)``, where all forms are
+    equal: words, different heads or relations, different tags, and what differs in the tree in order of the words."""
+    other = b.select("sid", "i", "origin", *(F.col(c).alias(f"{c}_b") for c in ("form", "head", "rel", "tag")))
+    both = a.join(other, ["sid", "i"])
+    tree = ~F.col("head").eqNullSafe(F.col("head_b")) | (F.col("rel") != F.col("rel_b"))
+    said = F.format_string("%s %d:%s→%d:%s", "form", "head", "rel", "head_b", "rel_b")
+    listed = F.array_sort(F.collect_list(F.when(tree, F.struct("i", said.alias("said")))))
+    per = both.groupBy("sid", "origin").agg(F.count("*").alias("words"), F.count_if(tree).alias("tree_diff"), F.count_if(F.col("tag") != F.col("tag_b")).alias("tag_diff"), F.bool_and(F.col("form") == F.col("form_b")).alias("same"), F.array_join(F.transform(listed, lambda x: x["said"]), "; ").alias("tree"))
+    return per.where("same").drop("same")
+
+
+def agreement_by_origin(per: DataFrame) -> DataFrame:
+    """``compared`` by origin: pairs, pairs that differ in anything, and the share of words with equal trees and tags, in
+    percent with one decimal."""
+    share = lambda c: F.round(100.0 * F.sum(F.col("words") - F.col(c)) / F.sum("words"), 1)
+    return per.groupBy("origin").agg(F.count("*").alias("pairs"), F.count_if((F.col("tree_diff") > 0) | (F.col("tag_diff") > 0)).alias("disagree"), share("tree_diff").alias("las"), share("tag_diff").alias("tags"))
+
+
+def largest_differences(per: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` pairs of ``compared`` whose trees differ most, shorter sentences first among equals, then by id."""
+    top = per.where("tree_diff > 0").orderBy(F.desc("tree_diff"), "words", "sid", "origin").limit(k)
+    return top.select("sid", "origin", "words", "tree_diff", F.left("tree", F.lit(80)).alias("tree"))
+
+
+def judge_trees(sentences: DataFrame, tokens: DataFrame, witness: DataFrame, least: float = 0.6) -> DataFrame:
+    """``(sid, why)`` of the sentences ``(sid)`` to refuse, by ``tokens(sid, i, head, tag)``: ``no_words``; ``roots`` if not
+    exactly one word is the root; ``head_outside`` if a head is no word of the sentence, and then no more is asked;
+    ``witness`` if fewer than ``least`` of the words that aren't punctuation have the head of ``witness(sid, i, head)``,
+    where that has as many words."""
+    w = witness.select("sid", "i", F.col("head").alias("seen"))
+    sizes = witness.groupBy("sid").agg(F.count("*").alias("w_n"))
+    told = tokens.join(w, ["sid", "i"], "left").groupBy("sid").agg(
+        F.count("*").alias("n"), F.count_if(F.col("head") == 0).alias("roots"), F.max("head").alias("most"), F.count_if(F.col("tag") != "PUNCT").alias("asked"), F.count_if((F.col("tag") != "PUNCT") & (F.col("head") == F.col("seen"))).alias("agreed")
+    )
+    per = sentences.select("sid").join(told, "sid", "left").join(sizes, "sid", "left")
+    empty, outside = F.col("n").isNull(), F.col("most") > F.col("n")
+    low = ~outside & (F.col("w_n") == F.col("n")) & (F.col("asked") > 0) & (F.col("agreed") < least * F.col("asked"))
+    why = F.concat_ws(" ", F.when(empty, "no_words"), F.when(F.col("roots") != 1, "roots"), F.when(outside, "head_outside"), F.when(low, "witness"))
+    return per.select("sid", why.alias("why")).where("why <> ''")
+
+
+def compare_tallies(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two tallies ``(layer, class, items, bits)`` side by side: items and bits of each, and by how much they changed."""
+    sides = [df.select("layer", "class", *(F.when(F.lit(k == at), F.col(c)).otherwise(0).alias(f"{c}_{name}") for at, name in enumerate(("before", "after")) for c in ("items", "bits"))) for k, df in enumerate((before, after))]
+    wide = sides[0].unionByName(sides[1]).groupBy("layer", "class").agg(*(F.sum(f"{c}_{n}").alias(f"{c}_{n}") for n in ("before", "after") for c in ("items", "bits")))
+    return wide.withColumns({f"{c}_change": F.col(f"{c}_after") - F.col(f"{c}_before") for c in ("items", "bits")})
+
+
 def scores(a: DataFrame, b: DataFrame, content: Sequence[str]) -> DataFrame:
     """Tags, UAS, LAS and CLAS (content relations only) of ``b`` against ``a``, in percent."""
     both = pair_annotations(a, b)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import content_key, normal_text, words
+from textloom.functions.text import content_key, death_years, normal_text, personal_token, words
 from textloom.operators.sequences import interval_union
 from textloom.plans.materialize import materialize
 
@@ -58,6 +60,30 @@ def collocations(pairs: DataFrame, least: int = 3, least_docs: int = 2) -> DataF
     return kept.select("a", "b", "n", "docs", F.log2(F.col("n") * F.col("total") / (F.col("na") * F.col("nb"))).alias("pmi"))
 
 
+def select_catalogue(works: DataFrame, groups: Sequence[tuple[str, Sequence[str]]], excluded: dict[str, Sequence[str]], max_died: int, held: DataFrame) -> DataFrame:
+    """``works(id, subjects, authors, ...)`` to ``(id, grp, died)``: those of the first group with a keyword in the subjects
+    and none of the group's ``excluded`` words, all of whose authors died by ``max_died``, and that aren't in ``held(id)``.
+    ``died`` is the last year. Works with an undated author are left out."""
+    hay = F.lower(F.coalesce("subjects", F.lit("")))
+    has = lambda words: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(hay, w)) if words else F.lit(False)
+    group = F.coalesce(*(F.when(has(words), F.lit(name)) for name, words in groups))
+    out = works.select("id", group.alias("grp"), death_years(F.col("authors")).alias("years"), hay.alias("hay")).where("grp is not null and years is not null")
+    for name, words in excluded.items():
+        out = out.where(~((F.col("grp") == name) & F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains("hay", w))))
+    out = out.select("id", "grp", F.array_max("years").alias("died")).where(F.col("died") <= max_died)
+    return out.join(held.select("id"), "id", "left_anti")
+
+
+def redact_lexicon(lemmas: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lemmas(number, lemma, flag)`` with personal ones as ``<redacted-N>`` under their numbers, and ``forms(form, number,
+    ...)`` without personal forms and without forms of such lemmas. Once more changes nothing."""
+    gone = personal_token(F.col("lemma"))
+    clean = lemmas.withColumns({"lemma": F.when(gone, F.format_string("<redacted-%d>", "number")).otherwise(F.col("lemma")), "flag": F.when(gone, "-").otherwise(F.col("flag"))})
+    # Redacted before counts too, so that forms may come later than the lemmas were cleaned.
+    out = lemmas.where(gone | F.col("lemma").rlike("^<redacted-[0-9]+>$")).select("number")
+    return clean, forms.where(~personal_token(F.col("form"))).join(out, "number", "left_anti").select(forms.columns)
+
+
 def dedup_by_content(docs: DataFrame) -> DataFrame:
     """One row for each content key, the smallest doc_id, with the number of copies."""
     return docs.groupBy(content_key(F.col("text")).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))

@@ -21,17 +21,28 @@ def best_match(words: DataFrame, key: str, items: DataFrame, item: str, rank: st
     return words.join(best, key)
 
 
-def resolve_reference(entries: DataFrame, works: DataFrame) -> DataFrame:
-    """The work of each entry by the first level that has one: the same id and year, else the key within a year.
+def normal_title(title: Column, least: int = 3) -> Column:
+    """Lower-case words of a title, null if there are fewer than ``least``."""
+    w = F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.when(F.size(w) >= least, F.array_join(w, " "))
 
-    The year of the second level is a range, met by joining the three years around it.
+
+def resolve_reference(entries: DataFrame, works: DataFrame, entry: str, work: str, keys: Sequence[str], title: str, year: str) -> DataFrame:
+    """``(entry, work, level)``: the work of each of ``entries(entry, keys..., title, year)`` among ``works(work, ...)``.
+
+    The first level that has one wins: the same value of the first of ``keys``, of the next, ..., and at last the same
+    normalised title of three words or more with a year at most one apart, met by joining the three years around it. Of
+    several works of a level the least id counts; missing values match nothing; entries without a work have nulls.
     """
-    first = works.groupBy(F.col("id").alias("l_orderkey"), "y").agg(F.min("id").alias("first"))
-    around = works.select("id", F.col("k").alias("l_partkey"), F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y"))
-    second = around.groupBy("l_partkey", "y").agg(F.min("id").alias("second"))
-    found = entries.join(first, ["l_orderkey", "y"], "left").join(second, ["l_partkey", "y"], "left")
-    level = F.when(F.col("first").isNotNull(), 1).when(F.col("second").isNotNull(), 2)
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.coalesce("first", "second").alias("work"), level.alias("level"))
+    found = entries.select(entry, *keys, normal_title(F.col(title)).alias("__title"), F.col(year).alias("__year"))
+    for k, key in enumerate(keys, 1):
+        found = found.join(works.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(work).alias(f"__w{k}")), key, "left")
+    around = works.select(work, normal_title(F.col(title)).alias("__title"), F.explode(F.sequence(F.col(year) - 1, F.col(year) + 1)).alias("__year")).where("__title is not null")
+    last = len(keys) + 1
+    found = found.join(around.groupBy("__title", "__year").agg(F.min(work).alias(f"__w{last}")), ["__title", "__year"], "left")
+    hits = [F.col(f"__w{k}") for k in range(1, last + 1)]
+    level = F.coalesce(*(F.when(h.isNotNull(), F.lit(k)) for k, h in enumerate(hits, 1)))
+    return found.select(entry, F.coalesce(*hits).alias(work), level.alias("level"))
 
 
 def version_chain(df: DataFrame, key: str, order: Sequence[str], item: str) -> DataFrame:

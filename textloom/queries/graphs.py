@@ -283,14 +283,6 @@ def outer_index(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("verse")).agg(ids("F").alias("f"), ids("O").alias("o"), ids("P").alias("p"))
 
 
-@register("j12_resolve_reference", """WITH w AS (SELECT o_orderkey AS id, o_custkey AS k1, o_totalprice AS k2, year(o_orderdate) AS y FROM orders), e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, year(l_shipdate) AS y FROM lineitem),
-    a AS (SELECT e.*, (SELECT min(id) FROM w WHERE w.id = e.l_orderkey AND w.y = e.y) AS first, (SELECT min(id) FROM w WHERE w.k1 = e.l_partkey AND abs(w.y - e.y) <= 1) AS second FROM e) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, coalesce(first, second) AS work, CASE WHEN first IS NOT NULL THEN 1 WHEN second IS NOT NULL THEN 2 END AS level FROM a""")
-def resolve(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"))
-    e = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.year("l_shipdate").alias("y"))
-    return lk.resolve_reference(e, w)
-
-
 @register("j13_replace_versions", """SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER w AS replaces, lead(o_orderkey) OVER w AS replaced_by FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def versions(spark: SparkSession, d: str) -> DataFrame:
     return lk.version_chain(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -93,11 +93,40 @@ def export_sets(tokens: DataFrame, sets: DataFrame, key: str, order: str, **want
     return rows.groupBy(key).agg(F.array_join(lines, "\n").alias("block"))
 
 
-def layers_by_source(sets: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
-    """Sets with their counts of tokens, from tokens aggregated first."""
-    counts = tokens.groupBy(key).agg(F.count("*").alias("tokens"))
-    return sets.join(counts, key, "left").fillna(0, ["tokens"])
+def match_sentences(new: DataFrame, held: DataFrame) -> DataFrame:
+    """``new(sent_id, text, ...)`` with the ``sid`` of each: that of the one held sentence ``(sid, sent_id, text)`` with the
+    same id and text, or a new one after the largest. The job fails where a sentence is held twice.
+
+    Missing ids and texts are equal to each other; sentences that repeat in ``new`` share a new number.
+    """
+    from textloom.operators.tables import global_rank, same_keys
+
+    keys = ["sent_id", "text"]
+    known = held.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("sid").alias("sid"))
+    kinds = same_keys(new.select(*keys).distinct(), known, keys, "left")
+    kinds = kinds.where(F.when(F.col("__n") > 1, F.raise_error(F.lit("a sentence is held twice"))).otherwise(F.lit(True)))
+    most = F.broadcast(held.agg(F.coalesce(F.max("sid"), F.lit(0)).alias("__most")))  # one row
+    fresh = global_rank(kinds.where("sid is null").select(*keys), [F.col(k) for k in keys], "__r").join(most).select(*keys, (F.col("__most") + F.col("__r")).alias("sid"))
+    return same_keys(new, kinds.where("sid is not null").select(*keys, "sid").unionByName(fresh), keys)
 
 
-def numbered(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+def split_cards(rows: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """``rows(collection, split, sent_id, id)`` of CoNLL-U to ``(collection, split, sentences, tokens, words, multiword,
+    empty)``, with a row ``total`` for each collection.
+
+    Tokens are words and what stands as one in the text: rows but empty nodes and words of multiword tokens are counted by
+    their ids (``3-4``, ``8.1``). ``declared(collection, split, sentences)``: the job fails where a declared size isn't the
+    counted one, or where one side has a split that the other lacks.
+    """
+    multi, empty = F.contains("id", F.lit("-")), F.contains("id", F.lit("."))
+    inside = F.when(multi, F.split("id", "-")[1].cast("int") - F.split("id", "-")[0].cast("int") + 1).otherwise(0)
+    per = rows.groupBy("collection", "split", "sent_id").agg(F.count_if(~multi & ~empty).alias("words"), F.count_if(multi).alias("multiword"), F.count_if(empty).alias("empty"), F.sum(inside).alias("inside"))
+    sums = [F.count("*").alias("sentences"), F.sum(F.col("words") + F.col("multiword") - F.col("inside")).alias("tokens"), *(F.sum(c).alias(c) for c in ("words", "multiword", "empty"))]
+    cards = per.groupBy("collection", "split").agg(*sums)
+    if declared is not None:
+        said = declared.select("collection", "split", F.col("sentences").alias("__said"))
+        met = cards.join(said, ["collection", "split"], "full_outer")
+        wrong = F.format_string("%s %s: %s sentences counted, %s declared", "collection", "split", F.coalesce(F.col("sentences").cast("string"), F.lit("no")), F.coalesce(F.col("__said").cast("string"), F.lit("no")))
+        cards = met.where(F.when(~F.col("sentences").eqNullSafe(F.col("__said")), F.raise_error(wrong)).otherwise(F.lit(True))).drop("__said")
+    total = cards.groupBy("collection").agg(*(F.sum(c).alias(c) for c in ("sentences", "tokens", "words", "multiword", "empty"))).withColumn("split", F.lit("total"))
+    return cards.unionByName(total)
