@@ -66,3 +66,28 @@ def test_a_copy_with_changed_words_is_blocked_by_its_windows_alone(spark):
     changed = ["other" if k % 11 == 10 else w for k, w in enumerate(text)]
     got = cp.originality(spark.createDataFrame([(1, " ".join(changed + [f"x{k}" for k in range(900)]))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(text))], "item_id long, text string")).first()
     assert (got["exact"], got["state"]) == (0, "blocked") and got["near"] > 0 and 100 * got["covered"] < 20 * got["words"]
+
+
+def test_tokens_with_clitics_and_spaces(spark):
+    rows = [(1, "Don't stop: it's  Kim's\nwell-known X-ray (3 times)."), (2, None), (3, ""), (4, "they'll've I'd 'tis o'clock")]
+    got: dict = {}
+    for r in cp.token_rows(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "i").collect():
+        got.setdefault(r["doc_id"], []).append((r["token"], r["kind"][0], r["space_after"]))
+    assert [t for t, *_ in got[1]] == ["Do", "n't", "stop", ":", "it", "'s", "Kim", "'s", "well-known", "X-ray", "(", "3", "times", ")", "."]
+    assert [k for _, k, _ in got[1]] == list("wcwmwcwcwwmnwmm") and [s for *_, s in got[1]] == [False, True, False, True, False, True, False, True, True, True, False, True, False, False, False]
+    assert 2 not in got and 3 not in got and [t for t, *_ in got[4]][-1] == "o'clock"
+
+
+def test_dictionary_layer(spark):
+    word = lambda f, u="NOUN": (f, f, u)
+    units = [
+        (1, "d1", "a", "the cat sat on the mat today", [word("Cat"), word("sat", "VERB"), word("the", "DET"), word("mat"), word("x")]), (2, "d1", "a", "a cat and a mat, again and again", [word("cat"), word("mat"), word("cat")]),
+        (3, "d2", "b", "cat people are not dog people", [word("cat", "ADJ"), word("dog"), word("ice-cream"), word("9th")]), (4, "d2", "b", "short cat", [word("cat")]), (5, "d3", None, None, None),
+    ]
+    docs = spark.createDataFrame(units, "id long, doc string, class string, text string, words array<struct<form:string,lemma:string,upos:string>>")
+    base = spark.createDataFrame([("cat", "an animal"), ("none", "x")], "lemma string, meaning string")
+    got = {r["lemma"]: r for r in cp.dictionary_layer(docs, base, 3).collect()}
+    assert list(got) and set(got) == {"cat", "mat", "dog"}
+    cat = got["cat"]
+    assert (cat["uses"], cat["docs"], cat["pos"], cat["classes"], cat["companions"], cat["meaning"]) == (5, 2, "NOUN 80.0, ADJ 20.0", "a 1, b 1", "mat, dog, ice-cream, sat", "an animal")
+    assert cat["examples"] == [units[0][3], units[2][3], units[1][3]] and got["dog"]["meaning"] is None

@@ -73,6 +73,45 @@ def compare_tallies(before: DataFrame, after: DataFrame) -> DataFrame:
     return wide.withColumns({f"{c}_change": F.col(f"{c}_after") - F.col(f"{c}_before") for c in ("items", "bits")})
 
 
+def parser_agreement(votes: DataFrame) -> DataFrame:
+    """``votes(file, sid, i, parser, head, rel, tag)`` to ``(file, a, b, words, uas, las)``: for each file and two parsers the
+    share of words, punctuation left out, with equal heads, and with equal heads and relations, in percent."""
+    words = votes.where("tag <> 'PUNCT'").groupBy("file", "sid", "i").agg(F.array_sort(F.collect_list(F.struct("parser", "head", "rel"))).alias("v"))
+    pairs = F.flatten(F.transform("v", lambda x: F.transform(F.filter("v", lambda y: y["parser"] > x["parser"]), lambda y: F.struct(x["parser"].alias("a"), y["parser"].alias("b"), x["head"].eqNullSafe(y["head"]).alias("h"), (x["head"].eqNullSafe(y["head"]) & x["rel"].eqNullSafe(y["rel"])).alias("r")))))
+    share = lambda c: F.round(100.0 * F.count_if(c) / F.count("*"), 2)
+    return words.select("file", F.explode(pairs).alias("p")).groupBy("file", "p.a", "p.b").agg(F.count("*").alias("words"), share("p.h").alias("uas"), share("p.r").alias("las"))
+
+
+def suspects(votes: DataFrame, reference: DataFrame, least: float = 0.75) -> DataFrame:
+    """Words of ``reference(sid, i, head)`` whose head ``least`` of the voters at least don't give:
+    ``(sid, i, head, voters, against, best, votes)`` with the head that most of them give, the least of equals."""
+    given = votes.groupBy("sid", "i", F.col("head").alias("given")).agg(F.count("*").alias("n"))
+    per = given.join(reference.select("sid", "i", "head"), ["sid", "i"]).groupBy("sid", "i").agg(
+        F.first("head").alias("head"), F.sum("n").alias("voters"), F.sum(F.when(~F.col("given").eqNullSafe(F.col("head")), F.col("n")).otherwise(0)).alias("against"),
+        F.max_by(F.struct("given", "n"), F.struct("n", -F.col("given"))).alias("top"),
+    )
+    return per.where(F.col("against") >= least * F.col("voters")).select("sid", "i", "head", "voters", "against", F.col("top.given").alias("best"), F.col("top.n").alias("votes"))
+
+
+def agree_labels(base: DataFrame, one: DataFrame, two: DataFrame, least: float) -> DataFrame:
+    """``base(id, label)`` and two witnesses ``(id, label, p)`` to ``(id, label, new, rule)``.
+
+    The label changes only if both witnesses give the same other one and both are sure of it (``p`` of ``least`` or more):
+    ``changed``. Else it stays: ``confirmed`` if both give it, ``unsure`` if they agree on another one but not both are sure,
+    ``split`` if they give different ones, ``alone`` if a witness says nothing.
+    """
+    a, b = (w.select("id", F.col("label").alias(f"l{k}"), F.col("p").alias(f"p{k}")) for k, w in ((1, one), (2, two)))
+    met = base.select("id", "label").join(a, "id", "left").join(b, "id", "left")
+    same, sure = F.col("l1") == F.col("l2"), (F.col("p1") >= least) & (F.col("p2") >= least)
+    rule = F.when(F.col("l1").isNull() | F.col("l2").isNull(), "alone").when(~same, "split").when(F.col("l1").eqNullSafe(F.col("label")), "confirmed").when(sure, "changed").otherwise("unsure")
+    return met.select("id", "label", F.when(rule == "changed", F.col("l1")).otherwise(F.col("label")).alias("new"), rule.alias("rule"))
+
+
+def label_moves(agreed: DataFrame) -> DataFrame:
+    """``agree_labels`` by rule and move: ``(rule, label, new, n)``."""
+    return agreed.groupBy("rule", "label", "new").agg(F.count("*").alias("n"))
+
+
 def scores(a: DataFrame, b: DataFrame, content: Sequence[str]) -> DataFrame:
     """Tags, UAS, LAS and CLAS (content relations only) of ``b`` against ``a``, in percent."""
     both = pair_annotations(a, b)

@@ -31,6 +31,70 @@ def tokens(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "token", kind.alias("kind"))
 
 
+#: What is cut off a word as a token of its own, with the apostrophe.
+CLITICS = ("n't", "'s", "'m", "'re", "'ve", "'ll", "'d")
+_CLITIC = r"(?i)(\p{L})(n't|'(?:s|m|re|ve|ll|d))\b"
+_CUT = r"(\x01(?:[nN]'[tT]|'[a-zA-Z]+)|[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*|[^\p{L}\p{N}\s\x01])(\s*)"
+
+
+def token_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, i, token, kind, space_after)``: words with inner hyphens and apostrophes, the clitics at their ends, numbers
+    and single marks, numbered from 1; ``space_after`` tells whether white space follows, so that the text can be put
+    together again but for the kind of space. A null text has no tokens."""
+    marked = F.regexp_replace("text", _CLITIC, "$1\x01$2")
+    both = F.arrays_zip(F.regexp_extract_all(marked, F.lit(_CUT), 1).alias("t"), F.regexp_extract_all(marked, F.lit(_CUT), 2).alias("s"))
+    cut = docs.select(key, F.posexplode(both).alias("i", "x")).select(key, (F.col("i") + 1).cast("long").alias("i"), F.col("x.t").alias("t"), (F.col("x.s") != "").alias("space_after"))
+    t = F.col("t")
+    kind = F.when(t.startswith("\x01"), "clitic").when(t.rlike(r"^\p{N}+$"), "number").when(t.rlike(r"^[\p{L}\p{N}]"), "word").otherwise("mark")
+    return cut.select(key, "i", F.translate("t", "\x01", "").alias("token"), kind.alias("kind"), "space_after")
+
+
+OPEN_CLASSES = ("NOUN", "VERB", "ADJ", "ADV")
+_LEMMA = r"^\p{L}+(?:['-]\p{L}+)*$"
+
+
+def dictionary_layer(units: DataFrame, base: DataFrame, top: int, companions: int = 5, examples: int = 3) -> DataFrame:
+    """``units(id, doc, class, text, words array<struct<form, lemma, upos>>)`` to a dictionary of the ``top`` content lemmas:
+    ``(lemma, uses, docs, pos, classes, companions, examples, meaning)``.
+
+    Counted are nouns, verbs, adjectives and adverbs, by lower-case lemmas of two letters and more, with hyphens and
+    apostrophes inside; the most used come first, then those of most documents, then by the lemma. ``pos``: parts of speech
+    with their shares in percent; ``classes``: how many documents of each class have the lemma; ``companions``: the lemmas
+    that share most units with it, a unit counted once; ``examples``: texts of 20 to 220 characters, one of each document
+    before a second of any; ``meaning`` from ``base(lemma, meaning)``. Only the chosen lemmas are followed beyond their
+    counts, and of companions and examples tasks keep the first few before they meet.
+    """
+    w = units.select("id", "doc", "class", F.explode("words").alias("w")).select("id", "doc", "class", F.lower("w.lemma").alias("lemma"), F.col("w.upos").alias("upos"))
+    w = materialize(w.where(F.col("upos").isin(*OPEN_CLASSES) & F.col("lemma").rlike(_LEMMA) & (F.length("lemma") >= 2)), "dictionary-words")
+    per_doc = w.groupBy("lemma", "doc", "class").agg(F.count("*").alias("n"))
+    sizes = per_doc.groupBy("lemma", "doc").agg(F.sum("n").alias("n")).groupBy("lemma").agg(F.sum("n").alias("uses"), F.count("*").alias("docs"))
+    chosen = materialize(sizes.orderBy(F.desc("uses"), F.desc("docs"), "lemma").limit(top), "dictionary-lemmas")
+    mine = lambda df: df.join(chosen.select("lemma"), "lemma", "left_semi")
+    listed = lambda df, order, say, name: df.groupBy("lemma").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, say.alias("say")))), lambda x: x["say"]), ", ").alias(name))
+
+    parts = mine(w).groupBy("lemma", "upos").agg(F.count("*").alias("n")).join(chosen.select("lemma", "uses"), "lemma")
+    parts = listed(parts.withColumn("down", -F.col("n")), ["down", "upos"], F.format_string("%s %.1f", "upos", F.round(100.0 * F.col("n") / F.col("uses"), 1)), "pos")
+    classes = mine(per_doc).groupBy("lemma", "class").agg(F.count("*").alias("n"))
+    classes = listed(classes.withColumn("down", -F.col("n")), ["down", "class"], F.format_string("%s %d", "class", "n"), "classes")
+
+    in_unit = w.select("id", "lemma").distinct()
+    pairs = mine(in_unit).join(in_unit.withColumnRenamed("lemma", "other"), "id").where("lemma <> other").groupBy("lemma", "other").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("lemma")
+    near = pairs.withColumn("r", F.row_number().over(by.orderBy(F.desc("n"), "other"))).where(F.col("r") <= companions)
+    near = listed(near, ["r"], F.col("other"), "companions")
+
+    short = units.where(F.length("text").between(20, 220)).select("id", "text")
+    seen = mine(w.select("id", "doc", "lemma").distinct()).join(short.select("id"), "id", "left_semi")
+    in_doc = seen.withColumn("in_doc", F.row_number().over(Window.partitionBy("lemma", "doc").orderBy("id"))).where(F.col("in_doc") <= examples)
+    picked = in_doc.withColumn("r", F.row_number().over(by.orderBy("in_doc", "doc", "id"))).where(F.col("r") <= examples).join(short, "id")
+    picked = picked.groupBy("lemma").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]).alias("examples"))
+
+    out = chosen
+    for part in (parts, classes, near, picked, base.groupBy("lemma").agg(F.min("meaning").alias("meaning"))):
+        out = out.join(part, "lemma", "left")
+    return out.withColumns({"companions": F.coalesce("companions", F.lit("")), "examples": F.coalesce("examples", F.array().cast("array<string>"))})
+
+
 def chunks(docs: DataFrame, most: int = 25, least: int = 3) -> DataFrame:
     """Sentences cut at ``most`` words; pieces under ``least`` words go."""
     cut = sentences(docs, 1, (1 << 31) - 1).select("doc_id", "n", F.split("sentence", " +").alias("w"))

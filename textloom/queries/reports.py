@@ -139,3 +139,74 @@ def cards_of_rows(spark: SparkSession, d: str) -> DataFrame:
 def rfc_dates(spark: SparkSession, d: str) -> DataFrame:
     """Dates written out with day and month names and read again."""
     return table(spark, d, "orders").select("o_orderkey", tx.rfc_date(F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).alias("day"))
+
+
+_TOKENS = r"""m AS (SELECT doc_id, regexp_replace(text, '(?i)(\p{L})(n''t|''(?:s|m|re|ve|ll|d))\b', '\1' || chr(1) || '\2', 'g') AS t FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, regexp_extract_all(t, p, 1) AS a, regexp_extract_all(t, p, 2) AS b
+    FROM m, (SELECT '(\x01(?:[nN]''[tT]|''[a-zA-Z]+)|[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*|[^\p{L}\p{N}\s\x01])(\s*)' AS p)), e AS (SELECT doc_id, unnest(generate_series(1, len(a))) AS i, a, b FROM r)"""
+
+
+@register("c2_token_rows", f"""WITH {_TOKENS} SELECT doc_id, i, replace(a[i], chr(1), '') AS token, CASE WHEN starts_with(a[i], chr(1)) THEN 'clitic' WHEN regexp_matches(a[i], '^\\p{{N}}+$') THEN 'number' WHEN regexp_matches(a[i], '^[\\p{{L}}\\p{{N}}]') THEN 'word' ELSE 'mark' END AS kind, b[i] <> '' AS space_after FROM e""")
+def token_rows(spark: SparkSession, d: str) -> DataFrame:
+    return cp.token_rows(table(spark, d, "documents"))
+
+
+_UNITS = r"""u AS (SELECT conv_id * 100 + turn AS id, conv_id AS doc, role AS class, text, unnest(regexp_extract_all(text, '\p{L}+(?:[''-]\p{L}+)*')) AS form FROM conversations), t AS (SELECT id, doc, class, text, lower(form) AS lemma, ['NOUN', 'VERB', 'DET', 'ADJ', 'ADV'][length(form) % 5 + 1] AS upos0, CASE WHEN id % 4 = 0 THEN 'NOUN' END AS other FROM u),
+    w AS (SELECT id, doc, class, text, lemma, CASE WHEN upos0 <> 'DET' AND other IS NOT NULL THEN other ELSE upos0 END AS upos FROM t WHERE length(lemma) >= 2), k AS (SELECT * FROM w WHERE upos IN ('NOUN', 'VERB', 'ADJ', 'ADV')),
+    top AS (SELECT lemma, count(*) AS uses, count(DISTINCT doc) AS docs FROM k GROUP BY lemma ORDER BY uses DESC, docs DESC, lemma LIMIT 60),
+    pos AS (SELECT lemma, string_agg(upos || ' ' || printf('%.1f', round(100.0 * n / uses, 1)), ', ' ORDER BY n DESC, upos) AS pos FROM (SELECT lemma, upos, count(*) AS n, any_value(uses) AS uses FROM k JOIN top USING (lemma) GROUP BY lemma, upos) GROUP BY lemma),
+    cls AS (SELECT lemma, string_agg(class || ' ' || n, ', ' ORDER BY n DESC, class) AS classes FROM (SELECT lemma, class, count(DISTINCT doc) AS n FROM k JOIN top USING (lemma) GROUP BY lemma, class) GROUP BY lemma),
+    iu AS (SELECT DISTINCT id, lemma FROM k), pr AS (SELECT a.lemma, b.lemma AS other, count(*) AS n FROM iu a JOIN top USING (lemma) JOIN iu b ON a.id = b.id AND a.lemma <> b.lemma GROUP BY a.lemma, b.lemma),
+    com AS (SELECT lemma, string_agg(other, ', ' ORDER BY r) AS companions FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY n DESC, other) AS r FROM pr) WHERE r <= 5 GROUP BY lemma),
+    sn AS (SELECT DISTINCT id, doc, lemma, text FROM k JOIN top USING (lemma) WHERE length(text) BETWEEN 20 AND 220), ind AS (SELECT *, row_number() OVER (PARTITION BY lemma, doc ORDER BY id) AS in_doc FROM sn),
+    ex AS (SELECT lemma, list(text ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY in_doc, doc, id) AS r FROM ind) WHERE r <= 3 GROUP BY lemma)"""
+
+
+@register("c13_dictionary_layer", f"""WITH {_UNITS} SELECT lemma, uses, docs, pos, classes, coalesce(companions, '') AS companions, coalesce(examples, []) AS examples, CASE WHEN lemma < 'm' THEN 'has ' || length(lemma) END AS meaning FROM top LEFT JOIN pos USING (lemma) LEFT JOIN cls USING (lemma) LEFT JOIN com USING (lemma) LEFT JOIN ex USING (lemma)""")
+def dictionary_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations are units, with parts of speech made from the length of a word."""
+    c, n = F.col, F.col("conv_id") * 100 + F.col("turn")
+    parts = F.array(*(F.lit(x) for x in ("NOUN", "VERB", "DET", "ADJ", "ADV")))
+    forms = F.regexp_extract_all("text", F.lit(r"\p{L}+(?:['-]\p{L}+)*"), 0)
+    own = lambda x: F.get(parts, F.length(x) % 5)
+    word = lambda x: F.struct(x.alias("form"), F.lower(x).alias("lemma"), F.when((own(x) != "DET") & (n % 4 == 0), "NOUN").otherwise(own(x)).alias("upos"))
+    units = table(spark, d, "conversations").select(n.alias("id"), c("conv_id").alias("doc"), c("role").alias("class"), "text", F.transform(forms, word).alias("words"))
+    words = units.select(F.explode("words.lemma").alias("lemma")).distinct().where("lemma < 'm'")
+    return cp.dictionary_layer(units, words.select("lemma", F.format_string("has %d", F.length("lemma")).alias("meaning")), 60)
+
+
+_VOTES = f"""b AS ({_annotated(True)}), a AS ({_annotated(False)}), v AS (SELECT sid % 4 AS file, sid, i, parser, CASE parser WHEN 'p' THEN b.head WHEN 'q' THEN CASE WHEN i % 3 = 0 THEN 1 ELSE b.head END WHEN 'r' THEN CASE WHEN i % 2 = 0 THEN 0 ELSE b.head END ELSE a.head END AS head,
+    CASE parser WHEN 's' THEN a.rel ELSE b.rel END AS rel, CASE WHEN length(b.form) = 3 THEN 'PUNCT' ELSE b.tag END AS tag, a.head AS gold FROM b JOIN a USING (sid, i), (SELECT unnest(['p', 'q', 'r', 's']) AS parser))"""
+
+
+def votes(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    a, b = annotated(spark, d, False).select("sid", "i", c("head").alias("gold"), c("rel").alias("rel_a")), annotated(spark, d, True)
+    both = b.join(a, ["sid", "i"]).withColumn("parser", F.explode(F.array(*(F.lit(x) for x in "pqrs"))))
+    head = F.when(c("parser") == "p", c("head")).when(c("parser") == "q", F.when(c("i") % 3 == 0, 1).otherwise(c("head"))).when(c("parser") == "r", F.when(c("i") % 2 == 0, 0).otherwise(c("head"))).otherwise(c("gold"))
+    return both.select((c("sid") % 4).alias("file"), "sid", "i", "parser", head.cast("long").alias("head"), F.when(c("parser") == "s", c("rel_a")).otherwise(c("rel")).alias("rel"), F.when(F.length("form") == 3, "PUNCT").otherwise(c("tag")).alias("tag"), "gold")
+
+
+@register("e4_pairs_by_file", f"""WITH {_VOTES}, x AS (SELECT l.file, l.parser AS a, r.parser AS b, l.head IS NOT DISTINCT FROM r.head AS h, l.head IS NOT DISTINCT FROM r.head AND l.rel = r.rel AS k FROM v l JOIN v r ON l.sid = r.sid AND l.i = r.i AND l.parser < r.parser WHERE l.tag <> 'PUNCT')
+    SELECT file, a, b, count(*) AS words, round(100.0 * count(*) FILTER (h) / count(*), 2) AS uas, round(100.0 * count(*) FILTER (k) / count(*), 2) AS las FROM x GROUP BY file, a, b""")
+def pairs_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return ag.parser_agreement(votes(spark, d).drop("gold"))
+
+
+@register("e4_suspects", f"""WITH {_VOTES}, g AS (SELECT sid, i, any_value(gold) AS head, head AS given, count(*) AS n FROM v GROUP BY sid, i, v.head), p AS (SELECT sid, i, any_value(head) AS head, sum(n)::BIGINT AS voters, coalesce(sum(n) FILTER (given <> head), 0)::BIGINT AS against, arg_max(given, (n, -given)) AS best, max(n) AS votes FROM g GROUP BY sid, i)
+    SELECT * FROM p WHERE against >= 0.75 * voters""")
+def suspects(spark: SparkSession, d: str) -> DataFrame:
+    v = votes(spark, d)
+    return ag.suspects(v, v.where("parser = 'p'").select("sid", "i", F.col("gold").alias("head")))
+
+
+_WITNESS = "SELECT doc_id AS id, {label} AS label, {p} AS p FROM labels WHERE {ok}"
+_ONE, _TWO = ("CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END", "(doc_id * 7 % 100) / 100", "doc_id % 13 <> 0"), ("CASE WHEN doc_id % 2 = 0 THEN 1 - quality ELSE quality END", "(doc_id * 11 % 100) / 100", "doc_id % 17 <> 0")
+
+
+@register("e9_label_moves", f"""WITH o AS ({_WITNESS.format(label=_ONE[0], p=_ONE[1], ok=_ONE[2])}), t AS ({_WITNESS.format(label=_TWO[0], p=_TWO[1], ok=_TWO[2])}),
+    r AS (SELECT quality AS label, CASE WHEN o.label IS NULL OR t.label IS NULL THEN 'alone' WHEN o.label <> t.label THEN 'split' WHEN o.label = quality THEN 'confirmed' WHEN o.p >= 0.5 AND t.p >= 0.5 THEN 'changed' ELSE 'unsure' END AS rule, o.label AS said FROM labels LEFT JOIN o ON o.id = doc_id LEFT JOIN t ON t.id = doc_id)
+    SELECT rule, label, CASE WHEN rule = 'changed' THEN said ELSE label END AS new, count(*) AS n FROM r GROUP BY ALL""")
+def label_moves(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels")
+    one, two = (labels.where(ok).selectExpr("doc_id AS id", f"{label} AS label", f"{p} AS p") for label, p, ok in (_ONE, _TWO))
+    return ag.label_moves(ag.agree_labels(labels.selectExpr("doc_id AS id", "quality AS label"), one, two, 0.5))
