@@ -113,3 +113,32 @@ def test_turns_within_quotas(spark):
             taken = {d: sum(r["doc"] == d and r["kind"] == kind for r in got) for d in {r[1] for r in rows if r[0] == b}}
             rest = {d: sum(r[1] == d and r[3] == kind for r in rows) - taken[d] for d in taken}
             assert all(taken[x] <= taken[y] + 1 for x in taken for y in taken if rest[y])
+
+
+def best_total(rows: list[tuple]) -> int:
+    rows = sorted(rows, key=lambda r: (r[2], r[1]))
+    total = [0]
+    for k, (_, a, b, w) in enumerate(rows):
+        total.append(max(total[-1], total[min(sum(x[2] <= a for x in rows), k)] + w))
+    return total[-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedules_of_keys_in_many_ranges(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for key, n, width, most in ((1, 150, 60, 25), (2, 150, 200, 190), (3, 1, 9, 3), (4, 60, 30, 4), (5, 40, 5, 1), (6, 90, 10_000, 3000)):
+        for i in range(n):
+            a = rng.randrange(width)
+            rows.append((key, 1000 * key + i, a, a + rng.randint(0 if seed == 3 else 1, most), rng.choice([1, 1, 2, 5, 50])))
+    df = spark.createDataFrame(rows, "k long, i long, a long, b long, w long")
+    for parts in (1, 4, 31):
+        got: dict = {}
+        for r in sq.weighted_schedule(df, "k", "i", "a", "b", "w", parts).collect():
+            got.setdefault(r["k"], []).append(tuple(r))
+        assert set(got) == {r[0] for r in rows}
+        for key, some in got.items():
+            assert set(some) <= set(rows) and len(set(some)) == len(some)
+            some.sort(key=lambda r: (r[3], r[2]))
+            assert all(x[3] <= y[2] for x, y in zip(some[:-1], some[1:], strict=True))
+            assert sum(r[4] for r in some) == best_total([r[1:] for r in rows if r[0] == key])

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,33 +76,142 @@ def run_lengths(df: DataFrame, keys: Sequence[str], order: str, value: str) -> D
     return islands(changed, keys, [order], F.col("__changed"), "run").groupBy(*keys, "run").agg(F.first(value).alias("value"), F.min(order).alias("first_at"), F.count("*").alias("length"))
 
 
-def weighted_schedule(df: DataFrame, key: str, item: str, start: str, end: str, weight: str) -> DataFrame:
-    """For each key the intervals of the compatible subset of greatest total weight; touching ones are compatible.
+_LEAST = -(1 << 62)
+_FRAGMENT, _ASKED, _CHOSEN, _ROW = range(4)
+
 
-    The best subset is sought within each island of overlapping intervals, so that a task holds an island, not a key.
+class _Fragment:
+    """The intervals of one key in one range, by their ends; ``prev``: the last end of the key in the ranges before.
+
+    What is best up to a row is a maximum of sums, linear in (max, +) in what is best before the fragment: up to all of
+    its rows (None), and up to the starts ``deferred`` that lie before ``prev``.
     """
 
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([end, start, item]).reset_index(drop=True)
-        ends, w = rows[end].to_numpy(), rows[weight].to_numpy()
-        before = np.searchsorted(ends, rows[start].to_numpy(), "right")
-        total = np.zeros(len(rows) + 1, np.int64)
-        for k in range(len(rows)):
-            total[k + 1] = max(total[k], total[min(before[k], k)] + w[k])
-        taken, k = [], len(rows)
+    def __init__(self, start: np.ndarray, end: np.ndarray, weight: np.ndarray, prev: int | None) -> None:
+        self.start, self.end, self.weight, self.prev = start, end, weight.tolist(), prev
+        self.before = np.minimum(np.searchsorted(end, start, "right"), np.arange(len(end))).tolist()
+        late = (np.array(self.before) == 0) & (start < (prev if prev is not None else _LEAST))
+        self.late, self.deferred = late.tolist(), np.unique(start[late]).tolist()
+
+    def place(self, upto: int | None) -> int:
+        return len(self.end) if upto is None else int(np.searchsorted(self.end, upto, "right"))
+
+    def matrix(self, asked: list[int | None], columns: int = 64) -> Iterator[tuple]:
+        """(what is asked, what it rests on, the sum between) of all that are connected."""
+        inputs: list[int | None] = [None, *self.deferred]
+        at = {d: k for k, d in enumerate(inputs)}
+        for low in range(0, len(inputs), columns):
+            width = min(columns, len(inputs) - low)
+            best = np.full((len(self.end) + 1, width), _LEAST, np.int64)
+            if low == 0:
+                best[0, 0] = 0
+            for k, q in enumerate(self.before):
+                np.copyto(best[k + 1], best[k])
+                if not self.late[k]:
+                    np.maximum(best[k + 1], best[q] + self.weight[k], out=best[k + 1])
+                elif low <= (j := at[int(self.start[k])]) < low + width:
+                    best[k + 1, j - low] = max(best[k + 1, j - low], self.weight[k])
+            for out in asked:
+                row = best[self.place(out)]
+                for j in np.flatnonzero(row > _LEAST // 2).tolist():
+                    yield out, inputs[low + j], int(row[j])
+
+    def taken(self, out: int | None, on: int | None) -> list[int]:
+        """The rows of the best choice up to ``out`` that rests on ``on``."""
+        best = [0 if on is None else _LEAST]
+        for k, q in enumerate(self.before):
+            own = best[q] if not self.late[k] else (0 if on is not None and self.start[k] == on else _LEAST)
+            best.append(max(best[-1], own + self.weight[k]))
+        rows, k = [], self.place(out)
         while k:
-            if total[k] == total[k - 1]:
+            if best[k] == best[k - 1]:
                 k -= 1
             else:
-                taken.append(k - 1)
-                k = min(before[k - 1], k - 1)
-        return rows.loc[sorted(taken), [key, item, start, end, weight]]
-
-    picked = df.select(key, item, start, end, weight)
-    before = Window.partitionBy(key).orderBy(start, end, item).rowsBetween(Window.unboundedPreceding, -1)
-    marked = picked.withColumn("__reach", F.max(end).over(before))
-    placed = islands(marked, [key], [start, end, item], F.col(start) >= F.col("__reach"), "__island").drop("__reach")
-    return placed.groupBy(key, "__island").applyInPandas(best, picked.schema)
+                rows.append(k - 1)
+                k = 0 if self.late[k - 1] else self.before[k - 1]
+        return rows
+
+
+def _by_key(f: Callable, names: list[str], types: list) -> Callable[[pa.Table], pa.RecordBatch]:
+    """``f(part, key, fragment, controls, whether the key has other ranges, its rows)`` to rows, over the keys of a range."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        part, k, kind = rows.column("__part")[0].as_py(), rows.column("key").to_numpy(), rows.column("kind").to_numpy()
+        out: list[tuple] = []
+        bounds = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in pairwise(bounds):
+            first = a + int(np.searchsorted(kind[a:b], _ROW))
+            controls = rows.slice(a, first - a).select(["kind", "x", "y"]).to_pylist()
+            own = rows.slice(first, b - first)
+            prev = next((c["x"] for c in controls if c["kind"] == _FRAGMENT), None)
+            fragment = _Fragment(*(own.column(c).to_numpy() for c in ("start", "end", "weight")), prev)
+            out += f(part, int(k[a]), fragment, [c for c in controls if c["kind"] != _FRAGMENT], any(c["kind"] == _FRAGMENT for c in controls), own)
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return run
+
+
+def _chain(rows: pa.Table) -> pa.Table:
+    """The matrices of a key's fragments to what is chosen: from the end back, what each fragment is asked and rests on."""
+    parts: dict[int, dict] = {}
+    of = {}
+    for r in rows.to_pylist():
+        parts.setdefault(r["part"], {}).setdefault(r["asked"], []).append((r["rests"], r["total"]))
+        of[r["asked"]] = r["part"]
+    order, known, chosen = sorted(parts), {None: 0}, {}
+    for p in order:
+        found = {}
+        for out, ways in parts[p].items():
+            total, rests = max(((known[d] + t, d) for d, t in ways), key=lambda w: (w[0], w[1] is None, -(w[1] or 0)))
+            found[out], chosen[p, out] = total, rests
+        known |= found
+    path, at, asked = [], len(order) - 1, None
+    while at >= 0:
+        rests = chosen[order[at], asked]
+        path.append((order[at], rows.column("key")[0].as_py(), asked, rests))
+        at, asked = (at - 1, None) if rests is None else (order.index(of[rests]), rests)
+    columns = list(zip(*path, strict=True))
+    return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["__part", "key", "x", "y"])
+
+
+def weighted_schedule(df: DataFrame, key: str, item: str, start: str, end: str, weight: str, partitions: int | None = None) -> DataFrame:
+    """For each key the intervals of the compatible subset of greatest total weight; touching ones are compatible.
+
+    Intervals are dealt into ranges of (key, end), and a key may lie in many. The best choice of a range rests on the best
+    ones up to the range and up to those earlier starts that its intervals have: a small (max, +) matrix, as large as
+    intervals overlap where a range begins. The matrices of a key are chained; then each range takes its own part of the
+    choice. Keys, items, weights (over 0) and times are whole numbers; an interval doesn't end before it starts.
+    """
+    names = {"key": key, "item": item, "start": start, "end": end, "weight": weight}
+    rows = ranged(df.select(*(F.col(c).cast("long").alias(n) for n, c in names.items())), [F.col(c) for c in ("key", "end", "start", "item")], partitions)
+    nothing = F.lit(None).cast("long")
+    data = rows.select("__part", "key", F.lit(_ROW).alias("kind"), nothing.alias("x"), nothing.alias("y"), "item", "start", "end", "weight")
+    mine = Window.partitionBy("key")  # a row for each range that the key lies in
+    told = rows.groupBy("key", "__part").agg(F.max("end").alias("last"))
+    told = told.select("key", "__part", "last", F.lag("last").over(mine.orderBy("__part")).alias("prev"), F.count("*").over(mine).alias("n")).where("n > 1")
+    fragments = materialize(told, "schedule-fragments")
+    heads = fragments.select("__part", "key", F.lit(_FRAGMENT).alias("kind"), F.col("prev").alias("x"), F.col("last").alias("y"))
+
+    def over(f: Callable, controls: DataFrame, fields: list[str], types: list) -> DataFrame:
+        both = data.unionByName(controls, allowMissingColumns=True).repartition("__part").sortWithinPartitions("__part", "key", "kind", "end", "start", "item")
+        arrow = {pa.int32(): "int", pa.int64(): "long"}
+        return both.mapInArrow(_each_part(_by_key(f, fields, types)), ", ".join(f"{n} {arrow[t]}" for n, t in zip(fields, types, strict=True)))
+
+    long = pa.int64()
+    asks = over(lambda part, k, own, _c, many, _r: [(k, d) for d in own.deferred] if many else [], heads, ["key", "at"], [long, long]).distinct()
+    # Each start belongs to the one range of the key in which the first interval ends after it.
+    routed = asks.join(fragments, "key").where("at < last and (prev is null or prev <= at)").select("__part", "key", F.lit(_ASKED).alias("kind"), F.col("at").alias("x"))
+    routed = materialize(heads.unionByName(routed, allowMissingColumns=True), "schedule-asked")
+    tables = over(lambda part, k, own, asked, many, _r: [(part, k, *m) for m in own.matrix([None, *(c["x"] for c in asked)])] if many else [], routed, ["part", "key", "asked", "rests", "total"], [pa.int32(), long, long, long, long])
+    chosen = tables.groupBy("key").applyInArrow(_chain, "__part int, key long, x long, y long").withColumn("kind", F.lit(_CHOSEN))
+
+    def take(part: int, k: int, own: _Fragment, wanted: list[dict], many: bool, table: pa.Table) -> list[tuple]:
+        at = sorted({r for c in wanted for r in own.taken(c["x"], c["y"])} if many else own.taken(None, None))
+        return [(k, *(table.column(c)[r].as_py() for c in ("item", "start", "end", "weight"))) for r in at]
+
+    out = over(take, heads.unionByName(chosen, allowMissingColumns=True), list(names), [long] * 5)
+    return out.withColumnsRenamed(names)
 
 
 def carried_forward(df: DataFrame, order: Sequence[Column], value: str, name: str, partitions: int | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def interval_union(spark: SparkSession, d: str) -> DataFrame:
 @register("w11_interval_schedule")
 def interval_schedule(spark: SparkSession, d: str) -> DataFrame:
     start = F.unix_timestamp("ts")
-    e = table(spark, d, "events").select("user_id", "event_id", start.alias("a"), (start + 600 + F.round(F.col("value") * 60).cast("long")).alias("b"), F.round(F.col("value") * 100).cast("long").alias("weight"))
+    e = table(spark, d, "events").select("user_id", "event_id", start.alias("a"), (start + 600 + F.round(F.col("value") * 60).cast("long")).alias("b"), F.round(F.col("value") * 100).cast("long").alias("weight")).where("weight > 0")
     return sq.weighted_schedule(e, "user_id", "event_id", "a", "b", "weight")
 
 
@@ -68,6 +68,14 @@ def run_lengths(spark: SparkSession, d: str) -> DataFrame:
     return sq.run_lengths(table(spark, d, "events"), ["user_id"], "event_id", "event_type")
 
 
+@register("w11_schedule_totals", """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS a, CAST(floor(epoch(ts)) AS BIGINT) + 600 + CAST(value * 60 AS BIGINT) AS b, CAST(round(value * 100) AS BIGINT) AS weight FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b, a, event_id) AS k FROM e WHERE weight > 0),
+    p AS (SELECT x.user_id, x.k, any_value(x.weight) AS weight, count(y.k) AS q FROM r x LEFT JOIN r y ON y.user_id = x.user_id AND y.b <= x.a GROUP BY x.user_id, x.k),
+    t AS (SELECT user_id, 0::BIGINT AS k, [0::BIGINT] AS best FROM r GROUP BY user_id UNION ALL SELECT t.user_id, p.k, list_append(t.best, greatest(t.best[len(t.best)], t.best[p.q + 1] + p.weight)) FROM t JOIN p ON p.user_id = t.user_id AND p.k = t.k + 1)
+    SELECT user_id, max(best[len(best)]) AS weight FROM t GROUP BY user_id""")
+def schedule_totals(spark: SparkSession, d: str) -> DataFrame:
+    return interval_schedule(spark, d).groupBy("user_id").agg(F.sum("weight").alias("weight"))
+
+
 _U = "CAST(('0x' || substr(sha256({}), 1, 8)) AS BIGINT)"
 
 
