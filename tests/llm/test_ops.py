@@ -120,13 +120,22 @@ def test_near_copies_around_the_limit(spark, monkeypatch):
         made[name] = max(made.get(name, 0), out.count())
         return out
 
-    for unit in (1024, 8):
+    for unit, share in ((1024, 1 << 21), (8, 1 << 21), (1024, 150), (1024, 1)):
         made.clear()
         monkeypatch.setattr(ap, "UNIT", unit)
+        monkeypatch.setattr(ap, "SHARE", share)
         monkeypatch.setattr(ap, "materialize", counted)
         got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(frame(spark, rows)).collect()}
         assert got == want and len(set(want.values())) > 20 and len(links) < 150 * 149 / 4
-        assert 0 < made["partners"] <= made["open"] * (1 if unit == 1024 else 150 / 8 + 2) and made.get("more-links", 0) < 150
+        assert made.get("more-links", 0) < 150 and made["partners"] > 0
+        assert share < 1 << 21 or made["partners"] <= made["open"] * (1 if unit == 1024 else 150 / 8 + 2)
+
+
+def test_shares_are_bounded_in_elements(monkeypatch):
+    monkeypatch.setattr(ap, "SHARE", 100)
+    n = np.array([40, 60, 1, 500, 99, 1, 1])
+    assert ap.shares(n, np.arange(7)).tolist() == [0, 0, 1, 2, 3, 3, 4]
+    assert ap.shares(n, np.array([0, 4, 5])).tolist() == [0, 0, 0, 0, 1, 1, 0]
 
 
 def test_words_that_collide_by_their_form_are_different(spark):

@@ -3,7 +3,9 @@
 Work is dealt in units of a bucket: a bucket of up to ``UNIT`` members is one, a larger one is cut into blocks, of which
 any two make a unit, so a task holds two blocks at most however large a bucket is. No row is made for a pair: a unit
 first gives each member the list of partners whose signatures are like its own, then, with the sets of only the members
-that have partners, the links that join components (fewer than its members).
+that have partners, the links that join components (fewer than its members). Signatures have one size, sets don't: for the
+second step members are cut into shares of at most ``SHARE`` elements (one larger set is a share of its own), of which
+again any two that hold partners make a unit, so long texts don't fill a task either.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from textloom.plans.materialize import materialize
 
 #: Members of a block.
 UNIT = 1024
+#: Elements of the sets of a share.
+SHARE = 1 << 21
 #: Minima of a signature, 8 bits each, and the share of them that a pair of 0.75 has in common but for six deviations.
 SIGNS, LEAST_AGREEMENT = 480, 0.63
 #: The band of a bucket is in the low bits of its key.
 BAND_BITS = 127
 
 _UNIT_KEYS = ["key", "i", "j"]
+_SHARE_KEYS = [*_UNIT_KEYS, "k", "l"]
 
 
 def keyed(hashes: np.ndarray) -> np.ndarray:
@@ -33,18 +38,18 @@ def keyed(hashes: np.ndarray) -> np.ndarray:
     return ((hashes & ~np.uint64(BAND_BITS)) | np.arange(hashes.shape[1], dtype=np.uint64)).astype(np.int64)
 
 
-def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each unit, from rows in their order."""
+def units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each unit, from rows in the order of ``keys``."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = np.stack([batch.column(c).to_numpy() for c in _UNIT_KEYS])
+        ids = np.stack([batch.column(c).to_numpy() for c in keys])
         cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
         bounds = [0, *cuts.tolist(), batch.num_rows]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             part = batch.slice(a, b - a)
-            if rest and any(part.column(c)[0].as_py() != rest[0].column(c)[0].as_py() for c in _UNIT_KEYS):
+            if rest and any(part.column(c)[0].as_py() != rest[0].column(c)[0].as_py() for c in keys):
                 yield pa.Table.from_batches(rest)
                 rest = []
             rest.append(part)
@@ -81,27 +86,44 @@ def partners(start: int, bands: int) -> Callable:
         return (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in units(batches):
+        for unit in units(batches, _UNIT_KEYS):
             a, b = pairs(unit)
             if not len(a):
                 continue
             node, part = unit["node"].to_numpy(), unit["part"].to_numpy()
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            rows = np.unique(np.concatenate([a, b]))
-            bounds = np.concatenate([np.searchsorted(a, rows), [len(a)]])
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(node[b]))
-            same = [pa.array(np.full(len(rows), unit[c][0].as_py()), t) for c, t in zip(_UNIT_KEYS, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(node[rows]), pa.array(part[rows]), lists], [*_UNIT_KEYS, "node", "part", "partners"])
+            share = shares(unit["n"].to_numpy(), np.unique(np.concatenate([a, b])))
+            k, l = np.minimum(share[a], share[b]), np.maximum(share[a], share[b])
+            order = np.lexsort((a, l, k))
+            a, b, k, l = a[order], b[order], k[order], l[order]
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (l[1:] != l[:-1])) + 1).tolist(), len(a)]
+            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+                x, y = a[first:end], b[first:end]
+                rows = np.unique(np.concatenate([x, y]))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.searchsorted(x, rows), [len(x)]]), pa.int32()), pa.array(node[y]))
+                ids = [*(unit[c][0].as_py() for c in _UNIT_KEYS), int(k[first]), int(l[first])]
+                same = [pa.array(np.full(len(rows), v), pa.int64() if c == "key" else pa.int32()) for c, v in zip(_SHARE_KEYS, ids, strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(node[rows]), pa.array(part[rows]), lists], [*_SHARE_KEYS, "node", "part", "partners"])
 
     return run
 
 
+def shares(n: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The share of each of ``rows``, whose sets have ``n`` elements: no share has more than SHARE, but for a single set."""
+    share, at, held = np.zeros(len(n), np.int32), 0, 0
+    for row in rows.tolist():
+        if held and held + n[row] > SHARE:
+            at, held = at + 1, 0
+        share[row] = at
+        held += int(n[row])
+    return share
+
+
 def joining_links(as_set: Callable) -> Callable:
-    """Members with partners and sets to the links that join components of the unit."""
+    """Members with partners and sets to the links that join components of the unit. ``as_set`` makes a value of ``full``
+    an array of distinct elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in units(batches):
+        for unit in units(batches, _SHARE_KEYS):
             node, part = unit["node"].to_pylist(), unit["part"].to_pylist()
             up = {p: p for p in part}
 
@@ -111,7 +133,7 @@ def joining_links(as_set: Callable) -> Callable:
                 return p
 
             part_of, full = dict(zip(node, part, strict=True)), dict(zip(node, unit["full"], strict=True))
-            sets: dict[int, set] = {}
+            sets: dict[int, np.ndarray] = {}
             links = []
             for x, ys in zip(node, unit["partners"].to_pylist(), strict=True):
                 for y in ys:
@@ -119,8 +141,8 @@ def joining_links(as_set: Callable) -> Callable:
                         continue
                     for z in (x, y):
                         if z not in sets:
-                            sets[z] = as_set(full[z].as_py())
-                    both = len(sets[x] & sets[y])
+                            sets[z] = as_set(full[z])
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                     if 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
                         up[top(part_of[x])] = top(part_of[y])
                         links.append((x, y))
@@ -140,14 +162,14 @@ def open_members(members: DataFrame, parts: DataFrame) -> DataFrame:
 def links_apart(still: DataFrame, signs: DataFrame, full: DataFrame, as_set: Callable, start: int, bands: int) -> DataFrame:
     """Links (u, v) that join different parts of the buckets of ``still(key, size, node, part)``.
 
-    ``signs(node, n, sign)`` are signatures with the sizes of the sets, ``full(node, full)`` what ``as_set`` makes sets of.
+    ``signs(node, n, sign)`` are signatures with the sizes of the sets, ``full(node, full)`` what ``as_set`` makes arrays of.
     """
     blocks = F.ceil(F.col("size") / UNIT).cast("int")
     dealt = still.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part").join(signs, "node")
     rows = dealt.select(*_UNIT_KEYS, "block", "node", "part", "n", "sign").repartition(*_UNIT_KEYS).sortWithinPartitions(*_UNIT_KEYS)
-    met = materialize(rows.mapInArrow(partners(start, bands), "key long, i int, j int, node long, part long, partners array<long>"), "partners")
-    rows = met.join(full, "node").select(*_UNIT_KEYS, "node", "part", "partners", "full").repartition(*_UNIT_KEYS).sortWithinPartitions(*_UNIT_KEYS)
+    met = materialize(rows.mapInArrow(partners(start, bands), "key long, i int, j int, k int, l int, node long, part long, partners array<long>"), "partners")
+    rows = met.join(full, "node").select(*_SHARE_KEYS, "node", "part", "partners", "full").repartition(*_SHARE_KEYS).sortWithinPartitions(*_SHARE_KEYS)
     return rows.mapInArrow(joining_links(as_set), "u long, v long")
 
 

@@ -181,8 +181,8 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n, pa.int32()), pa.array(signs, pa.binary())], ["node", "n", "sign"])
 
 
-def line_set(line: bytes) -> set[int]:
-    return set(shingles([line.decode(errors="replace")])[0].tolist())
+def line_set(line: pa.Scalar) -> np.ndarray:
+    return shingles([line.as_py().decode(errors="replace")])[0]
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:

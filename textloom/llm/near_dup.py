@@ -8,7 +8,7 @@ members are first compared with one pivot, which the bucket's key picks among it
 near copies meets many pivots over its bands: one row a member. What these links leave in different components meets
 inside its bucket (see ``apart``), where no row is made for a pair: rows stay linear in the members even where a
 group's documents lie around the limit and aren't linked. Such a bucket of m members that no link joins takes m * m / 2
-comparisons of signatures, in units of bounded size.
+comparisons of signatures, in units that are bounded in members and in elements of their sets.
 
 A pair at the limit of similarity shares no band with a probability of (1 - 0.75**6)**80, about 2e-7. Six rows a band
 keep documents that merely share a passage out of each other's buckets. Signatures are asked before full sets are: they
@@ -103,6 +103,11 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["node", "full"])
 
 
+def _elements(full: pa.Scalar) -> np.ndarray:
+    """A set as a view of the batch that holds it."""
+    return full.values.to_numpy()
+
+
 def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow a link, with their agreement."""
     one, two = (classes.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
@@ -152,7 +157,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     still = open_members(members, parts)
     if not still.isEmpty():
         signs = classes.select("node", F.col("n_shingles").alias("n"), F.col("signature").alias("sign"))
-        parts = joined_parts(parts, links_apart(still, signs, sets, set, 0, BANDS))
+        parts = joined_parts(parts, links_apart(still, signs, sets, _elements, 0, BANDS))
 
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     placed = features.join(reps, "set_key", "left").select("row", "doc_id", "n_shingles", F.when(linked, F.col("node")).otherwise(F.col("row")).alias("node"))
