@@ -1,3 +1,3 @@
 """Registered queries, one module for each theme."""
 
-from textloom.queries import corpus, graphs, models, relational, reports, sequences, stores  # noqa: F401
+from textloom.queries import corpus, graphs, models, relational, reports, sequences, stores, trees  # noqa: F401
