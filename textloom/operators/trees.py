@@ -37,14 +37,19 @@ def next_conjunct(tokens: DataFrame) -> DataFrame:
     """``(sid, i, following)`` of the words ``(sid, i, head, rel)`` that depend on an earlier word: the first later
     conjunct of that word's coordination, conjuncts of its conjuncts included.
 
-    A sentence's conjuncts travel as one array; the coordination grows by one level of them a step, so a cycle ends too.
+    Conjuncts and the words above them over conjuncts are found by doubling: a round joins what is known with itself, so
+    there are as many rounds as the logarithm of the longest chain, and a cycle ends when nothing new comes.
     """
-    conjuncts = tokens.where("rel = 'conj'").groupBy("sid").agg(F.collect_list(F.struct("i", "head")).alias("conj"))
-    asked = tokens.where("(rel = 'cc' or rel = 'punct') and head > 0 and head < i").select("sid", "i", "head").join(conjuncts, "sid")
-    below = lambda some: F.transform(F.filter("conj", lambda c: F.array_contains(some, c["head"])), lambda c: c["i"])
-    grown = F.aggregate(F.sequence(F.lit(1), F.size("conj")), F.array("head"), lambda some, _: F.array_union(some, below(some)))
-    later = asked.withColumn("all", grown).withColumn("later", F.expr("filter(conj, c -> c.i > i and array_contains(all, c.head))"))
-    return later.select(*_KEY, F.array_min(F.transform("later", lambda c: c["i"])).alias("following")).where("following is not null")
+    above = materialize(tokens.where("rel = 'conj' and head > 0").select("sid", F.col("i").alias("conj"), F.col("head").alias("above")).distinct(), "conjuncts")
+    known = above.count()
+    while True:
+        over = above.select("sid", F.col("conj").alias("above"), F.col("above").alias("far"))
+        above = materialize(above.union(above.join(over, ["sid", "above"]).select("sid", "conj", F.col("far").alias("above"))).distinct(), "conjuncts")
+        before, known = known, above.count()
+        if known == before:
+            break
+    asked = tokens.where("(rel = 'cc' or rel = 'punct') and head > 0 and head < i").select("sid", "i", F.col("head").alias("above"))
+    return asked.join(above, ["sid", "above"]).where("conj > i").groupBy(*_KEY).agg(F.min("conj").alias("following"))
 
 
 def _parents(tokens: DataFrame, *values: str) -> DataFrame:
@@ -116,8 +121,10 @@ def agreed_edits(base: DataFrame, one: DataFrame, two: DataFrame, third: DataFra
     retag = (c("upos1") == c("upos2")) & (c("tag1") == c("tag2")) & ~(c("upos1").eqNullSafe(c("upos")) & c("tag1").eqNullSafe(c("tag"))) & c("feats_tags").isNotNull()
     alone = F.struct(F.lit(RULES[7]).alias("rule"), c("head").cast("long").alias("head"), c("rel").alias("rel"))
     free = ~c("upos").eqNullSafe("X") & ~c("rel").isin(*FROZEN)
-    found = words.where(free).withColumns({"retag": F.coalesce(retag, F.lit(False)), "edit": chain})
-    found = found.withColumn("edit", F.coalesce("edit", F.when(c("retag") & c("kept"), alone))).where("edit is not null")
+    retag = F.coalesce(retag, F.lit(False))
+    edit = F.coalesce(chain, F.when(retag & c("kept"), alone))
+    # Exploded, not filtered: a filter on the chain would be copied into the joins below, with all that it is made of.
+    found = words.where(free).select("*", retag.alias("retag"), F.explode(F.array_compact(F.array(edit))).alias("edit"))
     if_new = lambda v, n: F.when(c("retag"), v).alias(n)
     return found.select(
         *_KEY, "edit.rule", "edit.head", "edit.rel", if_new(c("upos1"), "upos"), if_new(c("tag1"), "tag"), if_new(F.coalesce("feats_form", "feats_tags"), "feats"), if_new(F.coalesce("lemma_form", "lemma"), "lemma")

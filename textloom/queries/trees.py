@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import agreement as ag
 from textloom.operators import trees as tr
+from textloom.plans.materialize import materialize
 from textloom.queries.graphs import _annotated, annotated
 from textloom.registry import register, table
 
@@ -67,6 +68,7 @@ def edits(spark: SparkSession, d: str) -> DataFrame:
     words = annotated(spark, d, False).select("sid", "i", "form")
     for name, said in _BASE.items():
         words = words.withColumn(name, F.expr(said))
+    words = materialize(words, "tree-words")  # a base tree is a stored table; its formulas aren't part of the plan
     tag = "concat({}, CASE WHEN length(form) % 2 = 0 THEN 'A' ELSE 'B' END) AS tag"
     one, two = (words.selectExpr("sid", "i", *(f"{said} AS {c}" for c, said in w.items()), tag.format(w["upos"])) for w in (_ONE, _TWO))
     third = words.selectExpr("sid", "i", *(f"{said} AS {c}" for c, said in _THIRD.items()))
