@@ -103,6 +103,41 @@ def chunks(docs: DataFrame, most: int = 25, least: int = 3) -> DataFrame:
     return pieces.select("doc_id", "n", F.col("k").cast("long").alias("k"), F.array_join(part, " ").alias("chunk"), F.size(part).cast("long").alias("words")).where(F.col("words") >= least)
 
 
+#: Tags, then notes in brackets of up to 60 characters, are cut out.
+_TAG, _NOTE = r"<[^<>]*>", r"\([^()]{0,60}\)|\[[^\[\]]{0,60}\]|\{[^{}]{0,60}\}"
+
+
+def clean_text(text: Column) -> Column:
+    """A text without tags, entities of spaces, and short notes in brackets, on one line with single spaces."""
+    plain = F.regexp_replace(F.regexp_replace(text, _TAG, " "), "&nbsp;|&thinsp;", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(plain, F.lit("&amp;"), F.lit("&")), _NOTE, ""), r"[ \t\r\n]+", " "))
+
+
+def clean_chunks(docs: DataFrame, most: int = 25, least: int = 3) -> DataFrame:
+    """``(doc_id, k, chunk, words)``: cleaned texts cut after a word that ends in . : ? ! ; and after ``most`` words at the
+    latest, numbered from 1; pieces with fewer than ``least`` words that have a letter are left out."""
+    piece = rf"(?:[^ ]+ ){{0,{most - 1}}}?[^ ]*[.:?!;](?: |$)|(?:[^ ]+(?: |$)){{1,{most}}}"
+    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all(clean_text(F.col("text")), F.lit(piece), 0)).alias("k", "chunk"))
+    n = F.size(F.regexp_extract_all("chunk", F.lit(r"[^ ]*\p{L}[^ ]*"), 0)).cast("long")
+    return cut.select("doc_id", (F.col("k") + 1).cast("long").alias("k"), F.trim("chunk").alias("chunk"), n.alias("words")).where(F.col("words") >= least)
+
+
+def book_sentences(books: DataFrame, least: int = 3, most: int = 60, shortest: int = 20) -> DataFrame:
+    """``books(doc_id, text)`` to ``(id, doc_id, n, sentence)`` with ids ``doc_id:n``: what stands between the lines
+    ``*** START OF`` and ``*** END OF`` (the whole text where a marker is missing), in paragraphs between blank lines,
+    with lines of CR LF as others. Paragraphs under ``shortest`` characters, or with more capitals than half of them,
+    are left out; sentences end in . ! ? and have ``least`` to ``most`` words."""
+    text = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    body = F.regexp_replace(F.regexp_replace(text, r"(?s)\*\*\* END OF.*$", ""), r"(?s)^.*?\*\*\* START OF[^\n]*\n", "")
+    para = books.select("doc_id", F.posexplode(F.split(body, "\n\n")).alias("p", "para")).withColumn("para", F.trim(F.regexp_replace("para", r"[ \t\r\n]+", " ")))
+    capitals = F.length(F.regexp_replace("para", r"[^\p{Lu}]", ""))
+    para = para.where((F.length("para") >= shortest) & (2 * capitals <= F.length("para")))
+    cut = para.select("doc_id", "p", F.posexplode(F.regexp_extract_all("para", F.lit(r"[^.!?]+[.!?]*"), 0)).alias("k", "sentence")).withColumn("sentence", F.trim("sentence"))
+    kept = cut.where(F.size(F.split("sentence", " ")).between(least, most))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "k")).cast("long")
+    return kept.select("doc_id", n.alias("n"), "sentence").select(F.concat_ws(":", "doc_id", "n").alias("id"), "doc_id", "n", "sentence")
+
+
 def register_lexicon(left: DataFrame, right: DataFrame, prior: float = 1000.0, least: int = 5, z_least: float = 2.0) -> DataFrame:
     """Words of ``left(word, n)`` against ``right``: log odds with an informative Dirichlet prior, and their z."""
     both = left.withColumnRenamed("n", "ya").join(right.withColumnRenamed("n", "yb"), "word", "full_outer").fillna(0, ["ya", "yb"])
@@ -124,6 +159,41 @@ def collocations(pairs: DataFrame, least: int = 3, least_docs: int = 2) -> DataF
     return kept.select("a", "b", "n", "docs", F.log2(F.col("n") * F.col("total") / (F.col("na") * F.col("nb"))).alias("pmi"))
 
 
+#: Verbs that carry little meaning of their own beside a noun.
+LIGHT_VERBS = ("make", "take", "give", "have", "do", "pay", "get", "put")
+
+
+def merge_entries(layers: Sequence[DataFrame], ranks: Sequence[str] = ("idiom", "verb-phrase", "phrase")) -> DataFrame:
+    """Dictionary layers ``(a, b, title, kind)`` to one entry a pair with its layer, from 1: an idiom of any layer comes before
+    other kinds, then the earlier layer, then the kind that stands first in ``ranks``, then the title."""
+    rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(ranks)), F.lit(len(ranks)))
+    every = None
+    for i, layer in enumerate(layers, 1):
+        one = layer.select("a", "b", F.struct((F.col("kind") != ranks[0]).alias("plain"), F.lit(i).alias("layer"), rank.alias("rank"), "title", "kind").alias("e"))
+        every = one if every is None else every.union(one)
+    return every.groupBy("a", "b").agg(F.min("e").alias("e")).select("a", "b", "e.title", "e.kind", "e.layer")
+
+
+def collocation_kinds(pairs: DataFrame, entries: DataFrame, odd: DataFrame, light: Sequence[str] = LIGHT_VERBS, floor: int = 3, least: int = 5, least_docs: int = 2, odd_pmi: float = 3.0, free_pmi: float = 5.0) -> DataFrame:
+    """``pairs(doc_id, a, b)`` to ``(a, b, kind, n, docs, pmi, title)``: the pairs that are more than their words.
+
+    A pair needs ``floor`` uses, and ``least`` uses in ``least_docs`` documents unless ``entries(a, b, title, kind)`` knows
+    it. ``odd(a, b, score)`` tells pairs that make little sense taken word by word (2 and more). kind: idiom if the entry
+    says so, or if the pair is odd with a pmi of ``odd_pmi``; light-verb for one of ``light`` with an odd or known pair;
+    collocation for other known pairs, and for unknown ones that aren't odd from ``free_pmi`` on. Others are left out.
+    """
+    cells = collocations(pairs, floor, 1).join(entries.select("a", "b", "title", F.col("kind").alias("known")), ["a", "b"], "left").join(odd.select("a", "b", "score"), ["a", "b"], "left")
+    known, is_odd, is_light = F.col("known").isNotNull(), F.coalesce(F.col("score") >= 2, F.lit(False)), F.col("a").isin(*light)
+    kind = (
+        F.when(F.col("known") == "idiom", "idiom")
+        .when(is_light & (is_odd | known), "light-verb")
+        .when(is_odd & ~is_light & (F.col("pmi") >= odd_pmi), "idiom")
+        .when(known | (~is_odd & (F.col("pmi") >= free_pmi)), "collocation")
+    )
+    kept = cells.where(known | ((F.col("n") >= least) & (F.col("docs") >= least_docs))).withColumn("kind", kind)
+    return kept.where("kind is not null").select("a", "b", "kind", "n", "docs", "pmi", "title")
+
+
 def select_catalogue(works: DataFrame, groups: Sequence[tuple[str, Sequence[str]]], excluded: dict[str, Sequence[str]], max_died: int, held: DataFrame) -> DataFrame:
     """``works(id, subjects, authors, ...)`` to ``(id, grp, died)``: those of the first group with a keyword in the subjects
     and none of the group's ``excluded`` words, all of whose authors died by ``max_died``, and that aren't in ``held(id)``.
@@ -244,26 +314,29 @@ def near_duplicate_words(docs: DataFrame, share: float = 0.8) -> DataFrame:
     """``(doc_id, class_id, links)``: texts of equal word sets are one class, known by its smallest doc_id; ``links`` is how
     many other classes, of four words or more each, reach a Jaccard of ``share`` with it. Texts without a word are left out.
 
-    Prefix filter: words are ordered from rare to frequent, and a pair that reaches the share has one of the first
-    n - ceil(share * n) + 1 words of each side in common, so only those are joined, with ids and sizes alone; the whole
-    sets of the pairs found then decide.
+    Words become numbers in order from rare to frequent. A pair that reaches the share has one of the first
+    n - ceil(share * n) + 1 words of each side in common, so only those are joined, with ids, sizes and places: from the
+    first word in common on, enough words must be left on both sides. The whole sets of the few pairs left decide.
     """
     sets = docs.select("doc_id", F.array_sort(F.array_distinct(words(F.col("text"), "\\p{L}{3,}"))).alias("w")).where("size(w) > 0")
     keyed = materialize(sets.select("doc_id", F.md5(F.array_join("w", " ")).alias("key"), "w"), "word-sets")
     classes = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    reps = keyed.join(classes, keyed.doc_id == classes.class_id, "left_semi").where("size(w) >= 4").select("doc_id", "w")
-    each = reps.select("doc_id", F.explode("w").alias("word"), F.size("w").alias("n"))
-    df = each.groupBy("word").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "word"))
-    first = each.join(df, "word").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
-    first = materialize(first.select("doc_id", "word", "n"), "word-prefixes")
-    a, b = (first.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), "word") for x in "ab")
-    near = (F.col("na") >= F.col("nb") * share) & (F.col("nb") >= F.col("na") * share)
-    pairs = a.join(b, "word").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    one, two = (reps.select(F.col("doc_id").alias(x), F.col("w").alias(f"w{x}")) for x in "ab")
-    both = F.size(F.array_intersect("wa", "wb"))
-    linked = pairs.join(one, "a").join(two, "b").where(both >= share * (F.size("wa") + F.size("wb") - both)).select("a", "b")
-    links = linked.union(linked.select("b", "a")).groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("links"))
+    each = keyed.where("size(w) >= 4").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("w").alias("word"))
+    # Written in order, so that a word's number tells its rank and stays the same.
+    ranked = each.groupBy("word").agg(F.count("*").alias("df")).orderBy("df", "word").select("word", F.monotonically_increasing_id().alias("v"))
+    reps = each.join(materialize(ranked, "word-ranks"), "word").groupBy("doc_id").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    reps = materialize(reps.withColumn("n", F.size("v")), "ranked-sets")
+    # The smaller set of a pair needs fewer first words: the larger one makes the number that they must share larger.
+    short = F.col("n") - F.ceil(F.col("n") * (2 * share / (1 + share)) - 1e-9) + 1
+    first = reps.select("doc_id", "n", short.alias("short"), F.posexplode(F.slice("v", F.lit(1), (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).cast("int"))).alias("at", "word"))
+    side = lambda df, x: df.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("at")).alias(f"left_{x}"), "word")
+    larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
+    enough = F.least("left_a", "left_b") >= share / (1 + share) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = side(first, "a").join(side(first.where("at < short"), "b"), "word").where(larger & (F.col("nb") >= F.col("na") * share - 1e-9) & enough).select("a", "b").distinct()
+    one, two = (reps.select(F.col("doc_id").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+    both = F.size(F.array_intersect("va", "vb"))
+    linked = pairs.join(one, "a").join(two, "b").where(both >= share * (F.size("va") + F.size("vb") - both)).select("a", "b")
+    links = linked.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     placed = keyed.select("doc_id", "key").join(classes, "key")
     return placed.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 

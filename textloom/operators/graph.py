@@ -152,8 +152,8 @@ def related_documents(asked: DataFrame, entities: DataFrame, cites: DataFrame, a
     return edges.where("doc <> other").groupBy("doc", "other").agg(F.round(F.sum("w"), 6).alias("strength"))
 
 
-def similar_documents(keys: DataFrame, top: int = 5) -> DataFrame:
-    """``(doc_id, key)`` to the ``top`` documents nearest to each by cosine over idf, exactly: every shared key counts.
+def key_cosines(keys: DataFrame) -> DataFrame:
+    """``keys(doc_id, key)`` to ``(doc_id, other, cosine)`` over idf, both ways, for all pairs that share a key of some weight.
 
     The work grows with the pairs that share a key. A key of many documents is dealt over several tasks."""
     k = keys.distinct()
@@ -166,9 +166,51 @@ def similar_documents(keys: DataFrame, top: int = 5) -> DataFrame:
     two = shared.select(F.col("doc_id").alias("other"), "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     half = one.join(two, ["key", "salt"]).where("doc_id < other").groupBy("doc_id", "other").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"))
     pairs = half.select("doc_id", "other", F.explode(F.array(F.struct("doc_id", "other"), F.struct(F.col("other").alias("doc_id"), F.col("doc_id").alias("other")))).alias("p"), "dot").select("p.doc_id", "p.other", "dot")
-    score = pairs.join(length, "doc_id").join(length.select(F.col("doc_id").alias("other"), F.col("length").alias("length_b")), "other").select("doc_id", "other", F.round(F.col("dot") / (F.col("length") * F.col("length_b")), 4).alias("score"))
+    both = pairs.join(length, "doc_id").join(length.select(F.col("doc_id").alias("other"), F.col("length").alias("length_b")), "other")
+    return both.select("doc_id", "other", (F.col("dot") / (F.col("length") * F.col("length_b"))).alias("cosine"))
+
+
+def _best(score: DataFrame, top: int) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "other")
-    return score.where("score >= 0.05").withColumn("r", F.row_number().over(w).cast("long")).where(F.col("r") <= top)
+    return score.withColumn("r", F.row_number().over(w).cast("long")).where(F.col("r") <= top)
+
+
+def similar_documents(keys: DataFrame, top: int = 5) -> DataFrame:
+    """``(doc_id, key)`` to the ``top`` documents nearest to each by cosine over idf, exactly: every shared key counts."""
+    score = key_cosines(keys).select("doc_id", "other", F.round("cosine", 4).alias("score"))
+    return _best(score.where("score >= 0.05"), top)
+
+
+def similar_works(keys: DataFrame, works: DataFrame, top: int = 5, topic: float = 0.5, concept: float = 0.2, least: float = 0.05) -> DataFrame:
+    """``(doc_id, other, score, r)``: the ``top`` works for each of ``works(doc_id, topics array, concepts array)``, by the
+    cosine of ``keys(doc_id, key)`` over idf, plus ``topic`` times the share of its topics that the other has too, plus
+    ``concept`` if they share a concept. A pair counts with a cosine of ``least`` or a shared topic; scores have four
+    places, the smaller id comes first among equals. doc_ids of ``works`` are unique; null arrays are empty.
+
+    Works that share a topic and no key are too many to pair. All with the same topics and concepts score alike there, so
+    sets are paired instead, each with its first few ids: whoever is later in such a list is behind ``top`` others in the
+    whole order too, since a cosine only adds.
+    """
+    none = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>")))))
+    w = works.select("doc_id", none("topics").alias("t"), none("concepts").alias("c"))
+    w = materialize(w.withColumn("kind", F.md5(F.to_json(F.struct("t", "c")))), "works")
+    other = w.select(F.col("doc_id").alias("other"), F.col("t").alias("t2"), F.col("c").alias("c2"))
+    many = F.size(F.array_intersect("t", "t2"))
+    bonus = F.when(F.size("t") > 0, topic * many / F.size("t")).otherwise(0.0) + F.when(F.arrays_overlap("c", "c2"), concept).otherwise(0.0)
+    by_keys = key_cosines(keys).join(w, "doc_id").join(other, "other").where((F.col("cosine") >= least) | (many > 0))
+    by_keys = by_keys.select("doc_id", "other", F.round(F.col("cosine") + bonus, 4).alias("score"))
+
+    place = Window.partitionBy("kind").orderBy("doc_id")
+    first = w.select("kind", "doc_id", F.row_number().over(place).alias("at")).where(F.col("at") <= top + 1)
+    kinds = w.groupBy("kind").agg(F.first("t").alias("t"), F.first("c").alias("c"))
+    flat = kinds.select("kind", F.explode("t").alias("topic"))
+    met = flat.join(flat.withColumnRenamed("kind", "kind2"), "topic").select("kind", "kind2").distinct()
+    met = met.join(kinds, "kind").join(kinds.select(F.col("kind").alias("kind2"), F.col("t").alias("t2"), F.col("c").alias("c2")), "kind2")
+    met = met.select("kind", "kind2", F.round(bonus, 4).alias("score")).join(first.select(F.col("kind").alias("kind2"), F.col("doc_id").alias("other")), "kind2")
+    order = Window.partitionBy("kind").orderBy(F.desc("score"), "other")
+    listed = met.withColumn("at", F.row_number().over(order)).where(F.col("at") <= top + 1).select("kind", "other", "score")
+    by_topics = w.select("doc_id", "kind").join(listed, "kind").where("doc_id <> other").select("doc_id", "other", "score")
+    return _best(by_keys.union(by_topics).groupBy("doc_id", "other").agg(F.max("score").alias("score")), top)
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, radius: int, most: int) -> DataFrame:
@@ -193,6 +235,36 @@ def align_concepts(candidates: DataFrame, above_a: DataFrame, above_b: DataFrame
     return support.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def supported_alignment(candidates: DataFrame, edges_a: DataFrame, edges_b: DataFrame, share: float = 0.5, least: int = 2, deep_a: int = 10, deep_b: int = 20) -> DataFrame:
+    """``candidates(a, b, label, lex, direct, wn, gloss, weight)`` to ``(a, b, sources, depth, verdict, r)``.
+
+    ``label``, ``lex``, ``direct`` and ``wn`` tell which sources propose the pair; ``direct`` and ``wn`` count as one.
+    ``edges_a(child, parent)`` and ``edges_b`` are the two hierarchies. A pair is supported by a pair of proper ancestors
+    that is a candidate too, at most ``deep_a`` and ``deep_b`` steps up, where the ancestor of ``a`` has no more
+    descendants than ``share`` of all nodes of its hierarchy; ``depth`` is the least sum of steps. verdict: unsupported,
+    single (fewer than ``least`` sources), else accepted for the first of an ``a``, also for the others; ``r`` is their
+    place by direct source, two gloss words in common, depth, weight (the greater) and ``b``. Repeated candidates count
+    once, by the greatest of each column.
+    """
+    flags = ("label", "lex", "direct", "wn")
+    c = candidates.groupBy("a", "b").agg(*(F.bool_or(F.coalesce(x, F.lit(False))).alias(x) for x in flags), F.max("gloss").alias("gloss"), F.max("weight").alias("weight"))
+    c = materialize(c, "candidates")
+    above = closure(edges_a).where("node <> ancestor")
+    nodes = F.broadcast(edges_a.select("child").union(edges_a.select("parent")).distinct().agg(F.count("*").alias("nodes")))
+    generic = above.groupBy("ancestor").agg(F.count("*").alias("below")).join(nodes).where(F.col("below") > F.floor(F.col("nodes") * share)).select("ancestor")
+    up_a = above.where(F.col("depth") <= deep_a).join(generic, "ancestor", "left_anti").select(F.col("node").alias("a"), F.col("ancestor").alias("x"), F.col("depth").alias("up_a"))
+    up_b = closure(edges_b).where("node <> ancestor").where(F.col("depth") <= deep_b).select(F.col("node").alias("b"), F.col("ancestor").alias("y"), F.col("depth").alias("up_b"))
+    pairs = c.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    found = c.select("a", "b").join(up_a, "a").join(pairs, "x").join(up_b, ["b", "y"]).groupBy("a", "b").agg(F.min(F.col("up_a") + F.col("up_b")).alias("depth"))
+    n = (F.col("label").cast("int") + F.col("lex").cast("int") + (F.col("direct") | F.col("wn")).cast("int")).alias("sources")
+    out = c.join(found, ["a", "b"], "left").select("a", "b", n, "depth", "direct", (F.coalesce("gloss", F.lit(0)) >= 2).alias("told"), F.coalesce("weight", F.lit(0)).alias("weight"))
+    fit = F.col("depth").isNotNull() & (F.col("sources") >= least)
+    w = Window.partitionBy("a", fit).orderBy(F.desc("direct"), F.desc("told"), "depth", F.desc("weight"), "b")
+    out = out.withColumn("r", F.when(fit, F.row_number().over(w)).cast("long"))
+    verdict = F.when(F.col("depth").isNull(), "unsupported").when(F.col("sources") < least, "single").when(F.col("r") == 1, "accepted").otherwise("also")
+    return out.select("a", "b", "sources", "depth", verdict.alias("verdict"), "r")
+
+
 ENTITY = "id string, labels map<string, string>, claims map<string, array<struct<v: long, rank: string>>>"
 
 

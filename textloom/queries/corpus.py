@@ -93,6 +93,17 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
     return cp.sentences(table(spark, d, "documents"))
 
 
+@register("c1_book_sentences", r"""WITH p AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS p, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r\n]+', ' ', 'g')) AS para FROM documents),
+    s AS (SELECT doc_id, p, CAST(generate_subscripts(regexp_extract_all(para, '[^.!?]+[.!?]*'), 1) AS BIGINT) AS k, trim(unnest(regexp_extract_all(para, '[^.!?]+[.!?]*'))) AS sentence FROM p WHERE length(para) >= 20 AND 2 * length(regexp_replace(para, '[^\p{Lu}]', '', 'g')) <= length(para))
+    SELECT doc_id::VARCHAR || ':' || row_number() OVER (PARTITION BY doc_id ORDER BY p, k) AS id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) AS n, sentence FROM s WHERE len(string_split(sentence, ' ')) BETWEEN 3 AND 60""")
+def book_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the documents as books with markers, CR LF, a heading and a licence that aren't read."""
+    head, foot = "Title of a book.\r\n\r\n*** START OF THIS BOOK ***\r\n\r\nCHAPTER ONE OF THE BOOK OF ALL\r\n\r\n", "\r\n\r\n*** END OF THIS BOOK ***\r\n\r\nThe licence of the book says a lot. It is not read at all.\r\n"
+    blank = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    book = F.when(F.col("doc_id") % 3 == 0, blank).otherwise(F.concat(F.lit(head), F.replace(blank, F.lit("\n"), F.lit("\r\n")), F.lit(foot)))
+    return cp.book_sentences(table(spark, d, "documents").select("doc_id", book.alias("text")))
+
+
 @register("c2_tokens", r"""SELECT kind, token, count(*) AS n FROM (SELECT token, CASE WHEN regexp_matches(token, '^\p{N}+$') THEN 'number' WHEN regexp_matches(token, '^[\p{L}\p{N}]') THEN 'word' ELSE 'mark' END AS kind
     FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*|[^\p{L}\p{N} \n]')) AS token FROM documents)) GROUP BY kind, token""")
 def tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +118,13 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return cp.chunks(table(spark, d, "documents"))
 
 
+@register("c3_clean_chunks", r"""WITH c AS (SELECT page_id AS doc_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(html, '<[^<>]*>', ' ', 'g'), '&nbsp;|&thinsp;', ' ', 'g'), '&amp;', '&'), '\([^()]{0,60}\)|\[[^\[\]]{0,60}\]|\{[^{}]{0,60}\}', '', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages),
+    e AS (SELECT doc_id, regexp_extract_all(t, '(?:[^ ]+ ){0,24}?[^ ]*[.:?!;](?: |$)|(?:[^ ]+(?: |$)){1,25}') AS e FROM c), p AS (SELECT doc_id, unnest(e) AS chunk, CAST(generate_subscripts(e, 1) AS BIGINT) AS k FROM e)
+    SELECT doc_id, k, trim(chunk) AS chunk, len(regexp_extract_all(chunk, '[^ ]*\p{L}[^ ]*')) AS words FROM p WHERE len(regexp_extract_all(chunk, '[^ ]*\p{L}[^ ]*')) >= 3""")
+def clean_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return cp.clean_chunks(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+
+
 @register("c4_sentence_pool", """WITH s AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS sentence FROM documents UNION ALL SELECT conv_id + 1000000 AS doc_id, trim(unnest(string_split(text, chr(10)))) FROM conversations)
     SELECT doc_id, count(*) AS n FROM s WHERE len(string_split(sentence, ' ')) BETWEEN 3 AND 200 AND lower(sentence) NOT IN (SELECT lower(trim(unnest(string_split(text, chr(10))))) FROM benchmark) GROUP BY doc_id""")
 def sentence_pool(spark: SparkSession, d: str) -> DataFrame:
@@ -152,6 +170,35 @@ def collocations(spark: SparkSession, d: str) -> DataFrame:
     return cp.collocations(neighbours(spark, d)).withColumn("pmi", F.round("pmi", 4))
 
 
+_KIND = "CASE (length(a) + length(b)) % 9 WHEN 0 THEN 'idiom' WHEN 1 THEN 'verb-phrase' WHEN 2 THEN 'phrase' ELSE 'other' END"
+_LIGHT = (*cp.LIGHT_VERBS, "the", "der", "el", "la", "le", "les", "und")
+
+
+def _adjacent(of: str) -> str:
+    return f"SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT {_WORDS} AS w FROM {of}))"
+
+
+@register("c10_collocation_kinds", f"""WITH c AS (SELECT a, b, sum(n)::BIGINT AS n, count(*) AS docs FROM (SELECT a, b, doc_id, count(*) AS n FROM ({_PAIRS}) GROUP BY ALL) GROUP BY a, b), x AS (SELECT a, sum(n) AS na FROM c GROUP BY a), y AS (SELECT b, sum(n) AS nb FROM c GROUP BY b),
+    e AS (SELECT a, b, 'user: ' || a || ' ' || b AS title, {_KIND} AS kind, 1 AS layer FROM ({_adjacent("conversations WHERE role = 'user'")}) UNION ALL SELECT a, b, 'assistant: ' || a || ' ' || b, CASE WHEN length(a) % 5 = 0 THEN 'idiom' ELSE 'verb-phrase' END, 2 FROM ({_adjacent("conversations WHERE role = 'assistant'")})),
+    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY kind <> 'idiom', layer, title) AS r FROM e) WHERE r = 1), o AS (SELECT a, b, length(b) % 4 AS score FROM ({_adjacent("benchmark")})),
+    p AS (SELECT c.a, c.b, n, docs, log2(n::DOUBLE * (SELECT sum(n) FROM c) / (na * nb)) AS pmi, title, kind, coalesce(score >= 2, false) AS odd, c.a IN {_LIGHT} AS light FROM c JOIN x ON x.a = c.a JOIN y ON y.b = c.b LEFT JOIN m ON m.a = c.a AND m.b = c.b LEFT JOIN o ON o.a = c.a AND o.b = c.b WHERE n >= 3 AND (kind IS NOT NULL OR (n >= 5 AND docs >= 2))),
+    k AS (SELECT a, b, n, docs, pmi, title, CASE WHEN kind = 'idiom' THEN 'idiom' WHEN light AND (odd OR kind IS NOT NULL) THEN 'light-verb' WHEN odd AND NOT light AND pmi >= 3 THEN 'idiom' WHEN kind IS NOT NULL OR (NOT odd AND pmi >= 5) THEN 'collocation' END AS kind FROM p)
+    SELECT a, b, kind, n, docs, round(pmi, 4) AS pmi, title FROM k WHERE kind IS NOT NULL""")
+def collocation_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of words of the turns of a role are the two dictionary layers, those of the benchmark have scores of oddness."""
+
+    def pairs(df: DataFrame) -> DataFrame:
+        w = df.select(tx.words(F.col("text")).alias("w")).where("size(w) > 1")
+        return w.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p")).select("p.a", "p.b").distinct()
+
+    said = lambda role: pairs(table(spark, d, "conversations").where(F.col("role") == role))
+    title = lambda role: F.concat(F.lit(f"{role}: "), "a", F.lit(" "), "b").alias("title")
+    user = said("user").select("a", "b", title("user"), F.expr(_KIND).alias("kind"))
+    assistant = said("assistant").select("a", "b", title("assistant"), F.when(F.length("a") % 5 == 0, "idiom").otherwise("verb-phrase").alias("kind"))
+    odd = pairs(table(spark, d, "benchmark")).withColumn("score", F.length("b") % 4)
+    return cp.collocation_kinds(neighbours(spark, d), cp.merge_entries([user, assistant]), odd, _LIGHT).withColumn("pmi", F.round("pmi", 4))
+
+
 @register("c12_ability_table", f"""WITH g AS (SELECT p.a AS head, p.b AS action, lang AS relation, count(*) AS n FROM ({_PAIRS}) p JOIN documents USING (doc_id) WHERE length(p.b) >= 3 GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY relation, head ORDER BY n DESC, action) AS k FROM g) WHERE k <= 6)
     SELECT relation || '_' || action AS name, count(*) AS n, string_agg(head, ' ' ORDER BY head) AS words FROM t GROUP BY relation, action HAVING count(*) >= 2""")
 def ability_table(spark: SparkSession, d: str) -> DataFrame:

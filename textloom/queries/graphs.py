@@ -91,6 +91,20 @@ def similar(spark: SparkSession, d: str) -> DataFrame:
     return gr.similar_documents(keys)
 
 
+@register("g8_similar_works", r"""WITH k AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{7,}')) AS key FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM k), i AS (SELECT key, greatest(0.0::DOUBLE, ln(n / (1 + count(*)))) AS idf FROM k, n GROUP BY key, n),
+    w AS (SELECT doc_id, key, idf FROM k JOIN i USING (key)), l AS (SELECT doc_id, sqrt(sum(idf * idf)) AS length FROM w GROUP BY doc_id), s AS (SELECT a.doc_id, b.doc_id AS other, sum(a.idf * a.idf) AS dot FROM w a JOIN w b USING (key) WHERE a.doc_id <> b.doc_id AND a.idf > 0 GROUP BY ALL),
+    t AS (SELECT doc_id, list_distinct([source, lang]) AS t, n_chars // 500 AS c FROM documents),
+    z AS (SELECT a.doc_id, b.doc_id AS other, coalesce(dot / (x.length * y.length), 0) AS cosine, len(list_intersect(a.t, b.t)) AS many, len(a.t) AS n, coalesce(a.c = b.c, false) AS same FROM t a JOIN t b ON a.doc_id <> b.doc_id LEFT JOIN s ON s.doc_id = a.doc_id AND s.other = b.doc_id LEFT JOIN l x ON x.doc_id = a.doc_id LEFT JOIN l y ON y.doc_id = b.doc_id),
+    f AS (SELECT doc_id, other, round(cosine + CASE WHEN n > 0 THEN 0.5::DOUBLE * many / n ELSE 0 END + CASE WHEN same THEN 0.2::DOUBLE ELSE 0 END, 4) AS score FROM z WHERE cosine >= 0.05 OR many > 0)
+    SELECT * FROM (SELECT doc_id, other, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS r FROM f) WHERE r <= 5""")
+def similar_works(spark: SparkSession, d: str) -> DataFrame:
+    """Source and language are topics, the size in steps of 500 characters is the concept."""
+    docs = table(spark, d, "documents")
+    keys = docs.select("doc_id", F.explode(F.array_distinct(tx.words(F.col("text"), "\\p{L}{7,}"))).alias("key"))
+    works = docs.select("doc_id", F.array("source", "lang").alias("topics"), F.array(F.floor(F.col("n_chars") / 500).cast("string")).alias("concepts"))
+    return gr.similar_works(keys, works)
+
+
 @register("g10_neighbourhood", """WITH e AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, sum(l_quantity) AS strength FROM lineitem GROUP BY 1, 2), ways AS (SELECT * FROM e UNION ALL SELECT dst, src, strength FROM e), one AS (SELECT s_suppkey AS start, dst AS node, strength FROM supplier JOIN ways ON src = s_suppkey),
     two AS (SELECT start, b.dst AS node, max(least(o.strength, b.strength)) AS strength FROM one o JOIN ways b ON b.src = o.node WHERE b.dst <> start AND NOT EXISTS (SELECT 1 FROM one x WHERE x.start = o.start AND x.node = b.dst) GROUP BY start, b.dst),
     r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY distance, strength DESC, node) AS r FROM (SELECT start, node, 1 AS distance, strength FROM one UNION ALL SELECT start, node, 2, strength FROM two)) SELECT start, node, distance, strength FROM r WHERE r <= 25""")
@@ -434,6 +448,24 @@ def align(spark: SparkSession, d: str) -> DataFrame:
     return gr.align_concepts(candidates, above(a, "a", "x"), above(b, "b", "y"), names.select("x", F.col("x").alias("y")))
 
 
+@register("g13_supported_alignment", """WITH RECURSIVE pa AS (SELECT p_partkey AS k, * FROM part), c AS (SELECT a.k AS a, b.k AS b, a.p_size = b.p_size AS label, a.p_type = b.p_type AS lex, a.k % 10 = b.k % 10 - 1 AS direct, a.p_retailprice > b.p_retailprice AS wn, b.p_size % 4 AS gloss, b.p_size AS weight FROM pa a JOIN pa b ON a.p_brand = b.p_brand AND a.k % 2 = 0 AND b.k % 2 = 1 AND abs(a.k - b.k) < 200),
+    ua AS (SELECT k AS node, k // 4 * 2 AS anc, 1 AS depth FROM pa WHERE k % 2 = 0 AND k // 4 * 2 <> k UNION ALL SELECT node, anc // 4 * 2, depth + 1 FROM ua WHERE anc // 4 * 2 <> anc), ub AS (SELECT k AS node, k // 4 * 2 + 1 AS anc, 1 AS depth FROM pa WHERE k % 2 = 1 AND k // 4 * 2 + 1 <> k UNION ALL SELECT node, anc // 4 * 2 + 1, depth + 1 FROM ub WHERE anc // 4 * 2 + 1 <> anc),
+    n AS (SELECT count(DISTINCT x) AS n FROM (SELECT node AS x FROM ua UNION ALL SELECT anc FROM ua)), g AS (SELECT anc FROM ua, n GROUP BY anc, n HAVING count(*) > floor(n * 0.2)),
+    s AS (SELECT c.a, c.b, min(ua.depth + ub.depth) AS depth FROM c JOIN ua ON ua.node = c.a AND ua.depth <= 10 JOIN ub ON ub.node = c.b AND ub.depth <= 20 JOIN c x ON x.a = ua.anc AND x.b = ub.anc WHERE ua.anc NOT IN (SELECT anc FROM g) GROUP BY c.a, c.b),
+    o AS (SELECT c.a, c.b, label::INT + lex::INT + (direct OR wn)::INT AS sources, depth, direct, gloss >= 2 AS told, weight, depth IS NOT NULL AND label::INT + lex::INT + (direct OR wn)::INT >= 2 AS fit FROM c LEFT JOIN s ON s.a = c.a AND s.b = c.b),
+    r AS (SELECT *, CASE WHEN fit THEN row_number() OVER (PARTITION BY a, fit ORDER BY direct DESC, told DESC, depth, weight DESC, b) END AS r FROM o)
+    SELECT a, b, sources, depth, CASE WHEN depth IS NULL THEN 'unsupported' WHEN sources < 2 THEN 'single' WHEN r = 1 THEN 'accepted' ELSE 'also' END AS verdict, r FROM r""")
+def supported_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of even and of odd keys are the concepts of two hierarchies; those of one brand with near keys are candidates."""
+    p = table(spark, d, "part").withColumn("k", F.col("p_partkey"))
+    a, b = p.where("k % 2 = 0").alias("a"), p.where("k % 2 = 1").alias("b")
+    near = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.floor(F.col("a.k") / 200) + F.col("step") == F.floor(F.col("b.k") / 200)) & (F.abs(F.col("a.k") - F.col("b.k")) < 200)
+    c = a.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).join(b, near)
+    c = c.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.expr("a.p_size = b.p_size").alias("label"), F.expr("a.p_type = b.p_type").alias("lex"), F.expr("a.k % 10 = b.k % 10 - 1").alias("direct"), F.expr("a.p_retailprice > b.p_retailprice").alias("wn"), F.expr("b.p_size % 4").alias("gloss"), F.col("b.p_size").alias("weight"))
+    up = lambda df, rest: df.select(F.col("k").alias("child"), (F.floor(F.col("k") / 4) * 2 + rest).alias("parent")).where("child <> parent")
+    return gr.supported_alignment(c, up(p.where("k % 2 = 0"), 0), up(p.where("k % 2 = 1"), 1), share=0.2)
+
+
 @register("g15_entity_claims", "SELECT c_custkey AS q, 31 AS p, CAST(c_nationkey AS BIGINT) AS o, 'normal' AS rank FROM customer UNION ALL SELECT c_custkey, 279, c_custkey // 2, 'preferred' FROM customer WHERE c_custkey > 0")
 def entity_claims(spark: SparkSession, d: str) -> DataFrame:
     from textloom.plans.materialize import new_path
