@@ -217,9 +217,10 @@ def poisson_weight(*of: str | Column) -> Column:
     return weight
 
 
-def shifted(gold: DataFrame, key: str, places: int, size: int) -> DataFrame:
-    """Control for rules: the gold of the item ``places`` later (items are 0 to ``size`` - 1, in a ring)."""
-    return gold.withColumn(key, F.pmod(F.col(key) - places, F.lit(size)))
+def shifted(gold: DataFrame, items: DataFrame, key: str, places: int) -> DataFrame:
+    """Control for rules: the gold of the item ``places`` later (``items`` are numbered from 0 on, in a ring)."""
+    size = F.broadcast(items.agg(F.count("*").alias("__size")))
+    return gold.join(size).withColumn(key, F.pmod(F.col(key) - places, "__size")).drop("__size")
 
 
 def paired_bootstrap(differences: DataFrame, item: str, value: str, replicates: int, salt: int = 1) -> DataFrame:

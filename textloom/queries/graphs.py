@@ -252,7 +252,7 @@ def shifted_control(spark: SparkSession, d: str) -> DataFrame:
     """The rules against the labels of the document three places later: what chance alone gives."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     found = docs.where(F.lower("text").rlike("idiot|moron|worthless|stupid|pathetic|loser|clown")).select("doc_id")
-    return ag.precision_recall(ag.shifted(labels.where("toxic = 1"), "doc_id", 3, docs.count()), found, "doc_id")
+    return ag.precision_recall(ag.shifted(labels.where("toxic = 1"), docs, "doc_id", 3), found, "doc_id")
 
 
 @register("e19_class_report", """WITH p AS (SELECT lang AS gold, CASE WHEN regexp_matches(text, '[äöüß]') THEN 'de' WHEN regexp_matches(text, '[ñóí]') THEN 'es' WHEN regexp_matches(text, '[éèêç]') THEN 'fr' ELSE 'en' END AS s FROM documents)

@@ -184,6 +184,18 @@ def reconstruct(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy("conv_id").agg(F.array_join(parts, "\n").alias("story"))
 
 
+@register("c22_story_sections", """WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM conversations), f AS (SELECT conv_id, t, min(turn) AS turn FROM c WHERE t <> '' GROUP BY conv_id, t)
+    SELECT conv_id AS story, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, t AS section FROM f""")
+def story_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of the user are sections with questions of their own. One summary of a conversation has all turns in order, so
+    those of the assistant are found in it, if they have three words."""
+    c = table(spark, d, "conversations").where("text is not null")
+    local = c.where("role = 'user' or size(split(trim(text), '[ \\t\\r\\n]+')) < 3").select(F.col("conv_id").alias("story"), F.col("turn").alias("id"), F.lit(True).alias("local"), "text")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
+    summary = c.groupBy(F.col("conv_id").alias("story")).agg(whole.alias("text")).select("story", F.lit(1_000_000).alias("id"), F.lit(False).alias("local"), "text")
+    return md.reconstruct_stories(local.unionByName(summary), 3).where("n is not null").select("story", "n", "section")
+
+
 @register("c23_decision_list")
 def decision_list(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.floor(F.col("l_quantity") / 10).alias("size"), (F.col("l_discount") > 0.05).alias("y"))
