@@ -287,6 +287,51 @@ def test_buckets_over_small_batches():
         assert got == sorted(want)
 
 
+def _dealt_rows(*sent: list[np.ndarray]) -> list[dict]:
+    return sorted((r for columns in sent for r in ld._dealt(columns).to_pylist()), key=lambda r: r["range"])
+
+
+@pytest.mark.parametrize("piece", [1, 3, 1 << 20])
+def test_ranges_in_pieces_of_any_size(monkeypatch, piece):
+    monkeypatch.setattr(ld, "PIECE", piece)
+    rng = random.Random(1)
+    for _ in range(100):
+        near = [(rng.randint(0, 2) << 52) + rng.randint(0, 3) for _ in range(rng.randint(1, 30))]
+        key, node = np.array(near), np.array([rng.randint(0, 5) for _ in near])
+        rows = _dealt_rows([key[::2], (node ^ key)[::2]], *([[key[1::2], (node ^ key)[1::2]]] if len(key) > 1 else []))
+        batches = [pa.RecordBatch.from_pylist(rows[k : k + 2], pa.schema([("range", pa.int32()), ("entries", pa.binary())])) for k in range(0, len(rows), 2)]
+        got = [r for b in ld._members(iter(batches)) for r in b.to_pylist()]
+        want = {}
+        for k, v in zip(key.tolist(), node.tolist(), strict=True):
+            want.setdefault(k, set()).add(v)
+        assert {(r["key"], r["node"]) for r in got} == {(k, v) for k, vs in want.items() if len(vs) > 1 for v in vs}
+        assert all(len(want[r["key"]]) < 3 or r["many"] for r in got) and all(r["pivot"] in want[r["key"]] for r in got)
+        for k, vs in want.items():  # pivots hold all members of a bucket together
+            links = [(r["node"], r["pivot"]) for r in got if r["key"] == k and r["node"] != r["pivot"]]
+            assert len(set(components(sorted(vs), links).values())) == 1
+
+        places = [np.array([(rng.randint(0, 2) << 52) + rng.randint(0, 2) for _ in near]), *(np.array([rng.randint(0, 3) for _ in near]) for _ in range(2)), np.arange(len(near))]
+        told = {v: v % 7 for v in set(places[0].tolist()) if rng.random() < 0.5}
+        rows = [{"range": v >> 52, "node": v, "component": c} for v, c in told.items()] + _dealt_rows(places)
+        rows.sort(key=lambda r: (r["range"], "entries" in r))
+        schema = pa.schema([("range", pa.int32()), ("entries", pa.binary()), ("node", pa.int64()), ("component", pa.int64())])
+        batches = [pa.RecordBatch.from_pylist(rows[k : k + 2], schema) for k in range(0, len(rows), 2)]
+        got = sorted((-1 if r["part"] is None else r["part"], r["doc_id"], r["line_no"], r["row"]) for b in ld._judged(iter(batches)) for r in b.to_pylist())
+        seen, expect = set(), []
+        for v, *place in sorted(zip(*(x.tolist() for x in places), strict=True)):
+            expect += [(-1, *place)] if v in seen else [(told[v], *place)] if v in told else []
+            seen.add(v)
+        assert got == sorted(expect)
+
+
+def test_pairs_of_a_bucket_share_one_row_a_range():
+    """10,000 lines send their bucket keys in at most one row for each range of hashes (before: a row a line and band)."""
+    text = "\n".join(f"line number {k} of many different ones {k * k}" for k in range(10_000))
+    sent = list(ld._bands(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])])))
+    assert sum(b.num_rows for b in sent) <= 1 << ld.RANGE_BITS
+    assert sum(len(x) for b in sent for x in b.column("entries").to_pylist()) == 10_000 * ld.BANDS * 16
+
+
 def alike_lines(a: str, b: str) -> bool:
     x, y = ({t[k : k + 8] for k in range(max(1, len(t) - 7))} for t in (a, b))
     return 100 * len(x & y) >= 75 * len(x | y)

@@ -3,7 +3,9 @@
 Of all lines of the corpus that are alike, directly or over others, the first by (doc_id, line number) stays.
 
 Scale: a line is known by 64 bits, so equal lines are one node, and each task sends a repeated line once per batch.
-Buckets are streamed in order of their keys with constant memory. In a bucket all members are compared with one pivot,
+What lines send (bucket keys, places, texts) is shuffled in ranges of their hashes, many entries to a row, and sorted as
+arrays in pieces of at most PIECE entries; a range longer than that hands one entry a key on to its next piece, so a
+task holds what is different in a range, however often it repeats. In a bucket all members are compared with one pivot,
 which differs from band to band: one row a member. Members still apart after that meet inside their bucket, where no row
 is made for a pair (see ``apart``). With 24 bands of 3 minima a pair at the limit of
 similarity, 0.75, shares no band with a probability of (1 - 0.75**3)**24, about 1.9e-6, and one of 0.8 with 3e-8. A
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,10 @@ from textloom.llm.rowkeys import row_keyed, unused
 from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
 
+#: Ranges of hashes are numbered by this many high bits, and sorted in pieces of so many entries.
+RANGE_BITS, PIECE = 12, 1 << 20
+#: Bytes of lines that a task sends at once.
+LINES_BYTES = 1 << 25
 CHARS = 8
 BANDS, ROWS = 24, 3
 #: Lines are alike at this Jaccard similarity of their character shingles, in hundredths.
@@ -32,9 +39,7 @@ SIMILAR = 75
 
 _RNG = np.random.default_rng(20240911)
 _A = _RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
 _SIGN_A = _RNG.integers(1, 1 << 32, SIGNS, np.uint64).astype(np.uint32) | np.uint32(1)
-_SIGN_B = _RNG.integers(0, 1 << 32, SIGNS, np.uint64).astype(np.uint32)
 _BAND_SEED = tb.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 _MARK = "__lines_to_drop"
 _BLANK = " \t\n\r\x0b\f"
@@ -70,19 +75,18 @@ def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return start, end, tb.mix(low), tb.span_hash(prefix, start, end)
 
 
-def minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minima of the universal hashes (a, b) over the shingles of lines, (lines, hashes)."""
+def minima(lines: list[str], a: np.ndarray) -> np.ndarray:
+    """Minima of the products of shingle hashes with odd ``a``, modulo 2**32, over the shingles of lines, (lines, products)."""
     start, end, low, whole = _hashed(lines)
     out = np.empty((len(lines), len(a)), np.uint32)
     short = end - start < CHARS
-    out[short] = whole[short].astype(np.uint32)[:, None] * a + b
+    out[short] = whole[short].astype(np.uint32)[:, None] * a
     if not short.all():
         x = np.append(low.astype(np.uint32), np.uint32(0))
         bounds = np.stack([start[~short], end[~short] - CHARS + 1], axis=1).ravel()
-        best = np.empty((len(a), int((~short).sum())), np.uint32)
+        best, y = np.empty((len(a), int((~short).sum())), np.uint32), np.empty_like(x)
         for k in range(len(a)):
-            y = x * a[k]
-            y += b[k]
+            np.multiply(x, a[k], out=y)
             best[k] = np.minimum.reduceat(y, bounds)[::2]
         out[~short] = best.T
     return out
@@ -91,7 +95,13 @@ def minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def shingles(lines: list[str]) -> list[np.ndarray]:
     """For each line the sorted distinct 64-bit hashes of its shingles."""
     start, end, low, whole = _hashed(lines)
-    return [np.unique(low[i : j - CHARS + 1]) if j - i >= CHARS else w[None] for i, j, w in zip(start.tolist(), end.tolist(), whole, strict=True)]
+    spans = [(i, max(i, j - CHARS + 1)) for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+    for i, j in spans:
+        low[i:j].sort()
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] != low[:-1]
+    new[start[start < len(low)]] = True
+    return [low[i:j][new[i:j]] if j > i else w[None] for (i, j), w in zip(spans, whole, strict=True)]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -118,16 +128,101 @@ def _keys(low: np.ndarray) -> np.ndarray:
     return keyed(key)
 
 
+def _ranges(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of hashes by range, the ranges that occur, and where each begins in that order."""
+    of = (hashes.view(np.uint64) >> np.uint64(64 - RANGE_BITS)).astype(np.uint16)
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    return order, of[begin].astype(np.int32), begin
+
+
+def _binary(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _dealt(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Entries of 64-bit numbers, dealt by the first of them, to one row a range."""
+    order, of, begin = _ranges(columns[0])
+    entries = np.stack(columns, axis=1)[order]
+    return pa.RecordBatch.from_arrays([pa.array(of), _binary(entries, np.append(begin, len(order)) * 8 * len(columns))], ["range", "entries"])
+
+
+def _by_range(rows: DataFrame, *order) -> DataFrame:
+    return rows.repartition("range").sortWithinPartitions("range", *order)
+
+
+def _range_of(column: str) -> F.Column:
+    return F.shiftrightunsigned(column, 64 - RANGE_BITS).cast("int").alias("range")
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         sent: set[int] = set()
         for _, raw, (_, _, starts, ends, all_ids) in _chunks(batch):
             ids, which = _new(all_ids, sent)
-            if not len(ids):
+            lines = [raw[a:b].decode(errors="replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+            whole = [k for k, x in enumerate(lines) if len(x) >= CHARS]  # shorter ones are alike only if equal
+            if not whole:
                 continue
-            low = minima([raw[a:b].decode(errors="replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], _A, _B)
-            key = _keys(low)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array((ids[:, None] ^ key).ravel())], ["key", "flipped"])
+            key = _keys(minima([lines[k] for k in whole], _A))
+            held.append((key.ravel(), (ids[whole][:, None] ^ key).ravel()))
+            if sum(len(k) for k, _ in held) >= PIECE:
+                yield _dealt([np.concatenate(x) for x in zip(*held, strict=True)])
+                held = []
+    if held:
+        yield _dealt([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Entries of rows in order of ranges, and whether the range of the last entry goes on in the next piece."""
+    held: list[bytes] = []
+    size, at = 0, -1
+    for batch in batches:
+        for k, raw in zip(batch.column("range").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            if size >= PIECE * 8 * width:
+                yield np.frombuffer(b"".join(held), np.int64).reshape(-1, width), k == at
+                held, size = [], 0
+            held.append(raw)
+            size, at = size + len(raw), k
+    if held:
+        yield np.frombuffer(b"".join(held), np.int64).reshape(-1, width), False
+
+
+def _of_last_range(hashes: np.ndarray, last: int) -> np.ndarray:
+    shift = np.uint64(64 - RANGE_BITS)
+    return hashes.view(np.uint64) >> shift == np.array([last]).view(np.uint64)[0] >> shift
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and flipped ids by range to what ``_buckets`` tells, and whether the bucket may have more than two members.
+
+    A range of several pieces passes on one member of each of its buckets, which the next piece's members meet; a member
+    may then be told twice, with different pivots.
+    """
+    carry = np.zeros((0, 2), np.int64)
+    for entries, goes_on in _pieces(batches, 2):
+        last, cut = entries[-1, 0], len(carry) > 0 or goes_on
+        entries = np.concatenate([carry, entries])
+        k, v = np.ascontiguousarray(entries[:, 0]), entries[:, 1]
+        # High bits of the key over the place: one sort of numbers brings all but a few different keys apart.
+        bits = np.uint64(len(k).bit_length())
+        high = (k.view(np.uint64) >> bits) << bits
+        high |= np.arange(len(k), dtype=np.uint64)
+        high.sort()
+        place = (high & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        high >>= bits
+        same = high[1:] == high[:-1]
+        mine = place[np.append(False, same) | np.append(same, False)]
+        mine = mine[np.lexsort((v[mine], k[mine]))]
+        for out in _buckets(iter([pa.RecordBatch.from_arrays([pa.array(k[mine]), pa.array(v[mine])], ["key", "flipped"])])):
+            _, of, n = np.unique(out.column("key").to_numpy(), return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array((n[of] > 2) | cut)], [*out.schema.names, "many"])
+        carry = carry[:0]
+        if goes_on:
+            tail = entries[_of_last_range(k, last)]
+            carry = tail[np.unique(tail[:, 0], return_index=True)[1]]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +256,73 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents to two kinds of rows a range: the ids of different lines of a task with their sizes and all
+    their bytes, and entries (node, doc_id, line number, row) of all lines."""
+    ids_held: list[np.ndarray] = []
+    held: list[bytes] = []
+    placed: list[list[np.ndarray]] = []
+    size, names = 0, ["range", "nodes", "sizes", "lines", "entries"]
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        places = _dealt([np.concatenate(x) for x in zip(*placed, strict=True)])
+        none = pa.nulls(places.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([places.column("range"), none, none, none, places.column("entries")], names)
+        ids = np.concatenate(ids_held)
+        order, of, begin = _ranges(ids)
+        lines = [held[k] for k in order.tolist()]
+        sizes, cuts = np.array([len(x) for x in lines], np.int32), np.append(begin, len(order))
+        at = np.append(0, np.cumsum(sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(of), _binary(ids[order], cuts * 8), _binary(sizes, cuts * 4), _binary(b"".join(lines), at[cuts]), pa.nulls(len(of), pa.binary())], names)
+
     for batch in batches:
         sent: set[int] = set()
-        for _, raw, (_, _, starts, ends, all_ids) in _chunks(batch):
+        docs, rows = (batch.column(c).to_numpy() for c in ("doc_id", "row"))
+        for first, raw, (row, number, starts, ends, all_ids) in _chunks(batch):
+            if not len(all_ids):
+                continue
+            placed.append([all_ids, docs[first + row], number.astype(np.int64), rows[first + row]])
             ids, which = _new(all_ids, sent)
-            lines = [raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.binary())], ["node", "line"])
+            ids_held.append(ids)
+            held += [raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+            size += 32 * len(all_ids) + int((ends[which] - starts[which]).sum())
+            if size >= LINES_BYTES:
+                yield from dealt()
+                ids_held, held, placed, size = [], [], [], 0
+    if placed:
+        yield from dealt()
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wanted nodes, then what ``_texts`` sent, in order of ranges, to the lines wanted, each once. Entries pass."""
+    want, at, names = np.zeros(0, np.int64), -1, ["node", "line", "range", "entries"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        passed = batch.filter(batch.column("entries").is_valid())
+        if passed.num_rows:
+            none = [pa.nulls(passed.num_rows, t) for t in (pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, passed.column("range"), passed.column("entries")], names)
+        of = batch.column("range").to_numpy()
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        nodes_out, lines_out = [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            if of[a] != at:
+                want, at = want[:0], of[a]
+            asked = part.column("want").drop_null().to_numpy()
+            want = np.union1d(want, asked) if len(asked) else want
+            if not len(want) or len(asked) == b - a:
+                continue
+            nodes, sizes, lines = (b"".join(part.column(c).drop_null().to_pylist()) for c in ("nodes", "sizes", "lines"))
+            nodes, end = np.frombuffer(nodes, np.int64), np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)
+            hit = np.flatnonzero(np.isin(nodes, want))
+            found, which = np.unique(nodes[hit], return_index=True)
+            nodes_out.append(found)
+            lines_out += [lines[e - n : e] for e, n in zip(end[hit[which]].tolist(), np.frombuffer(sizes, np.int32)[hit[which]].tolist(), strict=True)]
+            want = np.setdiff1d(want, found, assume_unique=True)
+        if lines_out:
+            none = [pa.nulls(len(lines_out), t) for t in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes_out)), pa.array(lines_out, pa.binary()), *none], names)
 
 
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +331,7 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             lines = [x.decode(errors="replace") for x in part.column("line").to_pylist()]
-            low, keys = minima(lines, _SIGN_A, _SIGN_B), _keys(minima(lines, _A, _B))
+            low, keys = minima(lines, _SIGN_A), _keys(minima(lines, _A))
             signs = [s.tobytes() + k.tobytes() for s, k in zip((low >> np.uint32(3)).astype(np.uint8), keys, strict=True)]
             n = [len(x) for x in shingles(lines)]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n, pa.int32()), pa.array(signs, pa.binary())], ["node", "n", "sign"])
@@ -189,7 +345,9 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two lines reach the similarity, by their distinct shingles."""
     if 100 * min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    merged = np.concatenate([x, y])
+    merged.sort()
+    both = np.count_nonzero(merged[1:] == merged[:-1])
     return 100 * both >= SIMILAR * (len(x) + len(y) - both)
 
 
@@ -209,52 +367,78 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").mapInArrow(_confirmed, "u long, v long")
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, _, (row, number, _, _, ids) in _chunks(batch):
-            of = pa.array(first + row)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("row").take(of), batch.column("doc_id").take(of), pa.array(number.astype(np.int32))], ["node", "row", "doc_id", "line_no"])
-
-
-def line_components(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(node, component)`` of line hashes, for lines that are like another one."""
-    banded = docs.select("text").mapInArrow(_bands, "key long, flipped long")
-    members = banded.repartition("key").sortWithinPartitions("key", "flipped").mapInArrow(_buckets, "key long, node long, pivot long")
-    members = materialize(members, "line-buckets")
-    stars = members.where("node <> pivot").groupBy(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).agg(F.count("*").alias("bands"))
-    stars = materialize(stars, "line-stars")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
-    best = materialize(best.union(stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b")).distinct(), "line-best")
-    wanted = members.select("node").distinct()
-    texts = docs.select("text").mapInArrow(_texts, "node long, line binary").join(wanted.hint("shuffle_hash"), "node", "left_semi")
-    texts = materialize(texts.dropDuplicates(["node"]), "line-texts")
-    parts = materialize(connected_components(_confirm(best, texts)), "line-parts")
-
-    # The other pivots of members that the first one left in different components.
-    one, two = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
-    rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
-    rest = materialize(rest.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b"), "line-rest")
-    if not rest.isEmpty():
-        parts = joined_parts(parts, _confirm(rest, texts))
-
-    still = open_members(members, parts)
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components and places of lines by range to the places that an earlier equal line takes (no part), and to the first
+    place of each line that has a component (with it)."""
+    parts: list[tuple[int, int, int]] = []
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_part = batch.column("node").is_valid()
+            told = batch.filter(is_part)
+            parts.extend(zip(*(told.column(c).to_pylist() for c in ("range", "node", "component")), strict=True))
+            yield batch.filter(pc.invert(is_part)).select(["range", "entries"])
+
+    carry = np.zeros((0, 4), np.int64)
+    for entries, goes_on in _pieces(places(batches), 4):
+        last = entries[-1, 0]
+        e = np.concatenate([carry, entries])
+        e = e[np.lexsort((e[:, 3], e[:, 2], e[:, 1], e[:, 0]))]
+        first = np.append(True, e[1:, 0] != e[:-1, 0])
+        gone, heads = e[~first], e[first]
+        carry = carry[:0]
+        if goes_on:
+            later = _of_last_range(np.ascontiguousarray(heads[:, 0]), last)
+            carry, heads = heads[later], heads[~later]
+        # Components come before the places of their range, so those of all but an unfinished range are done with.
+        told = np.array([p[1:] for p in parts], np.int64).reshape(-1, 2)
+        told = told[np.argsort(told[:, 0])]
+        at = np.searchsorted(told[:, 0], heads[:, 0]) if len(told) else np.zeros(0, np.int64)
+        if len(told):
+            at = np.minimum(at, len(told) - 1)
+            of = told[at, 0] == heads[:, 0]
+            heads, component = heads[of], told[at[of], 1]
+        else:
+            heads, component = heads[:0], np.zeros(0, np.int64)
+        now = int(np.array([last]).view(np.uint64)[0] >> np.uint64(64 - RANGE_BITS))
+        parts[:] = [p for p in parts if p[0] > now or (goes_on and p[0] == now)]
+        both = np.concatenate([gone, heads])
+        part = pa.array(np.concatenate([np.zeros(len(gone), np.int64), component]), mask=np.arange(len(both)) < len(gone))
+        yield pa.RecordBatch.from_arrays([part, pa.array(both[:, 1].copy()), pa.array(both[:, 2].astype(np.int32)), pa.array(both[:, 3].copy())], ["part", "doc_id", "line_no", "row"])
+
+
+def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows(row, doc_id, text)`` to ``(node, component)`` of line hashes, for lines that are like another one, and
+    ``(range, entries)`` of the places of all lines."""
+    banded = rows.select("text").mapInArrow(_bands, "range int, entries binary")
+    members = materialize(_by_range(banded).mapInArrow(_members, "key long, node long, pivot long, many boolean"), "line-buckets")
+    pairs = members.where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+    asked = members.select(_range_of("node"), F.col("node").alias("want"))
+    sent = rows.select("row", "doc_id", "text").mapInArrow(_texts, "range int, nodes binary, sizes binary, lines binary, entries binary")
+    found = _by_range(sent.unionByName(asked, allowMissingColumns=True), F.col("want").isNull()).mapInArrow(_wanted, "node long, line binary, range int, entries binary")
+    found = materialize(found, "line-texts")
+    texts, places = found.where("node is not null").select("node", "line"), found.where("entries is not null").select("range", "entries")
+    parts = materialize(connected_components(_confirm(pairs, texts)), "line-parts")
+
+    still = open_members(members.where("many"), parts)
     if still.isEmpty():
-        return parts
+        return parts, places
     lines = materialize(texts.join(still.select("node").distinct(), "node", "left_semi"), "line-open-texts")
     signs = materialize(lines.select("node", "line").mapInArrow(_signs, "node long, n int, sign binary"), "line-signs")
-    return joined_parts(parts, links_apart(still, signs, lines.select("node", F.col("line").alias("full")), line_set, SIGNS, BANDS))
+    return joined_parts(parts, links_apart(still, signs, lines.select("node", F.col("line").alias("full")), line_set, SIGNS, BANDS)), places
 
 
 def lines_to_drop(rows: DataFrame) -> DataFrame:
     """``rows(row, doc_id, text)`` to ``(row, lines)``: for rows that lose any, the numbers (from 0) of the lines that
     aren't the first by doc_id, line number and row."""
-    rows = rows.where("doc_id is not null")
-    # Hints: the side with texts or all lines needn't be sorted; the other has a key once, and a partition of it is small.
-    parts = line_components(rows)
-    places = rows.mapInArrow(_places, "node long, row long, doc_id long, line_no int")
-    placed = places.join(parts.hint("shuffle_hash"), "node", "left").select(F.coalesce("component", "node").alias("part"), "row", "doc_id", "line_no")
-    firsts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no", "row")).alias("first")).where("n > 1")
-    gone = placed.join(firsts.hint("shuffle_hash"), "part").where((F.col("row") != F.col("first.row")) | (F.col("line_no") != F.col("first.line_no")))
+    parts, places = line_components(rows.where("doc_id is not null"))
+    told = parts.select(_range_of("node"), "node", "component")
+    judged = _by_range(places.unionByName(told, allowMissingColumns=True), F.col("node").isNull()).mapInArrow(_judged, "part long, doc_id long, line_no int, row long")
+    judged = materialize(judged, "line-places")
+    heads = judged.where("part is not null")
+    firsts = heads.groupBy("part").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"))
+    later = heads.join(firsts, "part").where((F.col("row") != F.col("first.row")) | (F.col("line_no") != F.col("first.line_no")))
+    gone = judged.where("part is null").select("row", "line_no").union(later.select("row", "line_no"))
     return gone.groupBy("row").agg(F.collect_list("line_no").alias("lines"))
 
 
@@ -267,13 +451,16 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
     return keyed.join(gone.hint("shuffle_hash"), key, "left").select(*docs.columns, mark), mark
 
 
-def _without(columns: list[str], drop_emptied: bool = False):
+def _without(columns: list[str], drop_emptied: bool = False, count: bool = False):
+    """Texts without the lines told in the column after ``columns``; ``count`` adds how many lines with a word they had."""
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = [], []
+            texts, keep, full = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+                if count:
+                    full.append(sum(1 for x in (text or "").split("\n") if x.strip(_BLANK)))
                 if gone and text is not None:
                     drop = set(gone)
                     text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
@@ -281,7 +468,11 @@ def _without(columns: list[str], drop_emptied: bool = False):
                 keep.append(not (drop_emptied and gone and text is not None and not text.strip(_BLANK)))
             out = list(batch.columns[: len(columns)])
             out[at] = pa.array(texts, batch.schema.types[at])
-            yield pa.RecordBatch.from_arrays(out, batch.schema.names[: len(columns)]).filter(pa.array(keep, pa.bool_()))
+            names = batch.schema.names[: len(columns)]
+            if count:
+                out.append(pa.array(full, pa.int64()))
+                names.append("n_lines")
+            yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -302,10 +493,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines with a word, lines dropped, and a digest of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     joined, mark = _marked(docs)
-    full = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0))
-    counted = joined.select("doc_id", "text", full.cast("long").alias("n_lines"), F.coalesce(F.size(mark), F.lit(0)).cast("long").alias("n_dropped"), mark)
-    columns = ["doc_id", "text", "n_lines", "n_dropped"]
-    left = counted.mapInArrow(_without(columns), "doc_id long, text string, n_lines long, n_dropped long")
+    counted = joined.select("doc_id", "text", F.coalesce(F.size(mark), F.lit(0)).cast("long").alias("n_dropped"), mark)
+    left = counted.mapInArrow(_without(["doc_id", "text", "n_dropped"], count=True), "doc_id long, text string, n_dropped long, n_lines long")
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
