@@ -332,6 +332,76 @@ def test_pairs_of_a_bucket_share_one_row_a_range():
     assert sum(len(x) for b in sent for x in b.column("entries").to_pylist()) == 10_000 * ld.BANDS * 16
 
 
+def test_buckets_of_two_are_known_in_every_piece(monkeypatch):
+    """Only a bucket of a range that is cut may count as larger than it is (before: all of a piece that ended within a
+    range, so that the join of open buckets grew with the size of a task)."""
+    monkeypatch.setattr(ld, "PIECE", 8)
+    key = np.array([(r << 52) + k for r in range(40) for k in (1, 1, 2, 2, 2)])
+    node = np.arange(len(key))
+    rows = _dealt_rows([key, node ^ key])
+    batches = [pa.RecordBatch.from_pylist(rows[k : k + 7], pa.schema([("range", pa.int32()), ("entries", pa.binary())])) for k in range(0, len(rows), 7)]
+    got = [r for b in ld._members(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == len(key) and all(r["many"] == (r["key"] % 4096 == 2) for r in got)
+
+
+def test_only_marked_lines_are_sent():
+    """Lines that no bucket asks for stay where they are (before: every different line was shuffled); places all go."""
+    text = "\n".join(f"line number {k} of many different ones {k * k}" for k in range(5_000))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ids = ld.split(raw, np.array([0, len(raw)]))[4]
+    batch = lambda x: iter([pa.RecordBatch.from_arrays([pa.array(x)], ["node"])])
+    asked = sorted((r for b in ld._asked(batch(ids[::50])) for r in b.to_pylist()), key=lambda r: r["range"])
+    schema = pa.schema([("range", pa.int32()), ("want", pa.binary())])
+    marks = np.zeros(1 << (ld.MARK_BITS - 3), np.uint8)
+    width = len(marks) >> ld.RANGE_BITS
+    for b in ld._marks(iter([pa.RecordBatch.from_pylist(asked, schema)])):
+        for r in b.to_pylist():
+            marks[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+    docs = pa.RecordBatch.from_pydict({"row": [1], "doc_id": [1], "text": [text]})
+    sent = [r for b in ld._texts(iter([docs]), marks) for r in b.to_pylist()]
+    told = np.concatenate([np.frombuffer(r["nodes"], np.int64) for r in sent if r["nodes"]])
+    assert set(ids[::50].tolist()) <= set(told.tolist()) and len(told) < 120
+    assert sum(len(r["entries"]) for r in sent if r["entries"]) == 5_000 * 32
+    assert not [r for b in ld._texts(iter([docs]), np.zeros_like(marks)) for r in b.to_pylist() if r["nodes"]]
+
+
+def test_shingles_of_any_script():
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("abAB 1é漢字😀\t") if k % 2 else rng.choice("abAB 1") for _ in range(rng.randint(1, 60))) for k in range(400)]
+    lines += ["漢字漢字漢字漢字", "字漢字漢字漢字漢", "abcdefgh", "ABCDEFGHabcdefgh", "x" * 400]
+    got = ld.hashed([x.encode() for x in lines])
+    sets = [set(t[k : k + 8] for k in range(max(1, len(t) - 7))) for t in map(low, lines)]
+    hashes = [set(x.tolist()) for x in ld.shingles(got)]
+    assert [len(x) for x in hashes] == [len(x) for x in sets]
+    for _ in range(3000):
+        i, j = rng.randrange(len(lines)), rng.randrange(len(lines))
+        assert len(hashes[i] & hashes[j]) == len(sets[i] & sets[j])
+    mins = ld.minima(got, ld._A[:5])
+    for x, m in zip(ld.shingles(got), mins, strict=True):
+        assert (m == (x.astype(np.uint32)[None, :] * ld._A[:5, None]).min(axis=1)).all()
+
+
+def test_small_units_compared_together(monkeypatch):
+    """The same members with partners whether units are compared one at a time (before) or together."""
+    rng, rows = np.random.default_rng(5), []
+    for u in range(150):
+        band, base, keys = int(rng.integers(0, 24)), rng.integers(0, 256, ap.SIGNS, dtype=np.uint8), rng.integers(0, 3, (24, 8), dtype=np.uint8)
+        for _ in range(int(rng.choice([2, 3, 9, 40]))):
+            sign, key = base.copy(), keys.copy()
+            other = rng.random(ap.SIGNS) < rng.choice([0.1, 0.3])
+            sign[other] = rng.integers(0, 256, other.sum(), dtype=np.uint8)
+            key[:band][rng.random(band) < 0.7] = 9
+            rows.append({"key": u << 7 | band, "i": 0, "j": 0, "block": 0, "node": len(rows), "part": int(rng.integers(0, 4)), "n": int(rng.integers(90, 130)), "sign": sign.tobytes() + key.tobytes()})
+    types = {"key": pa.int64(), "node": pa.int64(), "part": pa.int64(), "sign": pa.binary()}
+    table = pa.Table.from_pylist(rows, pa.schema([(c, types.get(c, pa.int32())) for c in rows[0]]))
+    found = []
+    for few in (0, 10, 64):
+        monkeypatch.setattr(ap, "FEW", few)
+        out = [r for b in ap.partners(ap.SIGNS, 24)(iter(table.to_batches(max_chunksize=100))) for r in b.to_pylist()]
+        found.append(sorted((tuple(map(str, r.values())) for r in out)))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def alike_lines(a: str, b: str) -> bool:
     x, y = ({t[k : k + 8] for k in range(max(1, len(t) - 7))} for t in (a, b))
     return 100 * len(x & y) >= 75 * len(x | y)

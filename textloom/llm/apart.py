@@ -22,6 +22,8 @@ from textloom.plans.materialize import materialize
 
 #: Members of a block.
 UNIT = 1024
+#: Units of up to FEW members are compared together, PAIRS pairs at once.
+FEW, PAIRS = 64, 1 << 12
 #: Elements of the sets of a share.
 SHARE = 1 << 21
 #: Minima of a signature, 8 bits each, and the share of them that a pair of 0.75 has in common but for six deviations.
@@ -38,23 +40,40 @@ def keyed(hashes: np.ndarray) -> np.ndarray:
     return ((hashes & ~np.uint64(BAND_BITS)) | np.arange(hashes.shape[1], dtype=np.uint64)).astype(np.int64)
 
 
-def units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each unit, from rows in the order of ``keys``."""
+def whole_units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows in the order of ``keys``, cut between units (a batch and a unit at most), and where each unit begins and the last ends."""
     rest: list[pa.RecordBatch] = []
+
+    def told() -> tuple[pa.Table, list[int]]:
+        table = pa.Table.from_batches(rest)
+        return table, [0, *_cuts(table, keys), table.num_rows]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = np.stack([batch.column(c).to_numpy() for c in keys])
-        cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
-        bounds = [0, *cuts.tolist(), batch.num_rows]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            part = batch.slice(a, b - a)
-            if rest and any(part.column(c)[0].as_py() != rest[0].column(c)[0].as_py() for c in keys):
-                yield pa.Table.from_batches(rest)
-                rest = []
-            rest.append(part)
+        if rest and any(batch.column(c)[0].as_py() != rest[0].column(c)[0].as_py() for c in keys):
+            yield told()
+            rest = []
+        cuts = _cuts(batch, keys)
+        if cuts:
+            rest.append(batch.slice(0, cuts[-1]))
+            yield told()
+            rest = []
+        rest.append(batch.slice(cuts[-1] if cuts else 0))
     if rest:
-        yield pa.Table.from_batches(rest)
+        yield told()
+
+
+def _cuts(rows: pa.RecordBatch | pa.Table, keys: list[str]) -> list[int]:
+    ids = np.stack([rows.column(c).to_numpy() for c in keys])
+    return (np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()
+
+
+def units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each unit, from rows in the order of ``keys``."""
+    for table, bounds in whole_units(batches, keys):
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield table.slice(a, b - a)
 
 
 def partners(start: int, bands: int) -> Callable:
@@ -85,24 +104,62 @@ def partners(start: int, bands: int) -> Callable:
             found.append((a[mine], b[mine]))
         return (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
+    def small(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Members of units of one block and one share, each with the end of its unit: all pairs, PAIRS at once."""
+        sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        head, tail = np.ascontiguousarray(sign[:, :SIGNS]), sign[:, start:].reshape(len(sign), bands, -1)
+        part, n, band = rows["part"].to_numpy(), rows["n"].to_numpy(), rows["key"].to_numpy() & BAND_BITS
+        others = ends - np.arange(len(ends)) - 1
+        upto = np.cumsum(others)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            a = np.repeat(np.arange(at, to), others[at:to])
+            b = a + 1 + np.arange(len(a)) - np.repeat(upto[at:to] - others[at:to] - (upto[at] - others[at]), others[at:to])
+            at = to
+            ok = (part[a] != part[b]) & (100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
+            common = np.bitwise_count((head[a] == head[b]).view(np.uint64)).sum(axis=1, dtype=np.uint16)
+            ok = common >= LEAST_AGREEMENT * SIGNS
+            a, b = a[ok], b[ok]
+            shared = (tail[a] == tail[b]).all(axis=2)
+            mine = shared[np.arange(len(a)), band[a]] & (shared.argmax(axis=1) == band[a])
+            found.append((a[mine], b[mine]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(a):
+            node, kept = rows["node"].to_numpy(), np.unique(np.concatenate([a, b]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(a, kept), len(a)), pa.int32()), pa.array(node[b]))
+            ids = [pa.array(rows[c].to_numpy()[kept]) for c in _UNIT_KEYS] + [pa.array(np.zeros(len(kept), np.int32))] * 2
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(node[kept]), pa.array(part[kept]), lists], [*_SHARE_KEYS, "node", "part", "partners"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in units(batches, _UNIT_KEYS):
-            a, b = pairs(unit)
-            if not len(a):
-                continue
-            node, part = unit["node"].to_numpy(), unit["part"].to_numpy()
-            share = shares(unit["n"].to_numpy(), np.unique(np.concatenate([a, b])))
-            k, l = np.minimum(share[a], share[b]), np.maximum(share[a], share[b])
-            order = np.lexsort((a, l, k))
-            a, b, k, l = a[order], b[order], k[order], l[order]
-            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (l[1:] != l[:-1])) + 1).tolist(), len(a)]
-            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
-                x, y = a[first:end], b[first:end]
-                rows = np.unique(np.concatenate([x, y]))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.searchsorted(x, rows), [len(x)]]), pa.int32()), pa.array(node[y]))
-                ids = [*(unit[c][0].as_py() for c in _UNIT_KEYS), int(k[first]), int(l[first])]
-                same = [pa.array(np.full(len(rows), v), pa.int64() if c == "key" else pa.int32()) for c, v in zip(_SHARE_KEYS, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(node[rows]), pa.array(part[rows]), lists], [*_SHARE_KEYS, "node", "part", "partners"])
+        for table, bounds in whole_units(batches, _UNIT_KEYS):
+            begin, size = np.array(bounds[:-1]), np.diff(bounds)
+            few = (size <= FEW) & (table["i"].to_numpy() == table["j"].to_numpy())[begin]
+            few &= np.add.reduceat(table["n"].to_numpy().astype(np.int64), begin) <= SHARE
+            if few.any():
+                yield from small(table.filter(pa.array(np.repeat(few, size))), np.repeat(np.cumsum(size[few]), size[few]))
+            for k in np.flatnonzero(~few).tolist():
+                yield from large(table.slice(bounds[k], int(size[k])))
+
+    def large(unit: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b = pairs(unit)
+        if not len(a):
+            return
+        node, part = unit["node"].to_numpy(), unit["part"].to_numpy()
+        share = shares(unit["n"].to_numpy(), np.unique(np.concatenate([a, b])))
+        k, l = np.minimum(share[a], share[b]), np.maximum(share[a], share[b])
+        order = np.lexsort((a, l, k))
+        a, b, k, l = a[order], b[order], k[order], l[order]
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (l[1:] != l[:-1])) + 1).tolist(), len(a)]
+        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+            x, y = a[first:end], b[first:end]
+            rows = np.unique(np.concatenate([x, y]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.searchsorted(x, rows), [len(x)]]), pa.int32()), pa.array(node[y]))
+            ids = [*(unit[c][0].as_py() for c in _UNIT_KEYS), int(k[first]), int(l[first])]
+            same = [pa.array(np.full(len(rows), v), pa.int64() if c == "key" else pa.int32()) for c, v in zip(_SHARE_KEYS, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(node[rows]), pa.array(part[rows]), lists], [*_SHARE_KEYS, "node", "part", "partners"])
 
     return run
 

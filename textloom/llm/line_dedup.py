@@ -4,8 +4,9 @@ Of all lines of the corpus that are alike, directly or over others, the first by
 
 Scale: a line is known by 64 bits, so equal lines are one node, and each task sends a repeated line once per batch.
 What lines send (bucket keys, places, texts) is shuffled in ranges of their hashes, many entries to a row, and sorted as
-arrays in pieces of at most PIECE entries; a range longer than that hands one entry a key on to its next piece, so a
-task holds what is different in a range, however often it repeats. In a bucket all members are compared with one pivot,
+arrays in pieces of about PIECE entries; a range longer than that is cut and hands one entry a key on to its next piece, so a
+task holds what is different in a range, however often it repeats. Texts are sent for the lines that are in a bucket, as
+told by a map of fixed size; at billions of such lines it is full and most lines are sent. In a bucket all members are compared with one pivot,
 which differs from band to band: one row a member. Members still apart after that meet inside their bucket, where no row
 is made for a pair (see ``apart``). With 24 bands of 3 minima a pair at the limit of
 similarity, 0.75, shares no band with a probability of (1 - 0.75**3)**24, about 1.9e-6, and one of 0.8 with 3e-8. A
@@ -14,7 +15,10 @@ pair at 0.75 that only the last meeting compares is lost to its signature with a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from textloom.plans.materialize import materialize
 
 #: Ranges of hashes are numbered by this many high bits, and sorted in pieces of so many entries.
 RANGE_BITS, PIECE = 12, 1 << 20
+#: Lines that nobody asks for mostly aren't sent: asked hashes are marked in a map by this many high bits (8 MB, broadcast).
+MARK_BITS = 26
 #: Bytes of lines that a task sends at once.
 LINES_BYTES = 1 << 25
 CHARS = 8
@@ -47,66 +53,114 @@ _BLANK = " \t\n\r\x0b\f"
 
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Lines with a word of a chunk: row, number within the row, start and end in the bytes, and hash (A-Z lowered)."""
-    breaks = data == 10
-    cuts = np.unique(np.concatenate([offsets, np.flatnonzero(breaks) + 1]))
-    starts, ends = cuts[:-1], cuts[1:].copy()
-    ends[breaks[ends - 1]] -= 1
+    raw = data.tobytes()
+    breaks = np.flatnonzero(data == 10)
+    cuts = np.unique(np.concatenate([offsets, breaks + 1]))
+    starts, ends = cuts[:-1], cuts[1:] - (data[cuts[1:] - 1] == 10)
     row = np.searchsorted(offsets, starts, "right") - 1
-    opened = np.concatenate([[0], np.cumsum(breaks)])
-    number = opened[starts] - opened[offsets[row]]
-    lowered = tb.LOWER[data]
-    blank = np.concatenate([[0], np.cumsum(tb.SPACES[data])])
-    full = (blank[ends] - blank[starts]) < ends - starts
+    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[row])
+    full = starts < ends
+    for k in np.flatnonzero(full & tb.SPACES[data[starts]]).tolist():
+        full[k] = bool(raw[starts[k] : ends[k]].strip())
     row, number, starts, ends = row[full], number[full], starts[full], ends[full]
-    return row, number, starts, ends, tb.identity(lowered, starts, ends).astype(np.int64)
+    lowered = raw.lower()
+    digests = [hashlib.blake2b(lowered[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return row, number, starts, ends, np.frombuffer(b"".join(digests), np.int64)
 
 
-def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of lines in their characters put together (A-Z lowered), the hash of the shingle that starts at
-    each, and of each line of fewer than CHARS characters, which is one shingle (other entries mean nothing)."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.where((code >= 65) & (code <= 90), code + np.uint32(32), code)
-    end = np.cumsum([len(x) for x in lines])
-    start = np.concatenate([[0], end[:-1]])
-    prefix = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(tb.mix(code.astype(np.uint64) + np.uint64(1)) * tb.powers(len(code) + 1)[0][: len(code)], dtype=np.uint64, out=prefix[1:])
-    low = prefix[CHARS:] - prefix[:-CHARS]
-    low *= tb.powers(len(code) + 1)[1][: len(low)]
-    return start, end, tb.mix(low), tb.span_hash(prefix, start, end)
+@cache
+def _wide_values() -> np.ndarray:
+    """A fixed 64-bit value for each character below 2**16: itself if it is ASCII."""
+    out = tb.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    out[:128] = np.arange(128)
+    return out
+
+
+def _values(code: np.ndarray) -> np.ndarray:
+    low = _wide_values()[np.minimum(code, np.uint32(0xFFFF))]
+    high = np.flatnonzero(code > 0xFFFF)
+    low[high] = tb.mix((code[high].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+    return low
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+class Hashed(NamedTuple):
+    """Lines (A-Z lowered) by the hashes of the shingles that start at their characters: of line k those from start[k] to
+    before end[k] - CHARS + 1 (other entries mean nothing). A line of fewer characters is one shingle, told in ``whole``."""
+
+    order: np.ndarray  # the lines by start
+    start: np.ndarray
+    end: np.ndarray
+    low: np.ndarray
+    whole: dict[int, np.uint64]
+
+
+def hashed(lines: list[bytes]) -> Hashed:
+    """A shingle is known by the values of its characters, the k-th rotated by k bytes; so eight ASCII ones are their bytes."""
+    plain = np.fromiter(map(bytes.isascii, lines), bool, len(lines))
+    order = np.argsort(~plain, kind="stable")
+    many = int(plain.sum())
+    ascii_ = [lines[k] for k in order[:many].tolist()]
+    other = [lines[k].lower().decode(errors="replace") for k in order[many:].tolist()]
+    size = np.fromiter(map(len, [*ascii_, *other]), np.int64, len(lines))
+    end = np.cumsum(size)
+    data = b"".join(ascii_).lower() + bytes(CHARS)
+    low = np.zeros(int(size.sum()) + 1, np.uint64)
+    n = len(data) - CHARS
+    low[:n] = np.ndarray((n,), "<u8", data, strides=(1,))
+    if other:
+        x = np.append(_values(np.frombuffer("".join(other).encode("utf-32-le", "surrogatepass"), np.uint32)), np.zeros(CHARS, np.uint64))
+        for k in (1, 2, 4):
+            x = x[:-k] ^ _rotated(x[k:], 8 * k)
+        low[n:] = x[: len(low) - n]
+    at, to = np.empty_like(end), np.empty_like(end)
+    at[order], to[order] = end - size, end
+    whole = {k: _whole(lines[k]) for k in order[size < CHARS].tolist()}
+    return Hashed(order, at, to, tb.mix(low), whole)
+
 
+def _whole(line: bytes) -> np.uint64:
+    return np.frombuffer(hashlib.blake2b(line.lower().decode(errors="replace").encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)[0]
 
-def minima(lines: list[str], a: np.ndarray) -> np.ndarray:
+
+def minima(lines: Hashed, a: np.ndarray) -> np.ndarray:
     """Minima of the products of shingle hashes with odd ``a``, modulo 2**32, over the shingles of lines, (lines, products)."""
-    start, end, low, whole = _hashed(lines)
-    out = np.empty((len(lines), len(a)), np.uint32)
-    short = end - start < CHARS
-    out[short] = whole[short].astype(np.uint32)[:, None] * a
-    if not short.all():
-        x = np.append(low.astype(np.uint32), np.uint32(0))
-        bounds = np.stack([start[~short], end[~short] - CHARS + 1], axis=1).ravel()
-        best, y = np.empty((len(a), int((~short).sum())), np.uint32), np.empty_like(x)
-        for k in range(len(a)):
-            np.multiply(x, a[k], out=y)
-            best[k] = np.minimum.reduceat(y, bounds)[::2]
-        out[~short] = best.T
+    order, start, end, low, whole = lines
+    x = low.astype(np.uint32)
+    long = np.flatnonzero(end - start >= CHARS)
+    for k in range(1, CHARS):  # in place of what reaches into the next line, one of its own shingles again
+        x[end[long] - k] = x[start[long]]
+    best, y, first = np.empty((len(a), len(order)), np.uint32), np.empty_like(x), start[order]
+    x[-1] = x[first[-1]]
+    for k in range(len(a)):
+        np.multiply(x, a[k], out=y)
+        np.minimum.reduceat(y, first, out=best[k])
+    out = np.empty((len(order), len(a)), np.uint32)
+    out[order] = best.T
+    for k, w in whole.items():
+        out[k] = np.uint32(w & np.uint64(0xFFFFFFFF)) * a
     return out
 
 
-def shingles(lines: list[str]) -> list[np.ndarray]:
+def shingles(lines: Hashed) -> list[np.ndarray]:
     """For each line the sorted distinct 64-bit hashes of its shingles."""
-    start, end, low, whole = _hashed(lines)
+    _, start, end, low, whole = lines
+    low = low.copy()
     spans = [(i, max(i, j - CHARS + 1)) for i, j in zip(start.tolist(), end.tolist(), strict=True)]
     for i, j in spans:
         low[i:j].sort()
     new = np.ones(len(low), bool)
     new[1:] = low[1:] != low[:-1]
-    new[start[start < len(low)]] = True
-    return [low[i:j][new[i:j]] if j > i else w[None] for (i, j), w in zip(spans, whole, strict=True)]
+    new[start] = True
+    return [low[i:j][new[i:j]] if j > i else np.array([whole[k]]) for k, (i, j) in enumerate(spans)]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
     """(first row, bytes, parts of ``split``) of runs of rows."""
-    for row, data, offsets in tb.chunks(batch.column("text"), 1 << 18):
+    for row, data, offsets in tb.chunks(batch.column("text"), 1 << 16):
         if len(data):
             yield row, data.tobytes(), split(data, offsets)
 
@@ -144,7 +198,7 @@ def _binary(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
 def _dealt(columns: list[np.ndarray]) -> pa.RecordBatch:
     """Entries of 64-bit numbers, dealt by the first of them, to one row a range."""
     order, of, begin = _ranges(columns[0])
-    entries = np.stack(columns, axis=1)[order]
+    entries = np.take(np.stack(columns, axis=1), order, axis=0)
     return pa.RecordBatch.from_arrays([pa.array(of), _binary(entries, np.append(begin, len(order)) * 8 * len(columns))], ["range", "entries"])
 
 
@@ -158,34 +212,40 @@ def _range_of(column: str) -> F.Column:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
         sent: set[int] = set()
         for _, raw, (_, _, starts, ends, all_ids) in _chunks(batch):
             ids, which = _new(all_ids, sent)
-            lines = [raw[a:b].decode(errors="replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
-            whole = [k for k, x in enumerate(lines) if len(x) >= CHARS]  # shorter ones are alike only if equal
-            if not whole:
+            lines = hashed([raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+            whole = lines.end - lines.start >= CHARS  # shorter ones are alike only if equal
+            if not whole.any():
                 continue
-            key = _keys(minima([lines[k] for k in whole], _A))
+            key = _keys(minima(lines, _A)[whole])
             held.append((key.ravel(), (ids[whole][:, None] ^ key).ravel()))
-            if sum(len(k) for k, _ in held) >= PIECE:
+            size += key.size
+            if size >= PIECE:
                 yield _dealt([np.concatenate(x) for x in zip(*held, strict=True)])
-                held = []
+                held, size = [], 0
     if held:
         yield _dealt([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, bool]]:
-    """Entries of rows in order of ranges, and whether the range of the last entry goes on in the next piece."""
+    """Entries of rows in order of ranges, and whether the range of the last entry goes on in the next piece.
+
+    A piece ends with a range where it can: only a range of more than PIECE entries is cut.
+    """
     held: list[bytes] = []
-    size, at = 0, -1
+    size, mine, at = 0, 0, -1
     for batch in batches:
         for k, raw in zip(batch.column("range").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-            if size >= PIECE * 8 * width:
+            mine = mine if k == at else 0
+            if (mine or size) >= PIECE * 8 * width:
                 yield np.frombuffer(b"".join(held), np.int64).reshape(-1, width), k == at
-                held, size = [], 0
+                held, size, mine = [], 0, 0
             held.append(raw)
-            size, at = size + len(raw), k
+            size, mine, at = size + len(raw), mine + len(raw), k
     if held:
         yield np.frombuffer(b"".join(held), np.int64).reshape(-1, width), False
 
@@ -199,11 +259,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys and flipped ids by range to what ``_buckets`` tells, and whether the bucket may have more than two members.
 
     A range of several pieces passes on one member of each of its buckets, which the next piece's members meet; a member
-    may then be told twice, with different pivots.
+    may then be told twice, with different pivots. Only of a bucket in such a range isn't known here how many it has.
     """
     carry = np.zeros((0, 2), np.int64)
     for entries, goes_on in _pieces(batches, 2):
-        last, cut = entries[-1, 0], len(carry) > 0 or goes_on
+        last, before = entries[-1, 0], carry[:1, 0]
         entries = np.concatenate([carry, entries])
         k, v = np.ascontiguousarray(entries[:, 0]), entries[:, 1]
         # High bits of the key over the place: one sort of numbers brings all but a few different keys apart.
@@ -217,8 +277,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = place[np.append(False, same) | np.append(same, False)]
         mine = mine[np.lexsort((v[mine], k[mine]))]
         for out in _buckets(iter([pa.RecordBatch.from_arrays([pa.array(k[mine]), pa.array(v[mine])], ["key", "flipped"])])):
-            _, of, n = np.unique(out.column("key").to_numpy(), return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array((n[of] > 2) | cut)], [*out.schema.names, "many"])
+            key = out.column("key").to_numpy()
+            _, of, n = np.unique(key, return_inverse=True, return_counts=True)
+            many = n[of] > 2
+            for end in [*before.tolist(), *[last] * goes_on]:
+                many |= _of_last_range(key, end)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(many)], [*out.schema.names, "many"])
         carry = carry[:0]
         if goes_on:
             tail = entries[_of_last_range(k, last)]
@@ -255,9 +319,45 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = k[-1]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents to two kinds of rows a range: the ids of different lines of a task with their sizes and all
-    their bytes, and entries (node, doc_id, line number, row) of all lines."""
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Asked nodes in order of ranges to one map a range."""
+    marked: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, want in zip(batch.column("range").to_pylist(), batch.column("want").to_pylist(), strict=True):
+            if k not in marked and marked:
+                yield _packed(marked)
+                marked = {}
+            bits = marked.setdefault(k, np.zeros(1 << (MARK_BITS - RANGE_BITS), bool))
+            bits[_mark(np.frombuffer(want, np.int64)) & (len(bits) - 1)] = True
+    if marked:
+        yield _packed(marked)
+
+
+def _packed(marked: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(marked), pa.int32()), pa.array([np.packbits(x).tobytes() for x in marked.values()], pa.binary())], ["range", "bits"])
+
+
+def _mark(nodes: np.ndarray) -> np.ndarray:
+    return (nodes.view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def _marked_nodes(nodes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = _mark(nodes)
+    return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def _all_marks(asked: DataFrame) -> np.ndarray:
+    """The map of all ranges; its size doesn't depend on the input."""
+    width = 1 << (MARK_BITS - RANGE_BITS - 3)
+    out = np.zeros(width << RANGE_BITS, np.uint8)
+    for r in _by_range(asked).mapInArrow(_marks, "range int, bits binary").toLocalIterator():
+        out[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of documents to two kinds of rows a range: the ids of different marked lines of a task with their sizes and
+    all their bytes, and entries (node, doc_id, line number, row) of all lines."""
     ids_held: list[np.ndarray] = []
     held: list[bytes] = []
     placed: list[list[np.ndarray]] = []
@@ -268,6 +368,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls(places.num_rows, pa.binary())
         yield pa.RecordBatch.from_arrays([places.column("range"), none, none, none, places.column("entries")], names)
         ids = np.concatenate(ids_held)
+        if not len(ids):
+            return
         order, of, begin = _ranges(ids)
         lines = [held[k] for k in order.tolist()]
         sizes, cuts = np.array([len(x) for x in lines], np.int32), np.append(begin, len(order))
@@ -281,7 +383,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(all_ids):
                 continue
             placed.append([all_ids, docs[first + row], number.astype(np.int64), rows[first + row]])
-            ids, which = _new(all_ids, sent)
+            asked = np.flatnonzero(_marked_nodes(all_ids, marks))
+            ids, which = _new(all_ids[asked], sent)
+            which = asked[which]
             ids_held.append(ids)
             held += [raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
             size += 32 * len(all_ids) + int((ends[which] - starts[which]).sum())
@@ -292,6 +396,24 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from dealt()
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes to one row a range with the different ones of a task's piece."""
+    held: list[np.ndarray] = []
+
+    def dealt() -> pa.RecordBatch:
+        ids = np.unique(np.concatenate(held))
+        order, of, begin = _ranges(ids)
+        return pa.RecordBatch.from_arrays([pa.array(of), _binary(ids[order], np.append(begin, len(order)) * 8)], ["range", "want"])
+
+    for batch in batches:
+        held.append(batch.column("node").to_numpy())
+        if sum(map(len, held)) >= PIECE:
+            yield dealt()
+            held = []
+    if sum(map(len, held)):
+        yield dealt()
+
+
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Wanted nodes, then what ``_texts`` sent, in order of ranges, to the lines wanted, each once. Entries pass."""
     want, at, names = np.zeros(0, np.int64), -1, ["node", "line", "range", "entries"]
@@ -309,8 +431,8 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             if of[a] != at:
                 want, at = want[:0], of[a]
-            asked = part.column("want").drop_null().to_numpy()
-            want = np.union1d(want, asked) if len(asked) else want
+            asked = part.column("want").drop_null().to_pylist()
+            want = np.union1d(want, np.frombuffer(b"".join(asked), np.int64)) if asked else want
             if not len(want) or len(asked) == b - a:
                 continue
             nodes, sizes, lines = (b"".join(part.column(c).drop_null().to_pylist()) for c in ("nodes", "sizes", "lines"))
@@ -328,9 +450,9 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open lines to their numbers of shingles and signatures: 8 bits of each of SIGNS minima, and all bucket keys."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            lines = [x.decode(errors="replace") for x in part.column("line").to_pylist()]
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            lines = hashed(part.column("line").to_pylist())
             low, keys = minima(lines, _SIGN_A), _keys(minima(lines, _A))
             signs = [s.tobytes() + k.tobytes() for s, k in zip((low >> np.uint32(3)).astype(np.uint8), keys, strict=True)]
             n = [len(x) for x in shingles(lines)]
@@ -338,7 +460,7 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_set(line: pa.Scalar) -> np.ndarray:
-    return shingles([line.as_py().decode(errors="replace")])[0]
+    return shingles(hashed([line.as_py()]))[0]
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -357,7 +479,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 500)
             one, two = (part.column(c).to_pylist() for c in ("line_a", "line_b"))
             kinds = list(dict.fromkeys(one + two))  # a pivot stands in many pairs
-            sets = dict(zip(kinds, shingles([x.decode(errors="replace") for x in kinds]), strict=True))
+            sets = dict(zip(kinds, shingles(hashed(kinds)), strict=True))
             ok = [alike(sets[x], sets[y]) for x, y in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
@@ -413,8 +535,9 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     banded = rows.select("text").mapInArrow(_bands, "range int, entries binary")
     members = materialize(_by_range(banded).mapInArrow(_members, "key long, node long, pivot long, many boolean"), "line-buckets")
     pairs = members.where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-    asked = members.select(_range_of("node"), F.col("node").alias("want"))
-    sent = rows.select("row", "doc_id", "text").mapInArrow(_texts, "range int, nodes binary, sizes binary, lines binary, entries binary")
+    asked = materialize(members.select("node").mapInArrow(_asked, "range int, want binary"), "line-asked")
+    marks = rows.sparkSession.sparkContext.broadcast(_all_marks(asked))
+    sent = rows.select("row", "doc_id", "text").mapInArrow(lambda batches: _texts(batches, marks.value), "range int, nodes binary, sizes binary, lines binary, entries binary")
     found = _by_range(sent.unionByName(asked, allowMissingColumns=True), F.col("want").isNull()).mapInArrow(_wanted, "node long, line binary, range int, entries binary")
     found = materialize(found, "line-texts")
     texts, places = found.where("node is not null").select("node", "line"), found.where("entries is not null").select("range", "entries")
@@ -451,16 +574,14 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
     return keyed.join(gone.hint("shuffle_hash"), key, "left").select(*docs.columns, mark), mark
 
 
-def _without(columns: list[str], drop_emptied: bool = False, count: bool = False):
-    """Texts without the lines told in the column after ``columns``; ``count`` adds how many lines with a word they had."""
+def _without(columns: list[str], drop_emptied: bool = False):
+    """Texts without the lines told in the column after ``columns``."""
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep, full = [], [], []
+            texts, keep = [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                if count:
-                    full.append(sum(1 for x in (text or "").split("\n") if x.strip(_BLANK)))
                 if gone and text is not None:
                     drop = set(gone)
                     text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
@@ -468,11 +589,7 @@ def _without(columns: list[str], drop_emptied: bool = False, count: bool = False
                 keep.append(not (drop_emptied and gone and text is not None and not text.strip(_BLANK)))
             out = list(batch.columns[: len(columns)])
             out[at] = pa.array(texts, batch.schema.types[at])
-            names = batch.schema.names[: len(columns)]
-            if count:
-                out.append(pa.array(full, pa.int64()))
-                names.append("n_lines")
-            yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, batch.schema.names[: len(columns)]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -489,13 +606,27 @@ def drop_repeated_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFram
     return joined.mapInArrow(_without(docs.columns, drop_emptied), docs.schema)
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the lines that they lose to their counts, and digests of what is left."""
+    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    for batch in batches:
+        full, lost, left = [], [], []
+        for text, gone in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            lines = (text or b"").split(b"\n")
+            full.append(sum(1 for x in lines if x.strip()))
+            lost.append(len(gone or ()))
+            if gone:
+                drop = set(gone)
+                text = b"\n".join([x for k, x in enumerate(lines) if k not in drop])
+            left.append(hashlib.sha256(text or b"").hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(full, pa.int64()), pa.array(lost, pa.int64()), pa.array(left, pa.string())], names)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines with a word, lines dropped, and a digest of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    joined, mark = _marked(docs)
-    counted = joined.select("doc_id", "text", F.coalesce(F.size(mark), F.lit(0)).cast("long").alias("n_dropped"), mark)
-    left = counted.mapInArrow(_without(["doc_id", "text", "n_dropped"], count=True), "doc_id long, text string, n_dropped long, n_lines long")
-    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    joined, _ = _marked(docs)
+    return joined.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 QUERIES = {"op9_line_dedup": op9_line_dedup}
