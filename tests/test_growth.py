@@ -100,3 +100,61 @@ def test_similar_documents_shuffle_keys_not_pairs(spark):
     got, n = shuffled(spark, lambda: gr.similar_documents(spark.createDataFrame(keys, "doc_id long, key string"), 2).collect())
     assert len(got) == 800 and n < 400 * 399 // 8
     assert {(r["doc_id"], r["other"], r["score"]) for r in got if r["doc_id"] == 5} == {(5, 65, 1.0), (5, 125, 1.0)}
+
+
+def test_alignment_pairs_classes(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, "ab"[k % 7 % 2], f"B{rng.randrange(4)}", f"T{rng.randrange(5)}") for k in range(900)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got, n = shuffled(spark, lambda: registry.queries()["g13_align_concepts"](spark, str(tmp_path)).collect())
+    want = set()
+    for a, name, brand, kind in rows[::2]:
+        best = min(((-(brand == y) - (kind == z), b) for b, x, y, z in rows[1::2] if x == name), default=(0, 0))
+        if best[0]:
+            want.add((a, best[1], -best[0]))
+    assert {(r["a"], r["b"], r["support"]) for r in got} == want and n < 450 * 450 // 4
+
+
+def test_neighbourhood_stops_at_full_starts(spark):
+    edges = [(s, 1000 + (s * 3 + p * p) % 90, float((s * p) % 11 + 1)) for s in range(40) for p in range(30 if s % 4 else 3)]
+    strength = {}
+    for a, b, w in edges:
+        strength[a, b] = max(strength.get((a, b), 0.0), w)
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in sorted(strength.items())], "src long, dst long, strength double")
+    starts = spark.createDataFrame([(s,) for s in range(40)], "node long")
+    near = {}
+    for (a, b), w in strength.items():
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {})[a] = w
+    want = set()
+    for s in range(40):
+        one, two = near.get(s, {}), {}
+        for x, w in one.items():
+            for y, u in near[x].items():
+                if y != s and y not in one:
+                    two[y] = max(two.get(y, 0.0), min(w, u))
+        order = sorted([(1, -w, x) for x, w in one.items()] + [(2, -w, y) for y, w in two.items()])[:12]
+        want |= {(s, x, d, -w) for d, w, x in order}
+    got, n = shuffled(spark, lambda: gr.neighbourhood(df, starts, 2, 12).collect())
+    paths = sum(len(near[x]) for s in range(40) for x in near.get(s, {}))
+    assert {tuple(r) for r in got} == want and n < paths
+
+
+def test_power_iteration_reads_entries_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    edges = [(a, b, 1.0 + (a * b) % 3) for a in range(12) for b in range(12) if (a + b) % 3]
+
+    @F.udf("double")
+    def counted(w):
+        seen.add(1)
+        return w
+
+    df = spark.createDataFrame(edges, "i long, j long, w double").withColumn("w", counted("w"))
+    got = {r["node"]: r["value"] for r in gr.power_iteration(df, 6).collect()}
+    m, v = np.zeros((12, 12)), np.ones(12)
+    for a, b, w in edges:
+        m[a, b] = w
+    for _ in range(6):
+        v = m @ v
+        v /= np.linalg.norm(v)
+    assert all(abs(got[k] - v[k]) < 1e-12 for k in range(12)) and seen.value == len(edges)
