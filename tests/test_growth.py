@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from textloom import registry
 from textloom.operators import corpus as cp
 from textloom.operators import graph as gr
+from textloom.operators import models as md
 from textloom.operators import products as pr
 
 
@@ -158,3 +161,36 @@ def test_power_iteration_reads_entries_once(spark):
         v = m @ v
         v /= np.linalg.norm(v)
     assert all(abs(got[k] - v[k]) < 1e-12 for k in range(12)) and seen.value == len(edges)
+
+
+def test_sections_are_found_whole(spark, tmp_path):
+    turns = ["the", "on the day of the other", "on the day", "the", "\n of the day", "Yes", "Yes, on the day of rest", "of", "and\x0bso it  is all", "on the day of the other"]
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", t) for c in (1, 2) for k, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    plain = list(dict.fromkeys(" ".join(x for x in re.split("[ \t\r\n]+", t) if x) for t in turns))
+    got = registry.queries()["c22_story_sections"](spark, str(tmp_path)).collect()
+    assert {(r["story"], r["n"], r["section"]) for r in got} == {(c, n, t) for c in (1, 2) for n, t in enumerate(plain, 1)}
+
+
+def test_originality_of_long_texts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    source = [word() for _ in range(40)]
+    long = [word() for _ in range(9000)]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join([*long[:4000], *source, *long[4000:]])), (3, None)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["words"], r["exact"], r["covered"], r["state"]) for r in cp.originality(docs, spark.createDataFrame([(1, " ".join(source))], "item_id long, text string")).collect()}
+    assert got == {1: (9000, 0, 0, "clear"), 2: (9040, 28, 40, "blocked"), 3: (0, 0, 0, "pending")}
+    # Seconds; steps as many as the square of the words would take minutes.
+    assert time.perf_counter() - began < 45
+
+
+def test_gap_questions_send_texts_once(spark):
+    words = [f"wordlong{chr(97 + k)}" for k in range(20)]
+    units = spark.createDataFrame([(i, " ".join(words[i : i + 12]) + " x" * 500, words[i : i + 12]) for i in range(8)] + [(0, "other wordlonga", ["wordlonga"])], "id long, text string, words array<string>")
+    lexicon = spark.createDataFrame([(w, 9) for w in words] + [("alone", 5)], "word string, kind int")
+    got = md.gap_questions(units, lexicon).collect()
+    assert len(got) == 8 * 12 + 1
+    for r in got:
+        assert len(set(r["wrong"])) == 3 and r["word"] not in r["wrong"] and set(r["wrong"]) <= set(words)
+        assert "____" in r["gap"] and r["word"] not in r["gap"].split()
